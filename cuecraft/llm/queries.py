@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup, normalised
+from .packing import pack
+from .rans import ids_round_trip
+from .tokens import tokenizer_path
 from .warc import warc_round_trip
 
 
@@ -32,6 +35,14 @@ FROM n JOIN g USING (norm)
 """
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ids_round_trip(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc_round_trip(_read(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -82,6 +93,8 @@ FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_packing": op3_packing,
+    "op6_token_ids": op6_token_ids,
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
 }
