@@ -67,10 +67,12 @@ def exact_dedup(
     again = F.coalesce(
         F.call_function("bit_get", F.col("__bits"), (slot % 64).cast("int")) == 1, F.lit(False)
     )
-    keyed = keyed.withColumn("__full", F.when(again, F.sha2(text, 256))).drop("__word", "__bits", "__prefix")
+    # a row alone in its prefix group keeps that hash as its key, so keys without a partner spread evenly
+    full = F.when(again, F.sha2(text, 256)).otherwise(F.concat(F.lit("-"), F.col("__prefix")))
+    keyed = keyed.withColumn("__hashed", again).withColumn("__full", full).drop("__word", "__bits", "__prefix")
     order = F.struct((-F.length(F.coalesce(_quoted(text_col), F.lit("")))).alias("n"), row_id.alias("id"))
     groups = (
-        keyed.filter(F.col("__full").isNotNull())
+        keyed.filter("__hashed")
         .groupBy("__full")
         .agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__size"))
         .filter("__size > 1")
