@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup, normalised
 from .packing import pack
 from .rans import ids_round_trip
 from .tokens import tokenizer_path
+from .toxicity import THRESHOLD, fit, held_out, score_toxicity
 from .warc import warc_round_trip
 
 
@@ -91,11 +92,24 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, _read(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_packing": op3_packing,
     "op6_token_ids": op6_token_ids,
     "op7_warc": op7_warc,
+    "op10_toxicity": op10_toxicity,
     "op8_decontamination": op8_decontamination,
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op8_decontamination": OP8_SQL}
