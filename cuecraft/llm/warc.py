@@ -1,6 +1,7 @@
 """WARC records in ZIP-packaged web archives: written by tasks, read back by range.
 
-An archive is a ZIP with two stored members, the records (archive/data.warc) and an index
+An archive is a ZIP with two stored members, the records, each a gzip member of its own as
+WARC files have them (archive/data.warc.gz), and an index
 of them (indexes/index.cdxj). The reader parses the central directory, with ZIP64 fields
 where there are any, finds the two members and reads single records in place.
 """
@@ -13,6 +14,7 @@ import json
 import re
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import materialise, shared_dir, slices
 from .files import Ranges, create, new_file
 
-DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 #: Neighbouring records are read at once up to so many bytes.
 READ_BYTES = 4 << 20
@@ -49,12 +51,13 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, rev
     if revisit:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
-    return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n") + packer.flush()
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and payload of one record; a revisit has an empty payload."""
-    head, _, rest = data.partition(b"\r\n\r\n")
+    head, _, rest = zlib.decompress(data, 31).partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
