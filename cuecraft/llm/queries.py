@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup, normalised
+from .ngram_join import similar
 from .packing import pack
 from .rans import ids_round_trip
 from .tokens import tokenizer_path
@@ -40,6 +41,30 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar(_read(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+o AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.size + y.size - c)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, low) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT b, low FROM reach JOIN both_ways ON a = reach.doc_id WHERE low < b
+)
+SELECT doc_id, coalesce(max(n.size), 0) AS n_shingles, min(low) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_round_trip(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -107,9 +132,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_packing": op3_packing,
+    "op5_ngram_join": op5_ngram_join,
     "op6_token_ids": op6_token_ids,
     "op7_warc": op7_warc,
     "op10_toxicity": op10_toxicity,
     "op8_decontamination": op8_decontamination,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op8_decontamination": OP8_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_ngram_join": OP5_SQL, "op8_decontamination": OP8_SQL}
