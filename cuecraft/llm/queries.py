@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup, normalised
+from .lm import score_documents
 from .ngram_join import similar
 from .packing import pack
 from .rans import ids_round_trip
@@ -118,6 +119,10 @@ FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, _read(spark, sf_dir, "labels"))
@@ -135,6 +140,7 @@ QUERIES = {
     "op5_ngram_join": op5_ngram_join,
     "op6_token_ids": op6_token_ids,
     "op7_warc": op7_warc,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
     "op8_decontamination": op8_decontamination,
 }
