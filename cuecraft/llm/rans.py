@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _quoted, materialise, shared_dir, slices
+from .common import _quoted, materialise, shared_dir, shuffle_width, slices
 from .files import Ranges, create, new_file
 from .tokens import Encoder
 
@@ -235,7 +235,8 @@ def read_ids(files: DataFrame, keep_ids: bool = False) -> DataFrame:
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
     found = files.select("path", "first").mapInArrow(blocks, "path string, block int, first long")
-    return found.repartition(F.col("path"), F.col("block")).sortWithinPartitions("path", "block").mapInArrow(decode, schema)
+    width = shuffle_width(files.sparkSession)
+    return found.repartition(width, "path", "block").sortWithinPartitions("path", "block").mapInArrow(decode, schema)
 
 
 def ids_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,9 +7,9 @@ import re
 import numpy as np
 
 #: Pieces remembered by one Python worker; once full, further pieces are encoded each time.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
-_GAP = re.compile(r" (?:\s|\Z)")
+_ODD = re.compile(r" [\s]|\n\s|\s\n|[^\S \n]|\A\s|\s\Z")
 _CUT = re.compile(r"(?= \S)")
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
@@ -20,12 +20,19 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _letter(char: str) -> bool:
+    """A letter, in lower case too."""
+    return char.isalpha() and len(char.lower()) == 1
+
+
 class Encoder:
     """Ids as little-endian bytes, two a token where the vocabulary allows it.
 
     The tokenizer splits a text into words before it merges anything, so a text may be cut
-    at a space before a visible character and each piece encoded by itself. With
-    ``keep_space`` the space belongs to the piece that follows.
+    where such a split is certain and each piece encoded by itself: at spaces and line ends,
+    and on a miss also before a single mark that ends a word. With ``keep_space`` white
+    space is part of the ids and a space belongs to the piece that follows; without it white
+    space only separates and letters have no case.
     """
 
     def __init__(self, path: str, keep_space: bool):
@@ -45,28 +52,40 @@ class Encoder:
             _encoders[key] = cls(path, keep_space)
         return _encoders[key]
 
-    def _pieces(self, text: str) -> list[str]:
+    def _pieces(self, text: str) -> list[bytes]:
         if not self._keep_space:
-            return text.split(" ")
-        if _GAP.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+            return text.encode().lower().replace(b"\n", b" ").split(b" ")
+        if _ODD.search(text):
+            return [x.encode() for x in _CUT.split(text)]
+        # between visible characters: a space stays with what follows, a line end is a piece
+        return text.encode().replace(b" ", b"\x00 ").replace(b"\n", b"\x00\n\x00").split(b"\x00") if "\x00" not in text else [text.encode()]
+
+    def _plain(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        made = {}
+        for at in range(0, len(pieces), 4096):
+            part = pieces[at : at + 4096]
+            encoded = self._tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
+            made.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(part, encoded, strict=True))
+        return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [self._pieces(x) for x in texts]
         known = self._known
-        new = list({p for row in pieces for p in row if p not in known})
-        fresh = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, made in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                fresh[piece] = np.array(made.ids, self.dtype).tobytes()
-        room = REMEMBERED - len(known)
-        if room >= len(fresh):
-            known.update(fresh)
-        elif room > 0:
-            known.update(list(fresh.items())[:room])
-        if room >= len(fresh):
-            return [b"".join([known[p] for p in row]) for row in pieces]
-        return [b"".join([known[p] if p in known else fresh[p] for p in row]) for row in pieces]
+        pieces = [self._pieces(x) for x in texts]
+        found = [list(map(known.get, row)) for row in pieces]
+        new = {p for row, got in zip(pieces, found, strict=True) if None in got for p, g in zip(row, got, strict=True) if g is None}
+        if new:
+            cut = {p: (p[:-1], p[-1:]) for p in new if p[-1:] in (b".", b",") and len(p) > 1 and _letter(p[:-1].decode()[-1])}
+            bare = {x for pair in cut.values() for x in pair} | (new - cut.keys())
+            made = self._plain([x for x in bare if x not in known])
+            full = len(known) >= REMEMBERED
+            if not full:
+                known.update(made)
+            for p, (word, sign) in cut.items():
+                a, b = known.get(word), known.get(sign)
+                made[p] = (made[word] if a is None else a) + (made[sign] if b is None else b)
+                if not full:
+                    known[p] = made[p]
+            for row, got in zip(pieces, found, strict=True):
+                if None in got:
+                    got[:] = [made[p] if g is None else g for p, g in zip(row, got, strict=True)]
+        return [b"".join(x) for x in found]
