@@ -133,20 +133,23 @@ class Model:
         self.weights, self.bias, self.trans, self.curve = weights, bias, trans, curve
 
     def tag(self, words: Words) -> np.ndarray:
-        if not len(words.hash):
+        return self.tag_slots(features(words), words.first)
+
+    def tag_slots(self, slots: np.ndarray, first: np.ndarray) -> np.ndarray:
+        if not len(slots):
             return np.zeros(0)
-        score = self.weights[features(words)].sum(1, dtype=np.float64) + self.bias
-        return Chains(words.first).marginals(score, self.trans)[0]
+        score = self.weights[slots].sum(1, dtype=np.float64) + self.bias
+        return Chains(first).marginals(score, self.trans)[0]
 
     def score(self, p: np.ndarray, first: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(summary(p, first) @ self.curve, -30, 30)))
 
 
-def _distinct(words: Words) -> np.ndarray:
+def _distinct(words: Words, seen: set[bytes]) -> np.ndarray:
     """One document of each kind of near copies: those whose two smallest 3-gram hashes agree."""
     hashes, at = words.grams(3)
     owner = words.doc[at]
-    seen, keep = set(), []
+    keep = []
     edges = np.searchsorted(owner, np.arange(words.n_docs + 1))
     for k in range(words.n_docs):
         own = np.unique(hashes[edges[k] : edges[k + 1]])[:2]
@@ -157,16 +160,18 @@ def _distinct(words: Words) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
+def _runs(n: int, size: int) -> list[tuple[int, int]]:
+    return [(k, min(n, k + size)) for k in range(0, n, size)]
+
+
 def mark(slots: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Tokens of toxic documents with a feature that is far more frequent there."""
     n = len(toxic)
-    seen = []
-    for k in range(slots.shape[1]):
-        seen.append(np.unique(slots[:, k].astype(np.int64) * n + doc))
-    tables = [(np.bincount(s // n, toxic[s % n], 1 << TABLE_BITS), np.bincount(s // n, minlength=1 << TABLE_BITS)) for s in seen]
     share = max(toxic.sum(), 1) / max(n - toxic.sum(), 1)
     marked = np.zeros(len(doc), bool)
-    for k, (bad, every) in enumerate(tables):
+    for k in range(slots.shape[1]):
+        seen = np.unique(slots[:, k].astype(np.int64) * n + doc)
+        bad, every = np.bincount(seen // n, toxic[seen % n], 1 << TABLE_BITS), np.bincount(seen // n, minlength=1 << TABLE_BITS)
         rare = (bad + 0.5) / (every - bad + 0.5) / share
         marked |= ((bad >= 4) & (rare >= 12))[slots[:, k]]
     return marked & toxic[doc].astype(bool)
@@ -176,29 +181,36 @@ def train(texts: pa.Array, toxic: np.ndarray, epochs: int = 4, batch: int = 128)
     """Fits the field by AdaGrad on the marked sequences, then the curve by Newton steps."""
     weights, bias, trans = np.zeros(1 << TABLE_BITS, np.float32), -4.0, np.zeros((2, 2))
     curve = np.array([-2.0, 0, 0, 0, 0, 0])
-    words = Words(texts, ALNUM)
-    keep = _distinct(words)
-    texts, toxic = texts.take(pa.array(keep)), toxic[keep]
+    seen: set[bytes] = set()
+    kept, sizes, own, at = [], [], [], 0
+    for piece in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text"):
+        words = Words(piece.column(0), ALNUM)
+        keep = _distinct(words, seen)
+        kept.append(keep + at)
+        sizes.append(np.diff(words.first)[keep])
+        own.append(features(words)[np.isin(words.doc, keep)])
+        at += piece.num_rows
+    toxic = toxic[np.concatenate(kept)] if kept else toxic
     if not len(toxic) or toxic.min() == toxic.max():
         return Model(weights, bias, trans, curve)
-    words = Words(texts, ALNUM)
-    slots = features(words)
-    truth = mark(slots, words.doc, toxic).astype(float)
+    slots, sizes = np.concatenate(own), np.concatenate(sizes)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    truth = mark(slots, np.repeat(np.arange(len(sizes)), sizes), toxic)
     squares, bias_sq, trans_sq = np.full(1 << TABLE_BITS, 1e-2), 1.0, np.ones((2, 2))
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for part in np.array_split(order.permutation(len(toxic)), max(1, len(toxic) // batch)):
-            part = part[np.diff(words.first)[part] > 0]
+            part = part[sizes[part] > 0]
             if not len(part):
                 continue
-            tokens = np.concatenate([np.arange(words.first[d], words.first[d + 1]) for d in part])
-            first = np.concatenate([[0], np.cumsum(np.diff(words.first)[part])])
-            own, y = slots[tokens], truth[tokens]
-            p, pairs = Chains(first).marginals(weights[own].sum(1, dtype=np.float64) + bias, trans)
+            tokens = np.concatenate([np.arange(first[d], first[d + 1]) for d in part])
+            edges = np.concatenate([[0], np.cumsum(sizes[part])])
+            own, y = slots[tokens], truth[tokens].astype(float)
+            p, pairs = Chains(edges).marginals(weights[own].sum(1, dtype=np.float64) + bias, trans)
             gap = y - p
             grad = np.bincount(own.ravel(), np.repeat(gap, own.shape[1]), 1 << TABLE_BITS) - 1e-3 * weights
             before = np.concatenate([[0], y[:-1]])
-            before[first[:-1]] = 0
+            before[edges[:-1]] = 0
             actual = np.zeros((2, 2))
             np.add.at(actual, (before.astype(int), y.astype(int)), 1)
             squares += grad**2
@@ -208,7 +220,7 @@ def train(texts: pa.Array, toxic: np.ndarray, epochs: int = 4, batch: int = 128)
             trans_sq += (actual - pairs) ** 2
             trans += 0.3 * (actual - pairs) / np.sqrt(trans_sq)
     model = Model(weights, bias, trans, curve)
-    x = summary(model.tag(words), words.first)
+    x = np.concatenate([summary(model.tag_slots(slots[first[a] : first[b]], first[a : b + 1] - first[a]), first[a : b + 1] - first[a]) for a, b in _runs(len(sizes), batch)])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ model.curve, -30, 30)))
         grad = x.T @ (toxic - p) - 0.05 * model.curve
