@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, _quoted, materialise, shuffle_width, slices
+from .common import Words, _quoted, materialise, mix, shuffle_width, slices
 from .exact_dedup import _bit_words
 from .graph import components
 
@@ -49,8 +49,6 @@ def gram_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def set_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """One 64-bit key per set, 0 for the empty one."""
-    from .common import mix
-
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes * np.uint64(0xD1342543DE82EF95)))])
     size = np.diff(first)
     keys = mix(sums[first[1:]] - sums[first[:-1]] + size.astype(np.uint64))
@@ -96,69 +94,100 @@ def _survey(n: int):
     return run, "doc_id long, size long, key long, gram long, count long"
 
 
+def _classes_of_size(size: np.ndarray, percent: int) -> np.ndarray:
+    """Classes of sizes so wide that sizes near enough to link are in one or in neighbouring ones."""
+    return np.floor(np.log(np.maximum(size, 1)) / (np.log(100 / percent) * (1 + 1e-9))).astype(np.int64)
+
+
 def _meetings(n: int, percent: int, order, blocks: int):
-    """Prefix n-grams by column block: each with its smallest set in this task, and the edges to that."""
-
-    def summed(grams: list, keys: list) -> Iterator[pa.RecordBatch]:
-        gram, key = np.concatenate(grams), np.concatenate(keys)
-        at = np.lexsort((key, gram))
-        gram, key = gram[at], key[at]
-        lead = np.ones(len(gram), bool)
-        lead[1:] = gram[1:] != gram[:-1]
-        low = key[lead][np.cumsum(lead) - 1]
-        edges = np.unique(np.stack([key, low])[:, key != low], axis=1)
-        block = (gram[lead] % np.uint64(blocks)).astype(np.int64)
+    """Where sets may meet, by column block: prefix n-grams with a class of sizes.
+
+    A set shows all of its prefix to sets of its class of sizes, and the shorter prefix that
+    a link to a larger set needs to those of the next class too. A meeting counts only if the
+    shorter prefix of one of its sets is there; a task that knows of one keeps a single set
+    for the meeting, and the edges to that.
+    """
+    names = ["block", "meetings", "keys", "sure", "a", "b"]
+
+    def summed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        meet, key, sure = (np.concatenate(x) for x in zip(*held, strict=True))
+        at = np.lexsort((key, meet))
+        meet, key, sure = meet[at], key[at], sure[at]
+        lead = np.ones(len(meet), bool)
+        lead[1:] = meet[1:] != meet[:-1]
+        group = np.cumsum(lead) - 1
+        some = np.bincount(group, sure)[group] > 0
+        low = key[lead][group]
+        edges = np.unique(np.stack([key, low])[:, some & (key != low)], axis=1)
+        again = np.zeros(len(meet), bool)
+        again[1:] = (meet[1:] == meet[:-1]) & (key[1:] == key[:-1])
+        keep = np.where(some, lead, ~again)
+        meet, key, sure = meet[keep], key[keep], some[keep]
+        block = (meet % np.uint64(blocks)).astype(np.int64)
         at = np.argsort(block, kind="stable")
         cuts = np.searchsorted(block[at], np.arange(blocks + 1))
         owner = edges[0] % blocks
         for k in range(blocks):
-            own = at[cuts[k] : cuts[k + 1]]
-            mine = edges[:, owner == k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (gram[lead][own], key[lead][own], mine[0], mine[1])]],
-                ["block", "grams", "keys", "a", "b"],
-            )
+            own, mine = at[cuts[k] : cuts[k + 1]], edges[:, owner == k]
+            blobs = (meet[own], key[own], sure[own], mine[0], mine[1])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in blobs]], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, count = order.value
-        grams, keys, size = [], [], 0
+        held, total = [], 0
         for batch in slices(batches, "text"):
             hashes, owner, first = gram_sets(Words(batch.column(1)), n)
-            key = set_keys(hashes, first)
+            key, size = set_keys(hashes, first), np.diff(first)
             if len(frequent):
                 at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
                 weight = np.where(frequent[at] == hashes, count[at], 0)
             else:
                 weight = np.zeros(len(hashes), np.int64)
-            at = np.lexsort((hashes, weight, owner))
-            rank = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
-            take = rank < _prefix(np.diff(first), percent)[owner]
-            grams.append(hashes[at][take])
-            keys.append(key[owner[take]])
-            size += int(take.sum())
-            if size > HELD:
-                yield from summed(grams, keys)
-                grams, keys, size = [], [], 0
-        if size:
-            yield from summed(grams, keys)
-
-    return run, "block int, grams binary, keys binary, a binary, b binary"
+            hashes = hashes[np.lexsort((hashes, weight, owner))]
+            rank = np.arange(len(hashes)) - np.repeat(first[:-1], size)
+            short = rank < (size - _ceil(2 * percent * size, 100 + percent) + 1)[owner]
+            kind = _classes_of_size(size, percent)[owner].astype(np.uint64)
+            step = np.uint64(0x9E3779B97F4A7C15)
+            take = rank < _prefix(size, percent)[owner]
+            held.append((mix(hashes[take] + kind[take] * step), key[owner[take]], short[take]))
+            held.append((mix(hashes[short] + (kind[short] + np.uint64(1)) * step), key[owner[short]], short[short]))
+            total += len(held[-1][0]) + len(held[-2][0])
+            if total > HELD:
+                yield from summed(held)
+                held, total = [], 0
+        if total:
+            yield from summed(held)
+
+    return run, "block int, meetings binary, keys binary, sure binary, a binary, b binary"
 
 
 def _join_block(table: pa.Table) -> pa.Table:
-    """Edges between the smallest sets that tasks have seen for the same n-gram, and the tasks' own."""
-    parts = [np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table[c]]) for c in ("grams", "keys", "a", "b")]
-    gram, key, a, b = parts
-    at = np.lexsort((key, gram))
-    gram, key = gram[at], key[at]
-    lead = np.ones(len(gram), bool)
-    lead[1:] = gram[1:] != gram[:-1]
-    low = key[lead][np.cumsum(lead) - 1]
-    edges = np.concatenate([np.stack([key, low])[:, key != low], np.stack([a, b])], axis=1)
+    """Edges between the sets of each meeting that counts, and those that tasks have found."""
+    kinds = {"meetings": np.uint64, "keys": np.int64, "sure": bool, "a": np.int64, "b": np.int64}
+    meet, key, sure, a, b = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table[c]]) for c, t in kinds.items())
+    at = np.lexsort((key, meet))
+    meet, key, sure = meet[at], key[at], sure[at]
+    lead = np.ones(len(meet), bool)
+    lead[1:] = meet[1:] != meet[:-1]
+    group = np.cumsum(lead) - 1
+    some = np.bincount(group, sure)[group] > 0
+    low = key[lead][group]
+    edges = np.concatenate([np.stack([key, low])[:, some & (key != low)], np.stack([a, b])], axis=1)
     edges = np.unique(edges, axis=1) if edges.size else edges.astype(np.int64)
     return pa.table({"a": edges[0], "b": edges[1]})
 
 
+def _slots(keys: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """Place of a set and the row that stands for it in the filter."""
+    ids = ids.fill_null(-1).to_numpy(zero_copy_only=False)
+    return (mix(keys.view(np.uint64) + mix(ids.view(np.uint64))) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_slots(batch.column(0).to_numpy(), batch.column(1)))], ["slot"])
+
+
 def block_links(sizes: np.ndarray, grams: list[np.ndarray], tile: np.ndarray, mixed: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that connect all sets of a block that links connect: a spanning forest of them.
 
@@ -275,9 +304,9 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_i
     member = nodes.withColumnRenamed("node", "key").join(classes, "key")
     tiles = member.groupBy("root").agg(F.ceil(F.sum("size") * 8 / BLOCK_BYTES).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
-    member = materialise(member.select("key", "root").join(tiles, "root").select("key", "root", "tiles", tile.alias("tile")), "members")
+    member = materialise(member.join(tiles, "root").select("key", "low", "root", "tiles", tile.alias("tile")), "members")
 
-    words = _bit_words(member, "key", FILTER_BITS).toArrow()  # at most 2**(FILTER_BITS - 6) rows
+    words = _bit_words(member.select("key", "low").mapInArrow(_slot_rows, "slot long"), "slot", FILTER_BITS).toArrow()  # at most 2**(FILTER_BITS - 6) rows
     bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     bitmap[words["__word"].to_numpy()] = words["__bits"].to_numpy()
     wanted = spark.sparkContext.broadcast(bitmap)
@@ -286,15 +315,15 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_i
         for batch in slices(batches, "text"):
             hashes, _, first = gram_sets(Words(batch.column(1)), n)
             keys = set_keys(hashes, first)
-            keys, at = np.unique(keys, return_index=True)
-            slot = keys & ((1 << FILTER_BITS) - 1)
-            keep = (wanted.value[slot >> 6] >> (slot & 63)) & 1 == 1
-            keys, at = keys[keep], at[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([hashes[first[k] : first[k + 1]].tobytes() for k in at], pa.binary())], ["key", "grams"])
+            slot = _slots(keys, batch.column(0))
+            at = np.flatnonzero(((wanted.value[slot >> 6] >> (slot & 63)) & 1 == 1) & (np.diff(first) > 0))
+            grams = pa.array([hashes[first[k] : first[k + 1]].tobytes() for k in at], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), batch.column(0).take(pa.array(at)), grams], ["key", "doc_id", "grams"])
 
-    rows_of = texts.mapInArrow(sets, "key long, grams binary").groupBy("key").agg(F.first("grams").alias("grams"))
+    made = texts.mapInArrow(sets, "key long, doc_id long, grams binary").withColumnRenamed("key", "own")
+    rows_of = made.join(member, (F.col("own") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("low")))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    placed = rows_of.join(member, "key").select("key", "grams", "root", "tile", other)
+    placed = rows_of.select("key", "grams", "root", "tile", other)
     placed = placed.select("root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "key", "grams", "tile")
     placed = placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "key")
     found = components(placed.mapInArrow(_multiply(percent), "a long, b long")).withColumnRenamed("node", "key")
