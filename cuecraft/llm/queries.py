@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup, normalised
+from .html_text import extract_text
+from .html_text import fit as fit_layouts
 from .lm import score_documents
 from .ngram_join import similar
 from .packing import pack
@@ -38,6 +40,11 @@ FROM n JOIN g USING (norm)
 """
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_text(pages, fit_layouts(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -136,6 +143,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_html_extraction": op2_html_extraction,
     "op3_packing": op3_packing,
     "op5_ngram_join": op5_ngram_join,
     "op6_token_ids": op6_token_ids,
