@@ -1,7 +1,7 @@
 """Token ids in binary files, coded by a range asymmetric numeral system.
 
 A file holds blocks of whole documents, ascending by id, and one table of token
-frequencies that all its blocks share. A block is coded by up to 1024 interleaved coders,
+frequencies that all its blocks share. A block is coded by up to 2048 interleaved coders,
 one step of all of them at a time, with checkpoints at which decoding can begin, and
 checksums of what is stored and of the ids.
 
@@ -26,13 +26,14 @@ from .files import Ranges, create, new_file
 from .tokens import Encoder
 
 MAGIC = b"RANSIDS1"
-BITS = 20  # the frequencies of a table add up to 2**BITS
+BITS = 18  # the frequencies of a table add up to 2**BITS
 LOW = np.uint64(1 << 31)  # states stay in [2**31, 2**63)
-LANES = 1024
+LANES = 2048
 #: Steps between checkpoints.
 STRIDE = 256
 BLOCK_TOKENS = 1 << 20
 FILE_TOKENS = 1 << 24
+BLOCK_RUN = 4
 END_ID = 1
 
 
@@ -199,7 +200,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_i
 def read_ids(files: DataFrame, keep_ids: bool = False) -> DataFrame:
     """One row (doc_id, start, n_tokens, ids_crc32) per document, decoded from the files; with its ids if asked for.
 
-    Blocks are dealt to tasks one by one. start adds up the files before (one row each), the
+    Blocks are dealt to tasks in short runs. start adds up the files before (one row each), the
     blocks and the documents before.
     """
     order = Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)
@@ -236,7 +237,8 @@ def read_ids(files: DataFrame, keep_ids: bool = False) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
     found = files.select("path", "first").mapInArrow(blocks, "path string, block int, first long")
     width = shuffle_width(files.sparkSession)
-    return found.repartition(width, "path", "block").sortWithinPartitions("path", "block").mapInArrow(decode, schema)
+    run = F.floor(F.col("block") / BLOCK_RUN)  # a footer is read once for a run of blocks
+    return found.repartition(width, F.col("path"), run).sortWithinPartitions("path", "block").mapInArrow(decode, schema)
 
 
 def ids_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

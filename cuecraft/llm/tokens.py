@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+from array import array
 
 import numpy as np
 
 #: Pieces remembered by one Python worker; once full, further pieces are encoded each time.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 
 _ODD = re.compile(r" [\s]|\n\s|\s\n|[^\S \n]|\A\s|\s\Z")
 _CUT = re.compile(r"(?= \S)")
+#: Byte-level models know bytes by printable characters: those that are printable by themselves, the rest from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -43,6 +49,8 @@ class Encoder:
         size = self._tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.size, self._keep_space, self._known = size, keep_space, {}
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are kept as little-endian bytes")
 
     @classmethod
     def shared(cls, path: str, keep_space: bool) -> Encoder:
@@ -60,8 +68,23 @@ class Encoder:
         # between visible characters: a space stays with what follows, a line end is a piece
         return text.encode().replace(b" ", b"\x00 ").replace(b"\n", b"\x00\n\x00").split(b"\x00") if "\x00" not in text else [text.encode()]
 
+    def _one_word(self, piece: bytes) -> str | None:
+        """The piece as the model takes it, if it is one word that nothing normalises or splits."""
+        text = piece.decode()
+        core = text[1:] if self._keep_space and text[:1] == " " else text
+        if not core.isalpha() or not (self._keep_space or (core == core.lower() and unicodedata.is_normalized("NFC", core))):
+            return None
+        return piece.decode("latin-1").translate(_CHARS)
+
     def _plain(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        made = {}
+        made, rest, model = {}, [], self._tokenizer.model
+        for piece in pieces:
+            word = self._one_word(piece)
+            if word is None:
+                rest.append(piece)
+            else:
+                made[piece] = array(self.dtype.char, [t.id for t in model.tokenize(word)]).tobytes()
+        pieces = rest
         for at in range(0, len(pieces), 4096):
             part = pieces[at : at + 4096]
             encoded = self._tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
