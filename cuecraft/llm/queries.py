@@ -13,6 +13,7 @@ from .lm import score_documents
 from .ngram_join import similar
 from .packing import pack
 from .rans import ids_round_trip
+from .repeats import repeated
 from .tokens import tokenizer_path
 from .toxicity import THRESHOLD, fit, held_out, score_toxicity
 from .warc import warc_round_trip
@@ -49,6 +50,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = F.aggregate("repeated_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return repeated(docs).select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("repeated_spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(_read(spark, sf_dir, "documents"))
 
@@ -145,6 +158,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_html_extraction": op2_html_extraction,
     "op3_packing": op3_packing,
+    "op4_repeats": op4_repeats,
     "op5_ngram_join": op5_ngram_join,
     "op6_token_ids": op6_token_ids,
     "op7_warc": op7_warc,
