@@ -9,6 +9,7 @@ sizes give are dropped before and after.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,13 @@ from .exact_dedup import _bit_words
 from .graph import components
 
 #: So many of the most frequent n-grams go last in the order of n-grams.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 21
 #: n-grams that a task holds before it sums up.
 HELD = 6 << 20
-BLOCK_BYTES = 8 << 20
+#: Sets that one task multiplies at a time; a larger component is cut by size, a larger part into tiles.
+BLOCK_BYTES, TILE_BYTES = 8 << 20, 16 << 20
+#: Rows of block members (about 40 bytes) that are sent to every task; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 FILTER_BITS = 24
 
 
@@ -256,7 +260,7 @@ def _multiply(percent: int):
 
         for batch in batches:
             for row in batch.to_pylist():
-                block = (row["root"], row["i"], row["j"])
+                block = (row["root"], row["part"], row["i"], row["j"])
                 if block != last and size > BLOCK_BYTES:
                     yield product()
                     held, size = [], 0
@@ -279,8 +283,8 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_i
     Equal sets are one row of the matrix, whatever their number. n-grams are ordered by how
     often they occur (FREQUENT of them exactly, the rest as rare), so a common passage is in
     no prefix of a text with anything else. Meetings are folded per task to one row for each
-    n-gram, components of them give the blocks, and a block of more than BLOCK_BYTES is split
-    into tiles that are multiplied pair by pair in tasks of their own. Only links that join
+    n-gram, components of them give the blocks, and a block of more than BLOCK_BYTES is cut by
+    classes of sizes, and further into tiles that are multiplied pair by pair. Only links that join
     something leave a task.
 
     Null and empty texts have no set, no link and are their own component. Repeated rows are
@@ -302,9 +306,16 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_i
 
     classes = materialise(rows.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("low"), F.max("size").alias("size")), "classes")
     member = nodes.withColumnRenamed("node", "key").join(classes, "key")
-    tiles = member.groupBy("root").agg(F.ceil(F.sum("size") * 8 / BLOCK_BYTES).cast("int").alias("tiles"))
+    # a component too large for one block is cut by classes of sizes: links stay in a class or join neighbours
+    kind = F.floor(F.log(F.col("size")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
+    large = member.groupBy("root").agg((F.sum("size") * 8 > BLOCK_BYTES).alias("large"))
+    parts = F.explode(F.when(F.col("large"), F.array(kind, kind + 1)).otherwise(F.array(F.lit(0)))).alias("part")
+    member = materialise(member.join(large, "root").select("key", "low", "size", "root", parts), "parts")
+    tiles = member.groupBy("root", "part").agg(F.ceil(F.sum("size") * 8 / TILE_BYTES).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
-    member = materialise(member.join(tiles, "root").select("key", "low", "root", "tiles", tile.alias("tile")), "members")
+    member = materialise(member.join(tiles, ["root", "part"]).select("key", "low", "root", "part", "tiles", tile.alias("tile")), "members")
+    if member.count() <= BROADCAST_ROWS:
+        member = F.broadcast(member)
 
     words = _bit_words(member.select("key", "low").mapInArrow(_slot_rows, "slot long"), "slot", FILTER_BITS).toArrow()  # at most 2**(FILTER_BITS - 6) rows
     bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
@@ -323,9 +334,9 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_i
     made = texts.mapInArrow(sets, "key long, doc_id long, grams binary").withColumnRenamed("key", "own")
     rows_of = made.join(member, (F.col("own") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("low")))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    placed = rows_of.select("key", "grams", "root", "tile", other)
-    placed = placed.select("root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "key", "grams", "tile")
-    placed = placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "key")
+    placed = rows_of.select("key", "grams", "root", "part", "tile", other)
+    placed = placed.select("root", "part", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "key", "grams", "tile")
+    placed = placed.repartition("root", "part", "i", "j").sortWithinPartitions("root", "part", "i", "j", "key")
     found = components(placed.mapInArrow(_multiply(percent), "a long, b long")).withColumnRenamed("node", "key")
 
     linked = found.join(classes, "key").select("key", "root", "low")
