@@ -16,7 +16,7 @@ def dominant_cluster(boxes: DataFrame, crop: int = 600) -> DataFrame:
     """Per scene: boxes within half a crop of the largest one, their median centre and bounds."""
     centre = F.col("x") + F.col("w") / 2
     rows = boxes.withColumn("cx", centre).withColumn("area", F.col("w") * F.col("h"))
-    largest = rows.groupBy("scene").agg(F.max_by("cx", F.struct("area", -F.col("box"))).alias("main"))
+    largest = rows.groupBy("scene").agg(F.max_by("cx", F.struct("area", -F.col("box"), -F.col("cx"))).alias("main"))
     near = rows.join(largest, "scene").filter(F.abs(F.col("cx") - F.col("main")) <= crop / 2)
     return near.groupBy("scene").agg(F.count(F.lit(1)).alias("n"), F.median("cx").alias("centre"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"))
 

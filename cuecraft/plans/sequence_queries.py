@@ -1 +1,271 @@
-"""Queries."""
+"""Queries of windows, intervals and selections."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cuecraft.functions import scoring
+from cuecraft.operators import critique, intervals, shots, windows
+from cuecraft.plans import bindings as b
+from cuecraft.plans.registry import query
+
+_WINDOWS = rf"""{b.CUES}, c AS (SELECT *, start_ms + dur_ms AS e, max(start_ms + dur_ms) OVER (PARTITION BY video_id) AS total FROM cues),
+x AS (SELECT *, unnest(range(CAST(greatest(0, ceil((start_ms - 58500) / 20000)) AS BIGINT), CAST(least(floor((total - 35000) / 20000), floor(e / 20000)) AS BIGINT) + 1)) AS win FROM c WHERE total >= 35000),
+y AS (SELECT *, min(start_ms) OVER (PARTITION BY video_id, win) AS first FROM x WHERE start_ms <= least(win * 20000 + 58500, total)),
+g AS (SELECT video_id, win, min(start_ms) AS start_ms, max(e) AS end_ms, count(*) AS n_cues, string_agg(trim(replace(text, chr(10), ' ')), ' ' ORDER BY cue_idx) AS text FROM y WHERE e - first <= 58500 GROUP BY 1, 2),
+h AS (SELECT * FROM g WHERE end_ms - start_ms BETWEEN 35000 AND 58500),
+w AS (SELECT * FROM (SELECT *, lag(start_ms) OVER o AS ps, lag(end_ms) OVER o AS pe FROM h WINDOW o AS (PARTITION BY video_id ORDER BY win)) WHERE ps IS NULL OR ps <> start_ms OR pe <> end_ms)"""
+
+_SCORED = rf"""{_WINDOWS}, t AS (SELECT video_id, win, start_ms, end_ms, regexp_replace(lower(text), '[^\x00-\x7F]', 'z', 'g') AS t, greatest(1, len(regexp_extract_all(text, '\S+'))) AS n FROM w),
+v AS (SELECT *, round(greatest(0.0::DOUBLE, least(3.0::DOUBLE, 1.0::DOUBLE + CASE WHEN regexp_matches(substr(t, 1, 80), '{scoring.HOOK}') THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END
+  + least(0.8::DOUBLE, 25.0::DOUBLE * len(regexp_extract_all(t, '{scoring.STAKES}')) / n) + least(0.3::DOUBLE, 0.1::DOUBLE * len(regexp_extract_all(t, '\b\d+\b')))
+  - least(0.6::DOUBLE, 10.0::DOUBLE * len(regexp_extract_all(t, '{scoring.FILLER}')) / n))), 2) AS virality,
+  CASE WHEN regexp_matches(t, '{scoring.DANGLING}') THEN 0.4::DOUBLE ELSE 0.65::DOUBLE END AS standalone, CASE WHEN regexp_matches(t, '{scoring.SPONSOR}') THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END AS sponsor,
+  CASE WHEN regexp_matches(t, '{scoring.STORY}') THEN 'compelling_story' ELSE 'high_value_insight' END AS category FROM t),
+s AS (SELECT *, CASE WHEN sponsor >= 0.5 THEN round(greatest(0.0::DOUBLE, round(virality * 0.7::DOUBLE + standalone * 3.0::DOUBLE * 0.3::DOUBLE, 2) - 3.0::DOUBLE), 2)
+  ELSE round(virality * 0.7::DOUBLE + standalone * 3.0::DOUBLE * 0.3::DOUBLE, 2) END AS score FROM v)"""
+
+
+def _scored(spark, sf, snap=False):
+    rows = windows.sliding_windows(b.cues(spark, sf), snap=snap)
+    return rows.withColumn("h", scoring.heuristic_score(F.col("text")))
+
+
+@query("sliding_windows", f"WITH {_WINDOWS} SELECT video_id, win AS \"window\", start_ms, end_ms, n_cues, sha256(text) AS text_sha256 FROM w")
+def _windows(spark, sf):
+    rows = windows.sliding_windows(b.cues(spark, sf), snap=False)
+    return rows.select("video_id", "window", "start_ms", "end_ms", "n_cues", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("cue_window_join", f"WITH {_WINDOWS} SELECT video_id, count(DISTINCT win) AS windows, count(*) AS pairs FROM y WHERE e - first <= 58500 GROUP BY 1")
+def _cue_window(spark, sf):
+    rows = windows.cue_windows(b.cues(spark, sf))
+    return rows.groupBy("video_id").agg(F.count_distinct("window").alias("windows"), F.count(F.lit(1)).alias("pairs"))
+
+
+@query("snap_window")
+def _snap(spark, sf):
+    rows = windows.sliding_windows(b.cues(spark, sf), snap=True)
+    return rows.select("video_id", "window", "start_ms", "end_ms", "n_cues", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("pacing_profile")
+def _pacing(spark, sf):
+    return windows.sliding_windows(b.cues(spark, sf)).select("video_id", "window", "pacing.*")
+
+
+@query("text_heuristic_score", f'WITH {_SCORED} SELECT video_id, win AS "window", virality AS virality_score, standalone AS standalone_prob, sponsor AS sponsor_prob, category, score AS composite_score FROM s')
+def _heuristic(spark, sf):
+    return _scored(spark, sf).select("video_id", "window", "h.*")
+
+
+@query("composite_score", "SELECT clip, round(v * 0.7::DOUBLE + s * 3.0::DOUBLE * 0.3::DOUBLE, 2) AS score FROM (SELECT o_orderkey AS clip, (o_custkey % 31) / 10.0::DOUBLE AS v, (o_orderkey % 11) / 10.0::DOUBLE AS s FROM orders)")
+def _composite(spark, sf):
+    o = b.table(spark, sf, "orders")
+    return o.select(F.col("o_orderkey").alias("clip"), scoring.composite_score((F.col("o_custkey") % 31) / 10.0, (F.col("o_orderkey") % 11) / 10.0, F.lit(0.0)).alias("score"))
+
+
+@query(
+    "greedy_non_overlap",
+    f"""WITH RECURSIVE {_SCORED}, r AS (SELECT video_id, win, start_ms, end_ms, score, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, win) AS k FROM s),
+f(video_id, k, chosen) AS (SELECT video_id, 0::BIGINT, []::STRUCT(a BIGINT, z BIGINT, win BIGINT, score DOUBLE)[] FROM (SELECT DISTINCT video_id FROM r)
+  UNION ALL SELECT f.video_id, f.k + 1, CASE WHEN len(chosen) >= 3 OR len(list_filter(chosen, lambda c: least(c.z, r.end_ms) - greatest(c.a, r.start_ms) > 10000)) > 0 THEN chosen
+    ELSE list_append(chosen, {{'a': r.start_ms::BIGINT, 'z': r.end_ms::BIGINT, 'win': r.win::BIGINT, 'score': r.score::DOUBLE}}) END FROM f JOIN r ON r.video_id = f.video_id AND r.k = f.k + 1),
+l AS (SELECT video_id, arg_max(chosen, k) AS chosen FROM f GROUP BY 1)
+SELECT video_id, i AS rank, chosen[i].win AS "window", chosen[i].a AS start_ms, chosen[i].z AS end_ms, chosen[i].score AS score FROM (SELECT video_id, chosen, unnest(range(1, len(chosen) + 1)) AS i FROM l)""",
+)
+def _greedy(spark, sf):
+    rows = _scored(spark, sf).select("video_id", "window", "start_ms", "end_ms", F.col("h.composite_score").alias("score"))
+    return windows.select_non_overlapping(rows)
+
+
+@query(
+    "stride_sample",
+    f"""WITH {_WINDOWS}, n AS (SELECT video_id, win, row_number() OVER (PARTITION BY video_id ORDER BY win) - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n FROM w)
+SELECT video_id, win AS "window" FROM n WHERE n <= 12 OR i IN (SELECT j * n.n // 12 FROM range(12) AS q(j))""",
+)
+def _stride(spark, sf):
+    return windows.stride_sample(windows.sliding_windows(b.cues(spark, sf), snap=False), 12).select("video_id", "window")
+
+
+def _rubric(spark, sf):
+    rows = _scored(spark, sf, snap=True)
+    seconds = (F.col("end_ms") - F.col("start_ms")) / 1000
+    made = scoring.rubric(F.col("text"), F.col("h.virality_score"), F.col("h.standalone_prob"), F.col("h.sponsor_prob"), F.col("h.category"), seconds, F.col("pacing.follows_4phase"))
+    return rows.withColumn("rubric", made)
+
+
+@query("rubric_scores")
+def _rubric_scores(spark, sf):
+    return _rubric(spark, sf).select("video_id", "window", "rubric.*")
+
+
+def _critique(spark, sf):
+    rows = _rubric(spark, sf).select("video_id", "window", "start_ms", "end_ms", F.col("rubric.average").alias("average"), F.col("h.sponsor_prob").alias("sponsor_prob"))
+    return critique.critique_select(rows)
+
+
+@query("critique_search")
+def _critique_search(spark, sf):
+    return _critique(spark, sf)
+
+
+@query("shortfall_report")
+def _shortfall(spark, sf):
+    from cuecraft.operators.corpus import shortfall_report
+
+    return shortfall_report(_critique(spark, sf), b.table(spark, sf, "documents").select(F.col("doc_id").alias("video_id")), 3)
+
+
+@query(
+    "range_suggestions",
+    """WITH v AS (SELECT o_orderkey AS video_id, CAST(floor(o_totalprice) AS BIGINT) % 900 AS n FROM orders), p AS (SELECT *, CAST(round(n / 2) AS BIGINT) AS h, CAST(least(300, round(n * 0.25::DOUBLE)) AS BIGINT) AS i FROM v),
+q AS (SELECT *, CAST(greatest(i + 60, round(n * 0.65::DOUBLE)) AS BIGINT) AS c FROM p)
+SELECT video_id, 'Full Video' AS label, 0 AS start_s, n AS end_s FROM q UNION ALL SELECT video_id, 'First Half', 0, h FROM q WHERE n BETWEEN 120 AND 419 UNION ALL SELECT video_id, 'Second Half', h, n FROM q WHERE n BETWEEN 120 AND 419
+UNION ALL SELECT video_id, 'Opening / Intro', 0, i FROM q WHERE n >= 420 UNION ALL SELECT video_id, 'Middle Section', i, c FROM q WHERE n >= 420 UNION ALL SELECT video_id, 'Climax / Ending', c, n FROM q WHERE n >= 420""",
+)
+def _ranges(spark, sf):
+    rows = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("video_id"), (F.floor("o_totalprice").cast("long") % 900).alias("seconds"))
+    return windows.range_suggestions(rows)
+
+
+@query(
+    "merge_intervals",
+    f"""WITH {b.WORDS}, p AS (SELECT video_id, greatest(0, start_ms - 60) AS s, end_ms + 60 AS e FROM words WHERE length(word) >= 9),
+q AS (SELECT *, max(e) OVER (PARTITION BY video_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM p),
+i AS (SELECT *, sum(CASE WHEN m IS NULL OR s > m + 80 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY s, e) AS k FROM q) SELECT video_id, min(s) AS start_ms, max(e) AS end_ms FROM i GROUP BY video_id, k""",
+)
+def _merge(spark, sf):
+    return intervals.merge_intervals(b.words(spark, sf).filter(F.length("word") >= 9))
+
+
+_PAIRS = f"""{b.SILENCE}, e AS (SELECT *, lag(kind) OVER w AS pk, lag(ts_ms) OVER w AS pt, lead(kind) OVER w AS nk, max(ts_ms) OVER (PARTITION BY video_id) AS total FROM silence_events WINDOW w AS (PARTITION BY video_id ORDER BY seq)),
+pairs AS (SELECT video_id, total, CASE WHEN kind = 'start' THEN ts_ms WHEN pk = 'start' THEN pt ELSE 0 END AS start_ms, CASE WHEN kind = 'end' THEN ts_ms ELSE total END AS end_ms FROM e WHERE kind = 'end' OR nk IS NULL)"""
+
+
+@query("silence_pairs", f"WITH {_PAIRS} SELECT video_id, start_ms, end_ms FROM pairs WHERE end_ms > start_ms")
+def _silence(spark, sf):
+    return intervals.silence_pairs(b.silence_events(spark, sf)).select("video_id", "start_ms", "end_ms")
+
+
+@query(
+    "keep_intervals",
+    f"""WITH {_PAIRS}, a AS (SELECT DISTINCT video_id, start_ms + 350 AS start_ms, end_ms, total FROM pairs WHERE end_ms > start_ms AND start_ms > 0), l AS (SELECT * FROM a WHERE end_ms - start_ms >= 250),
+k AS (SELECT video_id, total, coalesce(lag(greatest(least(total, start_ms + 200), end_ms - 50)) OVER (PARTITION BY video_id ORDER BY start_ms, end_ms), 0) AS s, least(total, start_ms + 200) AS e FROM l
+  UNION ALL SELECT x.video_id, x.total, coalesce(y.s, 0), x.total FROM (SELECT DISTINCT video_id, total FROM a) x LEFT JOIN (SELECT video_id, max(end_ms - 50) AS s FROM l GROUP BY 1) y USING (video_id)),
+m AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS n, max(e - s) OVER (PARTITION BY video_id) AS longest FROM k WHERE e - s >= 150) SELECT video_id, s AS start_ms, e AS end_ms FROM m WHERE NOT (n = 1 AND longest >= total - 200)""",
+)
+def _keep(spark, sf):
+    rows = intervals.silence_pairs(b.silence_events(spark, sf)).filter("start_ms > 0").withColumn("start_ms", F.col("start_ms") + 350).distinct()
+    return intervals.keep_intervals(rows)
+
+
+@query(
+    "level_spikes",
+    f"""WITH RECURSIVE {b.LEVELS}, m AS (SELECT video_id, sum(db10) / count(*) AS mean FROM levels GROUP BY 1), c AS (SELECT video_id, hop * 200 AS t FROM levels JOIN m USING (video_id) WHERE db10 > mean + 70),
+r(video_id, t) AS (SELECT video_id, min(t) FROM c GROUP BY 1 UNION ALL SELECT r.video_id, (SELECT min(c.t) FROM c WHERE c.video_id = r.video_id AND c.t >= r.t + 2200) FROM r WHERE r.t IS NOT NULL)
+SELECT video_id, t AS start_ms, t + 1200 AS end_ms FROM r WHERE t IS NOT NULL""",
+)
+def _spikes(spark, sf):
+    return intervals.level_spikes(b.levels(spark, sf))
+
+
+@query("level_peaks")
+def _peaks(spark, sf):
+    return intervals.level_peaks(b.levels(spark, sf))
+
+
+@query(
+    "change_points",
+    f"""WITH RECURSIVE {b.LEVELS}, d AS (SELECT video_id, hop * 150 AS t, db10 FROM levels), c AS (SELECT video_id, t FROM d WHERE db10 > 280),
+r(video_id, t) AS (SELECT DISTINCT video_id, 0::BIGINT FROM d UNION ALL SELECT r.video_id, (SELECT min(c.t) FROM c WHERE c.video_id = r.video_id AND c.t >= r.t + 800) FROM r WHERE r.t IS NOT NULL)
+SELECT video_id, t AS t_ms FROM r WHERE t IS NOT NULL UNION SELECT video_id, max(t) FROM d GROUP BY 1""",
+)
+def _changes(spark, sf):
+    return intervals.change_points(b.frame_diffs(spark, sf))
+
+
+@query("phrase_chunks")
+def _chunks(spark, sf):
+    return intervals.chunk_words(b.words(spark, sf))
+
+
+@query("phrase_chunks_len")
+def _chunks_len(spark, sf):
+    w = b.words(spark, sf)
+    return intervals.line_spans(w, intervals.chunk_words(w, rule="len"))
+
+
+@query("caption_events")
+def _captions(spark, sf):
+    w = b.words(spark, sf)
+    return intervals.caption_events(w, intervals.chunk_words(w))
+
+
+@query("karaoke_spans")
+def _karaoke(spark, sf):
+    w = b.words(spark, sf)
+    return intervals.karaoke_spans(w, intervals.chunk_words(w))
+
+
+@query("keyword_cues")
+def _keyword_cues(spark, sf):
+    return intervals.keyword_cues(b.words(spark, sf), ["the", "ther", "of the", "thon", "was"])
+
+
+_D = b.DETECTIONS
+
+
+@query(
+    "dominant_cluster",
+    f"""WITH {_D}, c AS (SELECT *, x + w / 2 AS cx, w * h AS area FROM detections), l AS (SELECT scene, cx AS main FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY area DESC, box, cx) AS k FROM c) WHERE k = 1)
+SELECT scene, count(*) AS n, median(cx) AS centre, min(x) AS x0, max(x + w) AS x1 FROM c JOIN l USING (scene) WHERE abs(cx - main) <= 300 GROUP BY 1""",
+)
+def _cluster(spark, sf):
+    return shots.dominant_cluster(b.detections(spark, sf))
+
+
+@query(
+    "wide_scenes",
+    f"WITH {_D}, f AS (SELECT scene, t, count(*) AS n, min(x) AS x0, max(x + w) AS x1 FROM detections GROUP BY 1, 2) SELECT scene, max(n) >= 3 OR max(x1) - min(x0) > 528 AS wide FROM f GROUP BY 1",
+)
+def _wide(spark, sf):
+    return shots.wide_scenes(b.detections(spark, sf))
+
+
+@query("motion_centroid", f"WITH {_D} SELECT scene, sum(x * w) / sum(w) AS centroid FROM detections GROUP BY 1 HAVING avg(w) >= 100")
+def _motion(spark, sf):
+    return shots.motion_centroid(b.detections(spark, sf).withColumnRenamed("w", "motion"), 100)
+
+
+@query("merge_segments")
+def _segments(spark, sf):
+    return intervals.merge_segments(b.detections(spark, sf))
+
+
+@query("damp_jumps")
+def _damp(spark, sf):
+    return intervals.damp_jumps(intervals.merge_segments(b.detections(spark, sf)))
+
+
+@query(
+    "shot_labels",
+    f"""WITH {_D}, o AS (SELECT scene, box, w, row_number() OVER (PARTITION BY scene ORDER BY box, x, w) AS k, count(*) OVER (PARTITION BY scene) AS n FROM detections)
+SELECT scene, k AS box, CASE WHEN w > 150 THEN 'wide' WHEN w % 8 <> 0 THEN 'medium close-up' ELSE 'talking head' END AS framing, CASE WHEN k = n THEN 'cut-on-action' WHEN k % 2 = 1 THEN 'L-cut' ELSE 'J-cut' END AS cut FROM o""",
+)
+def _labels(spark, sf):
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("scene").orderBy("box", "x", "w")
+    rows = b.detections(spark, sf).select("scene", F.row_number().over(own).alias("box"), (F.col("w") > 150).alias("wide"), (F.col("w") % 8).alias("faces"))
+    return shots.shot_labels(rows)
+
+
+@query(
+    "classify_hook_frameworks",
+    "WITH t AS (SELECT conv_id, turn, lower(text) AS t FROM conversations), f AS (SELECT conv_id, turn, list_filter(["
+    + ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{n}' END" for n, p in scoring.FRAMEWORKS)
+    + "], lambda x: x IS NOT NULL) AS f FROM t) SELECT conv_id, turn, CASE WHEN len(f) > 0 THEN f ELSE ['Direct Exposition'] END AS frameworks FROM f",
+)
+def _frameworks(spark, sf):
+    return b.table(spark, sf, "conversations").select("conv_id", "turn", scoring.classify_hook_frameworks(F.col("text")).alias("frameworks"))
