@@ -24,7 +24,7 @@ from .graph import components
 #: So many of the most frequent n-grams go last in the order of n-grams.
 FREQUENT = 1 << 21
 #: n-grams that a task holds before it sums up.
-HELD = 6 << 20
+HELD = 3 << 19
 #: Sets that one task multiplies at a time; a larger component is cut by size, a larger part into tiles.
 BLOCK_BYTES, TILE_BYTES = 8 << 20, 16 << 20
 #: Rows of block members (about 40 bytes) that are sent to every task; more are joined by a shuffle.
@@ -89,7 +89,7 @@ def _survey(n: int):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(set_keys(hashes, first)), none, none], names)
             held.append(hashes)
             size += len(hashes)
-            if size > HELD:
+            if size > 2 * HELD:
                 yield counted(held)
                 held, size = [], 0
         if held:
@@ -251,22 +251,23 @@ def _multiply(percent: int):
         held, size, last = [], 0, None
 
         def product() -> pa.RecordBatch:
-            keys = np.array([x[0] for x in held], np.int64)
-            sets = [np.frombuffer(x[1], np.uint64) for x in held]
+            keys, sets = np.array([x[0] for x in held], np.int64), [x[1] for x in held]
             tile = np.array([x[2] for x in held])
             links = block_links(np.array([len(x) for x in sets]), sets, tile, np.array([x[3] for x in held]), percent)
             links = np.array(links, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(keys[links[:, 0]]), pa.array(keys[links[:, 1]])], ["a", "b"])
 
         for batch in batches:
-            for row in batch.to_pylist():
+            blobs = batch.column(batch.schema.names.index("grams"))
+            for k, row in enumerate(batch.drop_columns(["grams"]).to_pylist()):
                 block = (row["root"], row["part"], row["i"], row["j"])
                 if block != last and size > BLOCK_BYTES:
                     yield product()
                     held, size = [], 0
                 last = block
-                held.append((row["key"], row["grams"], row["tile"], row["i"] != row["j"]))
-                size += len(row["grams"])
+                grams = np.frombuffer(blobs[k].as_buffer(), np.uint64)
+                held.append((row["key"], grams, row["tile"], row["i"] != row["j"]))
+                size += grams.nbytes
         if held:
             yield product()
 
