@@ -22,11 +22,11 @@ from .exact_dedup import _bit_words
 from .graph import components
 
 #: So many of the most frequent n-grams go last in the order of n-grams.
-FREQUENT = 1 << 21
+FREQUENT = 1 << 20
 #: n-grams that a task holds before it sums up.
 HELD = 3 << 19
 #: Sets that one task multiplies at a time; a larger component is cut by size, a larger part into tiles.
-BLOCK_BYTES, TILE_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, TILE_BYTES = 4 << 20, 6 << 20
 #: Rows of block members (about 40 bytes) that are sent to every task; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 FILTER_BITS = 24
@@ -76,8 +76,12 @@ def _survey(n: int):
     names = ["doc_id", "size", "key", "gram", "count"]
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        grams, count = np.unique(np.concatenate(held), return_counts=True)
-        grams, count = grams[count > 1].view(np.int64), count[count > 1]
+        grams = np.concatenate(held)
+        held.clear()
+        grams.sort()
+        edges = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1], [True]]))
+        count = np.diff(edges)
+        grams, count = grams[edges[:-1][count > 1]].view(np.int64), count[count > 1]
         none = pa.nulls(len(grams), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, none, pa.array(grams), pa.array(count.astype(np.int64))], names)
 
@@ -89,7 +93,7 @@ def _survey(n: int):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(set_keys(hashes, first)), none, none], names)
             held.append(hashes)
             size += len(hashes)
-            if size > 2 * HELD:
+            if size > 4 * HELD:
                 yield counted(held)
                 held, size = [], 0
         if held:
@@ -337,7 +341,7 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_i
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     placed = rows_of.select("key", "grams", "root", "part", "tile", other)
     placed = placed.select("root", "part", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "key", "grams", "tile")
-    placed = placed.repartition("root", "part", "i", "j").sortWithinPartitions("root", "part", "i", "j", "key")
+    placed = placed.repartition(4 * shuffle_width(spark), "root", "part", "i", "j").sortWithinPartitions("root", "part", "i", "j", "key")
     found = components(placed.mapInArrow(_multiply(percent), "a long, b long")).withColumnRenamed("node", "key")
 
     linked = found.join(classes, "key").select("key", "root", "low")

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .common import ALNUM, Hasher, Words, _quoted, mix, replaced, slices
 
 #: At most so many labelled rows, of at most so many code points each, train the model.
-TRAIN_ROWS, TRAIN_CHARS = 8000, 16384
+TRAIN_ROWS, TRAIN_CHARS = 6000, 8192
 #: Beginnings of words, in bytes, that are features beside the word itself.
 PREFIXES = (5, 6, 7, 8)
 TABLE_BITS = 18
