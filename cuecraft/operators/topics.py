@@ -19,3 +19,41 @@ def keyword_hits(words: DataFrame, keywords: list[tuple[str, str]]) -> DataFrame
     known = words.sparkSession.createDataFrame(keywords, "keyword string, niche string")
     clean = F.lower(F.regexp_replace("word", "[^a-zA-Z0-9]", ""))
     return words.withColumn("keyword", clean).join(F.broadcast(known), "keyword").select("video_id", "word_idx", "niche")
+
+
+def niche_scores(tokens: DataFrame, niches: dict[str, tuple[str, str]]) -> DataFrame:
+    """Niche of each video (video_id, token): one and the root of its count for every keyword, three gates.
+
+    The best score must be 3 at least, hold a strong keyword and exceed the second by a
+    quarter; else the video is general. Keywords are a small dictionary that is broadcast.
+    """
+    rows = [(n, k, k in strong.split()) for n, (keys, strong) in niches.items() for k in keys.split()]
+    known = F.broadcast(tokens.sparkSession.createDataFrame(rows, "niche string, token string, strong boolean"))
+    counts = tokens.join(known, "token").groupBy("video_id", "niche", "token", "strong").agg(F.count(F.lit(1)).alias("n"))
+    scores = counts.groupBy("video_id", "niche").agg(F.round(F.sum(1 + F.sqrt("n")), 6).alias("score"), F.sum(F.when(F.col("strong"), F.col("n")).otherwise(0)).alias("strong"))
+    best = scores.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "niche", "strong"))).alias("r"))  # a row per niche
+    top, second = F.get("r", F.lit(0)), F.coalesce(-F.get("r", F.lit(1))["s"], F.lit(0.0))
+    passed = (-top["s"] >= 3) & (top["strong"] >= 1) & (-top["s"] >= 1.25 * second)
+    return best.select("video_id", F.when(passed, top["niche"]).otherwise("general").alias("niche"), (-top["s"]).alias("score"), second.alias("second"))
+
+
+def topic_phrases(rows: DataFrame, limit: int = 8, keep: int = 200) -> DataFrame:
+    """Topics (video_id, topics) of token arrays (video_id, tokens): words by the root of their count, repeated pairs more.
+
+    Counts are groups over (video, phrase); the ``keep`` best phrases of a video, more than
+    the limit can reach past overlaps, go to a fold that drops phrases of the same subject.
+    """
+    from cuecraft.functions.text import is_topic_token
+
+    usable = F.transform("tokens", lambda t: F.when(is_topic_token(t), t))
+    rows = rows.withColumn("u", usable)
+    singles = rows.select("video_id", F.explode("u").alias("phrase")).filter("phrase IS NOT NULL").groupBy("video_id", "phrase").agg(F.sqrt(F.count(F.lit(1))).alias("score"))
+    pair = F.transform("u", lambda t, k: F.when(t.isNotNull() & F.get("u", k + 1).isNotNull() & (t != F.get("u", k + 1)), F.concat_ws(" ", t, F.get("u", k + 1))))
+    pairs = rows.select("video_id", F.explode(pair).alias("phrase")).filter("phrase IS NOT NULL").groupBy("video_id", "phrase").agg(F.when(F.count(F.lit(1)) >= 2, 1.5).otherwise(0.4).alias("score"))
+    ranked = singles.unionByName(pairs).filter("score >= 0.9").withColumn("r", F.struct((-F.col("score")).alias("s"), F.length("phrase").alias("n"), "phrase"))
+    best = ranked.groupBy("video_id").agg(F.slice(F.array_sort(F.collect_list("r")), 1, keep).alias("r"))
+    none = F.expr("cast(array() AS array<string>)")
+    same = lambda x, y: (x == y) | ((F.length(x) > 2) & (F.length(y) > 2) & (F.startswith(x, y) | F.startswith(y, x)))
+    clash = lambda a, b: F.exists(F.split(a, " "), lambda x: F.exists(F.split(b, " "), lambda y: same(x, y)))
+    take = lambda done, x: F.when((F.size(done) >= limit) | F.exists(done, lambda d: clash(d, x["phrase"])), done).otherwise(F.concat(done, F.array(x["phrase"])))
+    return best.select("video_id", F.aggregate("r", none, take).alias("topics"))

@@ -1 +1,127 @@
-"""Queries."""
+"""Queries of update jobs, scoring by answers, the publication log and its streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cuecraft.operators import answers, corpus
+from cuecraft.plans import bindings as b
+from cuecraft.plans.registry import query
+from cuecraft.sources import captions, publog
+from cuecraft.streaming import jobs
+
+_CONTEXT = "x AS (SELECT video_id, arg_max(niche, clip_id) AS context FROM clips WHERE clip_id % 3 = 0 GROUP BY 1)"
+_PLAN = f"""{b.CLIPS}, {_CONTEXT}, p AS (SELECT clip_id, CASE WHEN source = 'full_transcript' THEN 'untouched' WHEN context IS NULL THEN 'no_context' WHEN niche = context THEN 'unchanged'
+  WHEN source = 'unknown' THEN 'kept_niche' ELSE 'updated' END AS outcome, niche FROM clips LEFT JOIN x USING (video_id))"""
+
+
+def _contexts(rows):
+    return rows.filter("clip_id % 3 = 0").groupBy("video_id").agg(F.max_by("niche", "clip_id").alias("niche"))
+
+
+@query("backfill_titles", f"WITH {_PLAN} SELECT clip_id, outcome, niche FROM p")
+def _backfill(spark, sf):
+    rows = b.clips(spark, sf)
+    return corpus.backfill_plan(rows, _contexts(rows)).select("clip_id", "outcome", "niche")
+
+
+@query("backfill_summary", f"WITH {_PLAN} SELECT outcome, count(*) AS n FROM p GROUP BY 1")
+def _summary(spark, sf):
+    rows = b.clips(spark, sf)
+    return corpus.outcome_summary(corpus.backfill_plan(rows, _contexts(rows)))
+
+
+@query("reconcile_context", f"WITH {b.CLIPS}, {_CONTEXT} SELECT clip_id, CASE WHEN source = 'full_transcript' OR context IS NULL THEN niche ELSE context END AS niche, coalesce(context || '!', '') AS topic FROM clips LEFT JOIN x USING (video_id)")
+def _reconcile(spark, sf):
+    rows = b.clips(spark, sf)
+    contexts = _contexts(rows).withColumn("topic", F.concat("niche", F.lit("!")))
+    return corpus.reconcile_plan(rows, contexts).select("clip_id", "niche", "topic")
+
+
+@query("retitle_stale", f"WITH {b.CLIPS} SELECT clip_id, title FROM clips WHERE title IS NULL OR len(regexp_extract_all(title, '[A-Za-z]+')) < 3 OR contains(lower(title), 'ther')")
+def _stale(spark, sf):
+    few = F.size(F.regexp_extract_all("title", F.lit("[A-Za-z]+"), F.lit(0))) < 3
+    return b.clips(spark, sf).filter(F.col("title").isNull() | few | F.contains(F.lower("title"), F.lit("ther"))).select("clip_id", "title")
+
+
+@query("timing_guard", f"WITH {b.CLIPS}, t AS (SELECT clip_id, CASE WHEN clip_id % 4 > 0 THEN start_ms END AS a, CASE WHEN clip_id % 8 > 0 THEN start_ms END AS s, CASE WHEN clip_id % 9 > 0 THEN end_ms ELSE 0 END AS e FROM clips) SELECT clip_id, coalesce(a, s) AS from_time, CASE WHEN coalesce(a, s) IS NULL THEN 'no_start' WHEN e <= coalesce(a, s) THEN 'bad_range' END AS reject_reason FROM t")
+def _guard(spark, sf):
+    k = F.col("clip_id")
+    rows = b.clips(spark, sf).select("clip_id", F.when(k % 4 > 0, F.col("start_ms")).alias("start_time"), F.when(k % 8 > 0, F.col("start_ms")).alias("start"), F.when(k % 9 > 0, F.col("end_ms")).otherwise(0).alias("end_time"))
+    return corpus.timing_guard(rows).select("clip_id", "from_time", "reject_reason")
+
+
+@query("fresh_skip", "SELECT event_id FROM events WHERE epoch(TIMESTAMP '2024-01-02 00:00:00') - floor(epoch(ts)) >= 1800")
+def _fresh(spark, sf):
+    rows = b.table(spark, sf, "events").select("event_id", F.col("ts").alias("rendered_at"))
+    return corpus.fresh_skip(rows, F.lit("2024-01-02 00:00:00").cast("timestamp")).select("event_id")
+
+
+_ANSWERS = """w AS (SELECT o_custkey AS video_id, o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) % 31 / 10.0::DOUBLE AS fallback, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 31 / 10.0::DOUBLE END AS answer FROM orders),
+p AS (SELECT *, (row_number() OVER (PARTITION BY video_id ORDER BY k) - 1) // 5 AS pack FROM w), q AS (SELECT *, count(*) FILTER (answer IS NULL) OVER (PARTITION BY video_id, pack) AS missing FROM p)"""
+
+
+@query("answers_join", f"""WITH {_ANSWERS} SELECT video_id, k AS "window", pack, CASE WHEN missing = 0 THEN answer ELSE fallback END AS virality, CASE WHEN missing = 0 THEN 'model' ELSE 'local_heuristic' END AS score_source, missing > 0 AS score_failed FROM q""")
+def _answers(spark, sf):
+    o, k = b.table(spark, sf, "orders"), F.col("o_orderkey")
+    windows = o.select(F.col("o_custkey").alias("video_id"), k.alias("window"), (F.floor("o_totalprice").cast("long") % 31 / 10.0).alias("fallback"))
+    return answers.answers_join(windows, o.select(F.col("o_custkey").alias("video_id"), k.alias("window"), F.when(k % 13 != 0, k % 31 / 10.0).alias("virality")))
+
+
+@query("score_windows")
+def _score(spark, sf):
+    def scorer(batches):
+        for rows in batches:
+            yield rows[["video_id", "window"]].assign(virality=(rows["text"].str.len() % 31) / 10)
+
+    rows = b.cues(spark, sf).select("video_id", F.col("cue_idx").cast("long").alias("window"), "text", F.lit(1.0).alias("fallback"))
+    return answers.score_windows(rows, scorer)
+
+
+@query("upload_plan", f"""WITH {b.CLIPS} SELECT clip_id, platform, CASE platform WHEN 'youtube' THEN 'native' WHEN 'tiktok' THEN 'aggregator' ELSE 'rejected' END AS route, substr(title, 1, 100) AS title, [niche, 'fyp'] AS tags,
+CASE WHEN clip_id % 2 = 0 THEN 'private' ELSE 'public' END AS privacy FROM clips, (VALUES ('youtube'), ('tiktok'), ('fax')) AS p(platform)""")
+def _plan(spark, sf):
+    rows = b.clips(spark, sf).select("clip_id", "title", F.array(F.concat(F.lit("#"), "niche"), F.lit("#fyp")).alias("tags"), (F.col("clip_id") % 2 == 0).alias("scheduled"))
+    return answers.upload_plan(rows, ["youtube", "tiktok", "fax"])
+
+
+_LOG = f"{b.CLIPS}, l AS (SELECT clip_id, source, niche, title, TIMESTAMP '2024-01-01' + to_seconds(clip_id * 37 % 86400) AS published_at FROM clips)"
+
+
+def _log(spark, sf):
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("clip_id") * 37 % 86400)
+    return b.clips(spark, sf).select("clip_id", "source", "niche", "title", at.alias("published_at"))
+
+
+@query("publication_record", f"WITH {_LOG} SELECT clip_id, source, niche, title, published_at FROM l WHERE title <> ''")
+def _record(spark, sf):
+    return publog.round_trip(_log(spark, sf).filter("title <> ''"))
+
+
+@query("L1_publog_stream", f"WITH {_LOG}, d AS (SELECT niche, source, title, min(published_at) AS t FROM l GROUP BY 1, 2, 3) SELECT time_bucket(INTERVAL 1 HOUR, t) AS window_start, niche, source, count(*) AS n FROM d GROUP BY 1, 2, 3")
+def _l1(spark, sf):
+    return jobs.publications_per_window(_log(spark, sf))
+
+
+@query("L2_stuck_jobs", f"WITH {b.JOBS}, l AS (SELECT job_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS ts FROM job_events GROUP BY 1), n AS (SELECT max(ts) AS now FROM job_events) SELECT job_id, CASE WHEN status = 'running' AND epoch(now) - epoch(ts) > 7200 THEN 'failed' ELSE status END AS status FROM l, n WHERE NOT (status <> 'running' AND epoch(now) - epoch(ts) > 3600)")
+def _l2(spark, sf):
+    return jobs.stuck_jobs(b.job_events(spark, sf))
+
+
+@query("L3_cue_windows")
+def _l3(spark, sf):
+    return jobs.cue_windows(b.cues(spark, sf).withColumn("ts", F.timestamp_millis("start_ms")))
+
+
+@query("L4_session_phrases", f"WITH {b.WORDS}, g AS (SELECT *, CASE WHEN start_ms - lag(start_ms) OVER (PARTITION BY video_id ORDER BY word_idx) < 900 THEN 0 ELSE 1 END AS n FROM words), s AS (SELECT *, sum(n) OVER (PARTITION BY video_id ORDER BY word_idx) AS k FROM g) SELECT video_id, min(start_ms) AS start_ms, count(*) AS words FROM s GROUP BY video_id, k")
+def _l4(spark, sf):
+    return jobs.speech_sessions(b.words(spark, sf).withColumn("ts", F.timestamp_millis("start_ms")))
+
+
+def _files(spark, sf, kind):
+    return captions.as_files(b.cues(spark, sf).filter("start_ms < 360000000"), kind)
+
+
+_BACK = f"WITH {b.CUES} SELECT video_id, start_ms, dur_ms, trim(regexp_replace(text, '[ \\n]+', ' ', 'g')) AS text FROM cues"
+for _kind in ("json3", "vtt", "xml", "auto"):
+    query(f"src_caption_{_kind}", _BACK)(lambda spark, sf, k=_kind: captions.read(_files(spark, sf, k)).select("video_id", "start_ms", "dur_ms", "text"))

@@ -1 +1,214 @@
-"""Queries."""
+"""Queries of text, topics, titles and tags."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cuecraft import dicts
+from cuecraft.functions import text as X
+from cuecraft.operators import titles, topics
+from cuecraft.plans import bindings as b
+from cuecraft.plans.registry import query
+
+
+def _docs(spark, sf):
+    return b.table(spark, sf, "documents").select(F.col("doc_id").alias("video_id"), "text")
+
+
+def _one(name, column, sql=None):
+    """A query that applies one column function to every document."""
+
+    @query(name, sql)
+    def run(spark, sf):
+        return _docs(spark, sf).select("video_id", column(F.col("text")).alias("value"))
+
+
+_one("clean_caption", lambda t: F.sha2(X.clean_caption(t), 256))
+_one("clean_tokens", lambda t: F.size(X.clean_tokens(t)))
+_one("strip_markers", lambda t: F.sha2(X.strip_markers(t), 256), r"SELECT doc_id AS video_id, sha256(trim(regexp_replace(regexp_replace(text, '\[[^\]]*\]|\([^)]*\)', ' ', 'g'), '\s+', ' ', 'g'))) AS value FROM documents")
+_one("extract_hook", X.extract_hook)
+_one("punchy_quote", X.punchy_quote)
+_one("title_rotation", X.title_rotation)
+_one("validate_title", lambda t: X.validate_title(F.substring(t, 1, 60))["reason"])
+_one("filler_hits", lambda t: F.size(X.filler_hits(F.substring(t, 1, 200))))
+_one("sanitize_phrase", lambda t: X.sanitize_phrase(F.substring(t, 1, 80)))
+
+
+def _word_query(name, column, sql):
+    @query(name, f"WITH {b.WORDS} SELECT video_id, word_idx, {sql} AS value FROM words")
+    def run(spark, sf):
+        return b.words(spark, sf).select("video_id", "word_idx", column(F.col("word")).alias("value"))
+
+
+_word_query("profane", lambda w: X.is_profane(w, ["the", "der"]), "lower(regexp_replace(word, '[^\\p{L}\\p{N}_]', '', 'g')) IN ('the', 'der')")
+_word_query("keyword_class", X.keyword_class, "CASE WHEN regexp_matches(word, '^\\d') THEN 'number' WHEN regexp_matches(word, '^[A-Z]{3,}$') THEN 'shout' WHEN regexp_matches(word, '(?i)^(why|how|what)$') THEN 'question' WHEN regexp_matches(word, '^.{9,}$') THEN 'long' END")
+_word_query("cap_phrase", X.cap_phrase, "upper(substr(word, 1, 1)) || lower(substr(word, 2))")
+_word_query("emoji_for", lambda w: F.element_at(F.create_map(*[F.lit(x) for kv in dicts.EMOJI.items() for x in kv]), F.lower(F.regexp_replace(w, "[^a-zA-Z0-9]", ""))),
+            "CASE lower(regexp_replace(word, '[^a-zA-Z0-9]', '', 'g')) WHEN 'fire' THEN 'F' WHEN 'money' THEN 'M' WHEN 'the' THEN 'T' WHEN 'and' THEN 'A' END")
+
+
+@query("mask_profane")
+def _mask(spark, sf):
+    return b.words(spark, sf).select("video_id", "word_idx", X.mask_profane(F.col("word"), ["the", "der"]).alias("value"))
+
+
+@query("is_reaction")
+def _reaction(spark, sf):
+    return b.words(spark, sf).select("video_id", "word_idx", X.is_reaction(F.lower("word")).alias("value"))
+
+
+@query("is_topic_token")
+def _topic_token(spark, sf):
+    w = F.lower("word")
+    return b.words(spark, sf).select("video_id", "word_idx", X.is_topic_token(w).alias("topic"), X.is_niche_token(w).alias("niche"))
+
+
+@query("is_usable_topic")
+def _usable(spark, sf):
+    return b.words(spark, sf).select("video_id", "word_idx", X.is_usable_topic(F.col("word")).alias("value"))
+
+
+@query("tag_slug", r"SELECT page_id, trim(regexp_replace(lower(strip_accents(t)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM (SELECT page_id, regexp_extract(html, '<title>([^<|/@.]*)', 1) AS t FROM pages) WHERE regexp_matches(t, '[a-z]') AND NOT regexp_matches(t, '[ßæøœ]')")
+def _slug(spark, sf):
+    t = F.regexp_extract("html", "<title>([^<|/@.]*)", 1)
+    rows = b.table(spark, sf, "pages").select("page_id", t.alias("t")).filter(F.col("t").rlike("[a-z]") & ~F.col("t").rlike("[ßæøœ]"))
+    return rows.select("page_id", X.tag_slug(F.col("t")).alias("slug"))
+
+
+@query("title_case_topic", "SELECT o_orderkey, array_to_string(list_transform(string_split(lower(o_orderpriority || ' of the order'), ' '), lambda w, k: CASE WHEN k > 1 AND w IN ('a', 'an', 'and', 'of', 'the', 'to', 'in') THEN w ELSE upper(w[1]) || w[2:] END), ' ') AS value FROM orders")
+def _case(spark, sf):
+    return b.table(spark, sf, "orders").select("o_orderkey", X.title_case(F.lower(F.concat("o_orderpriority", F.lit(" of the order")))).alias("value"))
+
+
+def _tokens(spark, sf):
+    return _docs(spark, sf).select("video_id", X.clean_tokens(F.col("text")).alias("tokens"))
+
+
+@query("niche_score")
+def _niche(spark, sf):
+    return topics.niche_scores(_tokens(spark, sf).select("video_id", F.explode("tokens").alias("token")), dicts.NICHES)
+
+
+@query("niche_density", rf"""WITH t AS (SELECT DISTINCT doc_id AS video_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents), d(niche, token) AS (VALUES {', '.join(f"('{n}', '{k}')" for n, (keys, _) in dicts.NICHES.items() for k in keys.split())}),
+s AS (SELECT video_id, niche, 2 * count(*) AS score FROM t JOIN d USING (token) GROUP BY 1, 2) SELECT video_id, niche, score FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, niche) AS k FROM s) WHERE k = 1""")
+def _density(spark, sf):
+    known = F.broadcast(spark.createDataFrame([(n, k) for n, (keys, _) in dicts.NICHES.items() for k in keys.split()], "niche string, token string"))
+    seen = _docs(spark, sf).select("video_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("token"))
+    scores = seen.join(known, "token").groupBy("video_id", "niche").agg((2 * F.count(F.lit(1))).alias("score"))
+    best = scores.groupBy("video_id").agg(F.min_by(F.struct("niche", "score"), F.struct(-F.col("score"), "niche")).alias("s"))
+    return best.select("video_id", "s.niche", "s.score")
+
+
+def _contexts(spark, sf):
+    mined = topics.topic_phrases(_tokens(spark, sf))
+    niche = topics.niche_scores(_tokens(spark, sf).select("video_id", F.explode("tokens").alias("token")), dicts.NICHES)
+    return mined.join(niche.select("video_id", "niche"), "video_id", "left").withColumn("niche", F.coalesce("niche", F.lit("general")))
+
+
+@query("topic_phrases")
+def _phrases(spark, sf):
+    return topics.topic_phrases(_tokens(spark, sf))
+
+
+@query("video_context")
+def _context(spark, sf):
+    return _contexts(spark, sf)
+
+
+def _clips(spark, sf):
+    rows = _docs(spark, sf).withColumnRenamed("video_id", "clip_id").join(_contexts(spark, sf).withColumnRenamed("video_id", "clip_id"), "clip_id")
+    return rows.withColumn("topics", X.select_topics(F.col("topics"), F.array(F.lit("ther")))).filter(F.size("topics") > 0)
+
+
+@query("clip_topics")
+def _clip_topics(spark, sf):
+    return _clips(spark, sf).select("clip_id", F.slice("topics", 1, 4).alias("topics"))
+
+
+@query("merge_topics")
+def _merge(spark, sf):
+    return _clips(spark, sf).select("clip_id", X.merge_topics(F.slice("topics", 2, 3), F.col("topics")).alias("topics"))
+
+
+@query("master_titles")
+def _master(spark, sf):
+    return titles.master_titles(_clips(spark, sf))
+
+
+@query("rank_local")
+def _rank(spark, sf):
+    clips = _clips(spark, sf)
+    return titles.rank_titles(titles.master_titles(clips), clips)
+
+
+@query("short_title")
+def _short(spark, sf):
+    return titles.short_title(titles.master_titles(_clips(spark, sf)))
+
+
+@query("accept_model_pick")
+def _pick(spark, sf):
+    clips = _clips(spark, sf)
+    made = titles.master_titles(clips)
+    k = F.col("clip_id")
+    answers = clips.select("clip_id", (k % 5).cast("int").alias("slot"), (k % 10 / 10).alias("confidence"), (k % 7 / 10).alias("clickbait"), (k % 9 / 10).alias("visual"))
+    return titles.accept_model_pick(titles.rank_titles(made, clips), made, answers)
+
+
+def _tags():
+    every = F.create_map(*[x for n, tags in dicts.NICHE_TAGS.items() for x in (F.lit(n), F.array(*map(F.lit, tags)))])
+    return X.hashtags(F.col("topics"), F.element_at(every, F.col("niche")))
+
+
+@query("hashtags")
+def _hashtags(spark, sf):
+    return _clips(spark, sf).select("clip_id", _tags().alias("tags"))
+
+
+@query("metadata_tags")
+def _meta_tags(spark, sf):
+    return _clips(spark, sf).select("clip_id", X.metadata_tags(_tags(), F.col("topics"), F.col("niche")).alias("tags"))
+
+
+@query("smart_meta")
+def _smart(spark, sf):
+    clips = _clips(spark, sf)
+    best = titles.rank_titles(titles.master_titles(clips), clips).select("clip_id", "title", "score")
+    rows = clips.join(best, "clip_id").withColumn("tags", _tags())
+    told = lambda p: X.build_description(F.col("title"), X.extract_hook(F.col("text")), F.col("topics"), F.col("tags"), F.lit(p))
+    return rows.select("clip_id", "niche", "title", "score", "tags", X.metadata_tags(F.col("tags"), F.col("topics"), F.col("niche")).alias("metadata_tags"), *[told(p).alias(p) for p in ("youtube", "tiktok", "instagram")])
+
+
+@query("quality_metrics")
+def _quality(spark, sf):
+    clips = _clips(spark, sf)
+    made = titles.master_titles(clips)
+    each = made.groupBy("clip_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_distinct("framework").alias("frameworks"))
+    best = titles.rank_titles(made, clips).join(each, "clip_id")
+    return best.agg(F.count(F.lit(1)).alias("clips"), F.round(F.count_distinct("title") / F.count(F.lit(1)), 4).alias("distinct_ratio"), F.max(F.length("title")).alias("longest"), F.count_if(F.col("candidates") >= 3).alias("three_or_more"), F.count_if(F.col("frameworks") >= 2).alias("two_frameworks"))
+
+
+_FRAMES = " UNION ALL ".join(f"SELECT channel_id, '{n}' AS frame FROM channel_videos WHERE regexp_matches(title, '{p}')" for n, p in dicts.FRAMES)
+
+
+@query("frame_usage", f"WITH {b.CHANNEL}, f AS ({_FRAMES}), c AS (SELECT channel_id, frame, count(*) AS n FROM f GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY n DESC, frame) AS place FROM c")
+def _frames(spark, sf):
+    return titles.frame_usage(b.channel_videos(spark, sf))
+
+
+_SUBJECTS = "w AS (SELECT channel_id, video_id AS pos, unnest(regexp_extract_all(title, '[A-Za-z]{4,}')) AS word FROM channel_videos), s AS (SELECT channel_id, lower(word) AS subject, count(*) AS n, arg_min(word, pos) AS shown FROM w GROUP BY 1, 2)"
+
+
+@query("subject_freq", f"WITH {b.CHANNEL}, {_SUBJECTS} SELECT channel_id, subject, n, shown FROM s")
+def _subjects(spark, sf):
+    return titles.subject_freq(b.channel_videos(spark, sf).withColumnRenamed("video_id", "pos"))
+
+
+@query(
+    "idea_blueprints",
+    f"""WITH {b.CHANNEL}, {_SUBJECTS}, f AS ({_FRAMES}), c AS (SELECT channel_id, frame, count(*) AS n FROM f GROUP BY 1, 2), u AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY n DESC, frame) AS place FROM c),
+p AS (SELECT channel_id, (list(subject ORDER BY n DESC, subject))[1:8] AS pool FROM s GROUP BY 1) SELECT channel_id, place, frame, pool[(place - 1) % len(pool) + 1] AS subject FROM u JOIN p USING (channel_id) WHERE place <= 8""",
+)
+def _ideas(spark, sf):
+    rows = b.channel_videos(spark, sf)
+    return titles.idea_blueprints(titles.subject_freq(rows.withColumnRenamed("video_id", "pos")), titles.frame_usage(rows))
