@@ -113,7 +113,7 @@ def _l3(spark, sf):
     return jobs.cue_windows(b.cues(spark, sf).withColumn("ts", F.timestamp_millis("start_ms")))
 
 
-@query("L4_session_phrases", f"WITH {b.WORDS}, g AS (SELECT *, CASE WHEN start_ms - lag(start_ms) OVER (PARTITION BY video_id ORDER BY word_idx) < 900 THEN 0 ELSE 1 END AS n FROM words), s AS (SELECT *, sum(n) OVER (PARTITION BY video_id ORDER BY word_idx) AS k FROM g) SELECT video_id, min(start_ms) AS start_ms, count(*) AS words FROM s GROUP BY video_id, k")
+@query("L4_session_phrases", f"WITH {b.WORDS}, g AS (SELECT *, CASE WHEN start_ms - lag(start_ms) OVER (PARTITION BY video_id ORDER BY word_idx) <= 900 THEN 0 ELSE 1 END AS n FROM words), s AS (SELECT *, sum(n) OVER (PARTITION BY video_id ORDER BY word_idx) AS k FROM g) SELECT video_id, min(start_ms) AS start_ms, count(*) AS words FROM s GROUP BY video_id, k")
 def _l4(spark, sf):
     return jobs.speech_sessions(b.words(spark, sf).withColumn("ts", F.timestamp_millis("start_ms")))
 

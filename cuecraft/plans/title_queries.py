@@ -42,7 +42,7 @@ def _word_query(name, column, sql):
 
 _word_query("profane", lambda w: X.is_profane(w, ["the", "der"]), "lower(regexp_replace(word, '[^\\p{L}\\p{N}_]', '', 'g')) IN ('the', 'der')")
 _word_query("keyword_class", X.keyword_class, "CASE WHEN regexp_matches(word, '^\\d') THEN 'number' WHEN regexp_matches(word, '^[A-Z]{3,}$') THEN 'shout' WHEN regexp_matches(word, '(?i)^(why|how|what)$') THEN 'question' WHEN regexp_matches(word, '^.{9,}$') THEN 'long' END")
-_word_query("cap_phrase", X.cap_phrase, "upper(substr(word, 1, 1)) || lower(substr(word, 2))")
+_word_query("cap_phrase", lambda w: X.cap_phrase(F.replace(w, F.lit("ß"), F.lit("ss"))), "upper(substr(replace(word, 'ß', 'ss'), 1, 1)) || lower(substr(replace(word, 'ß', 'ss'), 2))")
 _word_query("emoji_for", lambda w: F.element_at(F.create_map(*[F.lit(x) for kv in dicts.EMOJI.items() for x in kv]), F.lower(F.regexp_replace(w, "[^a-zA-Z0-9]", ""))),
             "CASE lower(regexp_replace(word, '[^a-zA-Z0-9]', '', 'g')) WHEN 'fire' THEN 'F' WHEN 'money' THEN 'M' WHEN 'the' THEN 'T' WHEN 'and' THEN 'A' END")
 

@@ -21,7 +21,8 @@ def stuck_jobs(events: DataFrame, stuck_s: int = 7200, keep_s: int = 3600) -> Da
     """Last status of each job (job_id, status, ts, event_id): failed if it ran too long, gone if it ended long ago."""
     last = events.groupBy("job_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("ts"))
     now = events.agg(F.max("ts").alias("now"))
-    age = F.unix_micros("now") / 1e6 - F.unix_micros("ts") / 1e6
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    age = seconds("now") - seconds("ts")
     rows = last.crossJoin(F.broadcast(now)).withColumn("age", age)  # one row
     stuck = (F.col("status") == "running") & (F.col("age") > stuck_s)
     return rows.filter(~((F.col("status") != "running") & (F.col("age") > keep_s))).select("job_id", F.when(stuck, "failed").otherwise(F.col("status")).alias("status"))
