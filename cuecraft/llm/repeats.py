@@ -252,8 +252,10 @@ def _counted(only: DataFrame, crowded: DataFrame, length: int, gram: int) -> Dat
 
     rows = only.mapInArrow(windows, "gram long, around long, shift int, window long").distinct()
     rows = materialise(rows.join(crowded.select("gram", "around"), ["gram", "around"], "left_semi"), "windows")
-    twice = rows.groupBy("window").count().filter("count > 1").select("window")
-    return rows.join(twice, "window").groupBy("gram", "around").agg((-F.min("shift")).alias("left"), (F.max("shift") + length).alias("right"))
+    # equal windows have their anchor at one place, so one occurrence is not counted again for its other anchors
+    place = ["gram", "shift", "window"]
+    twice = rows.groupBy(*place).count().filter("count > 1").select(*place)
+    return rows.join(twice, place).groupBy("gram", "around").agg((-F.min("shift")).alias("left"), (F.max("shift") + length).alias("right"))
 
 
 def _cutter(text_col: str):
