@@ -107,6 +107,63 @@ def _classes_of_size(size: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(np.maximum(size, 1)) / (np.log(100 / percent) * (1 + 1e-9))).astype(np.int64)
 
 
+def _ordered(batch: pa.RecordBatch, n: int, order) -> tuple[np.ndarray, ...]:
+    """n-grams of each set, rare ones first, with owner, size and key of the sets and each n-gram's rank."""
+    frequent, count = order.value
+    hashes, owner, first = gram_sets(Words(batch.column(1)), n)
+    key, size = set_keys(hashes, first), np.diff(first)
+    weight = np.zeros(len(hashes), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        weight = np.where(frequent[at] == hashes, count[at], 0)
+    hashes = hashes[np.lexsort((hashes, weight, owner))]
+    return hashes, owner, size, key, np.arange(len(hashes)) - np.repeat(first[:-1], size)
+
+
+def _shared(n: int, percent: int, order, blocks: int):
+    """Prefix n-grams by column block, each with one set that has it and whether the task saw another."""
+
+    def summed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        gram, key = (np.concatenate(x) for x in zip(*held, strict=True))
+        at = np.lexsort((key, gram))
+        gram, key = gram[at], key[at]
+        lead = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        several = key[lead] != key[np.append(lead[1:], len(key)) - 1]
+        gram, key = gram[lead], key[lead]
+        block = (gram % np.uint64(blocks)).astype(np.int64)
+        at = np.argsort(block, kind="stable")
+        cuts = np.searchsorted(block[at], np.arange(blocks + 1))
+        for k in range(blocks):
+            own = at[cuts[k] : cuts[k + 1]]
+            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (gram[own], key[own], several[own])]
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *blobs], ["block", "grams", "keys", "several"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in slices(batches, "text"):
+            hashes, owner, size, key, rank = _ordered(batch, n, order)
+            take = rank < _prefix(size, percent)[owner]
+            held.append((hashes[take], key[owner[take]]))
+            total += len(held[-1][0])
+            if total > HELD:
+                yield from summed(held)
+                held, total = [], 0
+        if total:
+            yield from summed(held)
+
+    return run, "block int, grams binary, keys binary, several binary"
+
+
+def _shared_block(table: pa.Table) -> pa.Table:
+    """n-grams of the block that two sets or more have."""
+    kinds = {"grams": np.uint64, "keys": np.int64, "several": bool}
+    gram, key, several = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table[c]]) for c, t in kinds.items())
+    at = np.lexsort((key, gram))
+    gram, key, several = gram[at], key[at], several[at]
+    again = np.flatnonzero((gram[1:] == gram[:-1]) & (key[1:] != key[:-1])) + 1
+    return pa.table({"gram": np.unique(np.concatenate([gram[again], gram[several]])).view(np.int64)})
+
+
 def _meetings(n: int, percent: int, order, blocks: int):
     """Where sets may meet, by column block: prefix n-grams with a class of sizes.
 
@@ -141,18 +198,9 @@ def _meetings(n: int, percent: int, order, blocks: int):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in blobs]], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, count = order.value
         held, total = [], 0
         for batch in slices(batches, "text"):
-            hashes, owner, first = gram_sets(Words(batch.column(1)), n)
-            key, size = set_keys(hashes, first), np.diff(first)
-            if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-                weight = np.where(frequent[at] == hashes, count[at], 0)
-            else:
-                weight = np.zeros(len(hashes), np.int64)
-            hashes = hashes[np.lexsort((hashes, weight, owner))]
-            rank = np.arange(len(hashes)) - np.repeat(first[:-1], size)
+            hashes, owner, size, key, rank = _ordered(batch, n, order)
             short = rank < (size - _ceil(2 * percent * size, 100 + percent) + 1)[owner]
             kind = _classes_of_size(size, percent)[owner].astype(np.uint64)
             step = np.uint64(0x9E3779B97F4A7C15)
@@ -286,8 +334,8 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_i
     when 100 * intersection >= percent * union.
 
     Equal sets are one row of the matrix, whatever their number. n-grams are ordered by how
-    often they occur (FREQUENT of them exactly, the rest as rare), so a common passage is in
-    no prefix of a text with anything else. Meetings are folded per task to one row for each
+    often they occur (at most FREQUENT by their counts and as many that are merely shared, the
+    rest as rare), so a common passage is in no prefix of a text with enough else. Meetings are folded per task to one row for each
     n-gram, components of them give the blocks, and a block of more than BLOCK_BYTES is cut by
     classes of sizes, and further into tiles that are multiplied pair by pair. Only links that join
     something leave a task.
@@ -301,10 +349,18 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_i
     survey = materialise(texts.mapInArrow(*_survey(n)), "survey")
     rows = survey.filter("key IS NOT NULL").select("doc_id", "size", "key")
     top = survey.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT).toArrow()
-    grams = top["gram"].to_numpy().view(np.uint64)
-    at = np.argsort(grams)
-    order = spark.sparkContext.broadcast((grams[at], top["n"].to_numpy()[at]))
-
+    grams, count = top["gram"].to_numpy().view(np.uint64), top["n"].to_numpy()
+
+    def ordered() -> object:
+        at = np.argsort(grams)
+        return spark.sparkContext.broadcast((grams[at], count[at]))
+
+    # n-grams that tasks met only once each but that sets share go behind those that none share
+    run, schema = _shared(n, percent, ordered(), shuffle_width(spark))
+    met = texts.mapInArrow(run, schema).groupBy("block").applyInArrow(_shared_block, "gram long").limit(FREQUENT).toArrow()["gram"].to_numpy().view(np.uint64)
+    met = np.setdiff1d(met, grams)
+    grams, count = np.concatenate([grams, met]), np.concatenate([count, np.ones(len(met), np.int64)])
+    order = ordered()
     run, schema = _meetings(n, percent, order, shuffle_width(spark))
     meetings = texts.mapInArrow(run, schema)
     nodes = materialise(components(meetings.groupBy("block").applyInArrow(_join_block, "a long, b long")), "blocks")
