@@ -314,13 +314,9 @@ def train(runs: list[str], layouts: int = LAYOUTS, seed: int = 5) -> Trees:
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", rows: int = SAMPLE_PAGES) -> Trees:
     """Trees trained with the text runs of at most ``rows`` pages, taken by hash."""
-    picked = (
-        pages.select(_quoted(id_col).alias("id"), _quoted(html_col).alias("html"))
-        .filter(F.length("html") <= SAMPLE_CHARS)
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(rows)
-        .collect()
-    )
+    short = pages.select(_quoted(id_col).alias("id"), _quoted(html_col).alias("html")).filter(F.length("html") <= SAMPLE_CHARS)
+    ids = short.select("id").orderBy(F.xxhash64("id"), "id").limit(rows)  # ids alone are sorted, then their pages read
+    picked = short.join(F.broadcast(ids.distinct()), "id").orderBy("id").limit(rows).select("html").collect()
     return train([run for row in picked for run in Page(row["html"]).runs])
 
 
