@@ -10,7 +10,7 @@ from array import array
 import numpy as np
 
 #: Pieces remembered by one Python worker; once full, further pieces are encoded each time.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 
 _ODD = re.compile(r" [\s]|\n\s|\s\n|[^\S \n]|\A\s|\s\Z")
 _CUT = re.compile(r"(?= \S)")
