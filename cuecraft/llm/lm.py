@@ -4,13 +4,15 @@ The output is factored by class: p(word) = p(class | state) * p(word | class, st
 most frequent words fill classes of their own with a softmax inside; all others, unseen
 ones too, belong to a class by their last two bytes, inside which the unigram counts of the
 whole corpus decide. The network is trained in numpy by truncated backpropagation, by many
-tasks on their own documents whose weights are averaged after each round; its state is
-carried over window after window to the end of a document.
+tasks on their own documents whose weights are averaged after each round; each training
+document is learnt from in one of the rounds. The state is carried over window after window
+to the end of a document.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -27,13 +29,13 @@ CLASSES, WORDS = 48, 48  # classes of frequent words, words in each
 ENDINGS = 32  # classes of other words
 #: Words whose counts are sent to every task; those of the rest are joined.
 TABLE = 1 << 18
-#: Training takes the larger of so many tokens and this share of the training documents.
-TRAIN_TOKENS, TRAIN_SHARE = 2_000_000, 1 / 64
-#: Tokens of one trainer.
-SHARD_TOKENS = 250_000
+#: Tokens of one trainer in one round; the number of trainers grows with the corpus.
+SHARD_TOKENS = 3 << 19
 ROUNDS = 4
-#: Tokens that a task holds before it sums up or scores.
+#: Tokens that a task holds before it sums up, trains or scores.
 HELD = 3 << 19
+#: Steps times lanes that a trainer lays out at most, unless one document is longer.
+CELLS = 1 << 24
 END = np.uint64(0x454E44)
 END_CODE = 0
 
@@ -125,21 +127,22 @@ def step(p: dict, before: np.ndarray, h: np.ndarray):
     return n + z * (h - n), z, r, n, b[:, 2 * HIDDEN :]
 
 
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits less their maximum, their exponentials and the sums of these."""
     logits -= logits.max(1, keepdims=True)
     e = np.exp(logits)
-    total = e.sum(1, keepdims=True)
-    return logits - np.log(total), e / total
+    return logits, e, e.sum(1, keepdims=True)
 
 
 def outputs(p: dict, h: np.ndarray, symbol: np.ndarray, grads: dict | None = None):
     """Natural log-probability of each symbol; with ``grads`` also the gradient by the states."""
     kind, place = _class_of(symbol)
     rows = np.arange(len(symbol))
-    logs, prob = _softmax(h @ p["c"] + p["cb"])
-    found = logs[rows, kind]
+    logs, prob, total = _softmax(h @ p["c"] + p["cb"])
+    found = logs[rows, kind] - np.log(total[:, 0])
     back = None
     if grads is not None:
+        prob /= total
         prob[rows, kind] -= 1
         grads["c"] += h.T @ prob
         grads["cb"] += prob.sum(0)
@@ -150,12 +153,14 @@ def outputs(p: dict, h: np.ndarray, symbol: np.ndarray, grads: dict | None = Non
         own = order[cuts[k] : cuts[k + 1]]
         if not len(own):
             continue
-        logs, prob = _softmax(h[own] @ p["w"][k] + p["wb"][k])
+        state = h[own]
+        logs, prob, total = _softmax(state @ p["w"][k] + p["wb"][k])
         inner = np.arange(len(own))
-        found[own] += logs[inner, place[own]]
+        found[own] += logs[inner, place[own]] - np.log(total[:, 0])
         if grads is not None:
+            prob /= total
             prob[inner, place[own]] -= 1
-            grads["w"][k] += h[own].T @ prob
+            grads["w"][k] += state.T @ prob
             grads["wb"][k] += prob.sum(0)
             back[own] += prob @ p["w"][k].T
     return found, back
@@ -183,7 +188,7 @@ def lanes_of(symbols: np.ndarray, first: np.ndarray, lanes: int) -> tuple[np.nda
     return index, np.where(index >= 0, before[index], np.int32(BEGIN)), np.where(index >= 0, starts[index], True)
 
 
-def score_tokens(p: dict, symbols: np.ndarray, first: np.ndarray, lanes: int = 128, window: int = 64) -> np.ndarray:
+def score_tokens(p: dict, symbols: np.ndarray, first: np.ndarray, lanes: int = 256, window: int = 64) -> np.ndarray:
     """Natural log-probability of each token, the state carried from window to window."""
     found = np.zeros(len(symbols))
     if not len(symbols):
@@ -205,48 +210,61 @@ def score_tokens(p: dict, symbols: np.ndarray, first: np.ndarray, lanes: int = 1
     return found
 
 
-def train(p: dict, symbols: np.ndarray, first: np.ndarray, rate: float, lanes: int = 64, window: int = 24) -> dict:
-    """One pass of truncated backpropagation with Adam."""
+def _sum_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """total[at] += rows, with repeated places."""
+    order = np.argsort(at, kind="stable")
+    lead = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+    total[at[order][lead]] += np.add.reduceat(rows[order], lead)
+
+
+def train(p: dict, symbols: np.ndarray, first: np.ndarray, rate: float, lanes: int = 256, window: int = 24) -> dict:
+    """One pass of truncated backpropagation with Adam; windows are longer where few lanes are left."""
     p = {k: v.copy() for k, v in p.items()}
     if not len(symbols):
         return p
+    lanes = max(1, min(lanes, CELLS // int(np.diff(first).max())))
     index, before, reset = lanes_of(symbols, first, lanes)
     m, v, count = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    h = np.zeros((index.shape[1], HIDDEN), np.float32)
-    for at in range(0, len(index), window):
-        end, kept = min(at + window, len(index)), []
+    h, at = np.zeros((index.shape[1], HIDDEN), np.float32), 0
+    while at < len(index):
         live = int((index[at] >= 0).sum())
-        h = h[:live]
+        end = min(at + window * min(8, index.shape[1] // live), len(index))
+        kept, h = [], h[:live]
+        carried = (~reset[at:end, :live, None]).astype(np.float32)
         for t in range(at, end):
-            h = np.where(reset[t, :live, None], np.float32(0), h)
+            h = h * carried[t - at]
             kept.append((h, *(out := step(p, before[t, :live], h))))
             h = out[0]
+        prev, state, z, r, n, bn = map(np.stack, zip(*kept, strict=True))
         own = index[at:end, :live].ravel()
-        keep = own >= 0
+        keep = np.flatnonzero(own >= 0)
         grads = {k: np.zeros_like(x) for k, x in p.items()}
         back = np.zeros((len(own), HIDDEN), np.float32)
-        back[keep] = outputs(p, np.concatenate([k[1] for k in kept])[keep], symbols[own[keep]], grads)[1]
+        back[keep] = outputs(p, state.reshape(-1, HIDDEN)[keep], symbols[own[keep]], grads)[1]
         back = back.reshape(end - at, live, HIDDEN)
         dh = np.zeros((live, HIDDEN), np.float32)
+        da, db = np.empty((2, end - at, live, 3 * HIDDEN), np.float32)
+        to_z, to_r, to_n = (prev - n) * z * (1 - z), bn * r * (1 - r), (1 - z) * (1 - n * n)
+        turned = np.ascontiguousarray(p["u"].T)
         for t in range(end - at - 1, -1, -1):
-            prev, _, z, r, n, bn = kept[t]
             dh = dh + back[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (prev - n) * z * (1 - z)
-            dr = dn * bn * r * (1 - r)
-            da = np.concatenate([dz, dr, dn], axis=1)
-            db = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(grads["x"], before[at + t, :live], da)
-            grads["u"] += prev.T @ db
-            dh = dh * z + db @ p["u"].T
-            dh[reset[at + t, :live]] = 0
+            dn = dh * to_n[t]
+            da[t, :, :HIDDEN] = dh * to_z[t]
+            da[t, :, HIDDEN : 2 * HIDDEN] = dn * to_r[t]
+            da[t, :, 2 * HIDDEN :] = dn
+            db[t] = da[t]
+            db[t, :, 2 * HIDDEN :] *= r[t]
+            dh = (dh * z[t] + db[t] @ turned) * carried[t]
+        _sum_rows(grads["x"], before[at:end, :live].ravel(), da.reshape(-1, 3 * HIDDEN))
+        grads["u"] += prev.reshape(-1, HIDDEN).T @ db.reshape(-1, 3 * HIDDEN)
         count += 1
-        scale = np.float32(1 / max(1, keep.sum()))
+        scale = np.float32(1 / max(1, len(keep)))
         for k, g in grads.items():
             g *= scale
-            m[k] = 0.9 * m[k] + np.float32(0.1) * g
-            v[k] = 0.99 * v[k] + np.float32(0.01) * g * g
-            p[k] -= np.float32(rate) * (m[k] / np.float32(1 - 0.9**count)) / (np.sqrt(v[k] / np.float32(1 - 0.99**count)) + np.float32(1e-6))
+            m[k] += np.float32(0.1) * (g - m[k])
+            v[k] += np.float32(0.01) * (g * g - v[k])
+            p[k] -= np.float32(rate / (1 - 0.9**count)) * m[k] / (np.sqrt(v[k] * np.float32(1 / (1 - 0.99**count))) + np.float32(1e-6))
+        at = end
     return p
 
 
@@ -269,20 +287,30 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield summed()
 
 
-def _fit(sample: DataFrame, shards: int, vocabulary: Vocabulary, rounds: int) -> dict:
-    """Rounds of training by shard; the weights are averaged in groups, then over the groups."""
-    spark = sample.sparkSession
-    params = initial(vocabulary)
+def _fit(documents: DataFrame, shards: int, vocabulary: Vocabulary, rounds: int) -> dict:
+    """Rounds of training by shard, each on documents of its own; the weights are averaged in groups, then over the groups."""
+    spark = documents.sparkSession
+    params, groups = initial(vocabulary), max(8, math.isqrt(shards))
     for k in range(rounds):
         start, rate = spark.sparkContext.broadcast(params), 0.02 * 0.5**k
 
         def learn(batches: Iterator[pa.RecordBatch], start=start, rate=rate) -> Iterator[pa.RecordBatch]:
-            parts = [np.frombuffer(x.as_buffer(), np.int32) for b in batches for x in b.column(0)]
-            if parts:
-                first = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-                made = train(start.value, np.concatenate(parts), first, rate)
+            made, seen, held, size = start.value, 0, [], 0
+
+            def learnt() -> dict:
+                return train(made, np.concatenate(held), np.concatenate([[0], np.cumsum([len(x) for x in held])]), rate)
+
+            for batch in batches:
+                for x in batch.column(0):
+                    held.append(np.frombuffer(x.as_buffer(), np.int16))
+                    size += len(held[-1])
+                    if size > HELD:
+                        made, seen, held, size = learnt(), seen + size, [], 0
+            if held:
+                made, seen = learnt(), seen + size
+            if seen:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([TaskContext.get().partitionId() % 8]), pa.array([float(first[-1])]), pa.array([pickle.dumps(made)], pa.binary())], ["part", "n", "made"]
+                    [pa.array([TaskContext.get().partitionId() % groups]), pa.array([float(seen)]), pa.array([pickle.dumps(made)], pa.binary())], ["part", "n", "made"]
                 )
 
         def average(table: pa.Table) -> pa.Table:
@@ -293,7 +321,8 @@ def _fit(sample: DataFrame, shards: int, vocabulary: Vocabulary, rounds: int) ->
             return pa.table({"part": table["part"][:1], "n": [n.sum()], "made": pa.array([pickle.dumps({k: x / n.sum() for k, x in total.items()})], pa.binary())})
 
         schema = "part long, n double, made binary"
-        got = sample.repartition(shards, "shard").select("symbols").mapInArrow(learn, schema).groupBy("part").applyInArrow(average, schema).collect()
+        own = documents.filter(F.col("shard") % rounds == k)
+        got = own.repartition(shards, "shard").select("symbols").mapInArrow(learn, schema).groupBy("part").applyInArrow(average, schema).collect()
         if got:
             whole = sum(r["n"] for r in got)
             made = [(r["n"] / whole, pickle.loads(r["made"])) for r in got]
@@ -309,8 +338,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     probability with 0.5 added for each type and one unknown; score is the network's.
 
     Counts of the TABLE most frequent words go to every task; tokens outside it are rows
-    that are joined with the counts of all words and summed by document. Trainers hold
-    SHARD_TOKENS each and grow in number with the corpus.
+    that are joined with the counts of all words and summed by document. The network learns
+    from every training document once, in one of the rounds; trainers take about SHARD_TOKENS
+    each, HELD at a time, and grow in number with the corpus.
 
     Null and empty texts are an end alone. A null id counts as training; repeated rows are
     scored each. Without training documents everything is unknown. An empty table gives an
@@ -330,17 +360,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             hashes, code, first = tokens(batch.column(1))
-            made = known.value.look_up(hashes, code)[1].astype(np.int32)
+            made = known.value.look_up(hashes, code)[1].astype(np.int16)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([made[first[k] : first[k + 1]].tobytes() for k in range(len(first) - 1)], pa.binary())], ["shard", "symbols"]
             )
 
-    share = max(TRAIN_SHARE, min(1.0, TRAIN_TOKENS / max(1, total)))
-    shards = int(max(1, min(shuffle_width(spark), share * total // SHARD_TOKENS)))
-    drawn = F.pmod(F.xxhash64(_quoted("doc_id"), "text"), F.lit(1_000_000))
-    sample = rows.filter(~F.col("held_out") & (drawn < int(share * 1_000_000))).select(drawn.alias("shard"), F.coalesce("text", F.lit("")).alias("text"))
-    sample = materialise(sample.mapInArrow(symbols, "shard long, symbols binary"), "lm-sample")
-    params = spark.sparkContext.broadcast(_fit(sample, shards, vocabulary, rounds))
+    shards = max(1, math.ceil(total / rounds / SHARD_TOKENS))
+    shard = F.pmod(F.xxhash64(_quoted("doc_id"), "text"), F.lit(1_000_000))
+    documents = rows.filter("NOT held_out").select(shard.alias("shard"), F.coalesce("text", F.lit("")).alias("text"))
+    documents = materialise(documents.mapInArrow(symbols, "shard long, symbols binary"), "lm-training")
+    params = spark.sparkContext.broadcast(_fit(documents, shards, vocabulary, rounds))
 
     names = ["row", "doc_id", "held_out", "n_tokens", "n_found", "base", "model", "word", "times"]
 

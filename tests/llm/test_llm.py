@@ -326,3 +326,47 @@ def test_buffers_of_slices():
     column = pa.array(["x", None, "A b", ""]).slice(1)
     w = Words(column)
     assert np.diff(w.first).tolist() == [0, 2, 0]
+
+
+def test_the_network_learns_from_every_training_document(spark, monkeypatch):
+    from cuecraft.llm import lm
+
+    seen, shards_of = [], []
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 500)
+    monkeypatch.setattr(lm, "TRAIN_TOKENS", 1000, raising=False)  # a bound on what is learnt from would show
+
+    def fit(documents, shards, vocabulary, rounds):
+        shards_of.append(shards)
+        seen.append(documents.withColumn("round", F.col("shard") % rounds).collect())
+        return plain(documents, shards, vocabulary, rounds)
+
+    plain = lm._fit
+    monkeypatch.setattr(lm, "_fit", fit)
+    docs = spark.createDataFrame([(i, f"a b c {i} " * 10) for i in range(400)], "doc_id long, text string")
+    for table in (docs, docs.unionByName(docs.selectExpr("doc_id + 400 AS doc_id", "text"))):
+        got = {r.doc_id: r for r in score_documents(table).collect()}
+        learnt = [r for r in got.values() if not r.held_out]
+        assert len(seen[-1]) == len(learnt)
+        assert sum(len(r.symbols) // 2 for r in seen[-1]) == learnt[0].train_tokens
+        assert {r.round for r in seen[-1]} == set(range(lm.ROUNDS))
+    assert shards_of[1] > 1.8 * shards_of[0]
+
+
+def test_trainers_take_their_documents_in_bounded_windows(monkeypatch):
+    from cuecraft.llm import lm
+
+    sizes = np.array([5, 1, 3000, 40, 0, 7])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    symbols = (np.arange(first[-1]) * 7 % 50).astype(np.int16)
+    vocabulary = lm.Vocabulary(
+        pa.table({"word": np.arange(60), "code": np.zeros(60, np.int64), "n": np.full(60, 9)}), pa.table({"code": np.array([0]), "n": np.array([540]), "words": np.array([60])})
+    )
+    start, laid = lm.initial(vocabulary), []
+    plain = lm.lanes_of
+    monkeypatch.setattr(lm, "lanes_of", lambda *a: laid.append(plain(*a)) or laid[-1])
+    monkeypatch.setattr(lm, "CELLS", 6000)
+    made = lm.train(start, symbols, first, 0.01)
+    index = laid[0][0]
+    assert index.size <= 6200
+    assert sorted(index[index >= 0]) == list(range(first[-1]))
+    assert lm.score_tokens(made, symbols.astype(np.int32), first).sum() > lm.score_tokens(start, symbols.astype(np.int32), first).sum()
