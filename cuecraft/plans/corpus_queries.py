@@ -119,7 +119,7 @@ def _l4(spark, sf):
 
 
 def _files(spark, sf, kind):
-    return captions.as_files(b.cues(spark, sf).filter("start_ms < 360000000"), kind)
+    return captions.as_files(b.cues(spark, sf), kind)
 
 
 _BACK = f"WITH {b.CUES} SELECT video_id, start_ms, dur_ms, trim(regexp_replace(text, '[ \\n]+', ' ', 'g')) AS text FROM cues"

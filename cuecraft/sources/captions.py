@@ -67,10 +67,11 @@ def as_files(cues: DataFrame, kind: str) -> DataFrame:
     for reference, character in reversed(REFERENCES):
         escaped = F.replace(escaped, F.lit(character), F.lit(reference))
     stamp = lambda c: F.format_string("%02d:%02d:%02d.%03d", F.floor(c / 3600000), F.floor(c / 60000) % 60, F.floor(c / 1000) % 60, c % 1000)
+    seconds = lambda c: F.format_string("%d.%03d", F.floor(c / 1000), c % 1000)
     end = F.col("start_ms") + F.col("dur_ms")
     rows = cues.select("video_id", "cue_idx", F.struct(F.col("start_ms").alias("tStartMs"), F.col("dur_ms").alias("dDurationMs"), F.array(F.struct(F.col("text").alias("utf8"))).alias("segs")).alias("event"),
                        F.concat(stamp(F.col("start_ms")), F.lit(" --> "), stamp(end), F.lit("\n"), F.regexp_replace("text", r"\n[ \n]*", "\n")).alias("vtt"),
-                       F.concat(F.lit('<text start="'), (F.col("start_ms") / 1000).cast("string"), F.lit('" dur="'), (F.col("dur_ms") / 1000).cast("string"), F.lit('">'), escaped, F.lit("</text>")).alias("xml"))
+                       F.concat(F.lit('<text start="'), seconds(F.col("start_ms")), F.lit('" dur="'), seconds(F.col("dur_ms")), F.lit('">'), escaped, F.lit("</text>")).alias("xml"))
     ordered = F.array_sort(F.collect_list(F.struct("cue_idx", "event", "vtt", "xml")))
     packed = rows.groupBy("video_id").agg(ordered.alias("c"))
     forms = {
