@@ -29,9 +29,9 @@ _one("strip_markers", lambda t: F.sha2(X.strip_markers(t), 256), r"SELECT doc_id
 _one("extract_hook", X.extract_hook)
 _one("punchy_quote", X.punchy_quote)
 _one("title_rotation", X.title_rotation)
-_one("validate_title", lambda t: X.validate_title(F.substring(t, 1, 60))["reason"])
-_one("filler_hits", lambda t: F.size(X.filler_hits(F.substring(t, 1, 200))))
-_one("sanitize_phrase", lambda t: X.sanitize_phrase(F.substring(t, 1, 80)))
+_one("validate_title", lambda t: X.validate_title(t)["reason"])
+_one("filler_hits", lambda t: F.size(X.filler_hits(t)))
+_one("sanitize_phrase", X.sanitize_phrase)
 
 
 def _word_query(name, column, sql):

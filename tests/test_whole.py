@@ -1,7 +1,10 @@
 """Queries over whole tables and whole texts."""
 
+import re
+
 import pytest
 
+from cuecraft import dicts
 from cuecraft.plans import registry
 from cuecraft.sources import captions
 
@@ -20,3 +23,36 @@ def test_caption_times_beyond_ten_million_seconds(spark, kind):
     rows = [(1, 0, 10_000_000_001, 1234, "x"), (1, 1, 123_456_789_012, 10_000_000_400, "y")]
     cues = spark.createDataFrame(rows, "video_id long, cue_idx int, start_ms long, dur_ms long, text string")
     assert sorted(map(tuple, captions.read(captions.as_files(cues, kind)).collect())) == [(v, s, d, t) for v, _, s, d, t in rows]
+
+
+def test_title_functions_read_whole_texts(spark, tmp_path):
+    filler, profane, blocked = dicts.FILLERS[0], dicts.PROFANE[0], dicts.BLOCKED[0]
+    near = "Seven words of which none is wrong, up to sixty code points"
+    texts = ["x1 " * 90 + f"late {filler} here and {filler} again", near + " then then it ends", near + " and on it goes... on...", near + " naïve end", near + f" {profane} end", near + " words" * 20,
+             "1 " * 60 + f"{blocked} harbour Lights shine bright", near, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {name: {r.video_id: r.value for r in registry.QUERIES[name](spark, str(tmp_path)).collect()} for name in ("filler_hits", "validate_title", "sanitize_phrase")}
+    bad = {*dicts.BLOCKED, *dicts.URL_FRAGMENTS}
+
+    def reason(t):
+        low = re.findall("[a-z']+", (t or "").lower())
+        rules = (
+            (not (t or "").strip(), "empty title"),
+            (len(t or "") > 100, "title too long"),
+            (any(a == b for a, b in zip(low, low[1:])), "title repeats a word"),  # noqa: B905
+            ((t or "").count("...") > 1, "multiple ellipses"),
+            (len(low) < 3, "title has fewer than 3 words"),
+            (not any(len(w) >= 3 for w in low), "no real word in title"),
+            (any(c.isalpha() and not c.isascii() for c in t or ""), "non-ascii letter"),
+            (bool(set(low) & set(dicts.PROFANE)), "blocked word"),
+            (any(re.fullmatch("um+|uh+|erm|hmm+", w) for w in low), "filler word"),
+        )
+        return next((name for broken, name in rules if broken), None)
+
+    for k, t in enumerate(texts):
+        assert got["validate_title"][k] == reason(t)
+        if t is not None:
+            assert got["filler_hits"][k] == len(set(re.findall("[a-z']+", t.lower())) & set(dicts.FILLERS))
+            assert got["sanitize_phrase"][k] == " ".join([w for w in re.findall("[A-Za-z][A-Za-z'-]*", t) if len(w) > 2 and w.lower() not in bad][:3])
+    assert {"title too long", "title repeats a word", "multiple ellipses", "non-ascii letter", "blocked word"} <= set(got["validate_title"].values())
+    assert got["filler_hits"][0] > 0 and got["sanitize_phrase"][6] == "harbour Lights shine"
