@@ -75,6 +75,13 @@ def _slug(spark, sf):
     return rows.select("page_id", X.tag_slug(F.col("t")).alias("slug"))
 
 
+@query("page_slugs")
+def _page_slugs(spark, sf):
+    """Every page's whole title; tag_slug has the rows and the part of them that its SQL compares."""
+    title = F.regexp_extract(F.coalesce("html", F.lit("")), "(?i)<title[^>]*>([^<]*)", 1)
+    return b.table(spark, sf, "pages").select("page_id", X.tag_slug(title).alias("slug"))
+
+
 @query("title_case_topic", "SELECT o_orderkey, array_to_string(list_transform(string_split(lower(o_orderpriority || ' of the order'), ' '), lambda w, k: CASE WHEN k > 1 AND w IN ('a', 'an', 'and', 'of', 'the', 'to', 'in') THEN w ELSE upper(w[1]) || w[2:] END), ' ') AS value FROM orders")
 def _case(spark, sf):
     return b.table(spark, sf, "orders").select("o_orderkey", X.title_case(F.lower(F.concat("o_orderpriority", F.lit(" of the order")))).alias("value"))

@@ -56,3 +56,11 @@ def test_title_functions_read_whole_texts(spark, tmp_path):
             assert got["sanitize_phrase"][k] == " ".join([w for w in re.findall("[A-Za-z][A-Za-z'-]*", t) if len(w) > 2 and w.lower() not in bad][:3])
     assert {"title too long", "title repeats a word", "multiple ellipses", "non-ascii letter", "blocked word"} <= set(got["validate_title"].values())
     assert got["filler_hits"][0] > 0 and got["sanitize_phrase"][6] == "harbour Lights shine"
+
+
+def test_slugs_of_every_page_and_whole_title(spark, tmp_path):
+    titles = ["Straße nach Süden", "ÆON Œuvre | Smørrebrød Nr. 2", "One @ Two. Three", "1234", "see https://a.org/x", "a/b", None]
+    pages = [(i, f"<html><head><TITLE lang='x'>{t}</TITLE></head>" if i % 2 else f"<title>{t}</title>") for i, t in enumerate(titles[:-1])]
+    spark.createDataFrame([*pages, (6, None), (7, "<p>no title</p>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.slug for r in registry.QUERIES["page_slugs"](spark, str(tmp_path)).collect()}
+    assert got == {0: "strasse_nach_suden", 1: "aeon_oeuvre_smorrebrod_nr_2", 2: "one_two_three", 3: "", 4: "", 5: "", 6: "", 7: ""}
