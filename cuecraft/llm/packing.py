@@ -7,6 +7,7 @@ with k - 1 others of the class, so each class fills its sequences by count alone
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -69,14 +70,14 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.shared(tokenizer, keep_space=True)
-        end = np.array([END_ID], "<u4").tobytes()
         for batch in slices(batches, "text"):
+            ids, first = encoder.encode(batch.column(1), END_ID)
+            raw = memoryview(ids.astype("<u4")).cast("B")
             owner, rows = [], []
-            for k, ids in enumerate(encoder.encode(batch.column(1).to_pylist())):
-                ids = np.frombuffer(ids, encoder.dtype).astype("<u4").tobytes() + end
-                at, n = 0, len(ids) // 4
-                for length, kind in cut(n, capacity, tail):
-                    rows.append((at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), n, kind))
+            for k, (start, stop) in enumerate(itertools.pairwise(first.tolist())):
+                at = 0
+                for length, kind in cut(stop - start, capacity, tail):
+                    rows.append((at, length, zlib.crc32(raw[4 * (start + at) : 4 * (start + at + length)]), stop - start, kind))
                     owner.append(k)
                     at += length
             table = np.array(rows, np.int64).T
