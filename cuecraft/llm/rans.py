@@ -78,25 +78,36 @@ class Coder:
         body = b"".join(struct.pack("<QQ", s, count - left) + x.astype("<u8").tobytes() for s, left, x in reversed(marks)) + stream.tobytes()
         return head + struct.pack("<II", zlib.crc32(head + body), zlib.crc32(ids.astype("<u4").tobytes())) + body
 
-    def decode(self, block: bytes, mark: int = 0, marks: int | None = None) -> np.ndarray:
-        """The ids from one checkpoint on, of as many checkpoints as asked for (all: None)."""
+    def parts(self, block: bytes, mark: int = 0, marks: int | None = None) -> Iterator[np.ndarray]:
+        """The ids checkpoint by checkpoint, from one on, of as many as asked for (all: None).
+
+        Each part is decoded from the states of its own checkpoint alone, so a block of any size
+        takes the memory of one part.
+        """
         if self._owner is None:
             self._owner = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
         n, lanes, n_marks, count = struct.unpack_from("<QIII", block)
         crc, of_ids = struct.unpack_from("<II", block, 20)
-        if zlib.crc32(block[:20] + block[28:]) != crc:
+        if zlib.crc32(memoryview(block)[28:], zlib.crc32(block[:20])) != crc:
             raise ValueError("a block's checksum is another")
-        if not n:
-            return np.zeros(0, np.uint32)
-        size = 16 + 8 * lanes
-        step, at = struct.unpack_from("<QQ", block, 28 + mark * size)
-        state = np.frombuffer(block, "<u8", lanes, 28 + mark * size + 16).astype(np.uint64)
-        stream = np.frombuffer(block, "<u4", count, 28 + n_marks * size).astype(np.uint64)
-        steps = -(-n // lanes)
-        stop = steps if marks is None or mark + marks >= n_marks else (mark + marks) * STRIDE
-        out = np.empty((stop - step) * lanes, np.uint32)
+        last = n_marks if marks is None else min(n_marks, mark + marks)
+        size, steps, seen = 16 + 8 * lanes, -(-n // lanes), 0
+        stream = np.frombuffer(block, "<u4", count, 28 + n_marks * size)
+        for k in range(mark, last):
+            first, at = struct.unpack_from("<QQ", block, 28 + k * size)
+            state = np.frombuffer(block, "<u8", lanes, 28 + k * size + 16).astype(np.uint64)
+            part = self._steps(state, stream, at, n, first, min(first + STRIDE, steps))
+            if mark == 0:
+                seen = zlib.crc32(part.astype("<u4"), seen)
+            yield part
+        if mark == 0 and last == n_marks and seen != of_ids:
+            raise ValueError("the ids' checksum is another")
+
+    def _steps(self, state: np.ndarray, stream: np.ndarray, at: int, n: int, first: int, stop: int) -> np.ndarray:
+        """The ids of all lanes from one step to another."""
+        lanes = len(state)
+        out = np.empty((stop - first) * lanes, np.uint32)
         mask = np.uint64((1 << BITS) - 1)
-        first = step
         for step in range(first, stop):
             width = min(lanes, n - step * lanes)
             x = state[:width]
@@ -107,10 +118,11 @@ class Coder:
             x[under] = (x[under] << np.uint64(32)) | stream[at : at + len(under)]
             at += len(under)
             out[(step - first) * lanes : (step - first) * lanes + width] = ids
-        out = out[: min(n, stop * lanes) - first * lanes]
-        if mark == 0 and stop == steps and zlib.crc32(out.astype("<u4").tobytes()) != of_ids:
-            raise ValueError("the ids' checksum is another")
-        return out
+        return out[: min(n, stop * lanes) - first * lanes]
+
+    def decode(self, block: bytes, mark: int = 0, marks: int | None = None) -> np.ndarray:
+        """The parts in one array."""
+        return np.concatenate([np.zeros(0, np.uint32), *self.parts(block, mark, marks)])
 
 
 class _File:
@@ -177,12 +189,11 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.shared(tokenizer, keep_space=False)
-        end = np.array([END_ID], encoder.dtype).tobytes()
         part, made, file = TaskContext.get().partitionId(), [], _File(folder, encoder.size)
         for batch in slices(batches, "text"):
-            texts = encoder.encode(batch.column(1).to_pylist())
-            for doc_id, ids in zip(batch.column(0).to_pylist(), texts, strict=True):
-                file.add(doc_id, np.frombuffer(ids + end, encoder.dtype))
+            ids, first = encoder.encode(batch.column(1), END_ID)
+            for doc_id, start, stop in zip(batch.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                file.add(doc_id, ids[start:stop])
                 if file.tokens >= FILE_TOKENS:
                     made.append(file.write())
                     file = _File(folder, encoder.size)
@@ -224,12 +235,21 @@ def read_ids(files: DataFrame, keep_ids: bool = False) -> DataFrame:
                     last, footer = row["path"], read_footer(source, row["path"])
                     coder = coder_of(footer)
                 block = footer["blocks"][row["block"]]
-                ids = coder.decode(source.read(last, block["at"], block["bytes"])).astype("<u4")
-                out, at = [], 0
+                parts = coder.parts(source.read(last, block["at"], block["bytes"]))
+                held, out, at = np.zeros(0, "<u4"), [], 0
                 for doc_id, n in block["docs"]:
-                    raw = ids[at : at + n].tobytes()
-                    out.append((doc_id, row["first"] + at, n, zlib.crc32(raw)) + ((ids[at : at + n].astype(np.int32),) if keep_ids else ()))
+                    crc, left, ids = 0, n, []
+                    while left:
+                        if not len(held):
+                            held = next(parts).astype("<u4")
+                        piece, held = held[:left], held[left:]
+                        crc, left = zlib.crc32(piece, crc), left - len(piece)
+                        if keep_ids:
+                            ids += piece.tolist()
+                    out.append((doc_id, row["first"] + at, n, crc) + (ids,) * keep_ids)
                     at += n
+                if next(parts, None) is not None:  # past the last part the ids' checksum is compared
+                    raise ValueError(f"{last}: a block has more ids than its index says")
                 types = [pa.int64()] * 4 + [pa.list_(pa.int32())] * keep_ids
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
