@@ -22,9 +22,11 @@ SLICE_BYTES = 2 << 20
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under the folder that all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="cuecraft-")
+    if not base and spark.sparkContext.master.startswith("local["):
+        base = "file://" + tempfile.mkdtemp(prefix="cuecraft-")  # one machine: the driver's folder is everyone's
         spark.conf.set("spark.checkpoint.dir", base)
+    if not base:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -49,6 +51,38 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# ---------------------------------------------------------------- filters of fixed size
+
+
+def bit_words(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """A bitmap of hashed keys as rows of 64 bits: at most 2**(bits-6) rows, however many keys."""
+    slot = F.pmod(F.col(key), F.lit(1 << bits))
+    return keys.select(
+        F.shiftright(slot, 6).alias("__word"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("__bit"),
+    ).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+
+
+def with_bit(rows: DataFrame, key: str, words: DataFrame, bits: int, name: str) -> DataFrame:
+    """With a column that tells whether the key's bit is set in a bitmap, whose rows go to every task."""
+    slot = F.pmod(F.col(key), F.lit(1 << bits))
+    word, mask = f"__{name}_word", f"__{name}_bits"
+    words = words.select(F.col("__word").alias(word), F.col("__bits").alias(mask))
+    bit = F.coalesce(F.call_function("bit_get", F.col(mask), (slot % 64).cast("int")) == 1, F.lit(False))
+    return rows.withColumn(word, F.shiftright(slot, 6)).join(F.broadcast(words), word, "left").withColumn(name, bit).drop(word, mask)
+
+
+def bitmap_of(keys: DataFrame, key: str, bits: int) -> np.ndarray:
+    words = bit_words(keys, key, bits).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    bitmap[words["__word"].to_numpy()] = words["__bits"].to_numpy()
+    return bitmap
+
+
+def in_bitmap(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bitmap[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
 # ---------------------------------------------------------------- bytes of texts
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _quoted, materialise, replaced
+from .common import _quoted, bit_words, materialise, replaced
 
 #: The characters that do not count, the ASCII white space.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -15,15 +15,6 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
-def _bit_words(keys: DataFrame, key: str, bits: int) -> DataFrame:
-    """A bitmap of hashed keys as rows of 64 bits: at most 2**(bits-6) rows, however many keys."""
-    slot = F.pmod(F.col(key), F.lit(1 << bits))
-    return keys.select(
-        F.shiftright(slot, 6).alias("__word"),
-        F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("__bit"),
-    ).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-
-
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -39,8 +30,9 @@ def exact_dedup(
     Length and prefix hash are counted over narrow rows. Prefix groups of two or more go
     into a bitmap of fixed size (2**filter_bits bits, sent to every task); only rows whose
     bit is set have their full text hashed. A bit set by chance costs a hash, never a
-    wrong result. Groups are folded before the shuffle, so a group with a third of all rows
-    is a few rows per task; the join back may be split by adaptive execution.
+    wrong result. Rows whose bit is not set are alone and pass without a shuffle; the others are
+    joined with the groups of two or more. Groups are folded before the shuffle, so a group with a
+    third of all rows is a few rows per task; the join back may be split by adaptive execution.
 
     Null text counts as empty; empty texts form one group. A null id sorts first, so it
     stays. Repeated rows with the id that stays all stay: they are the same document. An
@@ -59,7 +51,7 @@ def exact_dedup(
     groups = (
         narrow.join(lengths, "__len", "left_semi").groupBy("__len", "__prefix").count().filter("count > 1")
     )
-    words = materialise(_bit_words(groups, "__prefix", filter_bits), "dedup-bits")
+    words = materialise(bit_words(groups, "__prefix", filter_bits), "dedup-bits")
 
     keyed = docs.withColumn("__prefix", F.xxhash64(F.length(text), F.substring(text, 1, prefix)))
     slot = F.pmod(F.col("__prefix"), F.lit(1 << filter_bits))
@@ -67,22 +59,16 @@ def exact_dedup(
     again = F.coalesce(
         F.call_function("bit_get", F.col("__bits"), (slot % 64).cast("int")) == 1, F.lit(False)
     )
-    # a row alone in its prefix group keeps that hash as its key, so keys without a partner spread evenly
-    full = F.when(again, F.sha2(text, 256)).otherwise(F.concat(F.lit("-"), F.col("__prefix")))
-    keyed = keyed.withColumn("__hashed", again).withColumn("__full", full).drop("__word", "__bits", "__prefix")
+    keyed = keyed.withColumn("__hashed", again).drop("__word", "__bits", "__prefix")
+    hashed = keyed.filter("__hashed").withColumn("__full", F.sha2(text, 256))
     order = F.struct((-F.length(F.coalesce(_quoted(text_col), F.lit("")))).alias("n"), row_id.alias("id"))
-    groups = (
-        keyed.filter("__hashed")
-        .groupBy("__full")
-        .agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__size"))
-        .filter("__size > 1")
-        .select("__full", F.col("__first.id").alias("__keep"), "__size")
-    )
-    joined = keyed.join(groups, "__full", "left")
+    groups = hashed.groupBy("__full").agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__size")).filter("__size > 1")
+    groups = materialise(groups.select("__full", F.col("__first.id").alias("__keep"), "__size"), "dedup-groups")
+    joined = hashed.join(groups, "__full", "left")
     keep = F.when(F.col("__size").isNull(), row_id).otherwise(F.col("__keep"))
-    return joined.select(
-        *[_quoted(c) for c in docs.columns],
-        keep.alias("keep_id"),
-        F.coalesce("__size", F.lit(1).cast("long")).alias("group_size"),
-        row_id.eqNullSafe(keep).alias("kept"),
-    )
+
+    def result(rows: DataFrame, keep: Column, size: Column) -> DataFrame:
+        return rows.select(*[_quoted(c) for c in docs.columns], keep.alias("keep_id"), size.alias("group_size"), row_id.eqNullSafe(keep).alias("kept"))
+
+    one = F.lit(1).cast("long")
+    return result(joined, keep, F.coalesce("__size", one)).unionByName(result(keyed.filter("NOT __hashed"), row_id, one))

@@ -15,6 +15,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    if large:
+        low = materialise(low, "lowest")  # read from files, so that adaptive execution can split a hub's rows in the join
     hooked = both.join(low, "a")
     if large:
         hooked = hooked.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -17,19 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, _quoted, materialise, mix, shuffle_width, slices
-from .exact_dedup import _bit_words
+from .common import Words, _quoted, bitmap_of, in_bitmap, materialise, mix, shuffle_width, slices
 from .graph import components
 
-#: So many of the most frequent n-grams go last in the order of n-grams.
+#: So many of the most frequent n-grams at most go last in the order of n-grams, by their counts.
 FREQUENT = 1 << 20
 #: n-grams that a task holds before it sums up.
 HELD = 3 << 19
 #: Sets that one task multiplies at a time; a larger component is cut by size, a larger part into tiles.
 BLOCK_BYTES, TILE_BYTES = 4 << 20, 6 << 20
-#: Rows of block members (about 40 bytes) that are sent to every task; more are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
-FILTER_BITS = 24
+#: Prefix n-grams in one column block; the number of blocks grows with the table.
+COLUMNS = 1 << 21
+#: Sets that meet in a task without the shorter prefix of any are taken to meet anyway beyond this number.
+CROWD = 64
+#: Bits of the filters of block members and of shared n-grams; a bit set by chance never changes a result.
+FILTER_BITS, SHARED_BITS = 24, 25
 
 
 def gram_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,7 +45,8 @@ def gram_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         parts.append(hashes[keep])
         owners.append(words.doc[at[keep]])
     hashes, owner = np.concatenate(parts), np.concatenate(owners)
-    order = np.lexsort((hashes, owner))
+    order = np.argsort(hashes)
+    order = order[_by_owner(owner[order], words.n_docs)]
     hashes, owner = hashes[order], owner[order]
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
@@ -51,6 +54,11 @@ def gram_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return hashes, owner, np.searchsorted(owner, np.arange(words.n_docs + 1))
 
 
+def _by_owner(owner: np.ndarray, n: int) -> np.ndarray:
+    """A stable order by owner; small numbers are sorted by their digits."""
+    return np.argsort(owner.astype(np.uint16) if n <= 1 << 16 else owner, kind="stable")
+
+
 def set_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """One 64-bit key per set, 0 for the empty one."""
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes * np.uint64(0xD1342543DE82EF95)))])
@@ -107,17 +115,56 @@ def _classes_of_size(size: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(np.maximum(size, 1)) / (np.log(100 / percent) * (1 + 1e-9))).astype(np.int64)
 
 
+class Order:
+    """A weight for each n-gram: 0 for those that nothing is known of, 1 for shared ones, more by the count of frequent ones."""
+
+    def __init__(self, frequent: pa.Table, shared: np.ndarray | None = None):
+        grams = frequent["gram"].to_numpy().view(np.uint64)
+        at = np.argsort(grams)
+        self.grams, self.shared = grams[at], shared
+        self.weights = np.minimum(1024 * np.log2(frequent["n"].to_numpy()[at] + 1.0), 65535).astype(np.uint16)
+        self.filter = np.zeros(1 << (SHARED_BITS - 6), np.int64)
+        slot = self.slots(self.grams)
+        np.bitwise_or.at(self.filter, slot >> 6, np.int64(1) << (slot & 63))
+
+    @staticmethod
+    def slots(grams: np.ndarray) -> np.ndarray:
+        return (grams & np.uint64((1 << SHARED_BITS) - 1)).view(np.int64)
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        slot = self.slots(grams)
+        weight = np.zeros(len(grams), np.uint16) if self.shared is None else in_bitmap(self.shared, slot).astype(np.uint16)
+        own = np.flatnonzero(in_bitmap(self.filter, slot))
+        if len(own):
+            at = np.minimum(np.searchsorted(self.grams, grams[own]), len(self.grams) - 1)
+            found = self.grams[at] == grams[own]
+            weight[own[found]] = self.weights[at[found]]
+        return weight
+
+
 def _ordered(batch: pa.RecordBatch, n: int, order) -> tuple[np.ndarray, ...]:
     """n-grams of each set, rare ones first, with owner, size and key of the sets and each n-gram's rank."""
-    frequent, count = order.value
     hashes, owner, first = gram_sets(Words(batch.column(1)), n)
     key, size = set_keys(hashes, first), np.diff(first)
-    weight = np.zeros(len(hashes), np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        weight = np.where(frequent[at] == hashes, count[at], 0)
-    hashes = hashes[np.lexsort((hashes, weight, owner))]
-    return hashes, owner, size, key, np.arange(len(hashes)) - np.repeat(first[:-1], size)
+    at = np.argsort(order.value(hashes), kind="stable")  # of one set the n-grams ascend already
+    at = at[_by_owner(owner[at], len(size))]
+    return hashes[at], owner, size, key, np.arange(len(hashes)) - np.repeat(first[:-1], size)
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once."""
+    at = np.unique(mix(a.view(np.uint64) * np.uint64(0x9FB21C651E98DF25) + mix(b.view(np.uint64))), return_index=True)[1]
+    return a[at], b[at]
+
+
+def _by_pair(major: np.ndarray, minor: np.ndarray) -> np.ndarray:
+    """An order by major, then minor; few majors come twice."""
+    at = np.argsort(major)
+    same = np.zeros(len(at) + 1, bool)
+    same[1:-1] = major[at[1:]] == major[at[:-1]]
+    twice = np.flatnonzero(same[:-1] | same[1:])
+    at[twice] = at[twice][np.lexsort((minor[at[twice]], major[at[twice]]))]
+    return at
 
 
 def _shared(n: int, percent: int, order, blocks: int):
@@ -125,7 +172,7 @@ def _shared(n: int, percent: int, order, blocks: int):
 
     def summed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         gram, key = (np.concatenate(x) for x in zip(*held, strict=True))
-        at = np.lexsort((key, gram))
+        at = _by_pair(gram, key)
         gram, key = gram[at], key[at]
         lead = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
         several = key[lead] != key[np.append(lead[1:], len(key)) - 1]
@@ -158,10 +205,10 @@ def _shared_block(table: pa.Table) -> pa.Table:
     """n-grams of the block that two sets or more have."""
     kinds = {"grams": np.uint64, "keys": np.int64, "several": bool}
     gram, key, several = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table[c]]) for c, t in kinds.items())
-    at = np.lexsort((key, gram))
+    at = _by_pair(gram, key)
     gram, key, several = gram[at], key[at], several[at]
     again = np.flatnonzero((gram[1:] == gram[:-1]) & (key[1:] != key[:-1])) + 1
-    return pa.table({"gram": np.unique(np.concatenate([gram[again], gram[several]])).view(np.int64)})
+    return pa.table({"slot": Order.slots(np.unique(np.concatenate([gram[again], gram[several]])))})
 
 
 def _meetings(n: int, percent: int, order, blocks: int):
@@ -176,14 +223,15 @@ def _meetings(n: int, percent: int, order, blocks: int):
 
     def summed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         meet, key, sure = (np.concatenate(x) for x in zip(*held, strict=True))
-        at = np.lexsort((key, meet))
+        at = _by_pair(meet, key)
         meet, key, sure = meet[at], key[at], sure[at]
         lead = np.ones(len(meet), bool)
         lead[1:] = meet[1:] != meet[:-1]
         group = np.cumsum(lead) - 1
-        some = np.bincount(group, sure)[group] > 0
+        some = ((np.bincount(group, sure) > 0) | (np.bincount(group) > CROWD))[group]
         low = key[lead][group]
-        edges = np.unique(np.stack([key, low])[:, some & (key != low)], axis=1)
+        joined = some & (key != low)
+        edges = np.stack(_distinct(key[joined], low[joined]))
         again = np.zeros(len(meet), bool)
         again[1:] = (meet[1:] == meet[:-1]) & (key[1:] == key[:-1])
         keep = np.where(some, lead, ~again)
@@ -221,16 +269,16 @@ def _join_block(table: pa.Table) -> pa.Table:
     """Edges between the sets of each meeting that counts, and those that tasks have found."""
     kinds = {"meetings": np.uint64, "keys": np.int64, "sure": bool, "a": np.int64, "b": np.int64}
     meet, key, sure, a, b = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table[c]]) for c, t in kinds.items())
-    at = np.lexsort((key, meet))
+    at = _by_pair(meet, key)
     meet, key, sure = meet[at], key[at], sure[at]
     lead = np.ones(len(meet), bool)
     lead[1:] = meet[1:] != meet[:-1]
     group = np.cumsum(lead) - 1
-    some = np.bincount(group, sure)[group] > 0
+    some = np.bincount(group, sure)[group] > 0 if len(group) else np.zeros(0, bool)
     low = key[lead][group]
-    edges = np.concatenate([np.stack([key, low])[:, some & (key != low)], np.stack([a, b])], axis=1)
-    edges = np.unique(edges, axis=1) if edges.size else edges.astype(np.int64)
-    return pa.table({"a": edges[0], "b": edges[1]})
+    joined = some & (key != low)
+    a, b = _distinct(np.concatenate([key[joined], a]), np.concatenate([low[joined], b]))
+    return pa.table({"a": a, "b": b})
 
 
 def _slots(keys: np.ndarray, ids: pa.Array) -> np.ndarray:
@@ -326,7 +374,20 @@ def _multiply(percent: int):
     return run
 
 
-def similar(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _most_frequent(counts: DataFrame) -> pa.Table:
+    """All n-grams from some count on, at most FREQUENT, found by a histogram of counts: nothing is sorted."""
+    counts = materialise(counts, "counts")
+    level = F.when(F.col("n") < 4096, F.col("n").cast("double")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))))
+    least, total = None, 0
+    for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some 4,200 rows at most
+        total += row["count"]
+        if total > FREQUENT:
+            break
+        least = row["level"]
+    return counts.filter(F.col("n") >= F.lit(least) if least is not None else F.lit(False)).select("gram", "n").toArrow()
+
+
+def similar(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_shingles, component_id, the smallest id that links reach.
 
     Words are runs of anything but ASCII white space, A-Z count as a-z. A document's set is
@@ -334,9 +395,11 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_i
     when 100 * intersection >= percent * union.
 
     Equal sets are one row of the matrix, whatever their number. n-grams are ordered by how
-    often they occur (at most FREQUENT by their counts and as many that are merely shared, the
-    rest as rare), so a common passage is in no prefix of a text with enough else. Meetings are folded per task to one row for each
-    n-gram, components of them give the blocks, and a block of more than BLOCK_BYTES is cut by
+    often they occur (at most FREQUENT by their counts, then those that sets share as far as a
+    filter of fixed size tells, the rest as rare), so a common passage is in no prefix of a text
+    with enough else; the order decides only how much work there is. Meetings are folded per task to one
+    row for each n-gram and joined in column blocks of about COLUMNS n-grams, however large the
+    table. Components of them give the blocks, and a block of more than BLOCK_BYTES is cut by
     classes of sizes, and further into tiles that are multiplied pair by pair. Only links that join
     something leave a task.
 
@@ -348,22 +411,20 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_i
     texts = _texts(docs, id_col, text_col)
     survey = materialise(texts.mapInArrow(*_survey(n)), "survey")
     rows = survey.filter("key IS NOT NULL").select("doc_id", "size", "key")
-    top = survey.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT).toArrow()
-    grams, count = top["gram"].to_numpy().view(np.uint64), top["n"].to_numpy()
-
-    def ordered() -> object:
-        at = np.argsort(grams)
-        return spark.sparkContext.broadcast((grams[at], count[at]))
+    frequent = _most_frequent(survey.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("count").alias("n")))
+    entries = rows.agg(F.sum("size")).first()[0] or 0
+    blocks = max(shuffle_width(spark), math.ceil(entries * (100 - percent) / 100 / COLUMNS))
 
     # n-grams that tasks met only once each but that sets share go behind those that none share
-    run, schema = _shared(n, percent, ordered(), shuffle_width(spark))
-    met = texts.mapInArrow(run, schema).groupBy("block").applyInArrow(_shared_block, "gram long").limit(FREQUENT).toArrow()["gram"].to_numpy().view(np.uint64)
-    met = np.setdiff1d(met, grams)
-    grams, count = np.concatenate([grams, met]), np.concatenate([count, np.ones(len(met), np.int64)])
-    order = ordered()
-    run, schema = _meetings(n, percent, order, shuffle_width(spark))
-    meetings = texts.mapInArrow(run, schema)
-    nodes = materialise(components(meetings.groupBy("block").applyInArrow(_join_block, "a long, b long")), "blocks")
+    order = spark.sparkContext.broadcast(Order(frequent))
+    run, schema = _shared(n, percent, order, blocks)
+    shared = bitmap_of(texts.mapInArrow(run, schema).groupBy("block").applyInArrow(_shared_block, "slot long"), "slot", SHARED_BITS)
+    order.destroy()
+    order = spark.sparkContext.broadcast(Order(frequent, shared))
+    run, schema = _meetings(n, percent, order, blocks)
+    edges = texts.mapInArrow(run, schema).groupBy("block").applyInArrow(_join_block, "a long, b long")
+    nodes = materialise(components(edges), "blocks")
+    order.destroy()
 
     classes = materialise(rows.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("low"), F.max("size").alias("size")), "classes")
     member = nodes.withColumnRenamed("node", "key").join(classes, "key")
@@ -375,20 +436,14 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4, id_col: str = "doc_i
     tiles = member.groupBy("root", "part").agg(F.ceil(F.sum("size") * 8 / TILE_BYTES).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
     member = materialise(member.join(tiles, ["root", "part"]).select("key", "low", "root", "part", "tiles", tile.alias("tile")), "members")
-    if member.count() <= BROADCAST_ROWS:
-        member = F.broadcast(member)
-
-    words = _bit_words(member.select("key", "low").mapInArrow(_slot_rows, "slot long"), "slot", FILTER_BITS).toArrow()  # at most 2**(FILTER_BITS - 6) rows
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bitmap[words["__word"].to_numpy()] = words["__bits"].to_numpy()
-    wanted = spark.sparkContext.broadcast(bitmap)
+    wanted = spark.sparkContext.broadcast(bitmap_of(member.select("key", "low").mapInArrow(_slot_rows, "slot long"), "slot", FILTER_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             hashes, _, first = gram_sets(Words(batch.column(1)), n)
             keys = set_keys(hashes, first)
             slot = _slots(keys, batch.column(0))
-            at = np.flatnonzero(((wanted.value[slot >> 6] >> (slot & 63)) & 1 == 1) & (np.diff(first) > 0))
+            at = np.flatnonzero(in_bitmap(wanted.value, slot) & (np.diff(first) > 0))
             grams = pa.array([hashes[first[k] : first[k + 1]].tobytes() for k in at], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(keys[at]), batch.column(0).take(pa.array(at)), grams], ["key", "doc_id", "grams"])
 

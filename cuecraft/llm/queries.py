@@ -63,7 +63,7 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(_read(spark, sf_dir, "documents"))
+    return similar(_read(spark, sf_dir, "documents"), percent=85, n=4)
 
 
 OP5_SQL = r"""
