@@ -19,25 +19,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hasher, _quoted, buffers, materialise, mix, replaced, slices
-from .exact_dedup import _bit_words
+from .common import Hasher, _quoted, bit_words, bitmap_of, buffers, in_bitmap, materialise, mix, replaced, slices, with_bit
 
 GRAM = 100
 FILTER_BITS = 24
 #: Suffixes of one gram with different surroundings that one task sorts; beyond it all windows are counted by hash.
 GROUP_ROWS = 1 << 16
 BATCH_BYTES = 4 << 20
+#: A longer text is read in pieces of so many windows, which overlap.
+LONG = 2 << 20
+#: Surroundings that a task remembers to have sent; sent again they do no harm.
+SENT = 1 << 18
+#: Anchors with equal surroundings beyond this number are dealt to SALTS tasks where they meet their extents.
+HOT_ROWS, SALTS = 1 << 12, 128
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, Hasher]:
-    """Positions of the anchors of all windows that lie inside one text."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, windows: tuple[int, int] | None = None) -> tuple[np.ndarray, Hasher]:
+    """Positions of the anchors of all windows (or of those that start in a range) that lie inside one text.
+
+    33 bits of a hash decide, then the place from the left, so equal windows have their anchor
+    at one place whatever they are read with.
+    """
     hasher = Hasher(data)
     n, width = len(data) - gram + 1, length - gram + 1
     sizes = np.diff(offsets)
     if n < width or not (sizes >= length).any():
         return np.zeros(0, np.int64), hasher
     at = np.arange(n)
-    bits = np.uint64(int(n).bit_length())
+    bits = np.uint64(31)
     keys = (hasher(at, at + gram) >> bits << bits) | at.astype(np.uint64)
     padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
     padded[:n] = keys
@@ -46,24 +55,42 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
     inside = np.repeat(offsets[1:], sizes)[: len(least)] >= np.arange(len(least)) + length
+    if windows:
+        inside[: windows[0]] = inside[windows[1] :] = False
     return np.unique((least[inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)), hasher
 
 
 class Sites:
     """Anchors of a batch of texts with what surrounds them, as far as a window with the anchor reaches."""
 
-    def __init__(self, column: pa.Array, length: int, gram: int):
-        self.data, offsets = buffers(column)
-        at, hasher = anchors(self.data, offsets, length, gram)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int, windows: tuple[int, int] | None = None, before: int = 0, after: int = 0, behind: int = -1):
+        """``before`` and ``after``: bytes of the one text that are not here; only anchors past ``behind`` count."""
+        at, hasher = anchors(data, offsets, length, gram, windows)
+        at = at[at > behind]
+        self.data, self.hasher = data, hasher
         self.doc = np.searchsorted(offsets, at, "right") - 1
-        self.at = at - offsets[self.doc]
-        self.left = np.minimum(at - offsets[self.doc], length - gram)
-        self.right = np.minimum(offsets[self.doc + 1] - at, length)
+        self.at = at - offsets[self.doc] + before
+        self.left = np.minimum(self.at, length - gram)
+        self.right = np.minimum(offsets[self.doc + 1] - at + after, length)
         self.start, self.end = at - self.left, at + self.right
         self.gram = hasher(at, at + gram).view(np.int64)
         around = hasher(self.start, self.end) + (self.left * 65536 + self.right).astype(np.uint64)
         self.around = mix(around).view(np.int64)
-        self.hasher = hasher
+
+    @classmethod
+    def of(cls, column: pa.Array, length: int, gram: int) -> Iterator[Sites]:
+        """The sites of a batch; those of a single long text in several pieces."""
+        data, offsets = buffers(column)
+        if len(offsets) != 2 or len(data) <= LONG:
+            yield cls(data, offsets, length, gram)
+            return
+        last = -1  # anchors of later windows never lie further to the left
+        for a in range(0, len(data) - length + 1, LONG):
+            low, high = max(0, a - length), min(len(data), a + LONG + 2 * length)
+            part = data[low:high]
+            sites = cls(part, np.array([0, len(part)]), length, gram, (a - low, a - low + LONG), low, len(data) - high, last - low)
+            last = max(last, int(sites.at.max(initial=-1)))
+            yield sites
 
     def __len__(self) -> int:
         return len(self.at)
@@ -124,17 +151,13 @@ def scan(grams: np.ndarray, lefts: list[bytes], rights: list[bytes], length: int
     return reach_left[back], reach_right[back]
 
 
-def _bitmap(rows: DataFrame) -> np.ndarray:
+def _filter(rows: DataFrame) -> np.ndarray:
     """A filter of fixed size over the hashes in column around."""
-    words = _bit_words(rows, "around", FILTER_BITS).toArrow()
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bitmap[words["__word"].to_numpy()] = words["__bits"].to_numpy()
-    return bitmap
+    return bitmap_of(rows, "around", FILTER_BITS)
 
 
 def _in(bitmap: np.ndarray, around: np.ndarray) -> np.ndarray:
-    slot = around & ((1 << FILTER_BITS) - 1)
-    return (bitmap[slot >> 6] >> (slot & 63)) & 1 == 1
+    return in_bitmap(bitmap, around & ((1 << FILTER_BITS) - 1))
 
 
 def repeated(docs: DataFrame, length: int = 400, gram: int = GRAM, text_col: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -162,31 +185,33 @@ def repeated(docs: DataFrame, length: int = 400, gram: int = GRAM, text_col: str
 
     def sites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            s = Sites(batch.column(0), length, gram)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.gram), pa.array(s.around), batch.column(1).take(pa.array(s.doc)), *(pa.array(x.astype(np.int32)) for x in (s.at, s.left, s.right))],
-                ["gram", "around", "digest", "at", "left", "right"],
-            )
+            for s in Sites.of(batch.column(0), length, gram):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(s.gram), pa.array(s.around), batch.column(1).take(pa.array(s.doc)), pa.array(s.at), *(pa.array(x.astype(np.int32)) for x in (s.left, s.right))],
+                    ["gram", "around", "digest", "at", "left", "right"],
+                )
 
-    found = materialise(texts.mapInArrow(sites, "gram long, around long, digest binary, at int, left int, right int"), "anchors")
+    found = materialise(texts.mapInArrow(sites, "gram long, around long, digest binary, at long, left int, right int"), "anchors")
     kinds = found.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.max("left").alias("left"), F.max("right").alias("right"))
     kinds = materialise(kinds, "kinds")
     several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).filter("all > 1")
     kinds = materialise(kinds.join(several.select("gram", "kinds"), "gram"), "repeated-kinds")
     copies = kinds.filter((F.col("n") > 1) & (F.col("left") + F.col("right") >= length)).select("gram", "around", "left", "right")
 
-    mixed = spark.sparkContext.broadcast(_bitmap(kinds.filter((F.col("kinds") > 1) & (F.col("kinds") <= group_rows))))
+    mixed = spark.sparkContext.broadcast(_filter(kinds.filter((F.col("kinds") > 1) & (F.col("kinds") <= group_rows))))
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches, "text"):
-            s = Sites(batch.column(0), length, gram)
-            own = [k for k in np.flatnonzero(_in(mixed.value, s.around)) if s.around[k] not in seen and not seen.add(s.around[k])]
-            raw = s.data.tobytes() if own else b""
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.gram[own]), pa.array(s.around[own]), pa.array(s.left[own].astype(np.int32)), pa.array([raw[s.start[k] : s.end[k]] for k in own], pa.binary())],
-                ["gram", "around", "left", "bytes"],
-            )
+            for s in Sites.of(batch.column(0), length, gram):
+                if len(seen) > SENT:
+                    seen.clear()
+                own = [k for k in np.flatnonzero(_in(mixed.value, s.around)) if s.around[k] not in seen and not seen.add(s.around[k])]
+                raw = s.data.tobytes() if own else b""
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(s.gram[own]), pa.array(s.around[own]), pa.array(s.left[own].astype(np.int32)), pa.array([raw[s.start[k] : s.end[k]] for k in own], pa.binary())],
+                    ["gram", "around", "left", "bytes"],
+                )
 
     def extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
@@ -219,9 +244,15 @@ def repeated(docs: DataFrame, length: int = 400, gram: int = GRAM, text_col: str
     if crowded.limit(1).count():
         reach = reach.unionByName(_counted(only, crowded, length, gram))
     reach = reach.groupBy("gram", "around").agg(F.max("left").alias("l"), F.max("right").alias("r"))
+    # equal surroundings that come very often are dealt to many tasks, each with a row of their extents
+    hot = materialise(bit_words(kinds.filter(F.col("n") > HOT_ROWS), "around", FILTER_BITS), "hot-bits")
+    salts = F.array(*map(F.lit, range(SALTS)))
+    extent = with_bit(reach, "around", hot, FILTER_BITS, "hot")
+    extent = extent.select("gram", "around", "l", "r", F.explode(F.when(F.col("hot"), salts).otherwise(F.array(F.lit(0)))).alias("salt"))
+    place = with_bit(found.select("gram", "around", "digest", "at"), "around", hot, FILTER_BITS, "hot")
+    place = place.withColumn("salt", F.when(F.col("hot"), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0))
     spans = (
-        found.select("gram", "around", "digest", "at")
-        .join(reach, ["gram", "around"])
+        place.join(extent, ["gram", "around", "salt"])
         .groupBy("digest")
         .agg(F.collect_set(F.struct((F.col("at") - F.col("l")).alias("start"), (F.col("at") + F.col("r")).alias("end"))).alias("spans"))
     )
@@ -233,14 +264,17 @@ def repeated(docs: DataFrame, length: int = 400, gram: int = GRAM, text_col: str
 
 def _counted(only: DataFrame, crowded: DataFrame, length: int, gram: int) -> DataFrame:
     """Extents from windows whose hash occurs twice or more among those of the crowded grams."""
-    wanted = only.sparkSession.sparkContext.broadcast(_bitmap(crowded))
+    wanted = only.sparkSession.sparkContext.broadcast(_filter(crowded))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches, "text"):
-            s = Sites(batch.column(0), length, gram)
-            for k in np.flatnonzero(_in(wanted.value, s.around)):
-                if s.around[k] not in seen:
+            for s in Sites.of(batch.column(0), length, gram):
+                if len(seen) > SENT:
+                    seen.clear()
+                for k in np.flatnonzero(_in(wanted.value, s.around)):
+                    if s.around[k] in seen:
+                        continue
                     seen.add(s.around[k])
                     shift = np.arange(-s.left[k], s.right[k] - length + 1)
                     at = s.start[k] + s.left[k] + shift
