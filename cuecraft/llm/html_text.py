@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from .boosting import Trees, boost
 from .common import _quoted, replaced, slices
 
-#: Pages whose text runs fill the training layouts, the most of each in code points, layouts drawn.
-SAMPLE_PAGES, SAMPLE_CHARS, LAYOUTS = 200, 20000, 700
+#: Pages whose text runs fill the training layouts, the most runs of each (evenly over the page), code points of a run, layouts drawn.
+SAMPLE_PAGES, SAMPLE_RUNS, RUN_CHARS, LAYOUTS = 200, 64, 4000, 700
 
 # Elements of HTML by what they are to the extractor.
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -33,7 +33,7 @@ KINDS = (
     ("body", "html"), ("figure", "figcaption", "details", "summary", "address", "dialog", "center", "hgroup", "search"),
 )
 BLOCKS = {tag: k for k, tags in enumerate(KINDS) for tag in tags}
-HIDDEN = frozenset(("head", "script", "style", "template", "noscript", "iframe", "svg", "math", "object", "select", "button", "textarea", "canvas", "audio", "video", "datalist", "title"))
+HIDDEN = frozenset(("script", "style", "template", "noscript", "iframe", "svg", "math", "object", "select", "button", "textarea", "canvas", "audio", "video", "datalist", "title"))
 RAW = frozenset(("script", "style", "textarea", "title", "iframe"))
 VOID = frozenset(("br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"))
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
@@ -54,23 +54,31 @@ TOKENS = (
 GROUP = {word: k for k, words in enumerate(TOKENS) for word in words.split()}
 INSIDE = tuple(BLOCKS[t] for t in ("article", "main", "nav", "header", "footer", "aside", "form"))
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>?", re.S)
-_ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style|data-k)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?", re.I)
+#: Possessive, so that no part is read twice: a quote counts after an equals sign only.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTR = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+")
+_CLOSING = re.compile("</(" + "|".join(sorted(HIDDEN)) + r")(?=[\s/>])", re.I | re.A)
 _WORD = re.compile(r"[a-z]+")
 _MARKS = re.compile(r"[.,;:!?]")
 
 
 class Page:
-    """Nodes of one page in document order, and its text runs with the node each belongs to."""
+    """Nodes of one page in document order, and its text runs with the node each belongs to.
 
-    def __init__(self, source: str):
+    Read in one pass whose time grows with the length alone, whatever the markup. ``marked``:
+    attributes data-k hold labels of training layouts; real pages' are not looked at.
+    """
+
+    def __init__(self, source: str, marked: bool = False):
         self.parent, self.kind, self.depth, self.groups, self.hidden, self.label = [-1], [BLOCKS["body"]], [0], [0], [0], [None]
         self.tags, self.runs, self.owner = ["body"], [], []
         self.text, self.linked, self.marks, self.inner = [0], [0], [0], [0]
+        self._marked = marked
         self._parse(source)
 
     def _flush(self, parts: list[str], links: int, node: int) -> None:
-        run = " ".join(html.unescape("".join(parts)).split())
+        run = " ".join("".join(parts).split())
         if run:
             self.runs.append(run)
             self.owner.append(node)
@@ -82,13 +90,13 @@ class Page:
         groups, hidden, label = 0, 0, None
         for name, value in _ATTR.findall(attributes) if attributes.strip() else ():
             name, value = name.lower(), value.strip("\"'").lower()
-            if name == "data-k":
+            if name == "data-k" and self._marked:
                 label = int(value)
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                 hidden = 1
             elif name == "style":
                 hidden |= "display:none" in value.replace(" ", "")
-            else:
+            elif name in ("class", "id", "role", "itemprop"):
                 for word in _WORD.findall(value):
                     if word in GROUP:
                         groups |= 1 << GROUP[word]
@@ -99,68 +107,110 @@ class Page:
             held.append(value)
         return len(self.parent) - 1
 
+    @staticmethod
+    def _tag_at(source: str, at: int) -> re.Match | None:
+        """The tag that begins there; one with a quote that nothing closes ends at the next >."""
+        return _TAG.match(source, at) or _NAME.match(source, at)
+
+    @staticmethod
+    def _behind(source: str, at: int) -> int:
+        """Past the comment or declaration that begins there."""
+        if source.startswith("<!--", at):
+            if source.startswith((">", "->"), at + 4):
+                return source.index(">", at) + 1
+            end = source.find("-->", at + 4)
+            return len(source) if end < 0 else end + 3
+        end = source.find(">", at)
+        return len(source) if end < 0 else end + 1
+
     def _parse(self, source: str) -> None:
-        stack, parts, links, link, skip, at = [0], [], 0, 0, 0, 0
-        lower = None
-        end = len(source)
+        stack, open_at, scopes = [0], {}, [0]  # open nodes; for each tag and for the scopes their places in the stack
+        parts, links, link, at, end = [], 0, 0, 0, len(source)
+        hidden, hiding, last = [], {}, None  # open hidden elements, how many of each, where each is closed for the last time
+
+        def pop() -> str:
+            tag = self.tags[stack.pop()]
+            open_at[tag].pop()
+            if tag in SCOPES:
+                scopes.pop()
+            return tag
+
+        def flush() -> None:
+            nonlocal parts, links
+            self._flush(parts, links, stack[-1])
+            parts, links = [], 0
+
         while at < end:
-            found = _TAG.search(source, at)
-            piece = source[at : found.start() if found else end]
-            if piece and not skip:
+            begin = source.find("<", at)
+            sign = source[begin + 1 : begin + 3] if begin >= 0 else ""
+            tagged = sign[:1].isalpha() if sign[:1] != "/" else sign[1:].isalpha()
+            markup = begin >= 0 and (tagged or sign[:1] in ("!", "?", "/"))
+            stop = end if begin < 0 else begin if markup else begin + 1
+            if stop > at and not hidden:
+                piece = html.unescape(source[at:stop])
                 parts.append(piece)
                 links += len(piece) * (link > 0)
-            if not found:
-                break
-            at = found.end()
-            tag = found[2]
-            if tag is None:
+            at = stop
+            if not markup:
+                continue
+            found = self._tag_at(source, begin) if tagged else None
+            if found is None:
+                at = end if tagged and source.find(">", begin) < 0 else begin + 1 if tagged else self._behind(source, begin)
                 continue
-            tag, closing = tag.lower(), bool(found[1])
+            at = found.end()
+            tag, closing = found[2].lower(), bool(found[1])
             if tag in HIDDEN:
                 if closing:
-                    skip = max(0, skip - 1)
-                elif tag in RAW:
-                    lower = lower or source.lower()
-                    stop = lower.find(f"</{tag}", at)
-                    stop = end if stop < 0 else source.find(">", stop)
+                    while hiding.get(tag):
+                        inner = hidden.pop()
+                        hiding[inner] -= 1
+                        if inner == tag:
+                            break
+                    continue
+                if tag in RAW:
+                    close = re.compile(f"</{tag}(?=[\\s/>])", re.I | re.A).search(source, at)
+                    stop = source.find(">", close.end()) if close else -1
                     at = end if stop < 0 else stop + 1
-                    parts.append(" ")
-                elif not found[3].rstrip().endswith("/"):
-                    skip += 1
-                if tag == "head" and closing:
-                    skip = 0
+                    continue
+                if last is None:
+                    last = {m[1].lower(): m.start() for m in _CLOSING.finditer(source)}
+                # one that nothing closes hides nothing
+                if not found[3].rstrip().endswith("/") and last.get(tag, -1) >= at:
+                    hidden.append(tag)
+                    hiding[tag] = hiding.get(tag, 0) + 1
                 continue
             if tag == "body":
-                skip = 0
+                hidden.clear()
+                hiding.clear()
                 continue
-            if skip or tag == "html":
+            if hidden or tag in ("html", "head"):
                 continue
             if tag == "a":
                 link = max(0, link - 1) if closing else link + 1
-            if tag in VOID:
+            if tag == "br":
                 parts.append(" ")
+            elif tag == "hr":
+                flush()
             if tag not in BLOCKS:
                 self.inner[stack[-1]] += not closing
                 continue
-            self._flush(parts, links, stack[-1])
-            parts, links = [], 0
+            flush()
             if closing:
-                if any(self.tags[n] == tag for n in stack[1:]):
-                    while self.tags[stack.pop()] != tag:
+                if open_at.get(tag):
+                    while pop() != tag:
                         pass
                 continue
             if tag in CLOSED_BY:
-                for k in range(len(stack) - 1, 0, -1):
-                    open_tag = self.tags[stack[k]]
-                    if open_tag in CLOSED_BY[tag]:
-                        del stack[k:]
-                        break
-                    if open_tag in SCOPES:
-                        break
+                above = [x[-1] for t in CLOSED_BY[tag] if (x := open_at.get(t)) and x[-1] > scopes[-1]]
+                while above and len(stack) > min(above):
+                    pop()
             elif len(stack) > 1 and (self.tags[stack[-1]] == "p" or (self.tags[stack[-1]] in HEADINGS and tag in HEADINGS)):
-                stack.pop()
+                pop()
+            open_at.setdefault(tag, []).append(len(stack))
+            if tag in SCOPES:
+                scopes.append(len(stack))
             stack.append(self._open(tag, found[3], stack[-1]))
-        self._flush(parts, links, stack[-1])
+        flush()
 
     def features(self) -> np.ndarray:
         n = len(self.parent)
@@ -303,7 +353,7 @@ def train(runs: list[str], layouts: int = LAYOUTS, seed: int = 5) -> Trees:
     runs = runs or ["word " * 12]
     xs, ys = [], []
     for _ in range(layouts):
-        page = Page(_layout(random, runs))
+        page = Page(_layout(random, runs), marked=True)
         labels = [1.0]
         for k in range(1, len(page.parent)):
             labels.append(labels[page.parent[k]] if page.label[k] is None else float(page.label[k]))
@@ -312,12 +362,24 @@ def train(runs: list[str], layouts: int = LAYOUTS, seed: int = 5) -> Trees:
     return boost(np.concatenate(xs), np.concatenate(ys))
 
 
-def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", rows: int = SAMPLE_PAGES) -> Trees:
-    """Trees trained with the text runs of at most ``rows`` pages, taken by hash."""
-    short = pages.select(_quoted(id_col).alias("id"), _quoted(html_col).alias("html")).filter(F.length("html") <= SAMPLE_CHARS)
-    ids = short.select("id").orderBy(F.xxhash64("id"), "id").limit(rows)  # ids alone are sorted, then their pages read
-    picked = short.join(F.broadcast(ids.distinct()), "id").orderBy("id").limit(rows).select("html").collect()
-    return train([run for row in picked for run in Page(row["html"]).runs])
+def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", rows: int = SAMPLE_PAGES, runs: int = SAMPLE_RUNS, chars: int = RUN_CHARS) -> Trees:
+    """Trees trained with text runs of at most ``rows`` pages of any length, taken by hash.
+
+    Tasks parse the pages; of each at most ``runs`` runs, evenly over the page, of ``chars``
+    code points at most come to the driver. Without pages the layouts hold a filler.
+    """
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = Page(source or "").runs
+                found = [x[:chars] for x in found[:: max(1, -(-len(found) // runs))]]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array(found, pa.string())], ["key", "run"])
+
+    keyed = pages.select(_quoted(id_col).alias("id"), F.xxhash64(_quoted(id_col)).alias("key"), _quoted(html_col).alias("html"))
+    ids = keyed.select("id", "key").orderBy("key", "id").limit(rows)  # ids alone are sorted, then their pages read
+    picked = keyed.join(F.broadcast(ids.select("key").distinct()), "key").select("key", "html").mapInArrow(sample, "key long, run string")
+    return train([row["run"] for row in picked.orderBy("key", "run").limit(rows * runs).collect()])
 
 
 def extract_text(pages: DataFrame, trees: Trees, html_col: str = "html") -> DataFrame:
@@ -326,7 +388,9 @@ def extract_text(pages: DataFrame, trees: Trees, html_col: str = "html") -> Data
     Blocks of kept nodes in page order, joined by a line end; white space inside a block is
     one space, character references are decoded. Null and empty pages, and pages of
     boilerplate alone, have an empty text. Broken markup is read as browsers do, roughly: open elements
-    end with what holds them. Each page is read whole. Input columns called text or n_chars
+    end with what holds them, an unclosed script runs to the end of the page; but a hidden element
+    that nothing closes hides nothing, and a tag with an unclosed quote ends at the next >.
+    Each page is read whole. Repeated rows are extracted each. Input columns called text or n_chars
     are replaced; an empty table gives an empty result.
     """
     pages = replaced(pages, ["text", "n_chars"])
