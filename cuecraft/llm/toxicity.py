@@ -12,19 +12,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Hasher, Words, _quoted, mix, replaced, slices
+from .common import ALNUM, Hasher, Words, _quoted, materialise, mix, replaced, slices
 
-#: At most so many labelled rows, of at most so many code points each, train the model.
-TRAIN_ROWS, TRAIN_CHARS = 6000, 8192
+#: At most so many labelled rows, of so many code points together, train the model.
+TRAIN_ROWS, TRAIN_CHARS = 6000, 16_000_000
 #: Beginnings of words, in bytes, that are features beside the word itself.
 PREFIXES = (5, 6, 7, 8)
 TABLE_BITS = 18
 CHUNK = 64
 THRESHOLD = 0.3
+USUAL_WORDS = 200
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
 
 
@@ -114,7 +115,10 @@ class Chains:
 
 
 def summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """What the document score is made of: expected toxic tokens, their share, the surest one."""
+    """What the document score is made of: expected toxic tokens, their share, the surest one, the length against a usual one.
+
+    A text without words counts as one of usual length, so its score is that of texts without any sign.
+    """
     total = np.concatenate([[0], np.cumsum(p)])
     n = np.diff(first).astype(float)
     s = total[first[1:]] - total[first[:-1]]
@@ -123,7 +127,8 @@ def summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
         some = n > 0
         most[some] = np.maximum.reduceat(p, first[:-1][some])
     share = s / np.maximum(n, 1)
-    return np.stack([np.ones_like(n), np.log1p(s), most, np.sqrt(share), np.log1p(s) ** 2 / 4, np.log1p(n) / 8], axis=1)
+    size = np.where(n > 0, np.log1p(n) - np.log1p(USUAL_WORDS), 0)
+    return np.stack([np.ones_like(n), np.log1p(s), most, np.sqrt(share), np.log1p(s) ** 2 / 4, size / 8], axis=1)
 
 
 class Model:
@@ -230,10 +235,11 @@ def train(texts: pa.Array, toxic: np.ndarray, epochs: int = 4, batch: int = 128)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
-    """A model from at most ``rows`` labelled rows, taken by hash of the id.
+    """A model from at most ``rows`` labelled rows, taken by hash of the id, whole texts of any length.
 
-    Ids whose crc32 mod 4 is 2 are never used. Labels other than 0 and 1 and texts of more
-    than ``chars`` code points train nothing; without both labels every score is the same.
+    Together they have at most ``chars`` code points; texts of over a 64th of that come last.
+    Ids whose crc32 mod 4 is 2 are never used. Labels other than 0 and 1 and null texts
+    train nothing; without both labels every score is the same.
     """
     picked = (
         labels.filter(~held_out(_quoted(id_col)) & _quoted(label_col).isin(0, 1))
@@ -242,8 +248,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .orderBy(F.xxhash64("id"), "id")
         .limit(rows)
     )
-    texts = docs.select(_quoted(id_col).alias("id"), _quoted(text_col).alias("text")).filter(F.length("text") <= chars)
-    got = texts.join(F.broadcast(picked), "id").dropDuplicates(["id"]).orderBy("id").select("text", "label").toArrow()
+    texts = docs.select(_quoted(id_col).alias("id"), _quoted(text_col).alias("text")).filter("text IS NOT NULL")
+    sample = materialise(texts.join(F.broadcast(picked), "id").dropDuplicates(["id"]), "toxic-sample")
+    before = Window.orderBy(F.col("n") > chars // 64, F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sample.select("id", F.length("text").alias("n")).withColumn("total", F.sum("n").over(before))  # ``rows`` rows at most
+    kept = sample.join(F.broadcast(sizes.filter(F.col("total") <= chars).select("id")), "id")
+    got = kept.orderBy("id").select("text", "label").toArrow()
     return train(got["text"].combine_chunks(), got["label"].to_numpy().astype(np.int64))
 
 
@@ -256,7 +266,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
 
     The whole text is tagged; a span is a run of neighbouring words with marginals of a half
     or more and carries the largest. Null and empty texts have no spans and the score of no
-    words. Only the text is read. An empty table gives an empty result; input columns with
+    words. Only the text is read, so equal texts get equal scores. An empty table gives an empty result; input columns with
     the names of the results are replaced.
     """
     docs = replaced(docs, ["toxic_score", "toxic_spans"])

@@ -65,7 +65,9 @@ def test_similar(docs, monkeypatch, small):
     if small:
         monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 64)
         monkeypatch.setattr(ngram_join, "TILE_BYTES", 4096)
-        monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(ngram_join, "COLUMNS", 16)
+        monkeypatch.setattr(ngram_join, "CROWD", 2)
+        monkeypatch.setattr(ngram_join, "FREQUENT", 20)
     sets = []
     for i, t, _ in ROWS:
         w = words(t)
@@ -77,7 +79,7 @@ def test_similar(docs, monkeypatch, small):
                 if x and y and 100 * len(x & y) >= 85 * len(x | y):
                     low[a] = low[b] = min(low[a], low[b])
     want = sorted((i, len(s), low[k]) for k, (i, s) in enumerate(sets))
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in similar(docs).collect()) == want
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in similar(docs, 85, 4).collect()) == want
     assert similar(none_of(docs)).count() == 0
 
 
@@ -89,7 +91,7 @@ def test_similar_in_a_crowd(spark):
         for k in rng.choice(120, rng.integers(0, 4), replace=False):
             w[k] = f"u{i}x{k}"
         rows.append((i, " ".join(w)))
-    got = {r.doc_id: r.component_id for r in similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in similar(spark.createDataFrame(rows, "doc_id long, text string"), 85, 4).collect()}
     sets = [{tuple(t.split()[k : k + 4]) for k in range(117)} for _, t in rows]
     low = list(range(150))
     for _ in range(6):
@@ -141,7 +143,7 @@ def test_packing(docs):
     encoder = Encoder(path, True)
     ids = defaultdict(list)
     for i, t, _ in ROWS:
-        ids[i].append(np.frombuffer(encoder.encode([t or ""])[0], "<u2").astype("<u4").tolist() + [1])
+        ids[i].append(encoder.encode(pa.array([t], pa.string()), end=1)[0].tolist())
     rows = pack(docs, path, capacity=capacity, tail=16).collect()
     places, tokens = defaultdict(list), Counter()
     for r in rows:
@@ -168,7 +170,7 @@ def test_token_files(docs, tmp_path):
     path = tokenizer_path("word_bpe_49k.json")
     encoder = Encoder(path, False)
     rows = rans.read_ids(rans.write_ids(docs, f"file://{tmp_path}", path), keep_ids=True).collect()
-    want = sorted((i, np.frombuffer(encoder.encode([t or ""])[0], "<u2").tolist() + [1]) for i, t, _ in ROWS)
+    want = sorted((i, encoder.encode(pa.array([t], pa.string()), end=1)[0].tolist()) for i, t, _ in ROWS)
     assert sorted((r.doc_id, list(r.ids)) for r in rows) == want
     starts = sorted((r.start, r.n_tokens) for r in rows)
     assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
@@ -295,31 +297,94 @@ def test_decoding_keeps_no_child_of_a_dropped_node():
     assert not any(kept[k] and not kept[page.parent[k]] for k in range(1, len(kept)))
 
 
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, sizes = docs.columns, [docs.count()]
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF).cache()
+def shingled(t, n):
+    w = words(t)
+    return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def contaminated_brute(t, windows):
+    d, hit = words(t, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), set()
+    for n, own in windows.items():
+        for k in range(len(d) - n + 1):
+            if tuple(d[k : k + n]) in own:
+                hit |= set(range(k, k + n))
+    return bool(hit) and 20 * len(hit) >= len(d)
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """Every stage against brute force over what it reads; nulls, empty texts, repeated rows and columns of other names included."""
+    folder = str(tmp_path / "sf")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"kept": F.lit("x"), "n_hit": F.lit(1)})
+    odd = [(-1, None), (-2, ""), (-3, " \n"), (-4, LOREM), (-4, LOREM), (-5, LOREM + " one more"), (None, "no id at all")]
+    extra = spark.createDataFrame(odd, "doc_id long, text string").withColumns({c: F.lit(None).cast(t) for c, t in docs.dtypes if c not in ("doc_id", "text")})
+    docs.unionByName(extra).write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    windows = defaultdict(set)
+    for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect():
+        w = words(r.text, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+        n = min(13, len(w))
+        windows[n] |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
+
+    def toxicity(rows):
+        """By the scores of the same model; what is clean or has no words stays."""
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        scores = score_toxicity(docs, fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))).collect()
+        kept = [r.doc_id for r in scores if r.toxic_score < 0.3]
+        clean = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").filter("toxic = 0").collect()}
+        assert {-1, -2, -3} <= set(kept) and len(clean - set(kept)) <= 0.02 * len(rows)
+        return kept
+
+    def exact(rows):
+        best = {}
+        for r in rows:
+            key, rank = re.sub(r"[\x20\x09-\x0d]", "", r.text or ""), (-len(r.text or ""), r.doc_id is not None, r.doc_id or 0)
+            best[key] = min(best.get(key, (rank, r.doc_id)), (rank, r.doc_id))
+        return [r.doc_id for r in rows if best[re.sub(r"[\x20\x09-\x0d]", "", r.text or "")][1] == r.doc_id]
+
+    def near(rows):
+        sets = [shingled(r.text, 5) for r in rows]
+        low = list(range(len(rows)))
+
+        def root(k):
+            while low[k] != k:
+                k = low[k]
+            return k
+
+        holders = defaultdict(list)
+        for k, s in enumerate(sets):
+            for g in s:
+                holders[g].append(k)
+        pairs = Counter((a, b) for own in holders.values() for a in own for b in own if a < b)
+        for (a, b), n in pairs.items():
+            if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                low[max(root(a), root(b))] = min(root(a), root(b))
+        least = {}
+        for k, r in enumerate(rows):
+            if r.doc_id is not None:
+                least[root(k)] = min(least.get(root(k), r.doc_id), r.doc_id)
+        return [r.doc_id for k, r in enumerate(rows) if r.doc_id is None or least[root(k)] == r.doc_id]
+
+    def clean(rows):
+        return [r.doc_id for r in rows if not contaminated_brute(r.text, windows)]
+
+    docs, order = spark.read.parquet(f"{folder}/documents.parquet"), lambda ids: sorted(ids, key=lambda x: (x is not None, x or 0))
+    for (name, stage), want in zip(corpus_pipeline.STAGES[:-1], (toxicity, exact, near, clean), strict=True):
+        rows, columns = docs.collect(), docs.columns
+        docs = stage(spark, docs, folder)
         assert docs.columns == columns
-        sizes.append(docs.count())
-    assert sizes == sorted(sizes, reverse=True) and sizes[-1] > sizes[0] / 2
-    assert exact_dedup(docs).filter("NOT kept").count() == 0
-    assert similar(docs).filter("doc_id <> component_id").count() == 0
-    packed = corpus_pipeline.run(spark, SF)
-    assert packed.select("doc_id").distinct().count() == sizes[-1]
+        docs.write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        got = [r.doc_id for r in docs.collect()]
+        got_ids = set(got)
+        assert order(got) == order(want(rows)), name
+        assert len(got) > len(rows) / 2
+        assert stage(spark, docs.filter("false"), folder).count() == 0
+    packed = corpus_pipeline.run(spark, folder)
+    assert packed.select("doc_id").distinct().count() == len(got_ids)
     assert packed.agg(F.sum("length")).first()[0] == packed.select("doc_id", "doc_tokens").distinct().agg(F.sum("doc_tokens")).first()[0]
 
 
-def test_encoder_equals_the_tokenizer():
-    from tokenizers import Tokenizer
-
-    texts = ["", " ", "a  b", "It's İ. x", "end.\n\nNew  line \n x", "ééé, ñ", "tab\tx", "\x00 a", "don't stop. Now"]
-    for name, keep in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
-        plain = Tokenizer.from_file(tokenizer_path(name))
-        got = [np.frombuffer(x, "<u2").tolist() for x in Encoder(tokenizer_path(name), keep).encode(texts)]
-        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
-
-
 def test_buffers_of_slices():
     from cuecraft.llm.common import Words
 
@@ -370,3 +435,128 @@ def test_trainers_take_their_documents_in_bounded_windows(monkeypatch):
     assert index.size <= 6200
     assert sorted(index[index >= 0]) == list(range(first[-1]))
     assert lm.score_tokens(made, symbols.astype(np.int32), first).sum() > lm.score_tokens(start, symbols.astype(np.int32), first).sum()
+
+
+def test_marginals_equal_enumeration(monkeypatch):
+    import itertools
+
+    from cuecraft.llm import toxicity
+
+    rng = np.random.default_rng(4)
+    for chunk in (2, 3, 64):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        sizes = [5, 0, 1, 7, 2]
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        score, trans = rng.normal(0, 2, first[-1]), rng.normal(0, 1, (2, 2))
+        got, pairs = toxicity.Chains(first).marginals(score, trans)
+        want, moves = np.zeros(first[-1]), np.zeros((2, 2))
+        for d, n in enumerate(sizes):
+            own, total, sums, steps = score[first[d] : first[d + 1]], 0.0, np.zeros(n), np.zeros((2, 2))
+            for tags in itertools.product((0, 1), repeat=n):
+                before = (0, *tags[:-1])
+                weight = math.exp(sum(own[k] * y + trans[b, y] for k, (b, y) in enumerate(zip(before, tags, strict=False))))
+                total += weight
+                sums += weight * np.array(tags)
+                for b, y in zip(before, tags, strict=False):
+                    steps[b, y] += weight
+            if n:
+                want[first[d] : first[d + 1]] = sums / total
+                moves += steps / total
+        assert got == pytest.approx(want) and pairs == pytest.approx(moves)
+
+
+def test_long_labelled_texts_train(spark):
+    rows = [(i, ("plain words here " * 900 + ("vile scoundrel " if i % 3 == 0 else "kind person ") + "and more text " * 900)) for i in range(120)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    model = fit(docs.withColumn("text", F.concat("text", F.col("doc_id").cast("string"))), labels)
+    got = score_toxicity(spark.createDataFrame([(0, "a vile scoundrel came"), (1, "a kind person came"), (1, "a kind person came")], "doc_id long, text string"), model).collect()
+    by = sorted((r.text, r.toxic_score) for r in got)
+    assert by[0][1] == by[1][1] < by[2][1]
+
+
+def test_scores_equal_a_plain_loop():
+    from cuecraft.llm import lm
+
+    rng, sizes = np.random.default_rng(9), np.array([4, 0, 70, 1, 200])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    symbols = rng.integers(0, lm.BEGIN, first[-1]).astype(np.int32)
+    h, c, w = lm.HIDDEN, lm.CLASSES, lm.WORDS
+    shapes = {"x": (lm.BEGIN + 1, 3 * h), "u": (h, 3 * h), "c": (h, c + lm.ENDINGS), "cb": (c + lm.ENDINGS,), "w": (c, h, w), "wb": (c, w)}
+    p = {k: rng.normal(0, 0.3, s).astype(np.float32) for k, s in shapes.items()}
+    got = lm.score_tokens(p, symbols, first, lanes=3, window=16)
+    sigmoid = lambda a: 1 / (1 + np.exp(-a))
+    for d in range(len(sizes)):
+        state, before = np.zeros(h), lm.BEGIN
+        for k in range(first[d], first[d + 1]):
+            a, b = p["x"][before], state @ p["u"]
+            z, r = sigmoid(a[:h] + b[:h]), sigmoid(a[h : 2 * h] + b[h : 2 * h])
+            state = z * state + (1 - z) * np.tanh(a[2 * h :] + r * b[2 * h :])
+            s = int(symbols[k])
+            kind = s % c if s < c * w else c + s - c * w
+            logits = state @ p["c"] + p["cb"]
+            want = logits[kind] - np.log(np.exp(logits).sum())
+            if s < c * w:
+                inner = state @ p["w"][kind] + p["wb"][kind]
+                want += inner[s // c] - np.log(np.exp(inner).sum())
+            assert got[k] == pytest.approx(want, abs=1e-4)
+            before = s
+
+
+def test_pages_of_any_markup_take_linear_time():
+    import time
+
+    cases = {
+        '<p title="unclosed>r</p>': ["r"], "<p data-k=abc data-k>x</p>": ["x"], "a<wbr>b <img src=x>c<br>d": ["ab c d"], "<noscript>no</noscript>x<noscript>y<p>z": ["xy", "z"],
+        "<select><option>a<p>rest": ["a", "rest"], "<p>1 < 2 &lt; 4</p>": ["1 < 2 < 4"], "<ul><li>a<li>b<ul><li>c</ul><li>d</ul>e": ["a", "b", "c", "d", "e"],
+        "<table><tr><td>a<td>b<tr><td>c</table>d": ["a", "b", "c", "d"], "\u0130<title>x</title>ok<textarea>": ["\u0130ok"], "<a href='x>y'>l</a><!-- <p> -->m": ["lm"],
+    }
+    for source, runs in cases.items():
+        assert html_text.Page(source).runs == runs
+    for source in ("<a " * 350_000, "<div>" * 100_000, "<div>" * 50_000 + "</p>" * 50_000, "<div>" * 50_000 + "<li>x" * 50_000, "<button>" * 100_000 + "</button>", "<" * 500_000):
+        began = time.process_time()
+        html_text.Page(source)
+        assert time.process_time() - began < 8  # a third of a second to two where nothing else runs; quadratic reading takes minutes
+
+
+def test_held_out_layouts():
+    """Precision and recall of the words kept, over layouts that the trees have not seen."""
+    runs = [" ".join(f"word{k * j % 97}" for j in range(1, 4 + k % 40)) for k in range(1, 300)]
+    trees = html_text.train(runs, layouts=350, seed=1)
+    rng, kept, right, wanted = np.random.default_rng(77), 0, 0, 0
+    for _ in range(120):
+        page = html_text.Page(html_text._layout(rng, runs), marked=True)
+        truth = [True]
+        for k in range(1, len(page.parent)):
+            truth.append(truth[page.parent[k]] if page.label[k] is None else page.label[k] == 1)
+        got = page.decode(trees.margin(page.features()))
+        for run, node in zip(page.runs, page.owner, strict=True):
+            n = len(run.split())
+            kept, right, wanted = kept + n * got[node], right + n * (got[node] and truth[node]), wanted + n * truth[node]
+    assert right / kept > 0.95 and right / wanted > 0.95
+
+
+def test_extraction_of_odd_tables(spark):
+    assert html_text.fit(spark.createDataFrame([], "page_id long, html string")).margin(html_text.Page("<p>x</p>").features()).shape == (2,)
+    rows = [(1, "<article><p>Same text of a page here.</p></article>", "a"), (1, "<article><p>Same text of a page here.</p></article>", "a"), (2, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = html_text.extract_text(pages, html_text.fit(pages)).collect()
+    assert len(got) == 3 and got[0].asDict().keys() == {"page_id", "html", "text", "n_chars"}
+    assert len({r.text for r in got if r.html}) == 1
+
+
+def test_repeats_of_passages_of_many_lengths(spark, monkeypatch):
+    """Passages just under and over the length, in many documents and far into long ones, read in pieces."""
+    monkeypatch.setattr(repeats, "LONG", 1500)
+    monkeypatch.setattr(repeats, "HOT_ROWS", 3)
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(3, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(90)[:n] for n in (398, 399, 400, 401, 430)]
+    rows = [(i, text(30 + 40 * (i % 9)) + " " + passages[i % 5] + " " + text(5 + i), 0, 0) for i in range(40)]
+    rows += [(100, text(3000) + passages[4] + text(2000) + passages[2], 0, 0), (101, passages[3] * 3, 0, 0), (102, None, 0, 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, start int, digest int").repartition(5)
+    got = {r.doc_id: (bytes(r.kept), len(r.repeated_spans)) for r in repeats.repeated(table).collect()}
+    kept = repeated_brute([t for _, t, *_ in rows], 400)
+    for (i, t, *_), want in zip(rows, kept, strict=True):
+        assert got[i][0] == want
+        assert (got[i][1] == 0) == (len(want) == len((t or "").encode()))
