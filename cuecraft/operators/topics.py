@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuecraft.functions.text import is_niche_token, is_topic_token
+
 
 def bigram_counts(rows: DataFrame, blocked: list[str]) -> DataFrame:
     """Neighbouring tokens (video_id, tokens) that differ and of which none is blocked, counted."""
@@ -21,39 +23,78 @@ def keyword_hits(words: DataFrame, keywords: list[tuple[str, str]]) -> DataFrame
     return words.withColumn("keyword", clean).join(F.broadcast(known), "keyword").select("video_id", "word_idx", "niche")
 
 
-def niche_scores(tokens: DataFrame, niches: dict[str, tuple[str, str]]) -> DataFrame:
-    """Niche of each video (video_id, token): one and the root of its count for every keyword, three gates.
+def _dictionary(spark, niches: dict[str, tuple[str, str]]) -> DataFrame:
+    """niche, keyword, strong, several (words): a few hundred rows at most are sent to every task."""
+    rows = [(n, k.replace("_", " "), k in strong.split(), "_" in k) for n, (keys, strong) in niches.items() for k in keys.split()]
+    return F.broadcast(spark.createDataFrame(rows, "niche string, keyword string, strong boolean, several boolean"))
+
+
+def niche_scores(rows: DataFrame, niches: dict[str, tuple[str, str]]) -> DataFrame:
+    """Best two niches of each video (video_id, tokens), one row for every video with a keyword.
 
-    The best score must be 3 at least, hold a strong keyword and exceed the second by a
-    quarter; else the video is general. Keywords are a small dictionary that is broadcast.
+    A keyword of one word counts one and the root of its count, one of two words four if it is
+    there at all. Three gates: the best score must be 3 at least, hold a strong keyword and
+    exceed the second by a quarter; else the video is general. One pass over the tokens, folded
+    by video and keyword before the shuffle.
     """
-    rows = [(n, k, k in strong.split()) for n, (keys, strong) in niches.items() for k in keys.split()]
-    known = F.broadcast(tokens.sparkSession.createDataFrame(rows, "niche string, token string, strong boolean"))
-    counts = tokens.join(known, "token").groupBy("video_id", "niche", "token", "strong").agg(F.count(F.lit(1)).alias("n"))
-    scores = counts.groupBy("video_id", "niche").agg(F.round(F.sum(1 + F.sqrt("n")), 6).alias("score"), F.sum(F.when(F.col("strong"), F.col("n")).otherwise(0)).alias("strong"))
+    known = _dictionary(rows.sparkSession, niches)
+    held = F.transform("tokens", lambda t, k: F.array(t, F.concat(t, F.lit(" "), F.get("tokens", k + 1))))
+    seen = rows.select("video_id", F.explode(F.flatten(held)).alias("keyword")).join(known, "keyword")
+    seen = seen.filter(F.col("several") | is_niche_token(F.col("keyword")))
+    counts = seen.groupBy("video_id", "niche", "keyword", "strong", "several").agg(F.count(F.lit(1)).alias("n"))
+    points, hits = F.when(F.col("several"), 4.0).otherwise(1 + F.sqrt("n")), F.when(F.col("several"), 1).otherwise(F.col("n"))
+    scores = counts.groupBy("video_id", "niche").agg(F.round(F.sum(points), 6).alias("score"), F.sum(F.when(F.col("strong"), hits).otherwise(0)).alias("strong"))
     best = scores.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "niche", "strong"))).alias("r"))  # a row per niche
     top, second = F.get("r", F.lit(0)), F.coalesce(-F.get("r", F.lit(1))["s"], F.lit(0.0))
     passed = (-top["s"] >= 3) & (top["strong"] >= 1) & (-top["s"] >= 1.25 * second)
     return best.select("video_id", F.when(passed, top["niche"]).otherwise("general").alias("niche"), (-top["s"]).alias("score"), second.alias("second"))
 
 
-def topic_phrases(rows: DataFrame, limit: int = 8, keep: int = 200) -> DataFrame:
-    """Topics (video_id, topics) of token arrays (video_id, tokens): words by the root of their count, repeated pairs more.
+def phrase_overlap(a: Column, b: Column) -> Column:
+    """Two phrases share a word, or words of three letters or more of which one begins the other."""
+    same = lambda x, y: (x == y) | ((F.length(x) > 2) & (F.length(y) > 2) & (F.startswith(x, y) | F.startswith(y, x)))
+    return F.exists(F.split(a, " "), lambda x: F.exists(F.split(b, " "), lambda y: same(x, y)))
+
 
-    Counts are groups over (video, phrase); the ``keep`` best phrases of a video, more than
-    the limit can reach past overlaps, go to a fold that drops phrases of the same subject.
+def topic_phrases(rows: DataFrame, limit: int = 8, least: float = 0.9) -> DataFrame:
+    """Topics (video_id, topics, scores) of token arrays (video_id, tokens).
+
+    Words count the root of their number, neighbouring pairs 1.5 if they repeat and .4 else,
+    the word after a pair's first place makes a phrase of three with half of the pair's weight
+    (so it takes a lower bound ``least`` to show). The best phrases, the shorter and then the
+    earlier in the alphabet of equals, that overlap none taken before stay. Tokens are judged
+    once, words and pairs are counted in one aggregation, and the fold sees all phrases of a
+    video at or above the bound.
     """
-    from cuecraft.functions.text import is_topic_token
-
-    usable = F.transform("tokens", lambda t: F.when(is_topic_token(t), t))
-    rows = rows.withColumn("u", usable)
-    singles = rows.select("video_id", F.explode("u").alias("phrase")).filter("phrase IS NOT NULL").groupBy("video_id", "phrase").agg(F.sqrt(F.count(F.lit(1))).alias("score"))
-    pair = F.transform("u", lambda t, k: F.when(t.isNotNull() & F.get("u", k + 1).isNotNull() & (t != F.get("u", k + 1)), F.concat_ws(" ", t, F.get("u", k + 1))))
-    pairs = rows.select("video_id", F.explode(pair).alias("phrase")).filter("phrase IS NOT NULL").groupBy("video_id", "phrase").agg(F.when(F.count(F.lit(1)) >= 2, 1.5).otherwise(0.4).alias("score"))
-    ranked = singles.unionByName(pairs).filter("score >= 0.9").withColumn("r", F.struct((-F.col("score")).alias("s"), F.length("phrase").alias("n"), "phrase"))
-    best = ranked.groupBy("video_id").agg(F.slice(F.array_sort(F.collect_list("r")), 1, keep).alias("r"))
+    u = F.transform("tokens", lambda t: F.when(is_topic_token(t), t))
+    rows = rows.select("video_id", u.alias("u"))
+    after = lambda k, n: F.get("u", k + n)
+    pair = lambda t, k: F.when(t != after(k, 1), F.concat(t, F.lit(" "), after(k, 1)))
+    item = lambda phrase, k, third, two: F.struct(phrase.alias("phrase"), k.alias("k"), third.alias("third"), F.lit(two).alias("two"))
+    none = F.lit(None).cast("string")
+    items = F.flatten(F.transform("u", lambda t, k: F.array(item(t, k, none, False), item(pair(t, k), k, after(k, 2), True))))
+    counts = rows.select("video_id", F.explode(items).alias("i")).select("video_id", "i.*").filter("phrase IS NOT NULL").groupBy("video_id", "phrase", "two")
+    third = F.min_by("third", "k") if least <= 0.75 else none
+    counts = counts.agg(F.count(F.lit(1)).alias("n"), third.alias("third"))
+    score = F.when(F.col("two"), F.when(F.col("n") >= 2, 1.5).otherwise(0.4)).otherwise(F.sqrt("n"))
+    phrases = counts.withColumn("score", score)
+    if least <= 0.75:
+        longer = phrases.filter(F.col("third").isNotNull() & ~F.array_contains(F.split("phrase", " "), F.col("third")))
+        phrases = phrases.select("video_id", "phrase", "score").unionByName(longer.select("video_id", F.concat_ws(" ", "phrase", "third").alias("phrase"), (F.col("score") / 2).alias("score")))
+    ranked = phrases.filter(F.col("score") >= least).select("video_id", F.struct((-F.col("score")).alias("s"), F.length("phrase").alias("n"), "phrase").alias("r"))
+    best = ranked.groupBy("video_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    empty = F.expr("cast(array() AS array<struct<s:double,n:int,phrase:string>>)")
+    taken = lambda done, x: (F.size(done) >= limit) | F.exists(done, lambda d: phrase_overlap(d["phrase"], x["phrase"]))
+    kept = F.aggregate("r", empty, lambda done, x: F.when(taken(done, x), done).otherwise(F.concat(done, F.array(x))))
+    best = best.select("video_id", kept.alias("r"))
+    return best.select("video_id", F.transform("r", lambda x: x["phrase"]).alias("topics"), F.transform("r", lambda x: F.round(-x["s"], 3)).alias("scores"))
+
+
+def video_contexts(rows: DataFrame, niches: dict[str, tuple[str, str]], niche_tags: dict[str, list[str]]) -> DataFrame:
+    """Topics, niche and its tags, once for each video with a topic or a keyword, from its tokens (video_id, tokens)."""
+    topics = topic_phrases(rows).select("video_id", "topics")
+    made = topics.join(niche_scores(rows, niches).select("video_id", "niche"), "video_id", "full")
+    tags = F.create_map(*[x for n, own in niche_tags.items() for x in (F.lit(n), F.array(*map(F.lit, own)))])
+    niche = F.coalesce("niche", F.lit("general"))
     none = F.expr("cast(array() AS array<string>)")
-    same = lambda x, y: (x == y) | ((F.length(x) > 2) & (F.length(y) > 2) & (F.startswith(x, y) | F.startswith(y, x)))
-    clash = lambda a, b: F.exists(F.split(a, " "), lambda x: F.exists(F.split(b, " "), lambda y: same(x, y)))
-    take = lambda done, x: F.when((F.size(done) >= limit) | F.exists(done, lambda d: clash(d, x["phrase"])), done).otherwise(F.concat(done, F.array(x["phrase"])))
-    return best.select("video_id", F.aggregate("r", none, take).alias("topics"))
+    return made.select("video_id", F.coalesce("topics", none).alias("topics"), niche.alias("niche"), F.coalesce(F.element_at(tags, niche), F.element_at(tags, F.lit("general"))).alias("niche_tags"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuecraft.sources.shared import shared_path
+
 SCHEMA = "clip_id long, source string, niche string, title string, published_at timestamp"
 
 
@@ -25,7 +24,6 @@ def read_publications(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(records: DataFrame) -> DataFrame:
     """The records appended to a new log in the shared folder and read back."""
     spark = records.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cuecraft-")
-    path = f"{base.rstrip('/')}/publog-{uuid.uuid4().hex}"
+    path = shared_path(spark, "publog")
     append_publications(records, path)
     return read_publications(spark, path)
