@@ -21,5 +21,5 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-for _module in ("scalar_queries", "table_queries", "sequence_queries", "title_queries", "corpus_queries"):
+for _module in ("scalar_queries", "table_queries", "sequence_queries", "title_queries", "corpus_queries", "idea_queries"):
     importlib.import_module(f"cuecraft.plans.{_module}")
