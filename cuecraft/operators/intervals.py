@@ -1,12 +1,11 @@
 """Interval and sequence operations per video.
 
 Where a rule looks at neighbours only it is a window function; where each choice depends on
-the last one it is a loop over one video's rows in a grouped pandas function, linear in them.
+the last one it is a fold over one video's rows.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,85 +55,67 @@ def keep_intervals(silences: DataFrame, tail_ms: int = 200, lead_ms: int = 50, l
     return kept.filter("NOT whole").select("video_id", "start_ms", "end_ms")
 
 
-def _spaced(times, gap: int, last: int | None = None) -> list[int]:
-    """Indexes of a greedy choice: each at least gap after the one before."""
-    out = []
-    for k, t in enumerate(times):
-        if last is None or t >= last + gap:
-            out.append(k)
-            last = t
-    return out
+def _spaced(rows: DataFrame, time: str, gap: int, last: int | None = None) -> DataFrame:
+    """Times (video_id, t) of a greedy choice, each at least ``gap`` after the one before: a fold over each video's times."""
+    times = rows.groupBy("video_id").agg(F.array_sort(F.collect_set(time)).alias("times"))
+    state = F.struct(F.lit(last).cast("long").alias("last"), F.expr("cast(array() AS array<bigint>)").alias("chosen"))
+    take = lambda a, t: F.when(a["last"].isNull() | (t >= a["last"] + gap), F.struct(t.alias("last"), F.concat(a["chosen"], F.array(t)).alias("chosen"))).otherwise(a)
+    return times.select("video_id", F.explode(F.aggregate("times", state, take, lambda a: a["chosen"])).alias("t"))
 
 
 def level_spikes(levels: DataFrame, over_db: float = 7.0, hop_ms: int = 200, zoom_ms: int = 1200, gap_ms: int = 1000) -> DataFrame:
     """Hops (video_id, hop, db10) louder than the mean by so much, each a second after the end of the one before."""
-    mean = levels.groupBy("video_id").agg((F.sum("db10") / F.count(F.lit(1))).alias("mean"))
-    loud = levels.join(mean, "video_id").filter(F.col("db10") > F.col("mean") + over_db * 10).select("video_id", (F.col("hop") * hop_ms).alias("start_ms"))
+    loud = loudness_threshold(levels, over_db).filter(F.col("db10") > F.col("bound")).select("video_id", (F.col("hop") * hop_ms).alias("start_ms"))
+    return _spaced(loud, "start_ms", zoom_ms + gap_ms).select("video_id", F.col("t").alias("start_ms"), (F.col("t") + zoom_ms).alias("end_ms"))
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("start_ms")
-        rows = rows.iloc[_spaced(rows["start_ms"], zoom_ms + gap_ms)]
-        return rows.assign(end_ms=rows["start_ms"] + zoom_ms)
 
-    return loud.groupBy("video_id").applyInPandas(choose, "video_id long, start_ms long, end_ms long")
+def loudness_threshold(levels: DataFrame, over_db: float = 7.0) -> DataFrame:
+    """Levels with the bound that their video's loud hops exceed: so much over its mean, in tenths."""
+    mean = levels.groupBy("video_id").agg((F.sum("db10") / F.count(F.lit(1)) + over_db * 10).alias("bound"))
+    return levels.join(mean, "video_id")
 
 
 def level_peaks(levels: DataFrame, most: int = 4, spacing_ms: int = 7000, hop_ms: int = 250, zoom_ms: int = 1250) -> DataFrame:
-    """The loudest hops of the top tenth, well apart, at most so many, in the order of time."""
+    """The loudest hops of the top tenth, well apart, at most so many, in the order of time: a fold from loud to soft."""
     bound = levels.groupBy("video_id").agg(F.percentile("db10", 0.9).alias("p90"))
-    loud = levels.join(bound, "video_id").filter(F.col("db10") >= F.col("p90")).select("video_id", (F.col("hop") * hop_ms).alias("start_ms"), "db10")
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        chosen: list[int] = []
-        for t in rows.sort_values(["db10", "start_ms"], ascending=[False, True])["start_ms"]:
-            if all(abs(t - c) >= spacing_ms for c in chosen):
-                chosen.append(t)
-                if len(chosen) == most:
-                    break
-        chosen.sort()
-        return pd.DataFrame({"video_id": rows["video_id"].iloc[0], "start_ms": chosen, "end_ms": [t + zoom_ms for t in chosen]})
-
-    return loud.groupBy("video_id").applyInPandas(choose, "video_id long, start_ms long, end_ms long")
+    loud = levels.join(bound, "video_id").filter(F.col("db10") >= F.col("p90")).select("video_id", F.struct((-F.col("db10")).alias("soft"), (F.col("hop") * hop_ms).cast("long").alias("t")).alias("hit"))
+    hits = loud.groupBy("video_id").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+    none = F.expr("cast(array() AS array<bigint>)")
+    near = lambda chosen, x: F.exists(chosen, lambda c: F.abs(c - x["t"]) < spacing_ms)
+    take = lambda chosen, x: F.when((F.size(chosen) >= most) | near(chosen, x), chosen).otherwise(F.concat(chosen, F.array(x["t"])))
+    return hits.select("video_id", F.explode(F.aggregate("hits", none, take)).alias("start_ms")).withColumn("end_ms", F.col("start_ms") + zoom_ms)
 
 
 def change_points(diffs: DataFrame, over: int = 280, least_ms: int = 800) -> DataFrame:
     """Cuts (video_id, t_ms): zero, each difference above the bound at least so long after the last cut, and the end."""
     ends = diffs.groupBy("video_id").agg(F.max("t_ms").alias("t_ms"))
-    high = diffs.filter(F.col("diff10") > over).select("video_id", "t_ms")
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t_ms")
-        return rows.iloc[_spaced(rows["t_ms"], least_ms, last=0)]
-
-    cuts = high.groupBy("video_id").applyInPandas(choose, "video_id long, t_ms long")
+    cuts = _spaced(diffs.filter(F.col("diff10") > over), "t_ms", least_ms, last=0).select("video_id", F.col("t").alias("t_ms"))
     return cuts.unionByName(ends).unionByName(ends.select("video_id", F.lit(0).cast("long").alias("t_ms"))).distinct()
 
 
 def chunk_words(words: DataFrame, most_words: int = 3, most_ms: int = 1500, pause_ms: int = 320, rule: str = "span") -> DataFrame:
-    """Words with the caption line they belong to.
+    """Words (video_id, word_idx) with the caption line they belong to.
 
     rule span: a new line after a pause, after so many words or beyond so long. rule len:
     after a pause, after four words, or after three if the next is longer than five characters.
+    Pauses cut a video into runs by window functions; a fold over each run, which speech keeps
+    short, finds where lines begin, and lines are numbered over the video. One shuffle by video.
     """
+    own = _video().orderBy("word_idx")
+    rows = words.select("video_id", "word_idx", "start_ms", "end_ms", F.length("word").alias("size"))
+    rows = rows.withColumn("pause", F.coalesce(F.col("start_ms") - F.lag("end_ms").over(own) > pause_ms, F.lit(True)))
+    rows = rows.withColumn("run", F.sum(F.col("pause").cast("int")).over(own))
+    runs = rows.groupBy("video_id", "run").agg(F.array_sort(F.collect_list(F.struct("word_idx", "start_ms", "end_ms", "size"))).alias("words"))
+    full = lambda a, x: (a["n"] >= most_words) | (x["end_ms"] - a["began"] > most_ms) if rule == "span" else (a["n"] >= 4) | ((a["n"] >= 3) & (x["size"] > 5))
+    state = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("began"), F.expr("cast(array() AS array<boolean>)").alias("opens"))
 
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("word_idx")
-        lines, line, n, began, ended = [], 0, 0, 0, 0
-        for start, end, size in zip(rows["start_ms"], rows["end_ms"], rows["size"], strict=True):
-            if n:
-                if rule == "span":
-                    new = start - ended > pause_ms or n >= most_words or end - began > most_ms
-                else:
-                    new = start - ended > pause_ms or n >= 4 or (n >= 3 and size > 5)
-                if new:
-                    line, n = line + 1, 0
-            began = start if not n else began
-            n, ended = n + 1, end
-            lines.append(line)
-        return rows[["video_id", "word_idx"]].assign(line=lines)
+    def take(a, x):
+        new = (a["n"] == 0) | full(a, x)
+        return F.struct(F.when(new, 1).otherwise(a["n"] + 1).alias("n"), F.when(new, x["start_ms"]).otherwise(a["began"]).alias("began"), F.concat(a["opens"], F.array(new)).alias("opens"))
 
-    rows = words.select("video_id", "word_idx", "start_ms", "end_ms", F.length("word").alias("size"))
-    return rows.groupBy("video_id").applyInPandas(cut, "video_id long, word_idx int, line long")
+    opens = F.aggregate("words", state, take, lambda a: a["opens"])
+    flat = runs.select("video_id", F.explode(F.arrays_zip(F.transform("words", lambda w: w["word_idx"]).alias("word_idx"), opens.alias("opens"))).alias("w")).select("video_id", "w.word_idx", "w.opens")
+    return flat.select("video_id", "word_idx", (F.sum(F.col("opens").cast("long")).over(own) - 1).alias("line"))
 
 
 def caption_events(words: DataFrame, lines: DataFrame, hold_ms: int = 350) -> DataFrame:
@@ -176,18 +157,38 @@ def keyword_cues(words: DataFrame, keywords: list[str], most: int = 2, edge_ms:
     rows = rows.filter(inside).join(known.withColumnRenamed("keyword", "k2"), F.col("two") == F.col("k2"), "left").join(known.withColumnRenamed("keyword", "k1"), F.col("one") == F.col("k1"), "left")
     hits = rows.withColumn("keyword", F.coalesce("k2", "k1")).filter("keyword IS NOT NULL").select("video_id", "keyword", "start_ms", "total")
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], -10000
-        for keyword, start, total in rows.sort_values("start_ms")[["keyword", "start_ms", "total"]].itertuples(index=False):
-            end = min(start + length_ms, max(edge_ms, total - edge_ms))
-            if start - last >= gap_ms and end - start >= 1000:
-                out.append((rows["video_id"].iloc[0], keyword, start, end))
-                last = end
-                if len(out) == most:
-                    break
-        return pd.DataFrame(out, columns=["video_id", "keyword", "start_ms", "end_ms"])
-
-    return hits.groupBy("video_id").applyInPandas(choose, "video_id long, keyword string, start_ms long, end_ms long")
+    per = hits.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "keyword", "total"))).alias("hits"))
+    span = "array<struct<keyword:string,start_ms:bigint,end_ms:bigint>>"
+    ends = lambda x: F.least(x["start_ms"] + length_ms, F.greatest(F.lit(edge_ms), x["total"] - edge_ms))
+    last = lambda done: F.coalesce(F.try_element_at(done, F.lit(-1))["end_ms"], F.lit(-10000))
+    ok = lambda done, x: (F.size(done) < most) & (x["start_ms"] - last(done) >= gap_ms) & (ends(x) - x["start_ms"] >= 1000)
+    one = lambda x: F.array(F.struct(x["keyword"].alias("keyword"), x["start_ms"].alias("start_ms"), ends(x).alias("end_ms")))
+    kept = F.aggregate("hits", F.expr(f"cast(array() AS {span})"), lambda done, x: F.when(ok(done, x), F.concat(done, one(x))).otherwise(done))
+    return per.select("video_id", F.inline(kept))
+
+
+def word_events(words: DataFrame, lines: DataFrame, hold_ms: int = 350, bump_ms: int = 40) -> DataFrame:
+    """One event per word of a line, shown until the next word begins (video_id, line, word_idx, start_ms, end_ms).
+
+    Words of a line that begin together are moved apart by ``bump_ms``, each against the moved one
+    before. The last word of a line is held on, not into the next line, and lasts 80 ms at least.
+    """
+    rows = words.join(lines, ["video_id", "word_idx"])
+    packed = rows.groupBy("video_id", "line").agg(F.array_sort(F.collect_list(F.struct("word_idx", "start_ms", "end_ms"))).alias("w"), F.min("start_ms").alias("first"))
+    packed = packed.withColumn("next", F.lead("first").over(_video().orderBy("line")))
+    none = F.expr("cast(array() AS array<struct<word_idx:int,start_ms:bigint,end_ms:bigint>>)")
+    # where the next word does not begin later, it is moved behind
+    moved = lambda done, x: F.when((F.size(done) > 0) & (x["start_ms"] <= F.try_element_at(done, F.lit(-1))["start_ms"]), F.try_element_at(done, F.lit(-1))["start_ms"] + bump_ms).otherwise(x["start_ms"])
+    apart = F.aggregate("w", none, lambda done, x: F.concat(done, F.array(F.struct(x["word_idx"].cast("int").alias("word_idx"), moved(done, x).alias("start_ms"), x["end_ms"].alias("end_ms")))))
+    packed = packed.withColumn("w", apart)
+
+    def event(x, k):
+        held = F.least(x["end_ms"] + hold_ms, F.when(F.col("next") > x["start_ms"], F.col("next")).otherwise(x["end_ms"] + hold_ms))
+        last = F.when(held <= x["start_ms"], F.greatest(x["end_ms"], x["start_ms"] + 80)).otherwise(held)
+        after = F.get("w", k + 1)["start_ms"]
+        return F.struct(x["word_idx"].alias("word_idx"), x["start_ms"].alias("start_ms"), F.coalesce(after, last).alias("end_ms"))
+
+    return packed.select("video_id", "line", F.inline(F.transform("w", event)))
 
 
 def merge_segments(shots: DataFrame, less_than: int = 35) -> DataFrame:

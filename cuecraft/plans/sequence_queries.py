@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuecraft.functions import scoring
-from cuecraft.operators import critique, intervals, shots, windows
+from cuecraft.operators import corpus, critique, intervals, shots, windows
 from cuecraft.plans import bindings as b
 from cuecraft.plans.registry import query
 
@@ -49,9 +49,14 @@ def _snap(spark, sf):
     return rows.select("video_id", "window", "start_ms", "end_ms", "n_cues", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("pacing_profile")
+_PACING = f"""{_WINDOWS}, pc AS (SELECT y.video_id, y.win, list(y.e - y.start_ms ORDER BY y.cue_idx) AS d FROM y JOIN w ON w.video_id = y.video_id AND w.win = y.win WHERE y.e - y.first <= 58500 GROUP BY 1, 2),
+ps AS (SELECT *, CASE WHEN len(d) > 2 THEN len(list_filter(d[2 : len(d) - 1], lambda x: x BETWEEN 1200 AND 2500)) / (len(d) - 2)::DOUBLE ELSE 0.5::DOUBLE END AS share FROM pc),
+pt AS (SELECT video_id, win, d[1] AS initial_ms, d[-1] AS payoff_ms, CASE WHEN d[1] >= 2500 THEN 4 ELSE 0 END + CASE WHEN share >= 0.4 THEN 3 ELSE 0 END + CASE WHEN d[-1] >= 3000 THEN 3 ELSE 0 END AS tenths FROM ps)"""
+
+
+@query("pacing_profile", f'WITH {_PACING} SELECT video_id, win AS "window", initial_ms, payoff_ms, tenths / 10.0::DOUBLE AS cadence_score, tenths >= 6 AS follows_4phase FROM pt')
 def _pacing(spark, sf):
-    return windows.sliding_windows(b.cues(spark, sf)).select("video_id", "window", "pacing.*")
+    return windows.sliding_windows(b.cues(spark, sf), snap=False).select("video_id", "window", "pacing.*")
 
 
 @query("text_heuristic_score", f'WITH {_SCORED} SELECT video_id, win AS "window", virality AS virality_score, standalone AS standalone_prob, sponsor AS sponsor_prob, category, score AS composite_score FROM s')
@@ -88,16 +93,31 @@ def _stride(spark, sf):
     return windows.stride_sample(windows.sliding_windows(b.cues(spark, sf), snap=False), 12).select("video_id", "window")
 
 
-def _rubric(spark, sf):
-    rows = _scored(spark, sf, snap=True)
+def _rubric(spark, sf, snap=True):
+    rows = _scored(spark, sf, snap=snap)
     seconds = (F.col("end_ms") - F.col("start_ms")) / 1000
     made = scoring.rubric(F.col("text"), F.col("h.virality_score"), F.col("h.standalone_prob"), F.col("h.sponsor_prob"), F.col("h.category"), seconds, F.col("pacing.follows_4phase"))
     return rows.withColumn("rubric", made)
 
 
-@query("rubric_scores")
+_HOOKED = f"regexp_matches(substr(t, 1, 60), '{scoring.HOOK}')"
+_RUBRIC = f"""{_SCORED}, {_PACING[len(_WINDOWS) + 2 :]}, q0 AS (SELECT s.*, (s.end_ms - s.start_ms) / 1000.0::DOUBLE AS d, n / greatest(1.0::DOUBLE, (s.end_ms - s.start_ms) / 1000.0::DOUBLE) AS rate, tenths >= 6 AS four, {_HOOKED} AS hk FROM s JOIN pt USING (video_id, win)),
+q1 AS (SELECT *, CASE WHEN hk AND virality >= 2.0 THEN 9 WHEN hk AND virality >= 1.5 THEN 8 WHEN hk OR virality >= 1.2 THEN 7 WHEN virality >= 0.8 THEN 6 ELSE 5 END AS hook0,
+  CASE WHEN standalone >= 0.8 THEN 9 WHEN standalone >= 0.65 THEN 8 WHEN standalone >= 0.45 THEN 7 WHEN standalone >= 0.3 THEN 6 WHEN standalone >= 0.15 THEN 5 ELSE 4 END AS clarity0,
+  CASE WHEN rate BETWEEN 2.2 AND 3.8 AND d BETWEEN 30 AND 52 THEN 9 WHEN rate BETWEEN 1.8 AND 4.2 AND d BETWEEN 25 AND 60 THEN 8 WHEN rate >= 1.4 THEN 7 ELSE 5 END AS pacing0,
+  CASE WHEN virality >= 2.2 THEN 9 WHEN virality >= 1.6 THEN 8 WHEN virality >= 1.1 THEN 7 ELSE 5 END AS payoff0,
+  CASE WHEN category = 'high_value_insight' AND virality >= 1.8 THEN 9 WHEN virality >= 1.2 THEN 8 ELSE 7 END AS share0 FROM q0),
+q2 AS (SELECT video_id, win, CASE WHEN sponsor >= 0.5 THEN least(hook0, 3) ELSE hook0 END AS hook, CASE WHEN sponsor >= 0.5 THEN least(clarity0, 3) ELSE clarity0 END AS clarity,
+  CASE WHEN four THEN least(10, greatest(pacing0 + 1, 9)) ELSE pacing0 END AS pacing, CASE WHEN sponsor >= 0.5 THEN least(payoff0, 2) ELSE payoff0 END AS payoff, CASE WHEN sponsor >= 0.5 THEN least(share0, 2) ELSE share0 END AS shareability, 9 AS subtitles FROM q1)"""
+
+
+@query(
+    "rubric_scores",
+    f"""WITH {_RUBRIC} SELECT video_id, win AS "window", hook, clarity, pacing, payoff, shareability, subtitles, round((hook + clarity + pacing + payoff + shareability + subtitles) / 6.0::DOUBLE, 1) AS average,
+list_sort([{', '.join(f"{{'s': {n}, 'k': {k}, 'n': '{n}'}}" for k, n in enumerate(scoring.CRITERIA))}])[1].n AS lowest FROM q2""",
+)
 def _rubric_scores(spark, sf):
-    return _rubric(spark, sf).select("video_id", "window", "rubric.*")
+    return _rubric(spark, sf, snap=False).select("video_id", "window", "rubric.*")
 
 
 def _critique(spark, sf):
@@ -110,11 +130,14 @@ def _critique_search(spark, sf):
     return _critique(spark, sf)
 
 
-@query("shortfall_report")
-def _shortfall(spark, sf):
-    from cuecraft.operators.corpus import shortfall_report
+_TAKEN = f"""{_SCORED}, sr AS (SELECT video_id, list({{'a': start_ms, 'z': end_ms}} ORDER BY score DESC, win) AS r FROM s GROUP BY 1),
+taken AS (SELECT video_id, len(list_reduce(r, lambda d, x: CASE WHEN len(d) >= 3 OR len(list_filter(d, lambda c: least(c.z, x.z) - greatest(c.a, x.a) > 10000)) > 0 THEN d ELSE list_append(d, x) END, []::STRUCT(a BIGINT, z BIGINT)[])) AS found FROM sr)"""
 
-    return shortfall_report(_critique(spark, sf), b.table(spark, sf, "documents").select(F.col("doc_id").alias("video_id")), 3)
+
+@query("shortfall_report", f"WITH {_TAKEN} SELECT doc_id AS video_id, coalesce(found, 0) AS found FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN taken ON video_id = doc_id WHERE coalesce(found, 0) < 3")
+def _shortfall(spark, sf):
+    rows = _scored(spark, sf).select("video_id", "window", "start_ms", "end_ms", F.col("h.composite_score").alias("score"))
+    return corpus.shortfall_report(windows.select_non_overlapping(rows), b.table(spark, sf, "documents").select(F.col("doc_id").alias("video_id")), 3)
 
 
 @query(
@@ -170,7 +193,11 @@ def _spikes(spark, sf):
     return intervals.level_spikes(b.levels(spark, sf))
 
 
-@query("level_peaks")
+@query(
+    "level_peaks",
+    f"""WITH {b.LEVELS}, p AS (SELECT video_id, quantile_cont(db10, 0.9) AS p90 FROM levels GROUP BY 1), h AS (SELECT video_id, list((hop * 250)::BIGINT ORDER BY db10 DESC, hop) AS r FROM levels JOIN p USING (video_id) WHERE db10 >= p90 GROUP BY 1),
+k AS (SELECT video_id, unnest(list_reduce(r, lambda d, x: CASE WHEN len(d) >= 4 OR len(list_filter(d, lambda c: abs(c - x) < 7000)) > 0 THEN d ELSE list_append(d, x) END, []::BIGINT[])) AS t FROM h) SELECT video_id, t AS start_ms, t + 1250 AS end_ms FROM k""",
+)
 def _peaks(spark, sf):
     return intervals.level_peaks(b.levels(spark, sf))
 
@@ -185,32 +212,71 @@ def _changes(spark, sf):
     return intervals.change_points(b.frame_diffs(spark, sf))
 
 
-@query("phrase_chunks")
+def _lines(full: str) -> str:
+    """lines: video_id, word_idx, start_ms, end_ms, word, line, for a rule of when a line is full."""
+    return f"""{b.WORDS}, l0 AS (SELECT *, coalesce(start_ms - lag(end_ms) OVER (PARTITION BY video_id ORDER BY word_idx) > 320, true) AS pause FROM words), l1 AS (SELECT *, sum(pause::INT) OVER (PARTITION BY video_id ORDER BY word_idx) AS run FROM l0),
+l2 AS (SELECT video_id, run, list({{'i': word_idx::BIGINT, 's': start_ms::BIGINT, 'e': end_ms::BIGINT, 'z': length(word)::BIGINT}} ORDER BY word_idx) AS ws FROM l1 GROUP BY 1, 2),
+l3 AS (SELECT video_id, unnest(list_reduce(ws, lambda a, x: CASE WHEN a.n = 0 OR {full} THEN {{'n': 1::BIGINT, 'b': x.s, 'o': list_append(a.o, x.i)}} ELSE {{'n': a.n + 1, 'b': a.b, 'o': a.o}} END, {{'n': 0::BIGINT, 'b': 0::BIGINT, 'o': []::BIGINT[]}}).o) AS word_idx FROM l2),
+lines AS (SELECT words.*, sum((l3.word_idx IS NOT NULL)::INT) OVER (PARTITION BY words.video_id ORDER BY words.word_idx) - 1 AS line FROM words LEFT JOIN l3 ON l3.video_id = words.video_id AND l3.word_idx = words.word_idx)"""
+
+
+_SPAN, _LEN = _lines("a.n >= 3 OR x.e - a.b > 1500"), _lines("a.n >= 4 OR (a.n >= 3 AND x.z > 5)")
+_GROUPED = "g AS (SELECT video_id, line, min(start_ms) AS start_ms, max(end_ms) AS last_ms, string_agg(word, ' ' ORDER BY word_idx) AS text FROM lines GROUP BY 1, 2), n AS (SELECT *, lead(start_ms) OVER (PARTITION BY video_id ORDER BY line) AS after FROM g)"
+
+
+@query("phrase_chunks", f"WITH {_SPAN} SELECT video_id, word_idx, line::BIGINT AS line FROM lines")
 def _chunks(spark, sf):
     return intervals.chunk_words(b.words(spark, sf))
 
 
-@query("phrase_chunks_len")
+@query("phrase_chunks_len", f"WITH {_LEN}, {_GROUPED} SELECT video_id, line::BIGINT AS line, start_ms, greatest(200, least(coalesce(after, last_ms + 200), last_ms + 80) - start_ms) AS length_ms FROM n")
 def _chunks_len(spark, sf):
     w = b.words(spark, sf)
     return intervals.line_spans(w, intervals.chunk_words(w, rule="len"))
 
 
-@query("caption_events")
+@query("caption_events", f"WITH {_SPAN}, {_GROUPED}, e AS (SELECT *, least(last_ms + 350, coalesce(after - 20, last_ms + 350)) AS held FROM n) SELECT video_id, line::BIGINT AS line, start_ms, CASE WHEN held <= start_ms THEN greatest(last_ms, start_ms + 80) ELSE held END AS end_ms, text FROM e")
 def _captions(spark, sf):
     w = b.words(spark, sf)
     return intervals.caption_events(w, intervals.chunk_words(w))
 
 
-@query("karaoke_spans")
+_HELD = "CASE WHEN next > start_ms THEN least(end_ms + 350, next) ELSE end_ms + 350 END"
+
+
+@query(
+    "caption_word_events",
+    f"""WITH {_SPAN}, r AS (SELECT video_id, line, word_idx, start_ms - start_ms % 1000 AS start_ms, end_ms FROM lines), f AS (SELECT video_id, line, lead(min(start_ms)) OVER (PARTITION BY video_id ORDER BY line) AS next,
+  list({{'i': word_idx::BIGINT, 's': start_ms::BIGINT, 'e': end_ms::BIGINT}} ORDER BY word_idx) AS w FROM r GROUP BY 1, 2),
+m AS (SELECT video_id, line, next, list_reduce(w, lambda d, x: list_append(d, {{'i': x.i, 's': CASE WHEN len(d) > 0 AND x.s <= d[-1].s THEN d[-1].s + 40 ELSE x.s END, 'e': x.e}}), []::STRUCT(i BIGINT, s BIGINT, e BIGINT)[]) AS w FROM f),
+x AS (SELECT video_id, line, next, unnest(w) AS w, unnest(w[2:] || [NULL]) AS after FROM m), y AS (SELECT video_id, line, next, w.i AS word_idx, w.s AS start_ms, w.e AS end_ms, after.s AS after FROM x)
+SELECT video_id, line::BIGINT AS line, word_idx::INT AS word_idx, start_ms, coalesce(after, CASE WHEN {_HELD} <= start_ms THEN greatest(end_ms, start_ms + 80) ELSE {_HELD} END) AS end_ms FROM y""",
+)
+def _word_events(spark, sf):
+    """Words whose starts fall on whole seconds, so that some begin together."""
+    w = b.words(spark, sf)
+    return intervals.word_events(w.withColumn("start_ms", F.col("start_ms") - F.col("start_ms") % 1000), intervals.chunk_words(w))
+
+
+@query("karaoke_spans", f"WITH {_SPAN}, k AS (SELECT *, lead(start_ms) OVER (PARTITION BY video_id, line ORDER BY word_idx) - end_ms AS gap FROM lines) SELECT video_id, word_idx, line::BIGINT AS line, greatest(8, round_even((end_ms - start_ms) / 10, 0)::BIGINT) AS fill_cs, CASE WHEN gap > 50 THEN round_even(gap / 10, 0)::BIGINT ELSE 0 END AS gap_cs FROM k")
 def _karaoke(spark, sf):
     w = b.words(spark, sf)
     return intervals.karaoke_spans(w, intervals.chunk_words(w))
 
 
-@query("keyword_cues")
+_CUE_WORDS = ["the", "ther", "of the", "thon", "was"]
+_KNOWN = ", ".join(f"'{k}'" for k in _CUE_WORDS)
+
+
+@query(
+    "keyword_cues",
+    f"""WITH {b.WORDS}, a AS (SELECT video_id, word_idx, start_ms, lower(regexp_replace(word, '[^a-zA-Z0-9]', '', 'g')) AS one, max(end_ms) OVER (PARTITION BY video_id) AS total FROM words), t AS (SELECT *, one || coalesce(' ' || lead(one) OVER (PARTITION BY video_id ORDER BY word_idx), '') AS two FROM a),
+h AS (SELECT video_id, start_ms, total, CASE WHEN two IN ({_KNOWN}) THEN two WHEN one IN ({_KNOWN}) THEN one END AS keyword FROM t WHERE start_ms >= 4000 AND start_ms < greatest(4000, total - 4000) - 1000),
+l AS (SELECT video_id, list({{'s': start_ms::BIGINT, 'k': keyword, 'e': least(start_ms + 3500, greatest(4000, total - 4000))::BIGINT}} ORDER BY start_ms, keyword) AS r FROM h WHERE keyword IS NOT NULL GROUP BY 1),
+k AS (SELECT video_id, unnest(list_reduce(r, lambda d, x: CASE WHEN len(d) < 2 AND x.s - coalesce(d[-1].e, -10000) >= 12000 AND x.e - x.s >= 1000 THEN list_append(d, x) ELSE d END, []::STRUCT(s BIGINT, k VARCHAR, e BIGINT)[])) AS c FROM l) SELECT video_id, c.k AS keyword, c.s AS start_ms, c.e AS end_ms FROM k""",
+)
 def _keyword_cues(spark, sf):
-    return intervals.keyword_cues(b.words(spark, sf), ["the", "ther", "of the", "thon", "was"])
+    return intervals.keyword_cues(b.words(spark, sf), _CUE_WORDS)
 
 
 _D = b.DETECTIONS
@@ -238,12 +304,25 @@ def _motion(spark, sf):
     return shots.motion_centroid(b.detections(spark, sf).withColumnRenamed("w", "motion"), 100)
 
 
-@query("merge_segments")
+_SEGMENTS = f"""{_D}, sg AS (SELECT scene, list({{'x': x::BIGINT, 'n': 1::BIGINT}} ORDER BY box, x) AS r FROM detections GROUP BY 1),
+sm AS (SELECT scene, list_reduce(r, lambda d, s: CASE WHEN len(d) > 0 AND abs(s.x - d[-1].x) < 35 THEN list_append(d[1 : len(d) - 1], {{'x': d[-1].x, 'n': d[-1].n + 1}}) ELSE list_append(d, s) END, []::STRUCT(x BIGINT, n BIGINT)[]) AS r FROM sg),
+seg AS (SELECT scene, unnest(range(len(r)))::INT AS segment, unnest(r).x AS x, unnest(r).n AS shots FROM sm)"""
+
+
+@query("merge_segments", f"WITH {_SEGMENTS} SELECT scene, segment, x, shots FROM seg")
 def _segments(spark, sf):
     return intervals.merge_segments(b.detections(spark, sf))
 
 
-@query("damp_jumps")
+_JUMP = "(s.x - d[-1].y)"
+_DAMPED = f"d[-1].y + sign({_JUMP})::BIGINT * (90 + round_even(0.35::DOUBLE * (abs({_JUMP}) - 90), 0)::BIGINT)"
+
+
+@query(
+    "damp_jumps",
+    f"""WITH {_SEGMENTS}, dl AS (SELECT scene, list({{'k': segment::BIGINT, 'x': x, 'y': x}} ORDER BY segment) AS r FROM seg GROUP BY 1),
+dd AS (SELECT scene, unnest(list_reduce(r, lambda d, s: list_append(d, {{'k': s.k, 'x': s.x, 'y': CASE WHEN len(d) > 0 AND abs({_JUMP}) > 90 THEN {_DAMPED} ELSE s.x END}}), []::STRUCT(k BIGINT, x BIGINT, y BIGINT)[])) AS s FROM dl) SELECT scene, s.k::INT AS segment, s.x AS x, s.y AS damped FROM dd""",
+)
 def _damp(spark, sf):
     return intervals.damp_jumps(intervals.merge_segments(b.detections(spark, sf)))
 
