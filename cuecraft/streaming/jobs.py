@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def publications_per_window(log: DataFrame, late: str = "2 hours", size: str = "1 hour") -> DataFrame:
@@ -20,14 +24,49 @@ def publications_per_window(log: DataFrame, late: str = "2 hours", size: str = "
 def stuck_jobs(events: DataFrame, stuck_s: int = 7200, keep_s: int = 3600) -> DataFrame:
     """Last status of each job (job_id, status, ts, event_id): failed if it ran too long, gone if it ended long ago."""
     last = events.groupBy("job_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("ts"))
-    now = events.agg(F.max("ts").alias("now"))
-    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
-    age = seconds("now") - seconds("ts")
-    rows = last.crossJoin(F.broadcast(now)).withColumn("age", age)  # one row
+    now = events.agg(F.max("ts").alias("now")).scalar()
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    rows = last.withColumn("age", seconds(now) - seconds(F.col("ts")))
     stuck = (F.col("status") == "running") & (F.col("age") > stuck_s)
     return rows.filter(~((F.col("status") != "running") & (F.col("age") > keep_s))).select("job_id", F.when(stuck, "failed").otherwise(F.col("status")).alias("status"))
 
 
+def stuck_jobs_stream(events: DataFrame, stuck_s: int = 7200, keep_s: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """Changes (job_id, status, at) of jobs on a stream of events (job_id, status, ts).
+
+    State holds each job's last status and its time. A timer on event time fails a job that runs
+    for ``stuck_s`` without news, another one evicts a job ``keep_s`` after its end.
+    """
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, at = state.get if state.exists else (None, -1)
+        told: list[tuple] = []
+        if state.hasTimedOut:
+            if status == "running":
+                status, at = "failed", at + stuck_s * 1000
+                told.append((status, at))
+            else:
+                told.append(("evicted", at + keep_s * 1000))
+                status = None
+        rows = sorted((int(r.at), r.status) for rows in batches for r in rows.itertuples())
+        for moment, new in rows:
+            if moment >= at:
+                if new != status:
+                    told.append((new, moment))
+                status, at = new, moment
+        if status is None:
+            state.remove()
+        else:
+            state.update((status, at))
+            due = at + (stuck_s if status == "running" else keep_s) * 1000
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], s, t) for s, t in told], columns=["job_id", "status", "at"])
+
+    rows = events.withWatermark("ts", late).select("job_id", "status", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    changes = rows.groupBy("job_id").applyInPandasWithState(follow, "job_id long, status string, at long", "status string, at long", "append", GroupStateTimeout.EventTimeTimeout)
+    return changes.select("job_id", "status", F.timestamp_millis("at").alias("at"))
+
+
 def cue_windows(cues: DataFrame, size: str = "58 seconds", step: str = "20 seconds", late: str = "1 minute") -> DataFrame:
     """Sliding windows of live captions (video_id, ts, n_tok): cues and words in each."""
     rows = cues.withWatermark("ts", late) if cues.isStreaming else cues
