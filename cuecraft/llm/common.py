@@ -6,9 +6,12 @@ buffer with offsets, so hashing and word splitting are numpy passes over the buf
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; arrays are about 40 times as large.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch that goes to a Python worker, unless the session has set less.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -51,6 +56,79 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# ---------------------------------------------------------------- memory of Python workers
+
+#: Seconds after a worker's last task at which it lets go of what it kept for the next one.
+IDLE_S = 3.0
+#: What is kept from task to task: dictionaries that are emptied when the worker idles.
+kept: list[dict] = []
+_tasks, _timer, _lock = 0, None, threading.Lock()
+
+
+def release() -> None:
+    """Returns freed memory to the system: Arrow's pool and, where the C library can, the heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _bytes(size: str) -> int:
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    size = size.lower().removesuffix("b")
+    return int(size[:-1]) * units[size[-1]] if size[-1:] in units else int(size)
+
+
+def _idle() -> None:
+    with _lock:
+        if _tasks == 0:
+            for held in kept:
+                held.clear()
+            _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+            release()
+
+
+def _begin() -> None:
+    global _tasks, _timer
+    with _lock:
+        _tasks += 1
+        if _timer is not None:
+            _timer.cancel()
+            _timer = None
+
+
+def _end() -> None:
+    global _tasks, _timer
+    release()
+    with _lock:
+        _tasks -= 1
+        if _tasks == 0:
+            _timer = threading.Timer(IDLE_S, _idle)
+            _timer.daemon = True
+            _timer.start()
+
+
+def lean(run: Callable) -> Callable:
+    """A function over batches whose worker gives memory back when the task ends, and all it keeps when it idles.
+
+    Texts may be long, so the session's bound on the bytes of a batch is lowered to BATCH_BYTES;
+    ten thousand rows a batch would fill both sides' buffers.
+    """
+    spark, setting = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark is not None and _bytes(spark.conf.get(setting, "64m")) > BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
+        try:
+            yield from run(batches)
+        finally:
+            _end()
+
+    return task
+
+
 # ---------------------------------------------------------------- filters of fixed size
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, _quoted, materialise, replaced, slices
+from .common import ALNUM, Words, _quoted, lean, materialise, replaced, slices
 
 #: Benchmarks of up to so many bytes of text are sent to every task; larger ones are joined.
 BROADCAST_BYTES = 16 << 20
@@ -172,7 +172,7 @@ def decontaminate(
             arrays = [pa.array(x, t) for x, t in zip(_columns(shared.value, words), types, strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns + arrays, batch.schema.names + added.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def _arrow_types(schema: T.StructType) -> list[pa.DataType]:
@@ -212,8 +212,8 @@ def _joined(docs: DataFrame, items: DataFrame, schema: T.StructType, text_col: s
         return run
 
     distinct = keyed.select("__text_key", text.alias("text")).dropDuplicates(["__text_key"])
-    of_docs = distinct.mapInArrow(prints("text", "__text_key", False), "print long, __text_key string")
-    of_items = items.mapInArrow(prints("text", "item", True), T.StructType([T.StructField("print", T.LongType()), items.schema["item"]]))
+    of_docs = distinct.mapInArrow(lean(prints("text", "__text_key", False)), "print long, __text_key string")
+    of_items = items.mapInArrow(lean(prints("text", "item", True)), T.StructType([T.StructField("print", T.LongType()), items.schema["item"]]))
     pairs = of_docs.join(of_items, "print").select("__text_key", "item").distinct()
     pairs = pairs.join(items, "item").groupBy("__text_key").agg(F.collect_list(F.struct("item", "text")).alias("items"))
     extra = schema.fields[len(docs.columns) :]
@@ -229,7 +229,7 @@ def _joined(docs: DataFrame, items: DataFrame, schema: T.StructType, text_col: s
                 arrays = [pa.array(x, t) for x, t in zip(_columns(index, Words(row.column(1), ALNUM)), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([row.column(0), *arrays], out.names)
 
-    found = distinct.join(pairs, "__text_key", "left").select("__text_key", "text", "items").mapInArrow(verify, out)
+    found = distinct.join(pairs, "__text_key", "left").select("__text_key", "text", "items").mapInArrow(lean(verify), out)
     return keyed.join(materialise(found, "decontaminate"), "__text_key").select(*[_quoted(c) for c in schema.names])
 
 

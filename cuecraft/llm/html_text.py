@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import Trees, boost
-from .common import _quoted, replaced, slices
+from .common import _quoted, lean, replaced, slices
 
 #: Pages whose text runs fill the training layouts, the most runs of each (evenly over the page), code points of a run, layouts drawn.
 SAMPLE_PAGES, SAMPLE_RUNS, RUN_CHARS, LAYOUTS = 200, 64, 4000, 700
@@ -378,7 +378,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", rows:
 
     keyed = pages.select(_quoted(id_col).alias("id"), F.xxhash64(_quoted(id_col)).alias("key"), _quoted(html_col).alias("html"))
     ids = keyed.select("id", "key").orderBy("key", "id").limit(rows)  # ids alone are sorted, then their pages read
-    picked = keyed.join(F.broadcast(ids.select("key").distinct()), "key").select("key", "html").mapInArrow(sample, "key long, run string")
+    picked = keyed.join(F.broadcast(ids.select("key").distinct()), "key").select("key", "html").mapInArrow(lean(sample), "key long, run string")
     return train([row["run"] for row in picked.orderBy("key", "run").limit(rows * runs).collect()])
 
 
@@ -405,4 +405,4 @@ def extract_text(pages: DataFrame, trees: Trees, html_col: str = "html") -> Data
             texts = [p.extract(p.decode(m)) for p, m in zip(made, np.split(margin, cuts), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], schema.names)
 
-    return pages.mapInArrow(run, schema)
+    return pages.mapInArrow(lean(run), schema)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, _quoted, materialise, shuffle_width, slices
+from .common import Words, _quoted, lean, materialise, shuffle_width, slices
 
 HIDDEN = 16
 CLASSES, WORDS = 48, 48  # classes of frequent words, words in each
@@ -322,7 +322,7 @@ def _fit(documents: DataFrame, shards: int, vocabulary: Vocabulary, rounds: int)
 
         schema = "part long, n double, made binary"
         own = documents.filter(F.col("shard") % rounds == k)
-        got = own.repartition(shards, "shard").select("symbols").mapInArrow(learn, schema).groupBy("part").applyInArrow(average, schema).collect()
+        got = own.repartition(shards, "shard").select("symbols").mapInArrow(lean(learn), schema).groupBy("part").applyInArrow(average, schema).collect()
         if got:
             whole = sum(r["n"] for r in got)
             made = [(r["n"] / whole, pickle.loads(r["made"])) for r in got]
@@ -349,7 +349,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(_quoted(id_col).alias("doc_id"), _quoted(text_col).alias("text"), held_out(_quoted(id_col)).alias("held_out"))
     learnt = rows.filter("NOT held_out").select("text")
-    counts = learnt.mapInArrow(_counted, "word long, code int, n long").groupBy("word").agg(F.min("code").alias("code"), F.sum("n").alias("n"))
+    counts = learnt.mapInArrow(lean(_counted), "word long, code int, n long").groupBy("word").agg(F.min("code").alias("code"), F.sum("n").alias("n"))
     counts = materialise(counts, "counts")
     top = counts.orderBy(F.desc("n"), "word").limit(TABLE).toArrow()
     endings = counts.groupBy("code").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).toArrow()  # at most 65536 rows
@@ -368,7 +368,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shards = max(1, math.ceil(total / rounds / SHARD_TOKENS))
     shard = F.pmod(F.xxhash64(_quoted("doc_id"), "text"), F.lit(1_000_000))
     documents = rows.filter("NOT held_out").select(shard.alias("shard"), F.coalesce("text", F.lit("")).alias("text"))
-    documents = materialise(documents.mapInArrow(symbols, "shard long, symbols binary"), "lm-training")
+    documents = materialise(documents.mapInArrow(lean(symbols), "shard long, symbols binary"), "lm-training")
     params = spark.sparkContext.broadcast(_fit(documents, shards, vocabulary, rounds))
 
     names = ["row", "doc_id", "held_out", "n_tokens", "n_found", "base", "model", "word", "times"]
@@ -417,7 +417,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     kind = docs.schema[id_col].dataType.simpleString()
     scored = materialise(
-        rows.mapInArrow(score, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_found long, base double, model double, word long, times long"), "scored"
+        rows.mapInArrow(lean(score), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_found long, base double, model double, word long, times long"), "scored"
     )
     rare = (
         scored.filter("word IS NOT NULL")

@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, _quoted, bitmap_of, in_bitmap, materialise, mix, shuffle_width, slices
+from .common import Words, _quoted, bitmap_of, in_bitmap, lean, materialise, mix, shuffle_width, slices
 from .graph import components
 
 #: So many of the most frequent n-grams at most go last in the order of n-grams, by their counts.
 FREQUENT = 1 << 20
 #: n-grams that a task holds before it sums up.
-HELD = 3 << 19
+HELD = 1 << 20
 #: Sets that one task multiplies at a time; a larger component is cut by size, a larger part into tiles.
 BLOCK_BYTES, TILE_BYTES = 4 << 20, 6 << 20
 #: Prefix n-grams in one column block; the number of blocks grows with the table.
@@ -409,7 +409,8 @@ def similar(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_i
     """
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
-    survey = materialise(texts.mapInArrow(*_survey(n)), "survey")
+    run, schema = _survey(n)
+    survey = materialise(texts.mapInArrow(lean(run), schema), "survey")
     rows = survey.filter("key IS NOT NULL").select("doc_id", "size", "key")
     frequent = _most_frequent(survey.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("count").alias("n")))
     entries = rows.agg(F.sum("size")).first()[0] or 0
@@ -418,11 +419,11 @@ def similar(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_i
     # n-grams that tasks met only once each but that sets share go behind those that none share
     order = spark.sparkContext.broadcast(Order(frequent))
     run, schema = _shared(n, percent, order, blocks)
-    shared = bitmap_of(texts.mapInArrow(run, schema).groupBy("block").applyInArrow(_shared_block, "slot long"), "slot", SHARED_BITS)
+    shared = bitmap_of(texts.mapInArrow(lean(run), schema).groupBy("block").applyInArrow(_shared_block, "slot long"), "slot", SHARED_BITS)
     order.destroy()
     order = spark.sparkContext.broadcast(Order(frequent, shared))
     run, schema = _meetings(n, percent, order, blocks)
-    edges = texts.mapInArrow(run, schema).groupBy("block").applyInArrow(_join_block, "a long, b long")
+    edges = texts.mapInArrow(lean(run), schema).groupBy("block").applyInArrow(_join_block, "a long, b long")
     nodes = materialise(components(edges), "blocks")
     order.destroy()
 
@@ -436,7 +437,7 @@ def similar(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_i
     tiles = member.groupBy("root", "part").agg(F.ceil(F.sum("size") * 8 / TILE_BYTES).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
     member = materialise(member.join(tiles, ["root", "part"]).select("key", "low", "root", "part", "tiles", tile.alias("tile")), "members")
-    wanted = spark.sparkContext.broadcast(bitmap_of(member.select("key", "low").mapInArrow(_slot_rows, "slot long"), "slot", FILTER_BITS))
+    wanted = spark.sparkContext.broadcast(bitmap_of(member.select("key", "low").mapInArrow(lean(_slot_rows), "slot long"), "slot", FILTER_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -447,13 +448,13 @@ def similar(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_i
             grams = pa.array([hashes[first[k] : first[k + 1]].tobytes() for k in at], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(keys[at]), batch.column(0).take(pa.array(at)), grams], ["key", "doc_id", "grams"])
 
-    made = texts.mapInArrow(sets, "key long, doc_id long, grams binary").withColumnRenamed("key", "own")
+    made = texts.mapInArrow(lean(sets), "key long, doc_id long, grams binary").withColumnRenamed("key", "own")
     rows_of = made.join(member, (F.col("own") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("low")))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     placed = rows_of.select("key", "grams", "root", "part", "tile", other)
     placed = placed.select("root", "part", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "key", "grams", "tile")
     placed = placed.repartition(4 * shuffle_width(spark), "root", "part", "i", "j").sortWithinPartitions("root", "part", "i", "j", "key")
-    found = components(placed.mapInArrow(_multiply(percent), "a long, b long")).withColumnRenamed("node", "key")
+    found = components(placed.mapInArrow(lean(_multiply(percent)), "a long, b long")).withColumnRenamed("node", "key")
 
     linked = found.join(classes, "key").select("key", "root", "low")
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import _quoted, materialise, shuffle_width, slices
+from .common import _quoted, lean, materialise, shuffle_width, slices
 from .tokens import Encoder
 
 END_ID = 1
@@ -86,7 +86,7 @@ def pack(
             )
 
     texts = docs.select(_quoted(id_col), F.coalesce(_quoted(text_col), F.lit("")).alias("text"))
-    pieces = materialise(texts.mapInArrow(run, schema), "pieces")
+    pieces = materialise(texts.mapInArrow(lean(run), schema), "pieces")
     width = shuffle_width(docs.sparkSession)
     bucket = F.pmod(F.xxhash64(_quoted(id_col), "start"), F.lit(width)).alias("bucket")
     counts = pieces.groupBy("class", bucket).agg(F.count(F.lit(1)).alias("n"))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _quoted, materialise, shared_dir, shuffle_width, slices
+from .common import _quoted, lean, materialise, shared_dir, shuffle_width, slices
 from .files import Ranges, create, new_file
 from .tokens import Encoder
 
@@ -205,7 +205,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_i
                 pa.schema([("path", pa.string()), ("part", pa.int32()), ("nth", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64())]),
             )
 
-    return materialise(rows.mapInArrow(run, "path string, part int, nth int, docs long, tokens long"), "rans-files")
+    return materialise(rows.mapInArrow(lean(run), "path string, part int, nth int, docs long, tokens long"), "rans-files")
 
 
 def read_ids(files: DataFrame, keep_ids: bool = False) -> DataFrame:
@@ -255,10 +255,10 @@ def read_ids(files: DataFrame, keep_ids: bool = False) -> DataFrame:
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    found = files.select("path", "first").mapInArrow(blocks, "path string, block int, first long")
+    found = files.select("path", "first").mapInArrow(lean(blocks), "path string, block int, first long")
     width = shuffle_width(files.sparkSession)
     run = F.floor(F.col("block") / BLOCK_RUN)  # a footer is read once for a run of blocks
-    return found.repartition(width, F.col("path"), run).sortWithinPartitions("path", "block").mapInArrow(decode, schema)
+    return found.repartition(width, F.col("path"), run).sortWithinPartitions("path", "block").mapInArrow(lean(decode), schema)
 
 
 def ids_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hasher, _quoted, bit_words, bitmap_of, buffers, in_bitmap, materialise, mix, replaced, slices, with_bit
+from .common import Hasher, _quoted, bit_words, bitmap_of, buffers, in_bitmap, lean, materialise, mix, replaced, slices, with_bit
 
 GRAM = 100
 FILTER_BITS = 24
@@ -27,7 +27,7 @@ FILTER_BITS = 24
 GROUP_ROWS = 1 << 16
 BATCH_BYTES = 4 << 20
 #: A longer text is read in pieces of so many windows, which overlap.
-LONG = 2 << 20
+LONG = 1 << 20
 #: Surroundings that a task remembers to have sent; sent again they do no harm.
 SENT = 1 << 18
 #: Anchors with equal surroundings beyond this number are dealt to SALTS tasks where they meet their extents.
@@ -191,7 +191,7 @@ def repeated(docs: DataFrame, length: int = 400, gram: int = GRAM, text_col: str
                     ["gram", "around", "digest", "at", "left", "right"],
                 )
 
-    found = materialise(texts.mapInArrow(sites, "gram long, around long, digest binary, at long, left int, right int"), "anchors")
+    found = materialise(texts.mapInArrow(lean(sites), "gram long, around long, digest binary, at long, left int, right int"), "anchors")
     kinds = found.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.max("left").alias("left"), F.max("right").alias("right"))
     kinds = materialise(kinds, "kinds")
     several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).filter("all > 1")
@@ -238,8 +238,8 @@ def repeated(docs: DataFrame, length: int = 400, gram: int = GRAM, text_col: str
 
     names = ["gram", "around", "left", "right"]
     schema = "gram long, around long, left int, right int"
-    sampled = only.mapInArrow(surroundings, "gram long, around long, left int, bytes binary").repartition("gram").sortWithinPartitions("gram", "around")
-    reach = copies.unionByName(sampled.mapInArrow(extents, schema))
+    sampled = only.mapInArrow(lean(surroundings), "gram long, around long, left int, bytes binary").repartition("gram").sortWithinPartitions("gram", "around")
+    reach = copies.unionByName(sampled.mapInArrow(lean(extents), schema))
     crowded = kinds.filter(F.col("kinds") > group_rows)
     if crowded.limit(1).count():
         reach = reach.unionByName(_counted(only, crowded, length, gram))
@@ -259,7 +259,7 @@ def repeated(docs: DataFrame, length: int = 400, gram: int = GRAM, text_col: str
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     out = T.StructType([*docs.schema.fields, T.StructField("repeated_spans", span), T.StructField("kept", T.BinaryType())])
     joined = docs.withColumn("__digest", digest).join(spans.withColumnRenamed("digest", "__digest"), "__digest", "left")
-    return joined.select(*[_quoted(c) for c in docs.columns], F.col("spans").alias("__spans")).mapInArrow(_cutter(text_col), out)
+    return joined.select(*[_quoted(c) for c in docs.columns], F.col("spans").alias("__spans")).mapInArrow(lean(_cutter(text_col)), out)
 
 
 def _counted(only: DataFrame, crowded: DataFrame, length: int, gram: int) -> DataFrame:
@@ -284,7 +284,7 @@ def _counted(only: DataFrame, crowded: DataFrame, length: int, gram: int) -> Dat
                         ["gram", "around", "shift", "window"],
                     )
 
-    rows = only.mapInArrow(windows, "gram long, around long, shift int, window long").distinct()
+    rows = only.mapInArrow(lean(windows), "gram long, around long, shift int, window long").distinct()
     rows = materialise(rows.join(crowded.select("gram", "around"), ["gram", "around"], "left_semi"), "windows")
     # equal windows have their anchor at one place, so one occurrence is not counted again for its other anchors
     place = ["gram", "shift", "window"]

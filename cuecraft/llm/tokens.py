@@ -9,7 +9,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 
-from .common import LOWER, buffers, mix
+from .common import LOWER, buffers, kept, mix
 
 #: Slots of the table of pieces that a Python worker remembers, and the ids it holds before it starts anew: under 50 MB.
 SLOT_BITS, HELD_IDS = 21, 1 << 23
@@ -29,6 +29,7 @@ _WIDE = rb"[\xc3-\xdf][\x80-\xbf]|\xe3[\x81-\xbf][\x80-\xbf]|[\xe4-\xef][\x80-\x
 #: By keep_space: a separator that is a token of its own and the pieces that can't hold it.
 _JOINED = {True: ("\n", re.compile(rb" ?(?:[!-~]|" + _WIDE + rb")+")), False: (" 0 ", re.compile(rb"(?:[!-/1-~]|" + _WIDE + rb")+"))}
 _encoders: dict[tuple[str, bool], Encoder] = {}
+kept.append(_encoders)
 
 
 def tokenizer_path(name: str) -> str:

@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Hasher, Words, _quoted, materialise, mix, replaced, slices
+from .common import ALNUM, Hasher, Words, _quoted, lean, materialise, mix, release, replaced, slices
 
 #: At most so many labelled rows, of so many code points together, train the model.
-TRAIN_ROWS, TRAIN_CHARS = 6000, 16_000_000
+TRAIN_ROWS, TRAIN_CHARS = 6000, 10_000_000
 #: Beginnings of words, in bytes, that are features beside the word itself.
 PREFIXES = (5, 6, 7, 8)
 TABLE_BITS = 18
@@ -199,6 +199,7 @@ def train(texts: pa.Array, toxic: np.ndarray, epochs: int = 4, batch: int = 128)
     if not len(toxic) or toxic.min() == toxic.max():
         return Model(weights, bias, trans, curve)
     slots, sizes = np.concatenate(own), np.concatenate(sizes)
+    own.clear()
     first = np.concatenate([[0], np.cumsum(sizes)])
     truth = mark(slots, np.repeat(np.arange(len(sizes)), sizes), toxic)
     squares, bias_sq, trans_sq = np.full(1 << TABLE_BITS, 1e-2), 1.0, np.ones((2, 2))
@@ -254,7 +255,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = sample.select("id", F.length("text").alias("n")).withColumn("total", F.sum("n").over(before))  # ``rows`` rows at most
     kept = sample.join(F.broadcast(sizes.filter(F.col("total") <= chars).select("id")), "id")
     got = kept.orderBy("id").select("text", "label").toArrow()
-    return train(got["text"].combine_chunks(), got["label"].to_numpy().astype(np.int64))
+    model = train(got["text"].combine_chunks(), got["label"].to_numpy().astype(np.int64))
+    del got
+    release()
+    return model
 
 
 def held_out(doc_id):
@@ -293,4 +297,4 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
                 last = k
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(spans, kind)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

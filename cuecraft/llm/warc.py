@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, slices
+from .common import lean, materialise, shared_dir, slices
 from .files import Ranges, create, new_file
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -94,7 +94,7 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0) -> DataF
         "page_id", "url", "html", F.col("first.page_id").alias("refers_to"),
         (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))).alias("revisit"),
     )
-    return materialise(rows.mapInArrow(_writer(folder), "path string, records long, bytes long"), "archives")
+    return materialise(rows.mapInArrow(lean(_writer(folder)), "path string, records long, bytes long"), "archives")
 
 
 def _writer(folder: str):
@@ -174,7 +174,7 @@ def archive_index(archives: DataFrame) -> DataFrame:
                     pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("url", pa.string())]),
                 )
 
-    return archives.select("path").mapInArrow(run, "path string, offset long, length long, page_id long, url string")
+    return archives.select("path").mapInArrow(lean(run), "path string, offset long, length long, page_id long, url string")
 
 
 READ = "page_id long, url string, record_type string, payload_digest string, refers_to long, payload binary"
@@ -204,7 +204,7 @@ def read_records(index: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in READ.split(", ")])
                 k = n
 
-    return index.mapInArrow(run, READ)
+    return index.mapInArrow(lean(run), READ)
 
 
 def warc_round_trip(pages: DataFrame, min_payload: int = 0) -> DataFrame:
