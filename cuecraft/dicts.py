@@ -42,6 +42,7 @@ SIGNS = {"finance": "\U0001f4b0", "gaming": "\U0001f3ae", "cooking": "\U0001f373
 SMALL_WORDS = "a an and as at but by for from in is it its of on or so than that the to vs with".split()
 HOOK_WEIGHTS = [(r"\bwhy\b", 1.0), (r"\bhow\b", 0.8), (r"\bsecret\b", 1.5), (r"\btruth\b", 1.5), (r"\bnever\b", 1.2), (r"\bfinally\b", 0.6)]
 TRIGGERS = "always best mistake never secret truth worst".split()
+GREETING = r"(?i)^\s*(?:good (?:morning|evening)|greetings|hello|hey|hi|welcome)\b[\s,]+(?:again|all|back|everybody|everyone|folks|friends|people|there|to)\b"
 VISUAL = "money car city ocean mountain fire".split()
 EMOJI = {"fire": "\U0001f525", "money": "\U0001f4b0", "city": "\U0001f3d9", "ocean": "\U0001f30a"}
 KEYWORD_RULES = [("number", r"^\d"), ("shout", r"^[A-Z]{3,}$"), ("question", r"(?i)^(why|how|what)$"), ("long", r"^.{9,}$")]

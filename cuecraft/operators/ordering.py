@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuecraft.sources.shared import shared_path
+
 
 def global_place(rows: DataFrame, keys: list[Column]) -> DataFrame:
     """Place of each row in the order of the keys, without one task that holds all rows.
 
-    Rows are dealt by ranges of the keys; each range numbers its own behind the counts of
-    the ranges before it (one row a range).
+    Rows are dealt by ranges of the keys and written with their range, so that both readers of
+    them agree; each range numbers its own behind the counts of the ranges before it (one row a
+    range).
     """
     names = [f"__k{k}" for k in range(len(keys))]
     ranged = rows.withColumns(dict(zip(names, keys, strict=True))).repartitionByRange(*names).withColumn("__part", F.spark_partition_id())
+    path = shared_path(rows.sparkSession, "ranges")
+    ranged.write.parquet(path)
+    ranged = rows.sparkSession.read.schema(ranged.schema).parquet(path)
     ranged = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*names)))
     counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

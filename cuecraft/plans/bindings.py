@@ -164,7 +164,7 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     return docs.select(
         F.col("doc_id").alias("clip_id"),
-        (F.col("doc_id") % 97).alias("video_id"),
+        F.floor(F.col("doc_id") / 8).alias("video_id"),
         F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("title"),
         "text",
         F.when(F.col("toxic") == 1, "drama").otherwise(F.col("lang")).alias("niche"),
@@ -177,7 +177,7 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLIPS = """clips AS (
-  SELECT d.doc_id AS clip_id, d.doc_id % 97 AS video_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS title, text,
+  SELECT d.doc_id AS clip_id, d.doc_id // 8 AS video_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS title, text,
     CASE WHEN toxic = 1 THEN 'drama' ELSE lang END AS niche, CASE WHEN quality = 1 THEN 'full_transcript' ELSE 'unknown' END AS source,
     d.doc_id * 7919 % 600 * 1000 AS start_ms, d.doc_id * 7919 % 600 * 1000 + 20000 + d.doc_id % 30 * 1000 AS end_ms,
     n_chars % 31 AS virality, n_chars % 101 AS rubric FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""

@@ -38,12 +38,6 @@ def _reconcile(spark, sf):
     return corpus.reconcile_plan(rows, contexts).select("clip_id", "niche", "topic")
 
 
-@query("retitle_stale", f"WITH {b.CLIPS} SELECT clip_id, title FROM clips WHERE title IS NULL OR len(regexp_extract_all(title, '[A-Za-z]+')) < 3 OR contains(lower(title), 'ther')")
-def _stale(spark, sf):
-    few = F.size(F.regexp_extract_all("title", F.lit("[A-Za-z]+"), F.lit(0))) < 3
-    return b.clips(spark, sf).filter(F.col("title").isNull() | few | F.contains(F.lower("title"), F.lit("ther"))).select("clip_id", "title")
-
-
 @query("timing_guard", f"WITH {b.CLIPS}, t AS (SELECT clip_id, CASE WHEN clip_id % 4 > 0 THEN start_ms END AS a, CASE WHEN clip_id % 8 > 0 THEN start_ms END AS s, CASE WHEN clip_id % 9 > 0 THEN end_ms ELSE 0 END AS e FROM clips) SELECT clip_id, coalesce(a, s) AS from_time, CASE WHEN coalesce(a, s) IS NULL THEN 'no_start' WHEN e <= coalesce(a, s) THEN 'bad_range' END AS reject_reason FROM t")
 def _guard(spark, sf):
     k = F.col("clip_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cuecraft import dicts
 from cuecraft.functions import scoring
 from cuecraft.operators import corpus, critique, intervals, shots, windows
 from cuecraft.plans import bindings as b
@@ -43,7 +44,21 @@ def _cue_window(spark, sf):
     return rows.groupBy("video_id").agg(F.count_distinct("window").alias("windows"), F.count(F.lit(1)).alias("pairs"))
 
 
-@query("snap_window")
+_OPENS = r"""ob AS (SELECT *, lag(start_ms + dur_ms) OVER o AS prev_end, lag(text) OVER o AS prev_text FROM cues WINDOW o AS (PARTITION BY video_id ORDER BY cue_idx)),
+oc AS (SELECT video_id, cue_idx, prev_text IS NULL OR start_ms - prev_end >= 180 OR regexp_matches(rtrim(prev_text, ' ' || chr(10)), '[.!?]["'')\]]*$') AS opens FROM ob),
+od AS (SELECT *, coalesce(lead(opens) OVER (PARTITION BY video_id ORDER BY cue_idx), true) AS closes FROM oc)"""
+_ITEM = "{'s': y.start_ms::BIGINT, 'e': y.e::BIGINT, 'o': opens, 'c': closes, 'g': regexp_matches(y.text, '" + dicts.GREETING.replace("'", "''") + "'), 't': trim(replace(y.text, chr(10), ' '))}"
+_LAST_TRUE = "list_max(list_filter(list_transform(items, lambda x, k: CASE WHEN k > s AND items[n].e - x.e <= 12000 AND x.c THEN k END), lambda k: k IS NOT NULL))"
+_FIRST_TRUE = "list_min(list_filter(list_transform(items, lambda x, k: CASE WHEN k > head AND x.s - items[head + 1].s <= 8000 AND ((k = head + 1 AND head > 0) OR x.o) THEN k END), lambda k: k IS NOT NULL))"
+_HEAD = "least(3, n - 1, coalesce(list_min(list_filter(list_transform(items, lambda x, k: CASE WHEN NOT x.g THEN k END), lambda k: k IS NOT NULL)) - 1, n))"
+_SNAPPED = f"""{_WINDOWS}, {_OPENS}, i0 AS (SELECT y.video_id, y.win, list({_ITEM} ORDER BY y.cue_idx) AS items, count(*) AS n FROM y JOIN od USING (video_id, cue_idx) WHERE y.e - y.first <= 58500 GROUP BY 1, 2),
+i1 AS (SELECT *, {_HEAD} AS head FROM i0), i2 AS (SELECT *, coalesce({_FIRST_TRUE} - 1, head) AS s FROM i1), i3 AS (SELECT *, coalesce({_LAST_TRUE}, n) AS z FROM i2),
+i4 AS (SELECT video_id, win, items, items[s + 1 : z] AS cut, items[head + 1 : n] AS rest FROM i3), i5 AS (SELECT video_id, win, CASE WHEN cut[-1].e - cut[1].s >= 35000 THEN cut WHEN rest[-1].e - rest[1].s >= 35000 THEN rest ELSE items END AS w FROM i4),
+i6 AS (SELECT video_id, win, w[1].s AS start_ms, w[-1].e AS end_ms, len(w) AS n_cues, array_to_string(list_transform(w, lambda x: x.t), ' ') AS text FROM i5 WHERE w[-1].e - w[1].s BETWEEN 35000 AND 58500),
+snapped AS (SELECT * FROM (SELECT *, lag(start_ms) OVER o AS ps, lag(end_ms) OVER o AS pe FROM i6 WINDOW o AS (PARTITION BY video_id ORDER BY win)) WHERE ps IS NULL OR ps <> start_ms OR pe <> end_ms)"""
+
+
+@query("snap_window", f'WITH {_SNAPPED} SELECT video_id, win AS "window", start_ms, end_ms, n_cues, sha256(text) AS text_sha256 FROM snapped')
 def _snap(spark, sf):
     rows = windows.sliding_windows(b.cues(spark, sf), snap=True)
     return rows.select("video_id", "window", "start_ms", "end_ms", "n_cues", F.sha2("text", 256).alias("text_sha256"))
@@ -120,14 +135,28 @@ def _rubric_scores(spark, sf):
     return _rubric(spark, sf, snap=False).select("video_id", "window", "rubric.*")
 
 
-def _critique(spark, sf):
-    rows = _rubric(spark, sf).select("video_id", "window", "start_ms", "end_ms", F.col("rubric.average").alias("average"), F.col("h.sponsor_prob").alias("sponsor_prob"))
-    return critique.critique_select(rows)
+def _slot(slot: int, attempts: int = 4, threshold: float = 7.0) -> str:
+    """Two tables: the search of one slot in a few rows, then, if it finds none, in all."""
+    k = f"(({slot} * stride + x) % n + 1)"
+    clash = f"len(list_filter(chosen, lambda c: least(r[{k}].z, r[c.k].z) - greatest(r[{k}].a, r[c.k].a) > 10000)) > 0"
+    better = f"{{'t': st.t + 1, 'b': {k}, 'v': r[{k}].v, 'tries': st.t + 1, 'done': r[{k}].v >= {threshold}}}"
+    step = f"CASE WHEN st.done OR st.t = {attempts} OR {clash} THEN st WHEN r[{k}].s < 0.55 AND (r[{k}].v > st.v OR r[{k}].v >= {threshold}) THEN {better} ELSE {{'t': st.t + 1, 'b': st.b, 'v': st.v, 'tries': st.tries, 'done': false}} END"
+    start = "{'t': 0::BIGINT, 'b': 0::BIGINT, 'v': -1.0::DOUBLE, 'tries': 0::BIGINT, 'done': false}"
+    fold = lambda limit: f"list_reduce(range({limit}), lambda st, x: {step}, {start})"
+    narrow = f"least(n, {attempts * 5})"
+    return f"""n{slot} AS (SELECT *, {fold(narrow)} AS f FROM c{slot}), a{slot} AS (SELECT * EXCLUDE (f), CASE WHEN f.b = 0 AND n > {narrow} THEN {fold('n')} ELSE f END AS f FROM n{slot}),
+c{slot + 1} AS (SELECT * EXCLUDE (f, chosen), CASE WHEN f.b > 0 THEN list_append(chosen, {{'slot': {slot}, 'k': f.b, 'tries': f.tries}}) ELSE chosen END AS chosen FROM a{slot})"""
 
 
-@query("critique_search")
+_CRITIQUE = f"""{_RUBRIC}, cw AS (SELECT s.video_id, s.win, s.start_ms, s.end_ms, s.sponsor, round((hook + clarity + pacing + payoff + shareability + subtitles) / 6.0::DOUBLE, 1) AS average FROM s JOIN q2 USING (video_id, win)),
+c0 AS (SELECT video_id, list({{'w': win, 'a': start_ms::BIGINT, 'z': end_ms::BIGINT, 'v': average, 's': sponsor}} ORDER BY win) AS r, count(*) AS n, greatest(1, count(*) // 3) AS stride, []::STRUCT(slot INT, k BIGINT, tries BIGINT)[] AS chosen FROM cw GROUP BY 1), {_slot(0)}, {_slot(1)}, {_slot(2)},
+picked AS (SELECT video_id, r, unnest(chosen) AS c FROM c3)"""
+
+
+@query("critique_search", f'WITH {_CRITIQUE} SELECT video_id, c.slot AS slot, r[c.k].w AS "window", r[c.k].a AS start_ms, r[c.k].z AS end_ms, r[c.k].v AS average, c.tries::INT AS attempt FROM picked')
 def _critique_search(spark, sf):
-    return _critique(spark, sf)
+    rows = _rubric(spark, sf, snap=False).select("video_id", "window", "start_ms", "end_ms", F.col("rubric.average").alias("average"), F.col("h.sponsor_prob").alias("sponsor_prob"))
+    return critique.critique_select(rows)
 
 
 _TAKEN = f"""{_SCORED}, sr AS (SELECT video_id, list({{'a': start_ms, 'z': end_ms}} ORDER BY score DESC, win) AS r FROM s GROUP BY 1),
@@ -344,7 +373,7 @@ def _labels(spark, sf):
     "classify_hook_frameworks",
     "WITH t AS (SELECT conv_id, turn, lower(text) AS t FROM conversations), f AS (SELECT conv_id, turn, list_filter(["
     + ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{n}' END" for n, p in scoring.FRAMEWORKS)
-    + "], lambda x: x IS NOT NULL) AS f FROM t) SELECT conv_id, turn, CASE WHEN len(f) > 0 THEN f ELSE ['Direct Exposition'] END AS frameworks FROM f",
+    + "], lambda x: x IS NOT NULL) AS f FROM t) SELECT conv_id, turn, CASE WHEN len(f) > 0 THEN f ELSE ['" + scoring.NO_FRAMEWORK + "'] END AS frameworks FROM f",
 )
 def _frameworks(spark, sf):
     return b.table(spark, sf, "conversations").select("conv_id", "turn", scoring.classify_hook_frameworks(F.col("text")).alias("frameworks"))

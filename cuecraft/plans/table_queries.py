@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cuecraft.operators import channels
+from cuecraft.operators import channels, tables
 from cuecraft.plans import bindings as b
 from cuecraft.plans.registry import query
 
@@ -77,9 +76,7 @@ FROM channel_videos WHERE video_id IN (SELECT l_orderkey FROM lineitem WHERE l_r
 )
 def _semi(spark, sf):
     files = b.table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("video_id"))
-    own = Window.partitionBy("channel_id").orderBy(F.desc("uploaded"), "video_id")
-    rows = b.channel_videos(spark, sf).join(files, "video_id", "left_semi")
-    return rows.select("channel_id", "video_id", "uploaded", F.row_number().over(own).alias("place"))
+    return tables.semi_rendered(b.channel_videos(spark, sf), files)
 
 
 @query(
@@ -126,7 +123,7 @@ def _upsert(spark, sf):
 @query("token_counts", r"""SELECT doc_id AS video_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9'']+')) AS token FROM documents) GROUP BY 1, 2""")
 def _token_counts(spark, sf):
     tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9][a-z0-9']+"), F.lit(0))
-    return b.table(spark, sf, "documents").select(F.col("doc_id").alias("video_id"), F.explode(tokens).alias("token")).groupBy("video_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    return tables.token_counts(b.table(spark, sf, "documents").select(F.col("doc_id").alias("video_id"), tokens.alias("tokens")))
 
 
 _TOK = r"""t AS (SELECT doc_id AS video_id, regexp_extract_all(lower(text), '[a-z0-9][a-z0-9'']+') AS a FROM documents)"""
@@ -147,7 +144,7 @@ def _bigrams(spark, sf):
 
 @query("full_text", f"WITH {b.CUES} SELECT video_id, string_agg(text, ' ' ORDER BY cue_idx) AS full_text FROM cues GROUP BY 1")
 def _full_text(spark, sf):
-    return b.cues(spark, sf).groupBy("video_id").agg(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY cue_idx)").alias("full_text"))
+    return tables.full_text(b.cues(spark, sf))
 
 
 @query(
@@ -155,8 +152,7 @@ def _full_text(spark, sf):
     f"WITH {b.CLIPS} SELECT video_id, count(*) AS n_clips, sha256(string_agg(text, ' ' ORDER BY clip_id)) AS text_sha256 FROM clips GROUP BY 1",
 )
 def _snippets(spark, sf):
-    joined = F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY clip_id)")
-    return b.clips(spark, sf).groupBy("video_id").agg(F.count(F.lit(1)).alias("n_clips"), F.sha2(joined, 256).alias("text_sha256"))
+    return tables.snippet_union(b.clips(spark, sf)).select("video_id", "n_clips", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query(
@@ -213,9 +209,7 @@ def _history(spark, sf):
 SELECT video_id, clip_id, virality, rubric FROM r WHERE k = 1""",
 )
 def _best(spark, sf):
-    rows = b.clips(spark, sf)
-    top = rows.groupBy("video_id").agg(F.max_by(F.struct("clip_id", "virality", "rubric"), F.struct("virality", "rubric", -F.col("clip_id"))).alias("s"))
-    return top.select("video_id", "s.clip_id", "s.virality", "s.rubric")
+    return tables.best_clip(b.clips(spark, sf))
 
 
 @query(
@@ -223,8 +217,7 @@ def _best(spark, sf):
     f"WITH {b.WORDS} SELECT video_id, word_idx, start_ms - lag(end_ms) OVER (PARTITION BY video_id ORDER BY word_idx) AS pause_ms FROM words",
 )
 def _pause(spark, sf):
-    own = Window.partitionBy("video_id").orderBy("word_idx")
-    return b.words(spark, sf).select("video_id", "word_idx", (F.col("start_ms") - F.lag("end_ms").over(own)).alias("pause_ms"))
+    return tables.pause_before(b.words(spark, sf)).select("video_id", "word_idx", "pause_ms")
 
 
 @query(
@@ -243,8 +236,7 @@ def _boundary(spark, sf):
     f"WITH {b.LEVELS} SELECT video_id, sum(db10) / count(*) / 10 + 7 AS mean_bound, quantile_cont(db10, 0.9) / 10 AS p90 FROM levels GROUP BY 1",
 )
 def _loudness(spark, sf):
-    rows = b.levels(spark, sf)
-    return rows.groupBy("video_id").agg((F.sum("db10") / F.count(F.lit(1)) / 10 + 7).alias("mean_bound"), (F.percentile("db10", 0.9) / 10).alias("p90"))
+    return tables.loudness_bounds(b.levels(spark, sf))
 
 
 @query(
@@ -265,9 +257,7 @@ r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS second FROM g WI
 SELECT video_id, niche, CAST(score AS BIGINT) AS score, CAST(second AS BIGINT) AS second FROM r WHERE k = 1""",
 )
 def _runner(spark, sf):
-    g = b.clips(spark, sf).groupBy("video_id", "niche").agg(F.sum("virality").alias("score"))
-    own = Window.partitionBy("video_id").orderBy(F.desc("score"), "niche")
-    return g.withColumn("second", F.lead("score").over(own)).withColumn("k", F.row_number().over(own)).filter("k = 1").drop("k")
+    return tables.runner_up(b.clips(spark, sf).groupBy("video_id", "niche").agg(F.sum("virality").alias("score")))
 
 
 @query(
@@ -283,7 +273,7 @@ def _overlap(spark, sf):
 
 @query("topk_global", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def _topk(spark, sf):
-    return b.table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
+    return tables.topk_global(b.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 100)
 
 
 @query(
@@ -291,8 +281,8 @@ def _topk(spark, sf):
     "SELECT o_custkey, o_orderkey, k FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3",
 )
 def _topk_group(spark, sf):
-    own = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return b.table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(own).alias("k")).filter("k <= 3")
+    rows = b.table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return tables.topk_group(rows, "o_custkey", [F.desc("o_totalprice"), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey", "k")
 
 
 @query(
@@ -346,4 +336,4 @@ def _keywords(spark, sf):
 def _context(spark, sf):
     rows = b.clips(spark, sf)
     contexts = rows.filter("source = 'full_transcript'").groupBy("video_id").agg(F.max_by("niche", "clip_id").alias("context"))
-    return rows.join(contexts, "video_id").select("clip_id", "video_id", "context")
+    return tables.join_context(rows, contexts)[0].select("clip_id", "video_id", "context")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cuecraft import dicts
 from cuecraft.functions import text as X
-from cuecraft.operators import titles, topics
+from cuecraft.operators import tables, titles, topics
 from cuecraft.plans import bindings as b
 from cuecraft.plans import fixtures
 from cuecraft.plans import title_sql as Q
@@ -69,6 +69,7 @@ def _niche_token(spark, sf):
 _TITLE = "regexp_extract(coalesce(html, ''), '(?i)<title[^>]*>([^<]*)', 1)"
 
 
+@query("page_slugs", f"SELECT page_id, {Q.slug('t')} AS slug FROM (SELECT page_id, {_TITLE} AS t FROM pages)")
 @query("tag_slug", f"SELECT page_id, {Q.slug('t')} AS slug FROM (SELECT page_id, {_TITLE} AS t FROM pages)")
 def _slug(spark, sf):
     """The slug of every page's whole title."""
@@ -290,3 +291,12 @@ def _subjects(spark, sf):
     return titles.subject_freq(b.channel_videos(spark, sf).withColumnRenamed("video_id", "pos"))
 
 
+_STALE = f"st AS (SELECT doc_id AS clip_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS was FROM documents), sl AS (SELECT * FROM st WHERE was IS NULL OR len(regexp_extract_all(was, '[A-Za-z]+')) < 3 OR contains(lower(was), 'ther') OR contains(lower(was), 'und'))"
+
+
+@query("retitle_stale", f"{_CLIPS}, {Q.master()}, {Q.RANKED}, {_STALE} SELECT clip_id, was, title FROM sl LEFT JOIN ranked USING (clip_id)")
+def _retitled(spark, sf):
+    """First words of a text stand for its old title; the new one is the best of the clip's titles."""
+    clips = _clips(spark, sf)
+    old = _docs(spark, sf).select(F.col("video_id").alias("clip_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("title"))
+    return tables.retitle_stale(old, titles.rank_titles(_master(clips), clips), ["ther", "und"])
