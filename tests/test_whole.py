@@ -52,10 +52,10 @@ def test_title_functions_read_whole_texts(spark, tmp_path):
     for k, t in enumerate(texts):
         assert got["validate_title"][k] == reason(t)
         if t is not None:
-            assert got["filler_hits"][k] == len(set(re.findall("[a-z']+", t.lower())) & set(dicts.FILLERS))
+            assert got["filler_hits"][k] == sorted(set(re.findall("[a-z']+", t.lower())) & set(dicts.FILLERS))
             assert got["sanitize_phrase"][k] == " ".join([w for w in re.findall("[A-Za-z][A-Za-z'-]*", t) if len(w) > 2 and w.lower() not in bad][:3])
     assert {"title too long", "title repeats a word", "multiple ellipses", "non-ascii letter", "blocked word"} <= set(got["validate_title"].values())
-    assert got["filler_hits"][0] > 0 and got["sanitize_phrase"][6] == "harbour Lights shine"
+    assert got["filler_hits"][0] and got["sanitize_phrase"][6] == "harbour Lights shine"
 
 
 def test_slugs_of_every_page_and_whole_title(spark, tmp_path):
