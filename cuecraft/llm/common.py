@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch that goes to a Python worker, unless the session has set less.
 BATCH_BYTES = 4 << 20
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -32,7 +33,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     if not base:
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def sweep() -> int:
+    """Deletes what this process's operators have written to the shared folder; to be called once results are stored elsewhere."""
+    from .files import delete
+
+    count = len(_written)
+    while _written:
+        delete(_written.pop())
+    return count
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -217,6 +230,33 @@ class Hasher:
         return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+#: Slices of up to so many bytes are hashed eight bytes at a time.
+SHORT = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def hash_slices(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of slices of a buffer: short ones by their bytes, long ones from prefix sums."""
+    at_byte = eights(data)
+    h = mix((at_byte[starts] & _MASKS[np.minimum(sizes, 8)]) + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for k in range(8, SHORT, 8):
+        own = np.flatnonzero(sizes > k)
+        if not len(own):
+            break
+        part = at_byte[starts[own] + k] & _MASKS[np.minimum(sizes[own] - k, 8)]
+        h[own] = mix(h[own] * np.uint64(0x9FB21C651E98DF25) + part)
+    long = np.flatnonzero(sizes > SHORT)
+    if len(long):
+        h[long] = Hasher(data)(starts[long], starts[long] + sizes[long])
+    return h
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all values one after the other, and where each begins. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -264,7 +304,7 @@ class Words:
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.doc = np.searchsorted(self.offsets, self.starts, "right") - 1
         self.first = np.searchsorted(self.starts, self.offsets)  # of each document, and the end
-        self.hash = Hasher(self.data)(self.starts, self.ends)
+        self.hash = hash_slices(self.data, self.starts, self.ends - self.starts)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each run of n words of one document, and the index of its first word."""

@@ -25,6 +25,13 @@ def create(path: str):
     return store.open_output_stream(at)
 
 
+def delete(path: str) -> None:
+    """A folder and all in it; one that is not there is no error."""
+    store, at = open_store(path)
+    if store.get_file_info(at).type != fs.FileType.NotFound:
+        store.delete_dir(at)
+
+
 class Ranges:
     """Random reads of files; the last file stays open."""
 

@@ -110,7 +110,9 @@ def initial(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(a: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-a))
+    e = np.exp(-a)
+    e += 1
+    return np.reciprocal(e, out=e)
 
 
 def _class_of(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,43 +129,53 @@ def step(p: dict, before: np.ndarray, h: np.ndarray):
     return n + z * (h - n), z, r, n, b[:, 2 * HIDDEN :]
 
 
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits less their maximum, their exponentials and the sums of these."""
-    logits -= logits.max(1, keepdims=True)
+def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits, their exponentials and the sums of these; less the largest logit only where the weights allow large ones."""
+    logits = h @ w
+    logits += b
+    if np.abs(w).sum(0).max() + np.abs(b).max() > 80:  # states lie within -1 and 1
+        logits -= logits.max(1, keepdims=True)
     e = np.exp(logits)
-    return logits, e, e.sum(1, keepdims=True)
+    return logits, e, e @ np.ones((e.shape[1], 1), e.dtype)
 
 
 def outputs(p: dict, h: np.ndarray, symbol: np.ndarray, grads: dict | None = None):
     """Natural log-probability of each symbol; with ``grads`` also the gradient by the states."""
     kind, place = _class_of(symbol)
+    order = np.argsort(kind.astype(np.uint8), kind="stable")  # of one class next to each other: no gathering for each
+    kind, place, h = kind[order], place[order], h[order]
     rows = np.arange(len(symbol))
-    logs, prob, total = _softmax(h @ p["c"] + p["cb"])
+    logs, prob, total = _softmax(h, p["c"], p["cb"])
     found = logs[rows, kind] - np.log(total[:, 0])
     back = None
     if grads is not None:
         prob /= total
         prob[rows, kind] -= 1
         grads["c"] += h.T @ prob
-        grads["cb"] += prob.sum(0)
+        grads["cb"] += np.ones(len(prob), prob.dtype) @ prob
         back = prob @ p["c"].T
-    order = np.argsort(kind, kind="stable")
-    cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
     for k in range(CLASSES):
-        own = order[cuts[k] : cuts[k + 1]]
-        if not len(own):
+        own = slice(cuts[k], cuts[k + 1])
+        n = cuts[k + 1] - cuts[k]
+        if not n:
             continue
-        state = h[own]
-        logs, prob, total = _softmax(state @ p["w"][k] + p["wb"][k])
-        inner = np.arange(len(own))
-        found[own] += logs[inner, place[own]] - np.log(total[:, 0])
+        logs, prob, total = _softmax(h[own], p["w"][k], p["wb"][k])
+        inner, at = rows[:n], place[own]
+        found[own] += logs[inner, at] - np.log(total[:, 0])
         if grads is not None:
             prob /= total
-            prob[inner, place[own]] -= 1
-            grads["w"][k] += state.T @ prob
-            grads["wb"][k] += prob.sum(0)
+            prob[inner, at] -= 1
+            grads["w"][k] += h[own].T @ prob
+            grads["wb"][k] += np.ones(n, prob.dtype) @ prob
             back[own] += prob @ p["w"][k].T
-    return found, back
+    result = np.empty_like(found)
+    result[order] = found
+    if back is None:
+        return result, None
+    states = np.empty_like(back)
+    states[order] = back
+    return result, states
 
 
 def lanes_of(symbols: np.ndarray, first: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -9,12 +9,12 @@ import sys
 import numpy as np
 import pyarrow as pa
 
-from .common import LOWER, buffers, kept, mix
+from .common import LOWER, SHORT, buffers, hash_slices, kept
 
 #: Slots of the table of pieces that a Python worker remembers, and the ids it holds before it starts anew: under 50 MB.
 SLOT_BITS, HELD_IDS = 21, 1 << 23
 #: Longer pieces, in bytes, are encoded each time they come.
-LONGEST = 64
+LONGEST = SHORT
 
 LETTER, DIGIT, MARK, OTHER, BLANK, ODD = range(6)
 #: What a byte is: ASCII by its kind, C3 to C9 begin (and later bytes continue) Latin letters.
@@ -90,21 +90,6 @@ def cut_pieces(data: np.ndarray, offsets: np.ndarray, keep_space: bool) -> tuple
     return starts[seen], sizes[seen]
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of pieces of up to LONGEST bytes, eight bytes at a time."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    at_byte = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-    h = mix((at_byte[starts] & mask[np.minimum(sizes, 8)]) + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    for k in range(8, LONGEST, 8):
-        own = np.flatnonzero(sizes > k)
-        if not len(own):
-            break
-        part = at_byte[starts[own] + k] & mask[np.minimum(sizes[own] - k, 8)]
-        h[own] = mix(h[own] * np.uint64(0x9FB21C651E98DF25) + part)
-    return h | np.uint64(1)  # 0 marks a free slot
-
-
 class Encoder:
     """Ids of texts, from a table of pieces of fixed size that forgets as it fills.
 
@@ -183,7 +168,7 @@ class Encoder:
         if not self._keep_space:
             data = LOWER[data]
         starts, sizes = cut_pieces(data, offsets, self._keep_space) if len(data) else (np.zeros(0, np.int64),) * 2
-        hashes = _hashes(data, starts, np.minimum(sizes, LONGEST))
+        hashes = hash_slices(data, starts, np.minimum(sizes, LONGEST)) | np.uint64(1)  # 0 marks a free slot
         slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         at, n = self._at[slot].astype(np.int64), self._n[slot].astype(np.int64)
         miss = np.flatnonzero((self._tag[slot] != hashes) | (sizes > LONGEST))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Hasher, Words, _quoted, lean, materialise, mix, release, replaced, slices
+from .common import _MASKS, ALNUM, Words, _quoted, eights, lean, materialise, mix, release, replaced, slices
 
 #: At most so many labelled rows, of so many code points together, train the model.
 TRAIN_ROWS, TRAIN_CHARS = 6000, 10_000_000
@@ -32,12 +32,12 @@ SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Stru
 def features(words: Words) -> np.ndarray:
     """Slots of each word's features in the table of weights: (words, 1 + prefixes)."""
     mask = np.uint64((1 << TABLE_BITS) - 1)
-    hasher = Hasher(words.data)
+    first, sizes = eights(words.data)[words.starts], words.ends - words.starts
     out = np.empty((len(words.hash), 1 + len(PREFIXES)), np.int32)
     out[:, 0] = mix(words.hash) & mask
     for k, n in enumerate(PREFIXES):
-        head = hasher(words.starts, np.minimum(words.starts + n, words.ends))
-        out[:, k + 1] = mix(head * np.uint64(2 * n + 1)) & mask
+        head = first & np.uint64((1 << 8 * n) - 1) & _MASKS[np.minimum(sizes, 8)]
+        out[:, k + 1] = mix((head + np.uint64(1)) * np.uint64(2 * n + 1)) & mask
     return out
 
 

@@ -560,3 +560,24 @@ def test_repeats_of_passages_of_many_lengths(spark, monkeypatch):
     for (i, t, *_), want in zip(rows, kept, strict=True):
         assert got[i][0] == want
         assert (got[i][1] == 0) == (len(want) == len((t or "").encode()))
+
+
+def test_intermediate_tables_can_be_swept(spark):
+    from pathlib import Path
+
+    from cuecraft.llm import common
+
+    path = common.shared_dir(spark, "swept")
+    spark.range(3).write.parquet(path)
+    assert Path(path.removeprefix("file://")).exists()
+    assert common.sweep() >= 1 and not Path(path.removeprefix("file://")).exists()
+    assert common.sweep() == 0
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    from cuecraft.llm import common
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    common.lean(lambda batches: batches)
+    assert common._bytes(spark.conf.get(setting)) <= common.BATCH_BYTES
+    assert [common._bytes(x) for x in ("64m", "4194304", "1g", "7KB")] == [64 << 20, 4194304, 1 << 30, 7 << 10]
