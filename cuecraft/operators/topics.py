@@ -98,3 +98,10 @@ def video_contexts(rows: DataFrame, niches: dict[str, tuple[str, str]], niche_ta
     niche = F.coalesce("niche", F.lit("general"))
     none = F.expr("cast(array() AS array<string>)")
     return made.select("video_id", F.coalesce("topics", none).alias("topics"), niche.alias("niche"), F.coalesce(F.element_at(tags, niche), F.element_at(tags, F.lit("general"))).alias("niche_tags"))
+
+
+def with_contexts(videos: DataFrame, contexts: DataFrame, general_tags: list[str]) -> DataFrame:
+    """Videos with topics, niche and niche_tags of their context; a silent one, without any, has no topics and is general."""
+    joined = videos.join(contexts, "video_id", "left")
+    none, tags = F.expr("cast(array() AS array<string>)"), F.array(*map(F.lit, general_tags))
+    return joined.withColumns({"topics": F.coalesce("topics", none), "niche": F.coalesce("niche", F.lit("general")), "niche_tags": F.coalesce("niche_tags", tags)})

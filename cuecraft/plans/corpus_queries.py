@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from cuecraft.operators import answers, corpus
 from cuecraft.plans import bindings as b
 from cuecraft.plans.registry import query
-from cuecraft.sources import captions, publog
+from cuecraft.sources import captions, folders
+from cuecraft.sources.shared import shared_path
 from cuecraft.streaming import jobs
 
 _CONTEXT = "x AS (SELECT video_id, arg_max(niche, clip_id) AS context FROM clips WHERE clip_id % 3 = 0 GROUP BY 1)"
@@ -95,11 +96,6 @@ def _log(spark, sf):
     return b.clips(spark, sf).select("clip_id", "source", "niche", "title", at.alias("published_at"))
 
 
-@query("publication_record", f"WITH {_LOG} SELECT clip_id, source, niche, title, published_at FROM l WHERE title <> ''")
-def _record(spark, sf):
-    return publog.round_trip(_log(spark, sf).filter("title <> ''"))
-
-
 @query("L1_publog_stream", f"WITH {_LOG}, d AS (SELECT niche, source, title, min(published_at) AS t FROM l GROUP BY 1, 2, 3) SELECT time_bucket(INTERVAL 1 HOUR, t) AS window_start, niche, source, count(*) AS n FROM d GROUP BY 1, 2, 3")
 def _l1(spark, sf):
     return jobs.publications_per_window(_log(spark, sf))
@@ -131,3 +127,25 @@ def _files(spark, sf, kind):
 _BACK = f"WITH {b.CUES} SELECT video_id, start_ms, dur_ms, trim(regexp_replace(text, '[ \\n]+', ' ', 'g')) AS text FROM cues"
 for _kind in ("json3", "vtt", "xml", "auto"):
     query(f"src_caption_{_kind}", _BACK)(lambda spark, sf, k=_kind: captions.read(_files(spark, sf, k)).select("video_id", "start_ms", "dur_ms", "text"))
+
+
+def _folder(spark, sf):
+    """A folder of caption files of all formats, one a video: of eleven one is empty and one has a broken head, which ruins JSON alone."""
+    k = F.col("video_id")
+    broken = F.when(k % 11 == 0, F.lit(" \n")).when(k % 11 == 1, F.concat(F.lit("{broken "), "content")).otherwise(F.col("content"))
+    path = shared_path(spark, "caption-folder")
+    files = _files(spark, sf, "auto").select(F.concat(k.cast("string"), F.lit(".en.sub")).alias("name"), broken.alias("content"))
+    folders.register(spark)
+    files.write.format("cuecraft_files").mode("append").save(path)
+    return captions.caption_folder(spark, path).withColumn("video_id", F.col("video_id").cast("long"))
+
+
+@query("src_caption_folder", f"{_BACK} WHERE video_id % 11 > 1 OR video_id % 11 = 1 AND video_id % 3 > 0")
+def _caption_folder(spark, sf):
+    return captions.read(_folder(spark, sf))
+
+
+@query("src_caption_errors", f"WITH {b.CUES} SELECT DISTINCT video_id, CASE WHEN video_id % 11 = 0 THEN 'empty' ELSE 'no cues' END AS error FROM cues WHERE video_id % 11 = 0 OR video_id % 11 = 1 AND video_id % 3 = 0")
+def _caption_errors(spark, sf):
+    """The files of that folder from which no cue comes."""
+    return captions.trouble(_folder(spark, sf)).filter("error IS NOT NULL").select("video_id", "error")

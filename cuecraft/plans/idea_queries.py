@@ -246,13 +246,19 @@ def _log(spark, sf):
     return b.clips(spark, sf).select("clip_id", "source", "niche", "title", at.alias("published_at"))
 
 
-@query("snk_publog", f"WITH {_LOG} SELECT clip_id, source, niche, title, published_at FROM l UNION ALL SELECT clip_id, source, niche, title, published_at FROM l WHERE clip_id % 5 = 0")
+_AT = "strftime(published_at, '%Y-%m-%dT%H:%M:%S.000000+00:00')"
+_RECORD = f"""SELECT 'title_decided' AS event, {_AT} AS decided_at, source, CAST(clip_id AS VARCHAR) AS video_id, '' AS filename, title AS suggested_title, '' AS short_title, '' AS winning_framework, '' AS winning_pattern, '' AS winning_keyword,
+niche, '' AS hook_text, 0::BIGINT AS candidate_count, CASE WHEN clip_id % 4 > 0 THEN clip_id % 31 / 10.0::DOUBLE END AS virality_score, NULL::DOUBLE AS standalone_probability, NULL::DOUBLE AS sponsor_probability FROM l"""
+
+
+@query("snk_publog", f"WITH {_LOG} {_RECORD} UNION ALL {_RECORD} WHERE clip_id % 5 = 0")
 def _appended(spark, sf):
-    """Two appends to one log, read back."""
-    path, rows = shared_path(spark, "publog"), _log(spark, sf)
-    publog.append_publications(rows, path)
-    publog.append_publications(rows.filter("clip_id % 5 = 0"), path)
-    return publog.read_publications(spark, path)
+    """Two batches in one log, the second tried twice, read back with all sixteen fields."""
+    path, k = shared_path(spark, "publog"), F.col("clip_id")
+    rows = _log(spark, sf).withColumns({"video_id": k, "suggested_title": F.col("title"), "virality_score": F.when(k % 4 > 0, k % 31 / 10.0)})
+    for name, part in (("first", rows), ("second", rows.filter("clip_id % 5 = 0")), ("second", rows.filter("clip_id % 5 = 0"))):
+        publog.append_publications(publog.publication_records(part, F.col("published_at")), path, batch=name, must=True)
+    return publog.read_log(spark, path)
 
 
 @query("src_publog", f"WITH {_LOG} SELECT clip_id, source, niche, title, published_at FROM l WHERE clip_id % 4 > 0")

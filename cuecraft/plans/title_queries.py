@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cuecraft import dicts
 from cuecraft.functions import text as X
 from cuecraft.operators import tables, titles, topics
+from cuecraft.sources import publog
 from cuecraft.plans import bindings as b
 from cuecraft.plans import fixtures
 from cuecraft.plans import title_sql as Q
@@ -133,7 +134,7 @@ def _context(spark, sf):
 
 def _clips(spark, sf):
     """clip_id, text, niche, niche_tags, topics: worked out once, then read from the shared folder by every branch."""
-    rows = _docs(spark, sf).join(_contexts(spark, sf), "video_id").withColumnRenamed("video_id", "clip_id")
+    rows = topics.with_contexts(_docs(spark, sf), _contexts(spark, sf), fixtures.NICHE_TAGS["general"]).withColumnRenamed("video_id", "clip_id")
     return b.written(rows.withColumn("topics", X.select_topics(F.col("topics"), F.array(*map(F.lit, fixtures.STRONG_TOPICS)))), "clips")
 
 
@@ -255,6 +256,31 @@ def _smart(spark, sf):
     return rows.select("clip_id", "niche", "title", "score", "tags", X.metadata_tags(F.col("tags"), F.col("topics"), F.col("niche")).alias("metadata_tags"), *[told(p).alias(p) for p in ("youtube", "tiktok", "instagram")])
 
 
+_DECIDED = f"""{_CLIPS}, {Q.master()}, {Q.RANKED}, dec_e AS (SELECT clip_id, list({{'title': title, 'pattern': pattern, 'framework': framework, 'keyword': keyword}} ORDER BY slot) AS made FROM titles GROUP BY 1),
+dec_s AS (SELECT clip_id, title AS short FROM titles QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY length(title) > 50, slot) = 1),
+dec_d AS (SELECT *, CASE WHEN clip_id % 5 = 0 THEN 'Own ' || clip_id ELSE ranked.title END AS told FROM ranked JOIN dec_e USING (clip_id) JOIN dec_s USING (clip_id) JOIN hk USING (clip_id)), dec_w AS (SELECT *, list_filter(made, lambda c: c.title = told)[1] AS won FROM dec_d)"""
+
+
+@query(
+    "publication_record",
+    f"""{_DECIDED} SELECT 'title_decided' AS event, '2024-01-01T00:00:00.000000+00:00' AS decided_at, 'render' AS source, CAST(clip_id AS VARCHAR) AS video_id, clip_id || '_clip_1' AS filename, told AS suggested_title, short AS short_title,
+made[1].framework AS winning_framework, coalesce(won.pattern, '') AS winning_pattern, coalesce(won.keyword, '') AS winning_keyword, niche, hook AS hook_text, len(made) AS candidate_count, CASE WHEN clip_id % 4 > 0 THEN clip_id % 31 / 10.0::DOUBLE END AS virality_score,
+NULL::DOUBLE AS standalone_probability, 0.5::DOUBLE AS sponsor_probability FROM dec_w JOIN clips USING (clip_id)""",
+)
+def _publication(spark, sf):
+    """Best titles as records in a committed log, one clip in five with a title that none of its candidates has."""
+    clips, k = _clips(spark, sf), F.col("clip_id")
+    made = _master(clips)
+    each = made.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("slot", "title", "pattern", "framework", "keyword"))).alias("candidates"))
+    rows = titles.rank_titles(made, clips).select("clip_id", "title").join(each, "clip_id").join(titles.short_title(made).withColumnRenamed("title", "short_title"), "clip_id").join(clips.select("clip_id", "niche", "text"), "clip_id")
+    decided = rows.select(
+        F.lit("render").alias("source"), k.alias("video_id"), F.concat(k.cast("string"), F.lit("_clip_1")).alias("filename"), F.when(k % 5 == 0, F.concat(F.lit("Own "), k.cast("string"))).otherwise(F.col("title")).alias("suggested_title"),
+        "short_title", F.get("candidates", F.lit(0))["framework"].alias("winning_framework"), "niche", X.extract_hook(F.coalesce("text", F.lit(""))).alias("hook_text"), "candidates",
+        F.when(k % 4 > 0, k % 31 / 10.0).alias("virality_score"), F.lit(0.5).alias("sponsor_probability"),
+    )
+    return publog.round_trip(publog.publication_records(decided, F.lit("2024-01-01 00:00:00").cast("timestamp")))
+
+
 @query("build_description", f"{_CLIPS}, p AS (SELECT *, 'Title ' || clip_id AS title, niche_tags AS tags, {Q.quote('text')} AS hook FROM clips) SELECT clip_id, " + ", ".join(f"{Q.description(n, 'hook')} AS {n}" for n in ("youtube", "tiktok", "instagram")) + " FROM p")
 def _describe(spark, sf):
     rows = _clips(spark, sf).select("clip_id", "topics", "niche_tags", F.concat(F.lit("Title "), F.col("clip_id").cast("string")).alias("title"), X.punchy_quote(F.col("text")).alias("hook"))

@@ -158,7 +158,8 @@ CONTEXT = f"{TOPICS}, {NICHE}, ctx AS (SELECT video_id, coalesce(topics, []) AS
 _STRONG = listed(fixtures.STRONG_TOPICS)
 SELECTED = f"""list_transform(list_sort(list_transform(list_filter(topics, lambda t: {usable_topic('t')}), lambda t, k: {{'r': CASE WHEN contains(t, ' ') THEN CASE WHEN t IN ({_STRONG}) THEN 0 ELSE 1 END WHEN t IN ({_STRONG}) THEN 2 ELSE 3 END,
   'n': -length(t), 'k': k, 't': t}})), lambda x: x.t)[1:6]"""
-CLIPS = f"{CONTEXT}, clips AS (SELECT doc_id AS clip_id, text, niche, niche_tags, {SELECTED} AS topics FROM documents JOIN ctx ON doc_id = video_id)"
+_ALL = f"SELECT doc_id AS clip_id, text, coalesce(niche, 'general') AS niche, coalesce(niche_tags, [{listed(fixtures.NICHE_TAGS['general'])}]) AS niche_tags, coalesce(topics, []) AS topics FROM documents LEFT JOIN ctx ON doc_id = video_id"
+CLIPS = f"{CONTEXT}, clips AS (SELECT clip_id, text, niche, niche_tags, {SELECTED} AS topics FROM ({_ALL}))"
 
 
 def _crc_table() -> str:

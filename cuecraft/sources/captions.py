@@ -1,64 +1,123 @@
 """Caption files as cues: three formats, told apart by their content.
 
-Files are rows (video_id, content), as spark.read.text(wholetext=True) gives them.
+Files are rows (video_id, content) or a folder, whose files are named by their video. A cue that can't be read is left
+out, a file without cues is reported; neither ends the job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import html
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_JSON = "struct<events: array<struct<tStartMs: bigint, dDurationMs: bigint, segs: array<struct<utf8: string>>>>>"
+from cuecraft.sources.folders import register
+
+_JSON = "struct<events: array<struct<tStartMs: string, dDurationMs: string, segs: array<struct<utf8: string>>>>>"
 _CUE = "array<struct<start_ms: bigint, dur_ms: bigint, text: string>>"
-# The references that caption files escape characters with.
+# The references that caption files escape characters with when they are written.
 REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+# How long a cue lasts at least, and one of XML without a duration, in milliseconds.
+SHORTEST, OPEN = 100, 3000
+_STAMP = r"(?:\d+:)?\d{2}:\d{2}[.,]\d{3}"
 
 
 def _clean(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, "[ \\n]+", " "))
+    return F.trim(F.regexp_replace(text, "[ \\r\\n]+", " "))
+
+
+def _cues(items: Column) -> Column:
+    """Those with a time and a text."""
+    return F.filter(F.coalesce(items, F.expr(f"cast(array() AS {_CUE})")), lambda c: c["start_ms"].isNotNull() & F.coalesce(c["text"] != "", F.lit(False)))
 
 
 def _ms(stamp: Column) -> Column:
-    """Milliseconds of ``[h:]mm:ss.mmm`` with a dot or a comma."""
-    part = lambda k: F.regexp_extract(stamp, r"(?:(\d+):)?(\d+):(\d+)[.,](\d{3})", k)
-    hours = F.when(part(1) != "", part(1)).otherwise("0").cast("long")
-    return ((hours * 60 + part(2).cast("long")) * 60 + part(3).cast("long")) * 1000 + part(4).cast("long")
+    """Milliseconds of ``[h:]mm:ss.mmm`` with a dot or a comma; null for anything else."""
+    part = lambda k: F.regexp_extract(stamp, r"(?:(\d+):)?(\d{2}):(\d{2})[.,](\d{3})", k).try_cast("long")
+    return ((F.coalesce(part(1), F.lit(0)) * 60 + part(2)) * 60 + part(3)) * 1000 + part(4)
 
 
 def json3_cues(content: Column) -> Column:
-    events = F.from_json(content, _JSON)["events"]
+    """Events with segments; times that are missing count as 0, an event whose start is no number is left out. What is no JSON has no cues."""
+    events = F.filter(F.from_json(content, _JSON)["events"], lambda e: F.coalesce(F.size(e["segs"]) > 0, F.lit(False)))
     text = lambda e: _clean(F.array_join(F.transform(e["segs"], lambda s: s["utf8"]), ""))
-    return F.transform(events, lambda e: F.struct(e["tStartMs"].alias("start_ms"), F.coalesce(e["dDurationMs"], F.lit(0).cast("long")).alias("dur_ms"), text(e).alias("text")))
+    ms = lambda x: F.when(x.isNull(), F.lit(0).cast("long")).otherwise(F.round(x.try_cast("double")).try_cast("long"))
+    return _cues(F.transform(events, lambda e: F.struct(ms(e["tStartMs"]).alias("start_ms"), F.coalesce(ms(e["dDurationMs"]), F.lit(0).cast("long")).alias("dur_ms"), text(e).alias("text"))))
 
 
 def vtt_cues(content: Column) -> Column:
-    blocks = F.filter(F.split(F.replace(content, F.lit("\r\n"), F.lit("\n")), r"\n[ \t]*\n+"), lambda x: x.contains("-->"))
-    times = lambda x: F.regexp_extract(x, r"([\d:.,]+)\s+-->", 1)
-    ends = lambda x: F.regexp_extract(x, r"-->\s+([\d:.,]+)", 1)
-    text = lambda x: _clean(F.regexp_replace(F.regexp_replace(x, r"(?s)^.*?-->[^\n]*\n?", ""), "<[^>]*>", ""))
-    return F.transform(blocks, lambda x: F.struct(_ms(times(x)).alias("start_ms"), F.greatest(F.lit(100).cast("long"), _ms(ends(x)) - _ms(times(x))).alias("dur_ms"), text(x).alias("text")))
+    """A cue is a line with two times and the text up to a blank line, or up to a number above a line that begins with a digit."""
+    blocks = F.split(content, r"\r?\n[ \t]*\r?\n|(?<!\d)(?=\d+\r?\n\d)")
+    line = rf"({_STAMP})\s*-->\s*({_STAMP})[^\n]*\n"
+    timed = F.filter(blocks, lambda x: x.rlike(line))
+    text = lambda x: _clean(F.regexp_replace(F.get(F.split(x, line, 2), F.lit(1)), "<[^>]+>", ""))
+    start, end = (lambda x: _ms(F.regexp_extract(x, line, 1))), (lambda x: _ms(F.regexp_extract(x, line, 2)))
+    least = F.lit(SHORTEST).cast("long")
+    return _cues(F.transform(timed, lambda x: F.struct(start(x).alias("start_ms"), F.greatest(least, end(x) - start(x)).alias("dur_ms"), text(x).alias("text"))))
+
+
+def _character(code: Column) -> Column:
+    """The character of a number; those that no text may hold become U+FFFD."""
+    good = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+
+
+def unescape(text: Column) -> Column:
+    """Named references that end in a semicolon, and decimal and hexadecimal ones with or without it, as characters; others stay."""
+    names = F.create_map(*[F.lit(x) for name, value in html.entities.html5.items() if name.endswith(";") for x in (name, value)])
+    parts = F.split(text, "&")
+
+    def decoded(x: Column) -> Column:
+        number = F.regexp_extract(x, r"^#(\d{1,9}|[xX][0-9a-fA-F]{1,8});?", 1)
+        code = F.when(F.lower(number).startswith("x"), F.conv(F.substring(number, 2, 9), 16, 10).try_cast("long")).otherwise(number.try_cast("long"))
+        name = F.regexp_extract(x, "^([A-Za-z][A-Za-z0-9]*;)", 1)
+        named = F.when(name != "", F.try_element_at(names, name))
+        behind = lambda found: F.substring(x, F.length(found) + 1, F.length(x))
+        whole = F.regexp_extract(x, r"^(#(?:\d{1,9}|[xX][0-9a-fA-F]{1,8});?)", 1)
+        return F.when(number != "", F.concat(_character(code), behind(whole))).when(named.isNotNull(), F.concat(named, behind(name))).otherwise(F.concat(F.lit("&"), x))
+
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decoded)
+    return F.when(text.contains("&"), F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))).otherwise(text)
 
 
 def xml_cues(content: Column) -> Column:
-    """Elements <text start dur>, three seconds without a duration."""
+    """Elements <text> with a start; inner tags go, references are decoded, a cue without a duration lasts three seconds."""
     items = F.regexp_extract_all(content, F.lit(r"(?s)<text[^>]*>.*?</text>"), F.lit(0))
+    text = lambda x: _clean(unescape(F.regexp_replace(F.regexp_extract(x, r"(?s)<text[^>]*>(.*)</text>", 1), "<[^>]+>", "")))
+    number = lambda x, name: F.regexp_extract(x, rf'^<text[^>]*\b{name}="([\d.]+)"', 1).try_cast("double")
+    ms = lambda v: F.round(v * 1000).try_cast("long")
+    return _cues(F.transform(items, lambda x: F.struct(ms(number(x, "start")).alias("start_ms"), F.coalesce(ms(number(x, "dur")), F.lit(OPEN).cast("long")).alias("dur_ms"), text(x).alias("text"))))
 
-    def text(x: Column) -> Column:
-        s = F.regexp_extract(x, r"(?s)<text[^>]*>(.*?)</text>", 1)
-        for reference, character in REFERENCES:
-            s = F.replace(s, F.lit(reference), F.lit(character))
-        return _clean(s)
 
-    number = lambda x, name: F.regexp_extract(x, rf'{name}="([\d.]+)"', 1).try_cast("double")
-    ms = lambda v: F.round(v * 1000).cast("long")
-    return F.transform(items, lambda x: F.struct(ms(number(x, "start")).alias("start_ms"), ms(F.coalesce(number(x, "dur"), F.lit(3.0))).alias("dur_ms"), text(x).alias("text")))
+def cues_of(content: Column) -> Column:
+    """The cues of a file's content: as JSON, then as timed lines, then as XML; the first that gives any wins."""
+    c = F.coalesce(F.regexp_replace(content, r"^\s+", ""), F.lit(""))
+    none = F.expr(f"cast(array() AS {_CUE})")
+    forms = ((c.startswith("{"), json3_cues), (c.contains("-->"), vtt_cues), (c.contains("<text"), xml_cues))
+    each = F.array(*[F.when(there, parse(c)).otherwise(none) for there, parse in forms])
+    return F.coalesce(F.get(F.filter(each, lambda cues: F.size(cues) > 0), F.lit(0)), none)
 
 
 def read(files: DataFrame) -> DataFrame:
-    """Cues (video_id, start_ms, dur_ms, text) of caption files of any format; blank cues and unreadable files give none."""
-    c = F.trim("content")
-    cues = F.when(c.startswith("{"), json3_cues(c)).when(c.contains("-->"), vtt_cues(c)).when(c.contains("<text"), xml_cues(c)).otherwise(F.expr(f"cast(array() AS {_CUE})"))
-    return files.select("video_id", F.inline(cues)).filter("text <> ''")
+    """Cues (video_id, start_ms, dur_ms, text) of caption files of any format; null, empty and unreadable contents give none."""
+    return files.select("video_id", F.inline(cues_of(F.col("content"))))
+
+
+def trouble(files: DataFrame) -> DataFrame:
+    """The error of each file (content, error): that of reading it, ``empty``, or ``no cues``; null if it has cues."""
+    blank = ~F.coalesce("content", F.lit("")).rlike(r"\S")
+    found = F.when(F.col("error").isNotNull(), F.col("error")).when(blank, "empty").when(F.size(cues_of(F.col("content"))) == 0, "no cues")
+    return files.withColumn("error", found)
+
+
+def caption_folder(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """The files of a folder (video_id, path, content, error); a file's name up to its first dot is its video.
+
+    With the option ``seen``, a folder for the lists of files found, the result is a stream of new files.
+    """
+    source = register(spark).readStream if "seen" in options else register(spark).read
+    files = source.format("cuecraft_files").options(path=path, **options).load()
+    return files.select(F.regexp_extract("name", r"^([^.]*)", 1).alias("video_id"), "path", "content", "error")
 
 
 def as_files(cues: DataFrame, kind: str) -> DataFrame:
