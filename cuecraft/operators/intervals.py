@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuecraft.operators import greedy
+
 
 def _video():
     return Window.partitionBy("video_id")
@@ -55,18 +57,10 @@ def keep_intervals(silences: DataFrame, tail_ms: int = 200, lead_ms: int = 50, l
     return kept.filter("NOT whole").select("video_id", "start_ms", "end_ms")
 
 
-def _spaced(rows: DataFrame, time: str, gap: int, last: int | None = None) -> DataFrame:
-    """Times (video_id, t) of a greedy choice, each at least ``gap`` after the one before: a fold over each video's times."""
-    times = rows.groupBy("video_id").agg(F.array_sort(F.collect_set(time)).alias("times"))
-    state = F.struct(F.lit(last).cast("long").alias("last"), F.expr("cast(array() AS array<bigint>)").alias("chosen"))
-    take = lambda a, t: F.when(a["last"].isNull() | (t >= a["last"] + gap), F.struct(t.alias("last"), F.concat(a["chosen"], F.array(t)).alias("chosen"))).otherwise(a)
-    return times.select("video_id", F.explode(F.aggregate("times", state, take, lambda a: a["chosen"])).alias("t"))
-
-
 def level_spikes(levels: DataFrame, over_db: float = 7.0, hop_ms: int = 200, zoom_ms: int = 1200, gap_ms: int = 1000) -> DataFrame:
     """Hops (video_id, hop, db10) louder than the mean by so much, each a second after the end of the one before."""
     loud = loudness_threshold(levels, over_db).filter(F.col("db10") > F.col("bound")).select("video_id", (F.col("hop") * hop_ms).alias("start_ms"))
-    return _spaced(loud, "start_ms", zoom_ms + gap_ms).select("video_id", F.col("t").alias("start_ms"), (F.col("t") + zoom_ms).alias("end_ms"))
+    return greedy.spaced(loud, "start_ms", zoom_ms + gap_ms).select("video_id", F.col("t").alias("start_ms"), (F.col("t") + zoom_ms).alias("end_ms"))
 
 
 def loudness_threshold(levels: DataFrame, over_db: float = 7.0) -> DataFrame:
@@ -76,20 +70,16 @@ def loudness_threshold(levels: DataFrame, over_db: float = 7.0) -> DataFrame:
 
 
 def level_peaks(levels: DataFrame, most: int = 4, spacing_ms: int = 7000, hop_ms: int = 250, zoom_ms: int = 1250) -> DataFrame:
-    """The loudest hops of the top tenth, well apart, at most so many, in the order of time: a fold from loud to soft."""
+    """The loudest hops of the top tenth, well apart, at most so many, from loud to soft and then in the order of time."""
     bound = levels.groupBy("video_id").agg(F.percentile("db10", 0.9).alias("p90"))
-    loud = levels.join(bound, "video_id").filter(F.col("db10") >= F.col("p90")).select("video_id", F.struct((-F.col("db10")).alias("soft"), (F.col("hop") * hop_ms).cast("long").alias("t")).alias("hit"))
-    hits = loud.groupBy("video_id").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
-    none = F.expr("cast(array() AS array<bigint>)")
-    near = lambda chosen, x: F.exists(chosen, lambda c: F.abs(c - x["t"]) < spacing_ms)
-    take = lambda chosen, x: F.when((F.size(chosen) >= most) | near(chosen, x), chosen).otherwise(F.concat(chosen, F.array(x["t"])))
-    return hits.select("video_id", F.explode(F.aggregate("hits", none, take)).alias("start_ms")).withColumn("end_ms", F.col("start_ms") + zoom_ms)
+    loud = levels.join(bound, "video_id").filter(F.col("db10") >= F.col("p90")).select("video_id", (-F.col("db10")).alias("soft"), (F.col("hop") * hop_ms).cast("long").alias("t"))
+    return greedy.apart(loud, most, spacing_ms, hop_ms).select("video_id", F.col("t").alias("start_ms"), (F.col("t") + zoom_ms).alias("end_ms"))
 
 
 def change_points(diffs: DataFrame, over: int = 280, least_ms: int = 800) -> DataFrame:
     """Cuts (video_id, t_ms): zero, each difference above the bound at least so long after the last cut, and the end."""
     ends = diffs.groupBy("video_id").agg(F.max("t_ms").alias("t_ms"))
-    cuts = _spaced(diffs.filter(F.col("diff10") > over), "t_ms", least_ms, last=0).select("video_id", F.col("t").alias("t_ms"))
+    cuts = greedy.spaced(diffs.filter(F.col("diff10") > over), "t_ms", least_ms, last=0).select("video_id", F.col("t").alias("t_ms"))
     return cuts.unionByName(ends).unionByName(ends.select("video_id", F.lit(0).cast("long").alias("t_ms"))).distinct()
 
 
@@ -157,14 +147,9 @@ def keyword_cues(words: DataFrame, keywords: list[str], most: int = 2, edge_ms:
     rows = rows.filter(inside).join(known.withColumnRenamed("keyword", "k2"), F.col("two") == F.col("k2"), "left").join(known.withColumnRenamed("keyword", "k1"), F.col("one") == F.col("k1"), "left")
     hits = rows.withColumn("keyword", F.coalesce("k2", "k1")).filter("keyword IS NOT NULL").select("video_id", "keyword", "start_ms", "total")
 
-    per = hits.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "keyword", "total"))).alias("hits"))
-    span = "array<struct<keyword:string,start_ms:bigint,end_ms:bigint>>"
-    ends = lambda x: F.least(x["start_ms"] + length_ms, F.greatest(F.lit(edge_ms), x["total"] - edge_ms))
-    last = lambda done: F.coalesce(F.try_element_at(done, F.lit(-1))["end_ms"], F.lit(-10000))
-    ok = lambda done, x: (F.size(done) < most) & (x["start_ms"] - last(done) >= gap_ms) & (ends(x) - x["start_ms"] >= 1000)
-    one = lambda x: F.array(F.struct(x["keyword"].alias("keyword"), x["start_ms"].alias("start_ms"), ends(x).alias("end_ms")))
-    kept = F.aggregate("hits", F.expr(f"cast(array() AS {span})"), lambda done, x: F.when(ok(done, x), F.concat(done, one(x))).otherwise(done))
-    return per.select("video_id", F.inline(kept))
+    end = F.least(F.col("start_ms") + length_ms, F.greatest(F.lit(edge_ms), F.col("total") - edge_ms))
+    hits = hits.select("video_id", "keyword", "start_ms", end.alias("end_ms")).filter(F.col("end_ms") - F.col("start_ms") >= 1000)
+    return greedy.first_apart(hits.filter(F.col("start_ms") >= gap_ms - 10000), most, gap_ms)
 
 
 def word_events(words: DataFrame, lines: DataFrame, hold_ms: int = 350, bump_ms: int = 40) -> DataFrame:

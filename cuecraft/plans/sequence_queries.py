@@ -10,13 +10,21 @@ from cuecraft.operators import corpus, critique, intervals, shots, windows
 from cuecraft.plans import bindings as b
 from cuecraft.plans.registry import query
 
-_WINDOWS = rf"""{b.CUES}, c AS (SELECT *, start_ms + dur_ms AS e, max(start_ms + dur_ms) OVER (PARTITION BY video_id) AS total FROM cues),
+
+
+def _windows_sql(cues: str) -> str:
+    """w: the windows over a table of cues; z: each cue of each of them."""
+    return rf"""{cues}, c AS (SELECT *, start_ms + dur_ms AS e, max(start_ms + dur_ms) OVER (PARTITION BY video_id) AS total FROM cues),
 x AS (SELECT *, unnest(range(CAST(greatest(0, ceil((start_ms - 58500) / 20000)) AS BIGINT), CAST(least(floor((total - 35000) / 20000), floor(e / 20000)) AS BIGINT) + 1)) AS win FROM c WHERE total >= 35000),
-y AS (SELECT *, min(start_ms) OVER (PARTITION BY video_id, win) AS first FROM x WHERE start_ms <= least(win * 20000 + 58500, total)),
-g AS (SELECT video_id, win, min(start_ms) AS start_ms, max(e) AS end_ms, count(*) AS n_cues, string_agg(trim(replace(text, chr(10), ' ')), ' ' ORDER BY cue_idx) AS text FROM y WHERE e - first <= 58500 GROUP BY 1, 2),
+y AS (SELECT *, first_value(start_ms) OVER (PARTITION BY video_id, win ORDER BY cue_idx) AS first FROM x WHERE start_ms <= least(win * 20000 + 58500, total)),
+z AS (SELECT * FROM (SELECT *, max(e - first) OVER (PARTITION BY video_id, win ORDER BY cue_idx) AS over FROM y) WHERE over <= 58500),
+g AS (SELECT video_id, win, min(start_ms) AS start_ms, max(e) AS end_ms, count(*) AS n_cues, string_agg(trim(replace(text, chr(10), ' ')), ' ' ORDER BY cue_idx) AS text FROM z GROUP BY 1, 2),
 h AS (SELECT * FROM g WHERE end_ms - start_ms BETWEEN 35000 AND 58500),
 w AS (SELECT * FROM (SELECT *, lag(start_ms) OVER o AS ps, lag(end_ms) OVER o AS pe FROM h WINDOW o AS (PARTITION BY video_id ORDER BY win)) WHERE ps IS NULL OR ps <> start_ms OR pe <> end_ms)"""
 
+
+_WINDOWS = _windows_sql(b.CUES)
+
 _SCORED = rf"""{_WINDOWS}, t AS (SELECT video_id, win, start_ms, end_ms, regexp_replace(lower(text), '[^\x00-\x7F]', 'z', 'g') AS t, greatest(1, len(regexp_extract_all(text, '\S+'))) AS n FROM w),
 v AS (SELECT *, round(greatest(0.0::DOUBLE, least(3.0::DOUBLE, 1.0::DOUBLE + CASE WHEN regexp_matches(substr(t, 1, 80), '{scoring.HOOK}') THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END
   + least(0.8::DOUBLE, 25.0::DOUBLE * len(regexp_extract_all(t, '{scoring.STAKES}')) / n) + least(0.3::DOUBLE, 0.1::DOUBLE * len(regexp_extract_all(t, '\b\d+\b')))
@@ -38,7 +46,17 @@ def _windows(spark, sf):
     return rows.select("video_id", "window", "start_ms", "end_ms", "n_cues", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("cue_window_join", f"WITH {_WINDOWS} SELECT video_id, count(DISTINCT win) AS windows, count(*) AS pairs FROM y WHERE e - first <= 58500 GROUP BY 1")
+_LONGER = "CASE WHEN cue_idx % 3 = 0 THEN dur_ms * 4 WHEN cue_idx % 7 = 1 THEN dur_ms * 2 ELSE dur_ms END"
+
+
+@query("sliding_windows_auto", "WITH " + _windows_sql(b.CUES.replace("cues AS (", "plain AS (", 1) + f", cues AS (SELECT * REPLACE ({_LONGER} AS dur_ms) FROM plain)") + ' SELECT video_id, win AS "window", start_ms, end_ms, n_cues, sha256(text) AS text_sha256 FROM w')
+def _auto_windows(spark, sf):
+    """Windows over cues that stay on while the next ones come, as automatic captions do."""
+    rows = windows.sliding_windows(b.cues(spark, sf).withColumn("dur_ms", F.expr(_LONGER)), snap=False)
+    return rows.select("video_id", "window", "start_ms", "end_ms", "n_cues", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("cue_window_join", f"WITH {_WINDOWS} SELECT video_id, count(DISTINCT win) AS windows, count(*) AS pairs FROM z GROUP BY 1")
 def _cue_window(spark, sf):
     rows = windows.cue_windows(b.cues(spark, sf))
     return rows.groupBy("video_id").agg(F.count_distinct("window").alias("windows"), F.count(F.lit(1)).alias("pairs"))
@@ -51,7 +69,7 @@ _ITEM = "{'s': y.start_ms::BIGINT, 'e': y.e::BIGINT, 'o': opens, 'c': closes, 'g
 _LAST_TRUE = "list_max(list_filter(list_transform(items, lambda x, k: CASE WHEN k > s AND items[n].e - x.e <= 12000 AND x.c THEN k END), lambda k: k IS NOT NULL))"
 _FIRST_TRUE = "list_min(list_filter(list_transform(items, lambda x, k: CASE WHEN k > head AND x.s - items[head + 1].s <= 8000 AND ((k = head + 1 AND head > 0) OR x.o) THEN k END), lambda k: k IS NOT NULL))"
 _HEAD = "least(3, n - 1, coalesce(list_min(list_filter(list_transform(items, lambda x, k: CASE WHEN NOT x.g THEN k END), lambda k: k IS NOT NULL)) - 1, n))"
-_SNAPPED = f"""{_WINDOWS}, {_OPENS}, i0 AS (SELECT y.video_id, y.win, list({_ITEM} ORDER BY y.cue_idx) AS items, count(*) AS n FROM y JOIN od USING (video_id, cue_idx) WHERE y.e - y.first <= 58500 GROUP BY 1, 2),
+_SNAPPED = f"""{_WINDOWS}, {_OPENS}, i0 AS (SELECT y.video_id, y.win, list({_ITEM} ORDER BY y.cue_idx) AS items, count(*) AS n FROM z y JOIN od USING (video_id, cue_idx) GROUP BY 1, 2),
 i1 AS (SELECT *, {_HEAD} AS head FROM i0), i2 AS (SELECT *, coalesce({_FIRST_TRUE} - 1, head) AS s FROM i1), i3 AS (SELECT *, coalesce({_LAST_TRUE}, n) AS z FROM i2),
 i4 AS (SELECT video_id, win, items, items[s + 1 : z] AS cut, items[head + 1 : n] AS rest FROM i3), i5 AS (SELECT video_id, win, CASE WHEN cut[-1].e - cut[1].s >= 35000 THEN cut WHEN rest[-1].e - rest[1].s >= 35000 THEN rest ELSE items END AS w FROM i4),
 i6 AS (SELECT video_id, win, w[1].s AS start_ms, w[-1].e AS end_ms, len(w) AS n_cues, array_to_string(list_transform(w, lambda x: x.t), ' ') AS text FROM i5 WHERE w[-1].e - w[1].s BETWEEN 35000 AND 58500),
