@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, _quoted, lean, materialise, replaced, slices
+from .common import ALNUM, Words, _quoted, bit_words, bitmap_of, chain, in_bitmap, lean, materialise, mix, replaced, slices, with_bit
 
 #: Benchmarks of up to so many bytes of text are sent to every task; larger ones are joined.
 BROADCAST_BYTES = 16 << 20
@@ -140,10 +140,9 @@ def decontaminate(
     ``window`` consecutive words of an item; a shorter item is one window as a whole.
 
     A benchmark whose texts are at most ``broadcast_bytes`` is sent to every task and the
-    documents are read once, without a shuffle. A larger one is joined by fingerprint;
-    short items there travel as one fingerprint per length.
+    documents are read once, without a shuffle. A larger one is joined, with the same result.
 
-    Null or empty texts have no words and no hits, items of no words match nothing, repeated
+    An item may have any id, null too. Null or empty texts have no words and no hits, items of no words match nothing, repeated
     items are all reported. Empty tables give empty results or no hits. Rows of docs with
     equal texts get equal results; input columns with the names of the results are replaced.
     """
@@ -181,56 +180,112 @@ def _arrow_types(schema: T.StructType) -> list[pa.DataType]:
     return [to_arrow_type(f.dataType) for f in schema.fields]
 
 
+#: Turns a word's hash into another, for the second half of a window's 128 bits.
+_OTHER = np.uint64(0x5851F42D4C957F2D)
+
+
+def _twice(words: Words, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the n words from each place on."""
+    return chain(words.hash, at, n), chain(mix(words.hash ^ _OTHER), at, n)
+
+
+def _around(words: Words, places: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """Where the windows begin that hold the gram at one of the places and lie in its text."""
+    starts = np.unique((places[:, None] - np.arange(window - gram + 1)[None]).ravel())
+    starts = starts[(starts >= 0) & (starts + window <= len(words.hash))]
+    return starts[words.doc[starts] == words.doc[starts + window - 1]]
+
+
+def filter_bits(prints: int) -> int:
+    """Bits of a filter for so many fingerprints, 2 to the power of: sixteen for each, 32 MB at most."""
+    return min(28, max(12, (16 * prints).bit_length()))
+
+
 def _joined(docs: DataFrame, items: DataFrame, schema: T.StructType, text_col: str, window: int, gram: int) -> DataFrame:
-    text = F.coalesce(_quoted(text_col), F.lit(""))
-    keyed = docs.withColumn("__text_key", F.sha2(text, 256))
-    lengths = [
-        r[0]
-        for r in items.mapInArrow(lambda b: _short_lengths(b, window), "n int").distinct().collect()
-    ]  # fewer than ``window`` values
+    """By fingerprint, then by window: the windows around a document's fingerprints that the benchmark may have meet its windows.
 
-    def prints(column: str, key: str, whole_only: bool):
+    Fingerprints of the benchmark screen documents as a filter whose size is bounded; windows, known by 128 bits, are joined
+    with equal ones alone, so a frequent fingerprint makes no pairs. Texts of documents are read in place; those with
+    hits, and no others, are dealt by their digest to meet their spans and items.
+    """
+    text = F.coalesce(_quoted(text_col), F.lit(""))
+    keyed = docs.withColumn("__key", F.unhex(F.sha2(text, 256)))
+    items = items.withColumn("ikey", F.unhex(F.sha2("text", 256)))
+    own = materialise(items.select("ikey", "text").dropDuplicates(["ikey"]), "items")
+    lengths = [r[0] for r in own.select("text").mapInArrow(lambda b: _short_lengths(b, window), "n int").distinct().collect()]  # fewer than ``window`` values
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            words = Words(batch.column(0), ALNUM)
+            sizes = np.diff(words.first)
+            found = [winnow(words, window, gram)[0]]
+            for n in lengths:
+                hashes, at = words.grams(n)
+                found.append(hashes[sizes[words.doc[at]] == n])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["print"])
+
+    known = materialise(own.select("text").mapInArrow(lean(prints), "print long").distinct(), "prints")
+    bits = filter_bits(known.count())
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(known, "print", bits))
+
+    def windows(key: str, screened: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, column):
-                words = Words(batch.column(batch.schema.names.index(column)), ALNUM)
-                sets = [winnow(words, window, gram)]
-                sizes = np.diff(words.first)
+            here = lambda hashes: in_bitmap(sent.value, (hashes & np.uint64((1 << bits) - 1)).astype(np.int64))
+            for batch in slices(batches, "text"):
+                words = Words(batch.column(batch.schema.names.index("text")), ALNUM)
+                sizes, sets = np.diff(words.first), []
+                if screened:
+                    found, at = winnow(words, window, gram)
+                    sets.append((_around(words, at[here(found)], window, gram), window))
+                else:
+                    sets.append((words.grams(window)[1], window))
                 for n in lengths:
                     hashes, at = words.grams(n)
-                    if whole_only:
-                        keep = sizes[words.doc[at]] == n
-                        hashes, at = hashes[keep], at[keep]
-                    sets.append((hashes, at))
-                hashes = np.concatenate([s[0] for s in sets])
-                owner = words.doc[np.concatenate([s[1] for s in sets])]
-                both = np.unique(np.stack([hashes, owner.astype(np.uint64)]), axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(both[0].view(np.int64)), batch.column(batch.schema.names.index(key)).take(pa.array(both[1].astype(np.int64)))],
-                    ["print", key],
-                )
-
-        return run
-
-    distinct = keyed.select("__text_key", text.alias("text")).dropDuplicates(["__text_key"])
-    of_docs = distinct.mapInArrow(lean(prints("text", "__text_key", False)), "print long, __text_key string")
-    of_items = items.mapInArrow(lean(prints("text", "item", True)), T.StructType([T.StructField("print", T.LongType()), items.schema["item"]]))
-    pairs = of_docs.join(of_items, "print").select("__text_key", "item").distinct()
-    pairs = pairs.join(items, "item").groupBy("__text_key").agg(F.collect_list(F.struct("item", "text")).alias("items"))
+                    sets.append((at[here(hashes) if screened else sizes[words.doc[at]] == n], n))
+                for at, n in sets:
+                    first, second = _twice(words, at, n)
+                    owner = batch.column(batch.schema.names.index(key)).take(pa.array(words.doc[at]))
+                    place = pa.array((at - words.first[words.doc[at]]).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(np.full(len(at), n, np.int32)), owner, place], ["w1", "w2", "n", key, "at"])
+
+        return lean(run), f"w1 long, w2 long, n int, {key} binary, at long"
+
+    same = ["w1", "w2", "n"]
+    of_items = materialise(own.mapInArrow(*windows("ikey", False)).select(*same, "ikey").distinct(), "item-windows")
+    of_docs = keyed.select("__key", text.alias("text")).mapInArrow(*windows("__key", True)).distinct()
+    hits = materialise(of_docs.join(of_items.select(*same).distinct(), same, "left_semi"), "hit-windows")
+    spans = hits.groupBy("__key").agg(F.collect_set(F.struct("at", "n")).alias("__spans"))
+    pairs = hits.select(*same, "__key").distinct().join(of_items, same).select("__key", "ikey").distinct()
+    named = pairs.join(items.select("ikey", "item"), "ikey").groupBy("__key").agg(F.collect_list(F.struct("item")).alias("__items"))
+    found = materialise(spans.join(named, "__key"), "decontaminate")
+
     extra = schema.fields[len(docs.columns) :]
     types = _arrow_types(T.StructType(extra))
-    out = T.StructType([T.StructField("__text_key", T.StringType()), *extra])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                near = row.column(2).to_pylist()[0] or []
-                index = Index([x["item"] for x in near], pa.array([x["text"] for x in near], pa.string()), window, gram)
-                arrays = [pa.array(x, t) for x, t in zip(_columns(index, Words(row.column(1), ALNUM)), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([row.column(0), *arrays], out.names)
-
-    found = distinct.join(pairs, "__text_key", "left").select("__text_key", "text", "items").mapInArrow(lean(verify), out)
-    return keyed.join(materialise(found, "decontaminate"), "__text_key").select(*[_quoted(c) for c in schema.names])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            n_words = np.diff(Words(batch.column(batch.schema.names.index(text_col)), ALNUM).first)
+            merged = []
+            for places in batch.column(batch.num_columns - 2).to_pylist():
+                runs: list[dict] = []
+                for start, end in sorted((x["at"], x["at"] + x["n"]) for x in places or ()):
+                    if runs and start <= runs[-1]["end"]:
+                        runs[-1]["end"] = max(runs[-1]["end"], end)
+                    else:
+                        runs.append({"start": start, "end": end})
+                merged.append(runs)
+            n_hit = [sum(x["end"] - x["start"] for x in runs) for runs in merged]
+            reported = [[x["item"] for x in those or ()] for those in batch.column(batch.num_columns - 1).to_pylist()]
+            arrays = [pa.array(x, t) for x, t in zip((n_words, n_hit, merged, reported), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *arrays], [*batch.schema.names[:-2], *(f.name for f in extra)])
+
+    hashed = F.xxhash64("__key")
+    words = materialise(bit_words(found.select(hashed.alias("key")), "key", 24), "hit-bits")
+    marked = with_bit(keyed.withColumn("__hash", hashed), "__hash", words, 24, "__may")
+    rest = marked.filter("NOT __may").withColumns({n: F.lit(None).cast(found.schema[n].dataType) for n in ("__spans", "__items")})
+    met = marked.filter("__may").join(found, "__key", "left")
+    names = [*[_quoted(c) for c in docs.columns], "__spans", "__items"]
+    return met.select(*names).unionByName(rest.select(*names)).mapInArrow(lean(finish), schema)
 
 
 def _short_lengths(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
