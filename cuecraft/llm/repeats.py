@@ -7,6 +7,11 @@ task has them all. A stack scan of their common-prefix lengths yields the interv
 prefix tree; inside an interval the texts before the anchors are sorted in turn, which
 tells how far each occurrence extends to the left together with another one. Where both
 sides add up to ``length`` bytes, the repeat is maximal and belongs to all its occurrences.
+
+A gram with very many different surroundings is cut into parts of the tree: two occurrences in one repeat that share r
+bytes to the right, r rounded down to a multiple of PART_STEP, share all but PART_STEP of ``length`` bytes in a place known by
+r, so they meet in the part of that string, and each part is a suffix array of its own. Parts that are crowded still
+go on with a step of one: there a part is a node of ``length`` bytes, and all its occurrences are a repeat group by that alone.
 """
 
 from __future__ import annotations
@@ -23,8 +28,10 @@ from .common import Hasher, _quoted, bit_words, bitmap_of, buffers, in_bitmap, l
 
 GRAM = 100
 FILTER_BITS = 24
-#: Suffixes of one gram with different surroundings that one task sorts; beyond it all windows are counted by hash.
-GROUP_ROWS = 1 << 16
+#: Suffixes with different surroundings that are sorted together: those of one gram or, where it has more, of one part of it.
+GROUP_ROWS = 1 << 13
+#: A crowded gram is dealt by what lies around it, all strings that reach so many bytes (a multiple of this) to the right.
+PART_STEP = 50
 BATCH_BYTES = 4 << 20
 #: A longer text is read in pieces of so many windows, which overlap.
 LONG = 1 << 20
@@ -95,6 +102,17 @@ class Sites:
     def __len__(self) -> int:
         return len(self.at)
 
+    def parts(self, own: np.ndarray, length: int, gram: int, step: int = PART_STEP) -> tuple[np.ndarray, np.ndarray]:
+        """(index into own, hash) of the strings of length - step bytes about those anchors that end a multiple of step behind them."""
+        at, found = self.start[own] + self.left[own], []
+        for right in range(gram, length + 1, step):
+            left = max(0, length - step - right)
+            fits = np.flatnonzero((self.left[own] >= left) & (self.right[own] >= right))
+            h = mix(self.hasher(at[fits] - left, at[fits] + right) + np.uint64(right)).view(np.int64)
+            found.append(np.stack([fits, h]))
+        both = np.concatenate(found, axis=1)
+        return both[0], both[1]
+
 
 def _lengths(rows: np.ndarray, size: np.ndarray, other: np.ndarray, other_size: np.ndarray) -> np.ndarray:
     """Of the common beginnings of rows of bytes."""
@@ -168,9 +186,8 @@ def repeated(docs: DataFrame, length: int = 400, gram: int = GRAM, text_col: str
 
     About one anchor in (length - gram) / 2 bytes leaves a task, with hashes of its gram and
     of its surroundings. Equal surroundings are one row with a count, so copies cost no
-    comparisons; grams with different ones have one copy of each sorted. A gram with
-    more than ``group_rows`` different ones has its windows counted by hash instead, folded
-    before the shuffle. Texts are joined with their spans by their digest, so rows with
+    comparisons; grams with different ones have one copy of each sorted, those with more than ``group_rows``
+    different ones part by part. Texts are joined with their spans by their digest, so rows with
     equal texts get equal spans.
 
     Null texts are empty; texts shorter than ``length`` bytes have no repeats. An empty table
@@ -199,6 +216,13 @@ def repeated(docs: DataFrame, length: int = 400, gram: int = GRAM, text_col: str
     copies = kinds.filter((F.col("n") > 1) & (F.col("left") + F.col("right") >= length)).select("gram", "around", "left", "right")
 
     mixed = spark.sparkContext.broadcast(_filter(kinds.filter((F.col("kinds") > 1) & (F.col("kinds") <= group_rows))))
+    crowded, dealt, sorted_parts = kinds.filter(F.col("kinds") > group_rows), None, None
+    if crowded.limit(1).count():
+        crowd = spark.sparkContext.broadcast(_filter(crowded))
+        members = materialise(_parts(only, crowd, length, gram).join(crowded.select("gram", "around"), ["gram", "around"], "left_semi"), "parts")
+        sizes = materialise(members.groupBy("part").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "part-sizes")
+        sorted_parts = spark.sparkContext.broadcast(bitmap_of(sizes.filter(F.col("kinds") <= group_rows), "part", FILTER_BITS))
+        dealt = materialise(members.join(sizes.filter(F.col("kinds") > group_rows), "part", "left_semi").select("gram", "around").distinct(), "nodes")
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -206,25 +230,32 @@ def repeated(docs: DataFrame, length: int = 400, gram: int = GRAM, text_col: str
             for s in Sites.of(batch.column(0), length, gram):
                 if len(seen) > SENT:
                     seen.clear()
-                own = [k for k in np.flatnonzero(_in(mixed.value, s.around)) if s.around[k] not in seen and not seen.add(s.around[k])]
-                raw = s.data.tobytes() if own else b""
+                new = lambda places: np.array([k for k in np.flatnonzero(places) if s.around[k] not in seen and not seen.add(s.around[k])], np.int64)  # noqa: E731, B023
+                own = new(_in(mixed.value, s.around))
+                group = s.gram[own]
+                if sorted_parts is not None:
+                    some = new(_in(crowd.value, s.around))
+                    index, part = s.parts(some, length, gram)
+                    keep = in_bitmap(sorted_parts.value, part & ((1 << FILTER_BITS) - 1))
+                    own, group = np.concatenate([own, some[index[keep]]]), np.concatenate([group, part[keep]])
+                raw = s.data.tobytes() if len(own) else b""
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.gram[own]), pa.array(s.around[own]), pa.array(s.left[own].astype(np.int32)), pa.array([raw[s.start[k] : s.end[k]] for k in own], pa.binary())],
-                    ["gram", "around", "left", "bytes"],
+                    [pa.array(group), pa.array(s.around[own]), pa.array(s.left[own].astype(np.int32)), pa.array([raw[s.start[k] : s.end[k]] for k in own], pa.binary()), pa.array(s.gram[own])],
+                    ["part", "around", "left", "bytes", "gram"],
                 )
 
     def extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
 
         def scanned() -> pa.RecordBatch:
-            grams = np.array([x[0] for x in held], np.int64)
-            l, r = scan(grams, [x[3][: x[2]][::-1] for x in held], [x[3][x[2] :] for x in held], length, gram)
+            l, r = scan(np.array([x[0] for x in held], np.int64), [x[3][: x[2]][::-1] for x in held], [x[3][x[2] :] for x in held], length, gram)
             own = np.flatnonzero(r)
             around = np.array([x[1] for x in held], np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(grams[own]), pa.array(around[own]), pa.array(l[own].astype(np.int32)), pa.array(r[own].astype(np.int32))], names)
+            gram_of = np.array([x[4] for x in held], np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(gram_of[own]), pa.array(around[own]), pa.array(l[own].astype(np.int32)), pa.array(r[own].astype(np.int32))], names)
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if row[:2] == last:
                     continue  # another task's copy
                 if last and row[0] != last[0] and size > BATCH_BYTES:
@@ -238,11 +269,10 @@ def repeated(docs: DataFrame, length: int = 400, gram: int = GRAM, text_col: str
 
     names = ["gram", "around", "left", "right"]
     schema = "gram long, around long, left int, right int"
-    sampled = only.mapInArrow(lean(surroundings), "gram long, around long, left int, bytes binary").repartition("gram").sortWithinPartitions("gram", "around")
+    sampled = only.mapInArrow(lean(surroundings), "part long, around long, left int, bytes binary, gram long").repartition("part").sortWithinPartitions("part", "around")
     reach = copies.unionByName(sampled.mapInArrow(lean(extents), schema))
-    crowded = kinds.filter(F.col("kinds") > group_rows)
-    if crowded.limit(1).count():
-        reach = reach.unionByName(_counted(only, crowded, length, gram))
+    if dealt is not None and dealt.limit(1).count():
+        reach = reach.unionByName(_nodes(only, dealt, length, gram))
     reach = reach.groupBy("gram", "around").agg(F.max("left").alias("l"), F.max("right").alias("r"))
     # equal surroundings that come very often are dealt to many tasks, each with a row of their extents
     hot = materialise(bit_words(kinds.filter(F.col("n") > HOT_ROWS), "around", FILTER_BITS), "hot-bits")
@@ -262,8 +292,24 @@ def repeated(docs: DataFrame, length: int = 400, gram: int = GRAM, text_col: str
     return joined.select(*[_quoted(c) for c in docs.columns], F.col("spans").alias("__spans")).mapInArrow(lean(_cutter(text_col)), out)
 
 
-def _counted(only: DataFrame, crowded: DataFrame, length: int, gram: int) -> DataFrame:
-    """Extents from windows whose hash occurs twice or more among those of the crowded grams."""
+def _parts(only: DataFrame, crowd, length: int, gram: int) -> DataFrame:
+    """(gram, around, part) of the surroundings in a filter, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in slices(batches, "text"):
+            for s in Sites.of(batch.column(0), length, gram):
+                if len(seen) > SENT:
+                    seen.clear()
+                own = np.array([k for k in np.flatnonzero(_in(crowd.value, s.around)) if s.around[k] not in seen and not seen.add(s.around[k])], np.int64)
+                index, part = s.parts(own, length, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(s.gram[own][index]), pa.array(s.around[own][index]), pa.array(part)], ["gram", "around", "part"])
+
+    return only.mapInArrow(lean(run), "gram long, around long, part long").distinct()
+
+
+def _nodes(only: DataFrame, crowded: DataFrame, length: int, gram: int) -> DataFrame:
+    """Extents in crowded parts: from the nodes of ``length`` bytes, told by hash and place of the anchor, that two surroundings or more have."""
     wanted = only.sparkSession.sparkContext.broadcast(_filter(crowded))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

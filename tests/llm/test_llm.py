@@ -115,7 +115,7 @@ def repeated_brute(texts, n):
     return out
 
 
-@pytest.mark.parametrize("group_rows", [1 << 16, 1])
+@pytest.mark.parametrize("group_rows", [1 << 16, 1, 2, 4])
 def test_repeats(docs, group_rows):
     extra = [(20 + k, f"q{k} " * 5 + LOREM[100 * k : 100 * k + 620] + f" r{k}" * 9, "x", 0, "n") for k in range(6)]
     table = docs.unionByName(docs.sparkSession.createDataFrame(extra, docs.schema))
