@@ -7,41 +7,57 @@ from pyspark.sql import functions as F
 
 from cuecraft import dicts
 from cuecraft.functions.text import strip_markers
+from cuecraft.operators import patterns
 
 # What each kind of evidence for an entity weighs.
 NUMBERED, KEYWORD, COMPOUND, NAME, WORD, FIRST_NAME, INSIDE = 7.5, 7.0, 7.6, 8.0, 6.0, 2.0, 0.25
 
 
+# White space beyond ASCII.
+SPACES = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def entity_text(text: Column) -> Column:
-    """Without markers; letters beyond ASCII become underscores, so they end no word and begin none."""
-    return F.regexp_replace(strip_markers(F.coalesce(text, F.lit(""))), r"[^\x00-\x7F]", "_")
+    """Without markers, in ASCII: other letters and digits become underscores, so no word ends or begins at them, other white space
+    becomes spaces, and quotes, dashes and all else bars, at which words do end."""
+    bare = F.regexp_replace(strip_markers(F.coalesce(text, F.lit(""))), SPACES, " ")
+    return F.regexp_replace(F.regexp_replace(bare, r"[^\x00-\x7F\p{L}\p{N}]", "|"), r"[^\x00-\x7F]", "_")
 
 
-def topical_entities(rows: DataFrame, keywords: list[str], blocked: list[str] = dicts.BLOCKED, starters: list[str] = dicts.STARTERS, first_names: list[str] = dicts.FIRST_NAMES, least: float = 4.0) -> DataFrame:
+def topical_entities(rows: DataFrame, keywords: list[str] | DataFrame, blocked: list[str] = dicts.BLOCKED, starters: list[str] = dicts.STARTERS, first_names: list[str] = dicts.FIRST_NAMES, least: float = 4.0) -> DataFrame:
     """Entities (video_id, place, entity, score) of texts (video_id, text).
 
     Evidence: a number with a word or two, a keyword that occurs, two neighbours of which one is a
     keyword, names of several words, single capitalised words (first names count less). A word
     inside a phrase that weighs as much keeps a quarter. Up to six of ``least`` or more, else the
-    best four; equals by alphabet. Evidence is summed up before the shuffle, by video and entity.
+    best four; equals by alphabet. Evidence is summed up before the shuffle, by video and entity. Keywords are a list
+    or a table (keyword); those of several words count where they occur, not as neighbours.
     """
+    known = keywords if isinstance(keywords, DataFrame) else rows.sparkSession.createDataFrame([(k,) for k in keywords], "keyword string")
+    known = known.select(F.lower("keyword").alias("keyword")).filter("keyword <> ''").distinct()
     t = F.col("t")
-    low = F.lower(t)
     point = lambda e, w: F.struct(e.alias("entity"), (w if isinstance(w, Column) else F.lit(w)).alias("w"))
     found = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
     numbered = F.transform(found(r"\b\d+\s+[A-Za-z]+(?:\s+[A-Za-z]+)?\b"), lambda e: point(F.initcap(e), NUMBERED))
-    named = F.filter(F.array(*[F.when(low.rlike(rf"\b{k}\b"), point(F.initcap(F.lit(k)), KEYWORD)) for k in keywords]), lambda e: e.isNotNull())
     skip = [*blocked, *starters]
     part = lambda w: F.regexp_replace(F.lower(w), "^'+|'+$", "")
     plain = lambda w: (F.length(part(w)) > 2) & ~part(w).isin(*skip) & ~part(w).rlike("^[0-9]+$")
     words = found(r"\b[a-zA-Z0-9'-]+\b")
-    pairs = F.transform(F.col("words"), lambda w, k: F.when(plain(w) & plain(F.get("words", k + 1)) & (part(w).isin(*keywords) | part(F.get("words", k + 1)).isin(*keywords)), point(F.concat(w, F.lit(" "), F.get("words", k + 1)), COMPOUND)))
+    next_ = lambda k: F.get("words", k + 1)
+    pairs = F.filter(F.transform("words", lambda w, k: F.when(plain(w) & plain(next_(k)), F.struct(w.alias("a"), next_(k).alias("b")))), lambda p: p.isNotNull())
     names = F.transform(found(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"), lambda e: point(e, NAME))
     single = F.filter(found(r"\b[A-Z][a-z]{2,}\b"), lambda e: ~F.lower(e).isin(*skip))
     single = F.transform(single, lambda e: point(e, F.when(F.lower(e).isin(*first_names), FIRST_NAME).otherwise(WORD)))
-    every = F.filter(F.concat(numbered, named, pairs, names, single), lambda e: e.isNotNull())
-    rows = rows.select("video_id", entity_text(F.col("text")).alias("t")).withColumn("words", words)
-    scores = rows.select("video_id", F.explode(every).alias("e")).groupBy("video_id", "e.entity").agg(F.round(F.sum("e.w"), 6).alias("score"))
+    every = F.filter(F.concat(numbered, names, single), lambda e: e.isNotNull())
+    rows = rows.select("video_id", strip_markers(F.coalesce("text", F.lit(""))).alias("raw"), entity_text(F.col("text")).alias("t"))
+    hits = patterns.dictionary_hits(rows, known, text="raw").select("video_id", "keyword").distinct()
+    rows = rows.withColumn("words", words)
+    beside = rows.select("video_id", F.explode(pairs).alias("p")).select("video_id", F.concat_ws(" ", "p.a", "p.b").alias("entity"), part(F.col("p.a")).alias("__a"), part(F.col("p.b")).alias("__b"))
+    ones = known.filter(~F.contains("keyword", F.lit(" ")))
+    beside = beside.join(patterns.small(ones.toDF("__a")).withColumn("__first", F.lit(True)), "__a", "left").join(patterns.small(ones.toDF("__b")).withColumn("__second", F.lit(True)), "__b", "left").filter("__first OR __second")
+    evidence = rows.select("video_id", F.explode(every).alias("e")).select("video_id", "e.*")
+    evidence = evidence.unionByName(hits.select("video_id", F.initcap("keyword").alias("entity"), F.lit(KEYWORD).alias("w"))).unionByName(beside.select("video_id", "entity", F.lit(COMPOUND).alias("w")))
+    scores = evidence.groupBy("video_id", "entity").agg(F.round(F.sum("w"), 6).alias("score"))
     phrases = scores.filter(F.contains("entity", F.lit(" "))).select("video_id", F.explode(F.split("entity", " ")).alias("entity"), F.col("score").alias("phrase"))
     phrases = phrases.groupBy("video_id", "entity").agg(F.max("phrase").alias("phrase"))
     scores = scores.join(phrases, ["video_id", "entity"], "left").withColumn("score", F.when(F.col("phrase") >= F.col("score"), F.round(F.col("score") * INSIDE, 6)).otherwise(F.col("score")))

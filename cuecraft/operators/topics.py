@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuecraft.functions.text import is_niche_token, is_topic_token
+from cuecraft.operators import patterns
 
 
 def bigram_counts(rows: DataFrame, blocked: list[str]) -> DataFrame:
@@ -16,28 +17,22 @@ def bigram_counts(rows: DataFrame, blocked: list[str]) -> DataFrame:
     return split.filter(keep).groupBy("video_id", F.concat_ws(" ", "x", "y").alias("phrase")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def keyword_hits(words: DataFrame, keywords: list[tuple[str, str]]) -> DataFrame:
-    """Words that a small dictionary of (keyword, niche) holds, letters and digits alone compared."""
-    known = words.sparkSession.createDataFrame(keywords, "keyword string, niche string")
+def keyword_hits(words: DataFrame, keywords: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """Words that a dictionary of (keyword, niche) holds, letters and digits alone compared."""
+    known = keywords if isinstance(keywords, DataFrame) else words.sparkSession.createDataFrame(keywords, "keyword string, niche string")
     clean = F.lower(F.regexp_replace("word", "[^a-zA-Z0-9]", ""))
-    return words.withColumn("keyword", clean).join(F.broadcast(known), "keyword").select("video_id", "word_idx", "niche")
+    return words.withColumn("keyword", clean).join(patterns.small(known), "keyword").select("video_id", "word_idx", "niche")
 
 
-def _dictionary(spark, niches: dict[str, tuple[str, str]]) -> DataFrame:
-    """niche, keyword, strong, several (words): a few hundred rows at most are sent to every task."""
-    rows = [(n, k.replace("_", " "), k in strong.split(), "_" in k) for n, (keys, strong) in niches.items() for k in keys.split()]
-    return F.broadcast(spark.createDataFrame(rows, "niche string, keyword string, strong boolean, several boolean"))
-
-
-def niche_scores(rows: DataFrame, niches: dict[str, tuple[str, str]]) -> DataFrame:
+def niche_scores(rows: DataFrame, niches: dict[str, tuple[str, str]] | DataFrame) -> DataFrame:
     """Best two niches of each video (video_id, tokens), one row for every video with a keyword.
 
     A keyword of one word counts one and the root of its count, one of two words four if it is
     there at all. Three gates: the best score must be 3 at least, hold a strong keyword and
     exceed the second by a quarter; else the video is general. One pass over the tokens, folded
-    by video and keyword before the shuffle.
+    by video and keyword before the shuffle. The dictionary is a mapping or a table (niche, keyword, strong), of any size.
     """
-    known = _dictionary(rows.sparkSession, niches)
+    known = patterns.small(patterns.keyword_table(rows.sparkSession, niches))
     held = F.transform("tokens", lambda t, k: F.array(t, F.concat(t, F.lit(" "), F.get("tokens", k + 1))))
     seen = rows.select("video_id", F.explode(F.flatten(held)).alias("keyword")).join(known, "keyword")
     seen = seen.filter(F.col("several") | is_niche_token(F.col("keyword")))

@@ -35,7 +35,7 @@ def _plain(w: str) -> str:
 
 
 _ANY = f"({_PART.format(w='ws[k]')} IN ({Q.listed(KEYWORDS)}) OR {_PART.format(w='ws[k + 1]')} IN ({Q.listed(KEYWORDS)}))"
-_TEXT = "regexp_replace(" + Q.markers_off("coalesce(text, '')") + ", '[^\\x00-\\x7F]', '_', 'g')"
+_TEXT = f"regexp_replace(regexp_replace(regexp_replace({Q.markers_off("coalesce(text, '')")}, '{entities.SPACES}', ' ', 'g'), '[^\\x00-\\x7F\\p{{L}}\\p{{N}}]', '|', 'g'), '[^\\x00-\\x7F]', '_', 'g')"
 _ENTITIES = f"""e0 AS (SELECT doc_id AS video_id, {_TEXT} AS t FROM documents), e1 AS (SELECT *, regexp_extract_all(t, '\\b[a-zA-Z0-9''-]+\\b') AS ws FROM e0),
 ev AS (SELECT video_id, unnest(list_transform(regexp_extract_all(t, '\\b\\d+\\s+[A-Za-z]+(?:\\s+[A-Za-z]+)?\\b'), lambda x: {_point(_initcap('x'), entities.NUMBERED)})) AS e FROM e1
   UNION ALL SELECT video_id, unnest([{', '.join(f"CASE WHEN regexp_matches(lower(t), '{chr(92)}b{k}{chr(92)}b') THEN {_point(Q.quoted(k.capitalize()), entities.KEYWORD)} END" for k in KEYWORDS)}]) FROM e1

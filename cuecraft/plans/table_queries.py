@@ -329,6 +329,28 @@ def _keywords(spark, sf):
     return keyword_hits(b.words(spark, sf), [("the", "common"), ("ther", "fixture"), ("thon", "fixture"), ("orre", "fixture")])
 
 
+_BORDERED = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+_PARTS = f"p AS (SELECT id, t, unnest(range(1, len(t) + 1)) AS k FROM (SELECT id, regexp_extract_all(lower(text), '{_BORDERED}') AS t FROM src)), one AS (SELECT id, t[k] AS keyword FROM p WHERE length(t[k]) >= 3 AND regexp_matches(t[k], '^[\\p{{L}}\\p{{N}}_]')), two AS (SELECT id, t[k] || ' ' || t[k + 2] AS keyword FROM p WHERE t[k + 1] = ' ' AND k + 2 <= len(t))"
+
+
+@query(
+    "dictionary_hits",
+    f"""WITH dict AS (SELECT DISTINCT keyword FROM (WITH src AS (SELECT item_id AS id, text FROM benchmark), {_PARTS} SELECT keyword FROM one UNION ALL SELECT keyword FROM two)),
+found AS (WITH src AS (SELECT doc_id AS id, text FROM documents), {_PARTS} SELECT id, keyword FROM one UNION ALL SELECT id, keyword FROM two)
+SELECT keyword, count(*) AS n, count(DISTINCT id) AS texts FROM found JOIN dict USING (keyword) GROUP BY 1""",
+)
+def _dictionary(spark, sf):
+    """All words and pairs of words of the benchmark, thousands, looked up in all documents."""
+    from cuecraft.operators.patterns import dictionary_hits
+
+    parts = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_BORDERED), F.lit(0))
+    one = F.filter("t", lambda w: (F.length(w) >= 3) & w.rlike(r"^[\p{L}\p{N}_]"))
+    two = F.transform("t", lambda w, k: F.when(F.get("t", k + 1) == " ", F.concat(w, F.lit(" "), F.get("t", k + 2))))
+    words = b.table(spark, sf, "benchmark").select(parts.alias("t")).select(F.explode(F.concat(one, two)).alias("keyword")).filter("keyword IS NOT NULL").distinct()
+    hits = dictionary_hits(b.table(spark, sf, "documents"), words, key="doc_id")
+    return hits.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("texts"))
+
+
 @query(
     "join_context",
     f"""WITH {b.CLIPS}, c AS (SELECT video_id, arg_max(niche, clip_id) AS context FROM clips WHERE source = 'full_transcript' GROUP BY 1) SELECT clip_id, video_id, context FROM clips JOIN c USING (video_id)""",
