@@ -3,8 +3,12 @@
 # Interjections that captions spell as words.
 INTERJECTIONS = "ah eh hah heh hey hi hm hmm huh mm mmh nah no nope oh omg uh um whoa wow yeah yep yes".split()
 
-# Defaults of our own.
-FILLERS = "um uh erm ah oh eh hmm like basically literally actually honestly right okay ok yeah yep nah wow hey well so thing things stuff kind sort bit lot maybe know mean see look think guess sure probably anyway though just really very quite".split()
+# Our own defaults, by what a word does in speech: it gains time, softens, points at nothing, or hands over.
+_GAINING = "um umm uh uhh er erm hmm mhm"
+_SOFTENING = "apparently basically essentially honestly kinda literally obviously roughly somehow sorta supposedly totally"
+_POINTING = "anything everything someone somebody stuff thing things thingy whatever whatnot"
+_HANDING = "alright anyhow anyways okay right so well yeah yep"
+FILLERS = f"{_GAINING} {_SOFTENING} {_POINTING} {_HANDING}".split()
 CONTRACTIONS = {"can't": "can not", "don't": "do not", "doesn't": "does not", "didn't": "did not", "it's": "it is", "i'm": "i am", "isn't": "is not", "that's": "that is", "they're": "they are", "we're": "we are", "won't": "will not", "you're": "you are"}
 BLOCKED = "the and for that this with was are you they have from what when your not but all can had her his how its one our out she their them then there these were will would about into more some than been who which also because could".split()
 PROFANE = "damn hell crap".split()
@@ -39,7 +43,9 @@ TONES = {  # tone -> (frameworks that come first, whether titles end with a sign
     "high_energy": ((), True), "professional": (("Explainer", "Breakdown", "Comparison", "Proof"), False), "playful": (("Showcase", "Question", "Story"), True),
 }
 SIGNS = {"finance": "\U0001f4b0", "gaming": "\U0001f3ae", "cooking": "\U0001f373", "general": "\U0001f4a1"}
-SMALL_WORDS = "a an and as at but by for from in is it its of on or so than that the to vs with".split()
+# Headline style as style guides have it: articles, coordinating conjunctions and prepositions of up to three letters.
+ARTICLES, COORDINATING, PREPOSITIONS = "a an the", "and but for nor or so yet", "as at by in of off on per to up via"
+SMALL_WORDS = f"{ARTICLES} {COORDINATING} {PREPOSITIONS}".split()
 HOOK_WEIGHTS = [(r"\bwhy\b", 1.0), (r"\bhow\b", 0.8), (r"\bsecret\b", 1.5), (r"\btruth\b", 1.5), (r"\bnever\b", 1.2), (r"\bfinally\b", 0.6)]
 TRIGGERS = "always best mistake never secret truth worst".split()
 GREETING = r"(?i)^\s*(?:good (?:morning|evening)|greetings|hello|hey|hi|welcome)\b[\s,]+(?:again|all|back|everybody|everyone|folks|friends|people|there|to)\b"

@@ -84,12 +84,17 @@ def sanitized(t: str) -> str:
 
 
 def slug(t: str) -> str:
-    """Accents off letter by letter, as the library's table has it."""
-    from cuecraft.functions.text import ACCENTS, SPELLED
+    """NFKD in two steps, single characters and longer ones, from the tables that the library generates."""
+    from cuecraft.functions.normal import SPELLED, decomposed
 
-    s = f"lower(translate({t}, '{ACCENTS[0]}', '{ACCENTS[1]}'))"
+    one, several = decomposed()
+    s = t
     for letter, spelled in SPELLED:
         s = f"replace({s}, '{letter}', '{spelled}')"
+    s = f"translate({s}, {quoted(''.join(one))}, {quoted(''.join(one.values()))})"
+    keys, values = listed(several), listed(several.values())
+    s = f"list_transform([{s}], lambda s: CASE WHEN regexp_matches(s, '[^\\x00-\\x7F]') THEN array_to_string(list_transform(string_split(s, ''), lambda c: coalesce(([{values}])[list_position([{keys}], c)], c)), '') ELSE s END)[1]"
+    s = f"lower(regexp_replace({s}, '[^\\x00-\\x7F]', '', 'g'))"
     s = f"trim(regexp_replace({s}, '[^a-z0-9]+', '_', 'g'), '_')"
     return f"CASE WHEN regexp_matches({t}, '(?i)https?://|www\\.|\\.com|\\.org|\\.net/|/|@[\\w.]+\\.') OR NOT regexp_matches({s}, '[a-z]') THEN '' ELSE {s} END"
 

@@ -64,3 +64,27 @@ def test_slugs_of_every_page_and_whole_title(spark, tmp_path):
     spark.createDataFrame([*pages, (6, None), (7, "<p>no title</p>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.slug for r in registry.QUERIES["page_slugs"](spark, str(tmp_path)).collect()}
     assert got == {0: "strasse_nach_suden", 1: "aeon_oeuvre_smorrebrod_nr_2", 2: "one_two_three", 3: "", 4: "", 5: "", 6: "", 7: ""}
+
+
+def test_slugs_decompose_by_nfkd(spark):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from cuecraft.functions.normal import decomposed
+    from cuecraft.functions.text import tag_slug
+
+    one, several = decomposed()
+    texts = ["Łódź", "ﬁne ½ cup", "Ⅷ legions", "①②x", "ＦＵＬＬ width", "naïve café", "日本 a", "𝔘nicode 𝄞", "a—b", "Zürich’s", "ｈｔｔｐ", "", None, *("a" + c for c in [*one, *several])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(4)
+    got = {r.id: r.s for r in rows.select("id", tag_slug(F.col("t")).alias("s")).collect()}
+
+    def slug(t):
+        for a, b in (("ß", "ss"), ("ẞ", "SS"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE"), ("ø", "o"), ("Ø", "O")):
+            t = t.replace(a, b)
+        if re.search(r"(?i)https?://|www\.|\.com|\.org|\.net/|/|@[\w.]+\.", t):
+            return ""
+        plain = re.sub("[^a-z0-9]+", "_", unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower()).strip("_")
+        return plain if re.search("[a-z]", plain) else ""
+
+    assert {k: v for k, v in got.items() if texts[k] is not None} == {k: slug(t) for k, t in enumerate(texts) if t is not None}
