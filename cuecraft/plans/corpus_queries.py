@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cuecraft.operators import answers, corpus
 from cuecraft.plans import bindings as b
+from cuecraft.plans import sequence_queries as S
 from cuecraft.plans.registry import query
 from cuecraft.sources import captions, folders
 from cuecraft.sources.shared import shared_path
@@ -96,23 +97,50 @@ def _log(spark, sf):
     return b.clips(spark, sf).select("clip_id", "source", "niche", "title", at.alias("published_at"))
 
 
-@query("L1_publog_stream", f"WITH {_LOG}, d AS (SELECT niche, source, title, min(published_at) AS t FROM l GROUP BY 1, 2, 3) SELECT time_bucket(INTERVAL 1 HOUR, t) AS window_start, niche, source, count(*) AS n FROM d GROUP BY 1, 2, 3")
+_FILED = f"{_LOG}, k AS (SELECT niche, source, 'take_' || (clip_id % 50) AS filename, title, epoch_ms(published_at) AS t FROM l)"
+
+
+@query(
+    "L1_publog_stream",
+    f"""WITH RECURSIVE {_FILED}, r(source, filename, title, t) AS (SELECT source, filename, title, min(t) FROM k GROUP BY 1, 2, 3 UNION ALL
+SELECT source, filename, title, (SELECT min(k.t) FROM k WHERE k.source = r.source AND k.filename = r.filename AND k.title IS NOT DISTINCT FROM r.title AND k.t >= r.t + 7200000) FROM r WHERE t IS NOT NULL),
+n AS (SELECT source, filename, title, t, min(niche) AS niche FROM k GROUP BY 1, 2, 3, 4), d AS (SELECT r.source, n.niche, r.t FROM r JOIN n ON n.source = r.source AND n.filename = r.filename AND n.title IS NOT DISTINCT FROM r.title AND n.t = r.t)
+SELECT time_bucket(INTERVAL 1 HOUR, make_timestamp(t * 1000)) AS window_start, niche, source, count(*) AS n FROM d GROUP BY 1, 2, 3""",
+)
 def _l1(spark, sf):
-    return jobs.publications_per_window(_log(spark, sf))
+    return jobs.publications_per_window(_log(spark, sf).withColumn("filename", F.concat(F.lit("take_"), (F.col("clip_id") % 50).cast("string"))))
 
 
 @query("L2_stuck_jobs", f"WITH {b.JOBS}, l AS (SELECT job_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS ts FROM job_events GROUP BY 1), n AS (SELECT max(ts) AS now FROM job_events) SELECT job_id, CASE WHEN status = 'running' AND epoch(now) - epoch(ts) > 7200 THEN 'failed' ELSE status END AS status FROM l, n WHERE NOT (status <> 'running' AND epoch(now) - epoch(ts) > 3600)")
 def _l2(spark, sf):
-    return jobs.stuck_jobs(b.job_events(spark, sf))
-
-
-@query(
-    "L3_cue_windows",
-    f"""WITH {b.CUES}, h AS (SELECT video_id, n_tok, unnest([start_ms // 20000 * 20000, start_ms // 20000 * 20000 - 20000, start_ms // 20000 * 20000 - 40000]) AS s, start_ms FROM cues)
-SELECT video_id, make_timestamp(s * 1000) AS window_start, count(*) AS cues, sum(n_tok)::BIGINT AS words FROM h WHERE start_ms < s + 58000 GROUP BY 1, 2""",
-)
+    """A batch knows the first third of the time; the rest comes as files in two runs of one stream, the second from the first one's checkpoint."""
+    events = b.job_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    path, third = shared_path(spark, "job-stream"), (high - low) / 3
+    between = lambda k: events.filter((F.col("ts") >= F.lit(low + k * third)) & ((F.col("ts") < F.lit(low + (k + 1) * third)) if k < 2 else F.lit(True)))
+    known = between(0).groupBy("job_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("ts"))
+    jobs.use_rocksdb(spark)
+    for k in (1, 2):
+        between(k).write.mode("append").parquet(f"{path}/in")
+        rows = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+        changes = jobs.stuck_jobs_stream(rows, late="0 seconds", known=known, evict_stuck=False)
+        run = changes.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    told = spark.read.schema("job_id long, status string, at timestamp").parquet(f"{path}/out")
+    told = told.withColumn("k", F.when(F.col("status") == "evicted", 2).when(F.col("status") == "failed", 1).otherwise(0))
+    every = known.select("job_id", "status", F.col("ts").alias("at"), F.lit(-1).alias("k")).unionByName(told)
+    last = every.groupBy("job_id").agg(F.max_by("status", F.struct("at", "k")).alias("status"))
+    return last.filter("status <> 'evicted'")
+
+
+_LIVE = f"""{b.CUES}, h AS (SELECT video_id, n_tok, cue_idx, trim(replace(text, chr(10), ' ')) AS text, unnest([start_ms // 20000 * 20000, start_ms // 20000 * 20000 - 20000, start_ms // 20000 * 20000 - 40000]) AS s, start_ms FROM cues),
+w AS (SELECT video_id, s AS win, s AS start_ms, s AS end_ms, count(*) AS cues, sum(n_tok)::BIGINT AS words, string_agg(text, ' ' ORDER BY start_ms, cue_idx) AS text FROM h WHERE start_ms < s + 58000 GROUP BY 1, 2)"""
+
+
+@query("L3_cue_windows", f"WITH {S.scored_sql(_LIVE)} SELECT video_id, make_timestamp(win * 1000) AS window_start, cues, words, sha256(text) AS text_sha256, virality AS virality_score, sponsor AS sponsor_prob, category, score AS composite_score FROM s JOIN w USING (video_id, win)")
 def _l3(spark, sf):
-    return jobs.cue_windows(b.cues(spark, sf).withColumn("ts", F.timestamp_millis("start_ms")))
+    found = jobs.cue_windows(b.cues(spark, sf).withColumn("ts", F.timestamp_millis("start_ms")))
+    return found.select("video_id", "window_start", "cues", "words", F.sha2("text", 256).alias("text_sha256"), "score.virality_score", "score.sponsor_prob", "score.category", "score.composite_score")
 
 
 @query("L4_session_phrases", f"WITH {b.WORDS}, g AS (SELECT *, CASE WHEN start_ms - lag(start_ms) OVER (PARTITION BY video_id ORDER BY word_idx) <= 900 THEN 0 ELSE 1 END AS n FROM words), s AS (SELECT *, sum(n) OVER (PARTITION BY video_id ORDER BY word_idx) AS k FROM g) SELECT video_id, min(start_ms) AS start_ms, count(*) AS words FROM s GROUP BY video_id, k")

@@ -25,7 +25,9 @@ w AS (SELECT * FROM (SELECT *, lag(start_ms) OVER o AS ps, lag(end_ms) OVER o AS
 
 _WINDOWS = _windows_sql(b.CUES)
 
-_SCORED = rf"""{_WINDOWS}, t AS (SELECT video_id, win, start_ms, end_ms, regexp_replace(lower(text), '[^\x00-\x7F]', 'z', 'g') AS t, greatest(1, len(regexp_extract_all(text, '\S+'))) AS n FROM w),
+def scored_sql(windows: str) -> str:
+    """s: the offline scores of the texts in w."""
+    return rf"""{windows}, t AS (SELECT video_id, win, start_ms, end_ms, regexp_replace(lower(text), '[^\x00-\x7F]', 'z', 'g') AS t, greatest(1, len(regexp_extract_all(text, '\S+'))) AS n FROM w),
 v AS (SELECT *, round(greatest(0.0::DOUBLE, least(3.0::DOUBLE, 1.0::DOUBLE + CASE WHEN regexp_matches(substr(t, 1, 80), '{scoring.HOOK}') THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END
   + least(0.8::DOUBLE, 25.0::DOUBLE * len(regexp_extract_all(t, '{scoring.STAKES}')) / n) + least(0.3::DOUBLE, 0.1::DOUBLE * len(regexp_extract_all(t, '\b\d+\b')))
   - least(0.6::DOUBLE, 10.0::DOUBLE * len(regexp_extract_all(t, '{scoring.FILLER}')) / n))), 2) AS virality,
@@ -35,6 +37,9 @@ s AS (SELECT *, CASE WHEN sponsor >= 0.5 THEN round(greatest(0.0::DOUBLE, round(
   ELSE round(virality * 0.7::DOUBLE + standalone * 3.0::DOUBLE * 0.3::DOUBLE, 2) END AS score FROM v)"""
 
 
+_SCORED = scored_sql(_WINDOWS)
+
+
 def _scored(spark, sf, snap=False):
     rows = windows.sliding_windows(b.cues(spark, sf), snap=snap)
     return rows.withColumn("h", scoring.heuristic_score(F.col("text")))
