@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuecraft.sources.shared import shared_path
+from cuecraft.sources.shared import written  # noqa: F401
 
 TOKEN_MS = 400
 
@@ -18,14 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(rows: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read back, so that several branches share one computation."""
-    path = shared_path(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
-
 def _before(value, *keys):
     """Running sum over the rows before this one."""
     own = Window.partitionBy(keys[0]).orderBy(*keys[1:]).rowsBetween(Window.unboundedPreceding, -1)

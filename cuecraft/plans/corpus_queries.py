@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cuecraft.operators import answers, corpus
+from cuecraft.operators import answers, backfill, corpus
 from cuecraft.plans import bindings as b
 from cuecraft.plans import sequence_queries as S
 from cuecraft.plans.registry import query
@@ -64,13 +64,14 @@ def _answers(spark, sf):
     return answers.answers_join(windows, o.select(F.col("o_custkey").alias("video_id"), k.alias("window"), F.when(k % 13 != 0, k % 31 / 10.0).alias("virality")))
 
 
-_SCORES = f"""{b.CUES}, w AS (SELECT video_id, cue_idx::BIGINT AS k, n_tok, CASE WHEN n_tok % 13 <> 0 THEN least(3.0::DOUBLE, len(regexp_extract_all(text, '[aeiou]')) / length(text)::DOUBLE * 6) END AS answer FROM cues),
-p AS (SELECT *, (row_number() OVER (PARTITION BY video_id ORDER BY k) - 1) // 5 AS pack FROM w), q AS (SELECT *, count(*) FILTER (answer IS NULL) OVER (PARTITION BY video_id, pack) AS missing FROM p)"""
+_SCORES = f"""{b.CUES}, a AS (SELECT video_id, cue_idx::BIGINT AS k, n_tok, text, CASE WHEN n_tok % 13 <> 0 THEN least(3.0::DOUBLE, len(regexp_extract_all(text, '[aeiou]')) / length(text)::DOUBLE * 6) END AS answer FROM cues),
+p AS (SELECT *, (row_number() OVER (PARTITION BY video_id ORDER BY k) - 1) // 5 AS pack FROM a), q AS (SELECT *, count(*) FILTER (answer IS NULL) OVER (PARTITION BY video_id, pack) AS missing FROM p),
+o AS (SELECT *, CASE WHEN missing = 0 THEN 1 WHEN k % 3 > 0 THEN 2 ELSE 3 END AS tier FROM q), w AS (SELECT video_id, k AS win, 0 AS start_ms, 0 AS end_ms, text FROM o WHERE tier = 3)"""
+_TIERS = f"WITH {S.scored_sql(_SCORES)}, z AS (SELECT o.*, CASE tier WHEN 1 THEN answer WHEN 2 THEN n_tok % 31 / 10.0::DOUBLE ELSE s.virality END AS virality, CASE tier WHEN 1 THEN 'model' WHEN 2 THEN 'model_single' ELSE 'local_heuristic' END AS score_source FROM o LEFT JOIN s ON s.video_id = o.video_id AND s.win = o.k)"
 
 
-@query("score_windows", f"""WITH {_SCORES} SELECT video_id, k AS "window", pack, CASE WHEN missing = 0 THEN answer ELSE 1.0::DOUBLE END AS virality, CASE WHEN missing = 0 THEN 'model' ELSE 'local_heuristic' END AS score_source, missing > 0 AS score_failed FROM q""")
-def _score(spark, sf):
-    """A callable that weighs vowels and gives no answer now and then, so that whole packs fall back."""
+def _scored(spark, sf):
+    """A callable that weighs vowels and gives no answer now and then, so that whole packs fail, and one for single windows, which fails for one in three."""
 
     def scorer(batches):
         for rows in batches:
@@ -78,8 +79,57 @@ def _score(spark, sf):
             words = rows["text"].str.count(r"[^ \n]+")
             yield rows[["video_id", "window"]].assign(virality=share.clip(upper=3.0).where(words % 13 != 0))
 
-    rows = b.cues(spark, sf).select("video_id", F.col("cue_idx").cast("long").alias("window"), "text", F.lit(1.0).alias("fallback"))
-    return answers.score_windows(rows, scorer)
+    def single(batches):
+        for rows in batches:
+            answers = rows[["video_id", "window"]].assign(virality=rows["text"].str.count(r"[^ \n]+") % 31 / 10)
+            yield answers[rows["window"] % 3 > 0]
+
+    return answers.score_windows(b.cues(spark, sf).select("video_id", F.col("cue_idx").cast("long").alias("window"), "text"), scorer, single)
+
+
+@query("score_windows", f'{_TIERS} SELECT video_id, k AS "window", pack, virality, tier, score_source, tier = 3 AS score_failed FROM z')
+def _score(spark, sf):
+    return _scored(spark, sf)
+
+
+@query("score_tiers", f"{_TIERS} SELECT tier, score_source, count(*) AS n FROM z GROUP BY 1, 2")
+def _tiers(spark, sf):
+    return answers.tier_counts(_scored(spark, sf))
+
+
+_STORED = f"""{b.CLIPS}, x AS (SELECT video_id, arg_max(niche, clip_id) AS derived FROM clips WHERE clip_id % 3 = 0 GROUP BY 1), st AS (SELECT clip_id, video_id, CASE WHEN clip_id % 17 = 0 THEN ' ' ELSE text END AS text, niche, CASE WHEN clip_id % 2 = 0 THEN niche || ' topic' END AS seo_topic,
+  CASE source WHEN 'full_transcript' THEN source ELSE CASE WHEN clip_id % 5 > 0 THEN 'snippet_union' END END AS src FROM clips),
+pl AS (SELECT *, CASE WHEN src = 'full_transcript' THEN 'skipped_full_transcript' WHEN trim(coalesce(text, '')) = '' THEN 'skipped_no_transcript' WHEN derived IS NULL THEN 'skipped_no_context' END AS skip FROM st LEFT JOIN x USING (video_id)),
+ou AS (SELECT *, coalesce(skip, CASE WHEN clip_id % 11 = 0 OR clip_id % 9 = 0 THEN 'rejected_by_gate' ELSE 'updated' END) AS outcome, skip IS NULL AND src IS NULL AND NOT (niche = derived AND seo_topic IS NOT DISTINCT FROM derived || ' topic') AS unknown FROM pl),
+ch AS (SELECT *, outcome = 'updated' OR (skip IS NULL AND NOT unknown AND (niche <> derived OR seo_topic IS DISTINCT FROM derived || ' topic' OR src IS NULL)) AS changes FROM ou),
+cn AS (SELECT {', '.join(f"count(*) FILTER (outcome = '{c}') AS {c}" for c in ("updated", "skipped_no_transcript", "skipped_no_context", "skipped_full_transcript", "rejected_by_gate"))}, count(*) AS total, count(*) FILTER (changes) AS would_change,
+  count(*) FILTER (unknown) AS skipped_unknown_provenance, count(*) FILTER (skip IS NULL AND clip_id % 9 = 0) AS failed FROM ch)"""
+_RUNS = " UNION ALL ".join(f"SELECT '{run}' AS run, '{c}' AS counter, {dict(changed=dict(dry='0', first='would_change', second='0')[run], would_change='would_change' if run != 'second' else '0').get(c, c)} AS n FROM cn" for run in ("dry", "first", "second") for c in backfill.COUNTERS)
+
+
+@query("backfill_job", f"WITH {_STORED} {_RUNS}")
+def _backfill_job(spark, sf):
+    """A stored corpus: a dry run, a run, and a second run, which changes nothing. One title in eleven fails the gate, one in nine can't be made."""
+    k = F.col("clip_id")
+    source = F.when(F.col("source") == "full_transcript", F.col("source")).when(k % 5 > 0, "snippet_union")
+    rows = b.clips(spark, sf).select(
+        "clip_id", "video_id", F.when(k % 17 == 0, " ").otherwise(F.col("text")).alias("text"), "niche", F.when(k % 2 == 0, F.concat("niche", F.lit(" topic"))).alias("seo_topic"), source.alias("seo_topic_source"),
+        F.lit("Old Title Of This").alias("suggested_title"), F.array(F.lit("#old")).alias("suggested_hashtags"),
+    )
+    path = shared_path(spark, "corpus")
+    backfill.store(rows, path, parts=16)
+    # the contexts come from niches that the job does not write back: those of the clips as they were
+    known = _contexts(b.clips(spark, sf)).select("video_id", "niche", F.array(F.concat("niche", F.lit(" topic"))).alias("topics"))
+
+    def titles(clips, contexts):
+        title = F.when(k % 9 == 0, None).when(k % 11 == 0, "too short").otherwise(F.concat(F.lit("A Title For Clip "), k.cast("string")))
+        return clips.select("clip_id", title.alias("title"), F.array(F.lit("#new")).alias("hashtags"))
+
+    made = []
+    for run in ("dry", "first", "second"):
+        found = backfill.backfill(spark, path, lambda clips: known, titles, dry_run=run == "dry", log=f"{path}-log", run=run)
+        made.append(found.select(F.lit(run).alias("run"), "counter", "n"))
+    return made[0].unionByName(made[1]).unionByName(made[2])
 
 
 @query("upload_plan", f"""WITH {b.CLIPS} SELECT clip_id, platform, CASE platform WHEN 'youtube' THEN 'native' WHEN 'tiktok' THEN 'aggregator' ELSE 'rejected' END AS route, substr(title, 1, 100) AS title, [niche, 'fyp'] AS tags,
