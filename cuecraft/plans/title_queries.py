@@ -26,8 +26,8 @@ def _one(name, column, sql=None):
         return _docs(spark, sf).select("video_id", column(F.col("text")).alias("value"))
 
 
-_one("clean_caption", lambda t: F.sha2(X.clean_caption(t), 256))
-_one("clean_tokens", lambda t: F.size(X.clean_tokens(t)))
+_one("clean_caption", lambda t: F.sha2(X.clean_caption(t), 256), f"sha256({Q.cleaned('text')})")
+_one("clean_tokens", lambda t: F.size(X.clean_tokens(t)), f"len({Q.clean_token_list('text')})")
 _one("strip_markers", lambda t: F.sha2(X.strip_markers(t), 256), f"sha256({Q.markers_off('text')})")
 _one("extract_hook", X.extract_hook, Q.hook("text"))
 _one("punchy_quote", X.punchy_quote, Q.quote("text"))

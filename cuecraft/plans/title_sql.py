@@ -99,6 +99,41 @@ def slug(t: str) -> str:
     return f"CASE WHEN regexp_matches({t}, '(?i)https?://|www\\.|\\.com|\\.org|\\.net/|/|@[\\w.]+\\.') OR NOT regexp_matches({s}, '[a-z]') THEN '' ELSE {s} END"
 
 
+#: Characters of words, and white space, as Unicode has them.
+_W, _S = "\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}", "\\s\\x0B\\x{85}\\p{Z}"
+
+
+def _pieces(t: str) -> str:
+    """Words and what lies between them, by turns."""
+    return f"regexp_extract_all({t}, '[{_W}]+|[^{_W}]+')"
+
+
+def _changed(text: str, value: str) -> str:
+    """The text with each piece x, the k-th of p, in place of which its value stands."""
+    return f"list_transform([{_pieces(text)}], lambda p: array_to_string(list_transform(p, lambda x, k: {value}), ''))[1]"
+
+
+def cleaned(t: str) -> str:
+    """The rewrites of captions over lists of words: each is compared with the one before and the one behind."""
+    s = f"regexp_replace(regexp_replace(replace(coalesce({t}, ''), '’', ''''), '\\[[^\\]]*\\]|\\([^)]*\\)', ' ', 'g'), '(?:^|[{_S}])>>+[{_S}]*', ' ', 'g')"
+    short, long = f"[{listed(dicts.CONTRACTIONS)}]", f"[{listed(dicts.CONTRACTIONS.values())}]"
+    said = lambda k: f"lower(p[{k}] || p[{k} + 1] || p[{k} + 2])"
+    at = lambda k: f"coalesce(p[{k} + 1] = '''' AND list_contains({short}, {said(k)}), false)"
+    s = _changed(s, f"CASE WHEN {at('k')} THEN ({long})[list_position({short}, {said('k')})] WHEN k > 1 AND {at('(k - 1)')} OR k > 2 AND {at('(k - 2)')} THEN '' ELSE x END")
+    blank = lambda k: f"regexp_full_match(p[{k}], '[{_S}]+')"
+    again = f"regexp_full_match(x, '[{_W}]+') AND k > 2 AND {blank('k - 1')} AND lower(p[k - 2]) = lower(x)"
+    before = f"{blank('k')} AND k > 1 AND lower(p[k - 1]) = lower(p[k + 1])"
+    s = _changed(s, f"CASE WHEN coalesce({again}, false) OR coalesce({before}, false) THEN '' ELSE x END")
+    loud = lambda k: f"coalesce(regexp_full_match(p[{k}], '[A-Z]{{2,}}'), false)"
+    s = _changed(s, f"CASE WHEN {loud('k')} AND (k > 2 AND {blank('k - 1')} AND {loud('k - 2')} OR coalesce({blank('k + 1')}, false) AND {loud('k + 2')}) THEN lower(x) ELSE x END")
+    return f"trim(regexp_replace(regexp_replace({s}, '[^A-Za-z0-9''{_S}%$.,!?]', ' ', 'g'), '[{_S}]+', ' ', 'g'))"
+
+
+def clean_token_list(t: str) -> str:
+    raw = f"list_transform(regexp_extract_all(lower({cleaned(t)}), '[a-z0-9][a-z0-9'']+'), lambda w: trim(w, ''''))"
+    return f"list_filter({raw}, lambda w: length(w) >= 2 AND w NOT IN ({listed(dicts.FILLERS)}))"
+
+
 def masked(w: str, roots) -> str:
     part = lambda k: f"regexp_extract({w}, '^([^\\p{{L}}\\p{{N}}_]*)([\\p{{L}}\\p{{N}}_]+)([^\\p{{L}}\\p{{N}}_]*)$', {k})"
     n = f"length({part(2)})"

@@ -86,3 +86,50 @@ def test_tiers(spark):
     assert len(got) == 36
     assert {r.tier: r.n for r in answers.tier_counts(answers.score_windows(table, packs, single)).collect()} == {1: 14, 2: 10, 3: 12}
     assert answers.score_windows(table.filter("false"), packs).count() == 0
+
+
+def search_loop(rows, target, threshold, attempts):
+    """Slot by slot, as a loop over rows (window, start, end, average, sponsor)."""
+    n, chosen = len(rows), []
+    stride = max(1, n // max(1, target))
+    for slot in range(target):
+        base, narrow = slot * stride % n, min(n, attempts * 5)
+        for limit in (narrow, n) if n > narrow else (narrow,):
+            best, top, tried = None, -1.0, 0
+            for offset in range(limit):
+                if tried == attempts:
+                    break
+                k = (base + offset) % n
+                _, start, end, average, sponsor = rows[k]
+                if any(min(end, rows[c][2]) - max(start, rows[c][1]) > 10000 for _, c, _ in chosen):
+                    continue
+                tried += 1
+                if (sponsor or 0) >= 0.55 or average is None:
+                    continue
+                if average > top:
+                    best, top = (slot, k, tried), average
+                if average >= threshold:
+                    best = (slot, k, tried)
+                    break
+            if best:
+                chosen.append(best)
+                break
+    return [(s, rows[k][0], a) for s, k, a in chosen]
+
+
+def test_critique_search_is_the_loop(spark):
+    import random
+
+    from cuecraft.operators import critique
+
+    rng = random.Random(6)
+    table = {}
+    for v in range(60):
+        n = rng.choice([1, 2, 5, 20, 21, 90])
+        table[v] = [(w, w * rng.choice([1, 9000, 20000]), w * 20000 + 45000, rng.choice([None, -1.0, 3.0, 5.5, 6.9, 7.0, 9.0]), rng.choice([None, 0.0, 0.0, 0.55, 0.9])) for w in range(n)]
+    rows = spark.createDataFrame([(v, *r) for v, own in table.items() for r in own], "video_id long, window long, start_ms long, end_ms long, average double, sponsor_prob double").repartition(3)
+    for target, attempts in ((3, 4), (1, 1), (5, 30)):
+        got = {}
+        for r in critique.critique_select(rows, target=target, attempts=attempts).collect():
+            got.setdefault(r.video_id, []).append((r.slot, r.window, r.attempt))
+        assert {v: sorted(x) for v, x in got.items()} == {v: x for v, own in table.items() if (x := search_loop(own, target, 7.0, attempts))}
