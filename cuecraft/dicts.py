@@ -64,3 +64,7 @@ MINUTES, DAYS, SUFFIXES = [10, 15, 20, 30], [7, 14, 30], ["Part 2", "In Full", "
 OPENERS = {"curiosity": "Look at this before I say a word about it.", "story": "This happened to me last year.", "claim": "Here is what few will tell you."}
 BEATS = ["The same thing holds at every size.", "After that you see it everywhere you look.", "From there on the rest was only detail.", "It came back a second time and looked no different.", "What to watch for matters more than the answer."]
 SCAFFOLD = "the a an and or of to in is are this that with your my what why how everyone makes about really".split()
+#: Words and phrases that draw just now, with their weights; none until there is data.
+TRENDS: dict[str, float] = {}
+#: Templates that have been seen too often.
+DEAD = [r"(?i)^you won't believe", r"(?i)\bgone wrong\b", r"(?i)^wait for it", r"(?i)\bmust (see|watch)\b"]

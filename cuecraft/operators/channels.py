@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuecraft.operators.ordering import global_place
+
 # Lower bounds of the multiplier and the badge from there on.
 BADGES = ((4.0, "Mega Outlier", 1), (2.0, "Breakout Hit", 2), (1.3, "Above Average", 3), (0.7, "Standard", 4))
 OUTLIER = 1.3
@@ -54,9 +56,34 @@ def channel_stats(videos: DataFrame) -> DataFrame:
     return base.join(extra, "channel_id").select("channel_id", "n_videos", "median_views", "mean_views", "max_views", "outlier_count", "top_multiplier", ratio)
 
 
+THUMBNAIL = ("https://i.ytimg.com/vi/", "/hqdefault.jpg")
+
+
 def channel_rollup(hits: DataFrame) -> DataFrame:
-    """Search hits (channel_id, pos, video_id, views, name) by channel: count, top views, first name seen."""
-    return hits.groupBy("channel_id").agg(F.count(F.lit(1)).alias("videos_count"), F.max("views").alias("top_views"), F.min_by("name", "pos").alias("name"))
+    """Search hits (channel_id, pos, video_id, views, name, and url, subs, thumbnail where there are) by channel, the most viewed first.
+
+    Per channel name, url, subs and thumbnail of its first hit (a video's own picture if it names none), how many hits, the top views of
+    one, and place, in the order of top views and then of the first hit. Hits without a channel or a name don't count,
+    missing views are none. The hits themselves are ``channel_samples``: rows, as a channel may have most of them.
+    """
+    there = set(hits.columns)
+    text = lambda n: F.col(n).cast("string") if n in there else F.lit(None).cast("string")
+    own = F.concat(F.lit(THUMBNAIL[0]), F.col("video_id"), F.lit(THUMBNAIL[1]))
+    subs = F.col("subs").cast("long") if "subs" in there else F.lit(None).cast("long")
+    first = F.struct("name", text("url").alias("url"), subs.alias("subs"), F.coalesce(text("thumbnail"), own).alias("thumbnail"))
+    good = hits.filter("channel_id IS NOT NULL AND name <> ''")
+    rows = good.groupBy("channel_id").agg(F.count(F.lit(1)).alias("videos_count"), F.max(F.coalesce("views", F.lit(0))).alias("top_views"), F.min("pos").alias("__pos"), F.min_by(first, F.struct("pos", "name", "video_id")).alias("f"))
+    rows = rows.select("channel_id", "videos_count", "top_views", "__pos", "f.*")
+    return global_place(rows, [-F.col("top_views"), F.col("__pos"), F.col("channel_id")]).drop("__pos")
+
+
+def channel_samples(hits: DataFrame) -> DataFrame:
+    """The hits of each channel in the order of the search, equal places by id and views: channel_id, place, video_id, url, views, thumbnail."""
+    good = hits.filter("channel_id IS NOT NULL AND name <> ''")
+    place = F.row_number().over(Window.partitionBy("channel_id").orderBy("pos", "video_id", "views"))
+    picture = F.concat(F.lit(THUMBNAIL[0]), F.col("video_id"), F.lit(THUMBNAIL[1]))
+    shown = F.coalesce(F.col("thumbnail").cast("string"), picture) if "thumbnail" in hits.columns else picture
+    return good.select("channel_id", place.alias("place"), "video_id", F.concat(F.lit("https://www.youtube.com/watch?v="), F.col("video_id")).alias("url"), F.coalesce("views", F.lit(0)).alias("views"), shown.alias("thumbnail"))
 
 
 def popularity_rank(videos: DataFrame) -> DataFrame:

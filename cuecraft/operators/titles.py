@@ -160,10 +160,40 @@ def frame_usage(titles: DataFrame, frames=dicts.FRAMES) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(Window.partitionBy("channel_id").orderBy(F.desc("n"), "frame")))
 
 
+def frames_or_default(titles: DataFrame, frames=dicts.FRAMES, default: list[str] = dicts.DEFAULT_FRAMES) -> DataFrame:
+    """The frames of each channel (channel_id, place, frame, n), most used first, then the default ones it does not use, in their order."""
+    used = frame_usage(titles, frames)
+    spare = F.explode(F.arrays_zip(F.array(*map(F.lit, default)).alias("frame"), F.sequence(F.lit(1), F.lit(len(default))).alias("k"))).alias("d")
+    rest = titles.select("channel_id").distinct().select("channel_id", spare).select("channel_id", "d.frame", F.lit(0).cast("long").alias("n"), "d.k").join(used.select("channel_id", "frame"), ["channel_id", "frame"], "left_anti")
+    every = used.select("channel_id", "frame", "n", F.col("place").alias("k")).unionByName(rest)
+    return every.withColumn("place", F.row_number().over(Window.partitionBy("channel_id").orderBy(F.col("n") == 0, "k"))).select("channel_id", "place", "frame", "n")
+
+
 def subject_freq(titles: DataFrame) -> DataFrame:
-    """Subjects (words of four letters or more) of each channel's titles with the form first seen."""
-    words = titles.select("channel_id", "pos", F.explode(F.regexp_extract_all("title", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("word"))
-    return words.groupBy("channel_id", F.lower("word").alias("subject")).agg(F.count(F.lit(1)).alias("n"), F.min_by("word", F.struct("pos", "word")).alias("shown"))
+    """Subjects of each channel's titles, words of four letters or more alone and with the word behind them, with the form first seen."""
+    words = F.regexp_extract_all("title", F.lit("[A-Za-z]+"), F.lit(0))
+    rows = titles.select("channel_id", "pos", words.alias("w"))
+    behind = lambda k: F.get("w", k + 1)
+    one = lambda w, k: F.struct(F.when(F.length(w) >= 4, w).alias("word"), k.alias("k"))
+    two = lambda w, k: F.struct(F.when((F.length(w) >= 4) & (F.length(behind(k)) >= 3), F.concat(w, F.lit(" "), behind(k))).alias("word"), k.alias("k"))
+    seen = rows.select("channel_id", "pos", F.inline(F.concat(F.transform("w", one), F.transform("w", two)))).filter("word IS NOT NULL")
+    return seen.groupBy("channel_id", F.lower("word").alias("subject")).agg(F.count(F.lit(1)).alias("n"), F.min_by("word", F.struct("pos", "k")).alias("shown"))
+
+
+def quality_metrics(best: DataFrame, made: DataFrame, dead: list[str] = dicts.DEAD) -> DataFrame:
+    """Gates of a corpus in one row: best titles (clip_id, title, topics, tags) and all candidates (clip_id, framework).
+
+    Clips, share of distinct titles, longest title, clips with three candidates or more and with two frameworks, share of dead
+    templates, most tags of a clip, clips with a topic.
+    """
+    each = made.groupBy("clip_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_distinct("framework").alias("frameworks"))
+    n, worn = F.count(F.lit(1)), F.lit(False)
+    for pattern in dead:
+        worn = worn | F.col("title").rlike(pattern)
+    return best.join(each, "clip_id").agg(
+        n.alias("clips"), F.round(F.count_distinct("title") / n, 4).alias("distinct_ratio"), F.max(F.length("title")).alias("longest"), F.count_if(F.col("candidates") >= 3).alias("three_or_more"),
+        F.count_if(F.col("frameworks") >= 2).alias("two_frameworks"), F.round(F.count_if(worn) / n, 4).alias("dead_share"), F.max(F.size("tags")).alias("most_tags"), F.count_if(F.size("topics") > 0).alias("with_topic"),
+    )
 
 
 def _stripped(title: Column, scaffold: list[str]) -> Column:

@@ -13,3 +13,5 @@ PROFANE = ["the", "der"]
 STRONG_TOPICS = ["ther", "thon"]
 EMOJI = {"the": "T", "and": "A", **dicts.EMOJI}
 CLEAN = {"fillers": dicts.FILLERS}
+TRENDS = {"ther": 0.75, "changes everything": 0.5, "really works": -0.25, "rule": 0.6}
+DEAD = [r"^The Truth About", *dicts.DEAD]

@@ -35,12 +35,27 @@ def _outliers(spark, sf):
     return channels.outlier_tiers(b.channel_videos(spark, sf)).select("channel_id", "video_id", "multiplier", "badge", "tier", "rank")
 
 
+_FOUND = f"""{b.HITS}, f AS (SELECT *, 'c/' || channel_id AS url, CASE WHEN pos % 3 > 0 THEN pos % 1000 END AS subs, CASE WHEN pos % 2 = 0 THEN 'pic' || pos END AS thumbnail FROM search_hits)"""
+_PICTURE = f"coalesce(thumbnail, '{channels.THUMBNAIL[0]}' || video_id || '{channels.THUMBNAIL[1]}')"
+
+
+def _found(spark, sf):
+    k = F.col("pos")
+    return b.search_hits(spark, sf).withColumns({"url": F.concat(F.lit("c/"), F.col("channel_id").cast("string")), "subs": F.when(k % 3 > 0, k % 1000), "thumbnail": F.when(k % 2 == 0, F.concat(F.lit("pic"), k.cast("string")))})
+
+
 @query(
     "channel_rollup",
-    f"WITH {b.HITS} SELECT channel_id, count(*) AS videos_count, max(views) AS top_views, arg_min(name, pos) AS name FROM search_hits GROUP BY 1",
+    f"""WITH {_FOUND}, g AS (SELECT channel_id, count(*) AS videos_count, max(views) AS top_views, min(pos) AS pos, arg_min({{'name': name, 'url': url, 'subs': subs, 'thumbnail': {_PICTURE}}}, (pos, name, video_id)) AS x FROM f GROUP BY 1)
+SELECT channel_id, videos_count, top_views, x.name AS name, x.url AS url, x.subs AS subs, x.thumbnail AS thumbnail, row_number() OVER (ORDER BY top_views DESC, pos, channel_id) AS place FROM g""",
 )
 def _rollup(spark, sf):
-    return channels.channel_rollup(b.search_hits(spark, sf))
+    return channels.channel_rollup(_found(spark, sf))
+
+
+@query("channel_samples", f"WITH {_FOUND} SELECT channel_id, row_number() OVER (PARTITION BY channel_id ORDER BY pos, video_id, views) AS place, video_id, 'https://www.youtube.com/watch?v=' || video_id AS url, views, {_PICTURE} AS thumbnail FROM f")
+def _samples(spark, sf):
+    return channels.channel_samples(_found(spark, sf))
 
 
 @query(

@@ -199,11 +199,11 @@ def _candidates(spark, sf):
     return titles.candidates(_master(clips), _seo(clips), least=5)
 
 
-@query("score_title", f"{_CLIPS}, {Q.master()}, {Q.RANKED} SELECT clip_id, slot, score FROM rs")
+@query("score_title", f"{_CLIPS}, {Q.master()}, {Q.RANKED} SELECT titles.clip_id, slot, {Q.score('title', 'hk.topics', 'hook', fixtures.TRENDS)} AS score FROM titles JOIN hk USING (clip_id)")
 def _score_title(spark, sf):
     clips = _clips(spark, sf)
     rows = _master(clips).join(clips.select("clip_id", "topics", "text"), "clip_id")
-    return rows.select("clip_id", "slot", X.score_title(F.col("title"), F.col("topics"), X.extract_hook(F.coalesce("text", F.lit("")))).alias("score"))
+    return rows.select("clip_id", "slot", X.score_title(F.col("title"), F.col("topics"), X.extract_hook(F.coalesce("text", F.lit(""))), fixtures.TRENDS).alias("score"))
 
 
 @query("rank_local", f"{_CLIPS}, {Q.master()}, {Q.RANKED} SELECT clip_id, slot, title, score FROM ranked")
@@ -247,13 +247,13 @@ def _meta_tags(spark, sf):
 _PACKED = f"{_CLIPS}, {Q.master()}, {Q.RANKED}, p AS (SELECT clips.*, title, score, {Q.hashtags()} AS tags, hook FROM clips JOIN ranked USING (clip_id) JOIN (SELECT clip_id, hook FROM hk) USING (clip_id))"
 
 
-@query("smart_meta", f"{_PACKED} SELECT clip_id, niche, title, score, tags, {Q.metadata_tags('tags')} AS metadata_tags, " + ", ".join(f"{Q.description(n, 'hook')} AS {n}" for n in ("youtube", "tiktok", "instagram")) + " FROM p")
+@query("smart_meta", f"{_PACKED} SELECT clip_id, niche, title, CASE WHEN contains(title, '#shorts') THEN title ELSE title || ' #shorts' END AS youtube_title, score, tags, {Q.metadata_tags('tags')} AS metadata_tags, " + ", ".join(f"{Q.description(n, 'hook')} AS {n}" for n in ("youtube", "tiktok", "instagram")) + " FROM p")
 def _smart(spark, sf):
     clips = _clips(spark, sf)
     best = titles.rank_titles(_master(clips), clips).select("clip_id", "title", "score")
     rows = clips.join(best, "clip_id").withColumn("tags", _tags())
     told = lambda p: X.build_description(F.col("title"), X.extract_hook(F.coalesce("text", F.lit(""))), F.col("topics"), F.col("tags"), F.lit(p))
-    return rows.select("clip_id", "niche", "title", "score", "tags", X.metadata_tags(F.col("tags"), F.col("topics"), F.col("niche")).alias("metadata_tags"), *[told(p).alias(p) for p in ("youtube", "tiktok", "instagram")])
+    return rows.select("clip_id", "niche", "title", X.shorts_title(F.col("title")).alias("youtube_title"), "score", "tags", X.metadata_tags(F.col("tags"), F.col("topics"), F.col("niche")).alias("metadata_tags"), *[told(p).alias(p) for p in ("youtube", "tiktok", "instagram")])
 
 
 _DECIDED = f"""{_CLIPS}, {Q.master()}, {Q.RANKED}, dec_e AS (SELECT clip_id, list({{'title': title, 'pattern': pattern, 'framework': framework, 'keyword': keyword}} ORDER BY slot) AS made FROM titles GROUP BY 1),
@@ -288,17 +288,21 @@ def _describe(spark, sf):
     return rows.select("clip_id", *[told(p).alias(p) for p in ("youtube", "tiktok", "instagram")])
 
 
+_DEAD = " OR ".join(f"regexp_matches(title, {Q.quoted(p)})" for p in fixtures.DEAD)
+
+
 @query(
     "quality_metrics",
-    f"""{_CLIPS}, {Q.master()}, {Q.RANKED}, e AS (SELECT clip_id, count(*) AS candidates, count(DISTINCT framework) AS frameworks FROM titles GROUP BY 1), j AS (SELECT * FROM ranked JOIN e USING (clip_id))
-SELECT count(*) AS clips, round(count(DISTINCT title) / count(*), 4) AS distinct_ratio, max(length(title)) AS longest, count(*) FILTER (candidates >= 3) AS three_or_more, count(*) FILTER (frameworks >= 2) AS two_frameworks FROM j""",
+    f"""{_CLIPS}, {Q.master()}, {Q.RANKED}, e AS (SELECT clip_id, count(*) AS candidates, count(DISTINCT framework) AS frameworks FROM titles GROUP BY 1),
+j AS (SELECT ranked.clip_id, title, candidates, frameworks, len({Q.hashtags()}) AS n_tags, topics FROM ranked JOIN e USING (clip_id) JOIN clips USING (clip_id))
+SELECT count(*) AS clips, round(count(DISTINCT title) / count(*), 4) AS distinct_ratio, max(length(title)) AS longest, count(*) FILTER (candidates >= 3) AS three_or_more, count(*) FILTER (frameworks >= 2) AS two_frameworks,
+round(count(*) FILTER ({_DEAD}) / count(*), 4) AS dead_share, max(n_tags) AS most_tags, count(*) FILTER (len(topics) > 0) AS with_topic FROM j""",
 )
 def _quality(spark, sf):
     clips = _clips(spark, sf)
     made = _master(clips)
-    each = made.groupBy("clip_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_distinct("framework").alias("frameworks"))
-    best = titles.rank_titles(made, clips).join(each, "clip_id")
-    return best.agg(F.count(F.lit(1)).alias("clips"), F.round(F.count_distinct("title") / F.count(F.lit(1)), 4).alias("distinct_ratio"), F.max(F.length("title")).alias("longest"), F.count_if(F.col("candidates") >= 3).alias("three_or_more"), F.count_if(F.col("frameworks") >= 2).alias("two_frameworks"))
+    rows = titles.rank_titles(made, clips).select("clip_id", "title").join(clips.select("clip_id", "topics", _tags().alias("tags")), "clip_id")
+    return titles.quality_metrics(rows, made, fixtures.DEAD)
 
 
 _FRAMES = " UNION ALL ".join(f"SELECT channel_id, '{n}' AS frame FROM channel_videos WHERE regexp_matches(title, '{p}')" for n, p in dicts.FRAMES)
@@ -309,7 +313,18 @@ def _frames(spark, sf):
     return titles.frame_usage(b.channel_videos(spark, sf))
 
 
-_SUBJECTS = "w AS (SELECT channel_id, video_id AS pos, unnest(regexp_extract_all(title, '[A-Za-z]{4,}')) AS word FROM channel_videos), s AS (SELECT channel_id, lower(word) AS subject, count(*) AS n, arg_min(word, pos) AS shown FROM w GROUP BY 1, 2)"
+_SPARE = ", ".join(f"('{n}', {k})" for k, n in enumerate(dicts.DEFAULT_FRAMES))
+
+
+@query("frames_or_default", f"""WITH {b.CHANNEL}, f AS ({_FRAMES}), c AS (SELECT channel_id, frame, count(*) AS n FROM f GROUP BY 1, 2), d(frame, k) AS (VALUES {_SPARE}), e AS (SELECT channel_id, frame, n, 0 AS k FROM c UNION ALL SELECT channel_id, frame, 0, k FROM (SELECT DISTINCT channel_id FROM channel_videos), d WHERE (channel_id, frame) NOT IN (SELECT (channel_id, frame) FROM c))
+SELECT channel_id, row_number() OVER (PARTITION BY channel_id ORDER BY n = 0, n DESC, k, frame) AS place, frame, n FROM e""")
+def _all_frames(spark, sf):
+    return titles.frames_or_default(b.channel_videos(spark, sf))
+
+
+_SUBJECTS = """v AS (SELECT channel_id, video_id AS pos, regexp_extract_all(title, '[A-Za-z]+') AS ws FROM channel_videos), u AS (SELECT channel_id, pos, ws, unnest(range(1, len(ws) + 1)) AS k FROM v), w AS (
+SELECT channel_id, pos, k, ws[k] AS word FROM u WHERE length(ws[k]) >= 4 UNION ALL SELECT channel_id, pos, k, ws[k] || ' ' || ws[k + 1] FROM u WHERE length(ws[k]) >= 4 AND length(ws[k + 1]) >= 3),
+s AS (SELECT channel_id, lower(word) AS subject, count(*) AS n, arg_min(word, (pos, k)) AS shown FROM w GROUP BY 1, 2)"""
 
 
 @query("subject_freq", f"WITH {b.CHANNEL}, {_SUBJECTS} SELECT channel_id, subject, n, shown FROM s")

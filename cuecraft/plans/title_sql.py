@@ -158,13 +158,15 @@ def quote(t: str) -> str:
     return f"coalesce(list_sort(list_transform({clauses}, lambda c, k: {{'s': -({score}), 'k': k, 'c': c}}))[1].c, '')"
 
 
-def score(title: str, topics: str, hook_text: str) -> str:
+def score(title: str, topics: str, hook_text: str, trends: dict[str, float] | None = None) -> str:
     low = f"lower({title})"
     found = f"lower(list_filter({topics}, lambda x: contains({low}, lower(x)))[1])"
     add = lambda c, p: f"CASE WHEN {c} THEN {p}::DOUBLE ELSE 0.0::DOUBLE END"
     hooks = " + ".join(add(f"regexp_matches({low}, '{p}')", w) for p, w in dicts.HOOK_WEIGHTS)
+    named = lambda t: f"contains({low}, {quoted(t)})" if " " in t else f"list_contains({words(title)}, {quoted(t)})"
+    trend = " + ".join(add(named(t), w) for t, w in (trends or {"": 0}).items())
     terms = [
-        add(f"{found} IS NOT NULL", 2.0), add(f"contains(substr({low}, 1, 45), {found})", 1.0), add(f"{found} = lower({topics}[1])", 0.6), f"least(4.0::DOUBLE, {hooks})", add(f"contains(lower({hook_text}), {found})", 1.5),
+        f"CASE WHEN {found} IS NOT NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, {trend})) ELSE 0.0::DOUBLE END", add(f"regexp_matches({title}, '[\\x{{10000}}-\\x{{10FFFF}}]')", 0.5), add(f"{found} IS NOT NULL", 2.0), add(f"contains(substr({low}, 1, 45), {found})", 1.0), add(f"{found} = lower({topics}[1])", 0.6), f"least(4.0::DOUBLE, {hooks})", add(f"contains(lower({hook_text}), {found})", 1.5),
         add(f"regexp_matches({title}, '\\d')", 0.5), add(f"len({words(title)}) BETWEEN 6 AND 12", 1.0), add(f"length({title}) BETWEEN 25 AND 60", 1.0), add(f"len({fillers_in(title)}) > 0", -3.0), add(f"{found} IS NULL", -3.0), add(f"length({title}) > 85", -1.0),
     ]
     return f"round({' + '.join(terms)}, 2)"

@@ -133,3 +133,34 @@ def test_critique_search_is_the_loop(spark):
         for r in critique.critique_select(rows, target=target, attempts=attempts).collect():
             got.setdefault(r.video_id, []).append((r.slot, r.window, r.attempt))
         assert {v: sorted(x) for v, x in got.items()} == {v: x for v, own in table.items() if (x := search_loop(own, target, 7.0, attempts))}
+
+
+def test_channels_of_a_search(spark):
+    from cuecraft.operators import channels
+
+    rows = [(2, 5, "v5", 10, "B", None, 7, None), (1, 1, "v1", None, "A", "u1", None, "p1"), (1, 2, "v2", 30, "A2", "u2", 9, None), (None, 3, "v3", 99, "C", None, 1, None), (3, 4, "v4", 99, "", None, 1, None), (4, 6, None, 10, "D", "u4", None, None)]
+    hits = spark.createDataFrame(rows, "channel_id long, pos long, video_id string, views long, name string, url string, subs long, thumbnail string")
+    got = sorted((r.place, r.channel_id, r.videos_count, r.top_views, r.name, r.url, r.subs, r.thumbnail) for r in channels.channel_rollup(hits).collect())
+    assert got == [(1, 1, 2, 30, "A", "u1", None, "p1"), (2, 2, 1, 10, "B", None, 7, "https://i.ytimg.com/vi/v5/hqdefault.jpg"), (3, 4, 1, 10, "D", "u4", None, None)]
+    assert [(r.channel_id, r.place, r.views) for r in sorted(channels.channel_samples(hits).collect())] == [(1, 1, 0), (1, 2, 30), (2, 1, 10), (4, 1, 10)]
+
+
+def test_frames_trends_and_gates(spark):
+    from pyspark.sql import functions as F
+
+    from cuecraft.functions import text as X
+    from cuecraft.operators import titles
+
+    rows = spark.createDataFrame([(1, 1, "How cats purr"), (1, 2, "How dogs run and why"), (2, 3, "plain")], "channel_id long, pos long, title string")
+    got = sorted((r.channel_id, r.place, r.frame, r.n) for r in titles.frames_or_default(rows, default=["f_num", "f_how"]).collect())
+    assert got == [(1, 1, "f_how", 2), (1, 2, "f_why", 1), (1, 3, "f_num", 0), (2, 1, "f_num", 0), (2, 2, "f_how", 0)]
+    assert {r.subject: (r.n, r.shown) for r in titles.subject_freq(rows).filter("channel_id = 1").collect()} == {"cats": (1, "cats"), "cats purr": (1, "cats purr"), "purr": (1, "purr"), "dogs": (1, "dogs"), "dogs run": (1, "dogs run")}
+    score = lambda title, trends: spark.range(1).select(X.score_title(F.lit(title), F.array(F.lit("cats")), F.lit(""), trends)).first()[0]
+    plain = score("cats at noon", {})
+    assert score("cats at noon", {"noon": 0.4, "at no": 0.3, "non": 9.0}) == round(plain + 0.7, 2)
+    assert score("cats at noon", {"noon": 4.0}) == plain + 1 and score("cats at noon", {"noon": -4.0}) == plain
+    assert score("dogs at noon", {"noon": 0.4}) == score("dogs at noon", {})
+    assert score("cats at noon \U0001f4a1", {}) == plain + 0.5
+    best = spark.createDataFrame([(1, "Must see cats", ["cats"], ["#a", "#b"]), (2, "Quiet cats", [], ["#a"])], "clip_id long, title string, topics array<string>, tags array<string>")
+    made = spark.createDataFrame([(1, "x"), (1, "y"), (1, "y"), (2, "x")], "clip_id long, framework string")
+    assert titles.quality_metrics(best, made).first().asDict() == {"clips": 2, "distinct_ratio": 1.0, "longest": 13, "three_or_more": 1, "two_frameworks": 1, "dead_share": 0.5, "most_tags": 2, "with_topic": 1}
