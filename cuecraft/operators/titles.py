@@ -76,11 +76,11 @@ def _rows(clips: DataFrame, made: Column) -> DataFrame:
 
 
 def _rotated(clips: DataFrame) -> DataFrame:
-    return clips.withColumn("rotation", X.title_rotation(F.coalesce("text", F.lit(""))))
+    return clips if "rotation" in clips.columns else clips.withColumn("rotation", X.title_rotation(F.coalesce("text", F.lit(""))))
 
 
 def master_titles(clips: DataFrame, tone: str = "high_energy", limit: int = 5, signs: dict[str, str] = dicts.SIGNS, **patterns) -> DataFrame:
-    """Valid titles (clip_id, slot, pattern, framework, title, keyword) of clips (clip_id, text, niche, topics).
+    """Valid titles (clip_id, slot, pattern, framework, title, keyword) of clips (clip_id, niche, topics, and rotation or the text it comes from).
 
     The pattern in place s takes topic (s + rotation) mod n, so neither repeats between clips.
     Titles that break a rule are dropped, equal ones stay once; slots are counted over those that
@@ -134,8 +134,9 @@ def candidates(master: DataFrame, seo: DataFrame, least: int = 3) -> DataFrame:
 
 def rank_titles(titles: DataFrame, clips: DataFrame) -> DataFrame:
     """The best title of each clip by score; the earliest slot of equals."""
-    rows = titles.join(clips.select("clip_id", "topics", "text"), "clip_id")
-    rows = rows.withColumn("score", X.score_title(F.col("title"), F.col("topics"), X.extract_hook(F.coalesce("text", F.lit("")))))
+    hook = F.col("hook") if "hook" in clips.columns else X.extract_hook(F.coalesce("text", F.lit("")))
+    rows = titles.join(clips.select("clip_id", "topics", hook.alias("__hook")), "clip_id")
+    rows = rows.withColumn("score", X.score_title(F.col("title"), F.col("topics"), F.col("__hook")))
     best = rows.groupBy("clip_id").agg(F.max_by(F.struct("slot", "title", "score"), F.struct("score", -F.col("slot"))).alias("s"))
     return best.select("clip_id", "s.slot", "s.title", "s.score")
 

@@ -133,8 +133,10 @@ def _context(spark, sf):
 
 
 def _clips(spark, sf):
-    """clip_id, text, niche, niche_tags, topics: worked out once, then read from the shared folder by every branch."""
-    rows = topics.with_contexts(_docs(spark, sf), _contexts(spark, sf), fixtures.NICHE_TAGS["general"]).withColumnRenamed("video_id", "clip_id")
+    """clip_id, niche, niche_tags, topics, rotation, hook: worked out once, without the texts, and read from the shared folder by every branch."""
+    text = F.coalesce("text", F.lit(""))
+    docs = _docs(spark, sf).select("video_id", X.title_rotation(text).alias("rotation"), X.extract_hook(text).alias("hook"))
+    rows = topics.with_contexts(docs, _contexts(spark, sf), fixtures.NICHE_TAGS["general"]).withColumnRenamed("video_id", "clip_id")
     return b.written(rows.withColumn("topics", X.select_topics(F.col("topics"), F.array(*map(F.lit, fixtures.STRONG_TOPICS)))), "clips")
 
 
@@ -166,7 +168,7 @@ def _seo(clips):
 
 @query("frameworks_for", f"{_CLIPS}, {Q.frameworks('professional')} SELECT clip_id, list_transform(frameworks, lambda p: p.pattern) AS patterns FROM frame")
 def _frameworks(spark, sf):
-    rows = _clips(spark, sf).withColumn("rotation", X.title_rotation(F.coalesce("text", F.lit(""))))
+    rows = _clips(spark, sf)
     found = titles.frameworks_for(F.col("niche"), F.col("rotation"), "professional", bonus=fixtures.BONUS_PATTERNS)
     return rows.select("clip_id", F.transform(found, lambda p: p["pattern"]).alias("patterns"))
 
@@ -202,8 +204,8 @@ def _candidates(spark, sf):
 @query("score_title", f"{_CLIPS}, {Q.master()}, {Q.RANKED} SELECT titles.clip_id, slot, {Q.score('title', 'hk.topics', 'hook', fixtures.TRENDS)} AS score FROM titles JOIN hk USING (clip_id)")
 def _score_title(spark, sf):
     clips = _clips(spark, sf)
-    rows = _master(clips).join(clips.select("clip_id", "topics", "text"), "clip_id")
-    return rows.select("clip_id", "slot", X.score_title(F.col("title"), F.col("topics"), X.extract_hook(F.coalesce("text", F.lit(""))), fixtures.TRENDS).alias("score"))
+    rows = _master(clips).join(clips.select("clip_id", "topics", "hook"), "clip_id")
+    return rows.select("clip_id", "slot", X.score_title(F.col("title"), F.col("topics"), F.col("hook"), fixtures.TRENDS).alias("score"))
 
 
 @query("rank_local", f"{_CLIPS}, {Q.master()}, {Q.RANKED} SELECT clip_id, slot, title, score FROM ranked")
@@ -252,7 +254,7 @@ def _smart(spark, sf):
     clips = _clips(spark, sf)
     best = titles.rank_titles(_master(clips), clips).select("clip_id", "title", "score")
     rows = clips.join(best, "clip_id").withColumn("tags", _tags())
-    told = lambda p: X.build_description(F.col("title"), X.extract_hook(F.coalesce("text", F.lit(""))), F.col("topics"), F.col("tags"), F.lit(p))
+    told = lambda p: X.build_description(F.col("title"), F.col("hook"), F.col("topics"), F.col("tags"), F.lit(p))
     return rows.select("clip_id", "niche", "title", X.shorts_title(F.col("title")).alias("youtube_title"), "score", "tags", X.metadata_tags(F.col("tags"), F.col("topics"), F.col("niche")).alias("metadata_tags"), *[told(p).alias(p) for p in ("youtube", "tiktok", "instagram")])
 
 
@@ -272,10 +274,10 @@ def _publication(spark, sf):
     clips, k = _clips(spark, sf), F.col("clip_id")
     made = _master(clips)
     each = made.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("slot", "title", "pattern", "framework", "keyword"))).alias("candidates"))
-    rows = titles.rank_titles(made, clips).select("clip_id", "title").join(each, "clip_id").join(titles.short_title(made).withColumnRenamed("title", "short_title"), "clip_id").join(clips.select("clip_id", "niche", "text"), "clip_id")
+    rows = titles.rank_titles(made, clips).select("clip_id", "title").join(each, "clip_id").join(titles.short_title(made).withColumnRenamed("title", "short_title"), "clip_id").join(clips.select("clip_id", "niche", "hook"), "clip_id")
     decided = rows.select(
         F.lit("render").alias("source"), k.alias("video_id"), F.concat(k.cast("string"), F.lit("_clip_1")).alias("filename"), F.when(k % 5 == 0, F.concat(F.lit("Own "), k.cast("string"))).otherwise(F.col("title")).alias("suggested_title"),
-        "short_title", F.get("candidates", F.lit(0))["framework"].alias("winning_framework"), "niche", X.extract_hook(F.coalesce("text", F.lit(""))).alias("hook_text"), "candidates",
+        "short_title", F.get("candidates", F.lit(0))["framework"].alias("winning_framework"), "niche", F.col("hook").alias("hook_text"), "candidates",
         F.when(k % 4 > 0, k % 31 / 10.0).alias("virality_score"), F.lit(0.5).alias("sponsor_probability"),
     )
     return publog.round_trip(publog.publication_records(decided, F.lit("2024-01-01 00:00:00").cast("timestamp")))
@@ -283,7 +285,8 @@ def _publication(spark, sf):
 
 @query("build_description", f"{_CLIPS}, p AS (SELECT *, 'Title ' || clip_id AS title, niche_tags AS tags, {Q.quote('text')} AS hook FROM clips) SELECT clip_id, " + ", ".join(f"{Q.description(n, 'hook')} AS {n}" for n in ("youtube", "tiktok", "instagram")) + " FROM p")
 def _describe(spark, sf):
-    rows = _clips(spark, sf).select("clip_id", "topics", "niche_tags", F.concat(F.lit("Title "), F.col("clip_id").cast("string")).alias("title"), X.punchy_quote(F.col("text")).alias("hook"))
+    quotes = _docs(spark, sf).select(F.col("video_id").alias("clip_id"), X.punchy_quote(F.col("text")).alias("hook"))
+    rows = _clips(spark, sf).drop("hook").join(quotes, "clip_id").select("clip_id", "topics", "niche_tags", F.concat(F.lit("Title "), F.col("clip_id").cast("string")).alias("title"), "hook")
     told = lambda p: X.build_description(F.col("title"), F.col("hook"), F.col("topics"), F.col("niche_tags"), F.lit(p))
     return rows.select("clip_id", *[told(p).alias(p) for p in ("youtube", "tiktok", "instagram")])
 
