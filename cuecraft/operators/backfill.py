@@ -48,10 +48,11 @@ def backfill_changes(clips: DataFrame, contexts: DataFrame, made: DataFrame) ->
     """
     known = contexts.select("video_id", F.col("niche").alias("__niche"), F.get("topics", F.lit(0)).alias("__topic"), F.lit(True).alias("__there"))
     titles = made.groupBy("clip_id").agg(F.min_by(F.struct("title", "hashtags"), "title").alias("__made"))
-    rows = clips.join(known, "video_id", "left").join(titles, "clip_id", "left")
+    blank = ~F.coalesce("text", F.lit("")).rlike(r"\S")
+    rows = clips.withColumns({"blank": blank, "was": content_hash()}).join(known, "video_id", "left").join(titles, "clip_id", "left")
     skip = (
         F.when(F.col("seo_topic_source").eqNullSafe(FULL), "skipped_full_transcript")
-        .when(~F.coalesce("text", F.lit("")).rlike(r"\S"), "skipped_no_transcript")
+        .when(F.col("blank"), "skipped_no_transcript")
         .when(F.col("__there").isNull(), "skipped_no_context")
     )
     niche = F.coalesce("__niche", "niche", F.lit("general"))
@@ -71,7 +72,7 @@ def backfill_changes(clips: DataFrame, contexts: DataFrame, made: DataFrame) ->
     rows = rows.withColumns({f"new_{n}": c for n, c in new.items()})
     outcome = F.coalesce("__skip", F.when(F.col("__passed"), "updated").otherwise("rejected_by_gate"))
     kept = [c for c in rows.columns if not c.startswith("__")]
-    return rows.withColumns({"outcome": outcome, "changes": content_hash() != content_hash("new_")}).select(*kept, "outcome", "changes")
+    return rows.withColumns({"outcome": outcome, "changes": F.col("was") != content_hash("new_")}).select(*kept, "outcome", "changes")
 
 
 def counters(plan: DataFrame, wrote: bool) -> DataFrame:
@@ -96,17 +97,23 @@ def backfill(spark: SparkSession, path: str, contexts: Callable[[DataFrame], Dat
     clips = spark.read.parquet(path)
     known = contexts(clips)
     chosen = clips if only is None else clips.filter(only)
-    plan = written(backfill_changes(chosen, known, titles(chosen, known)), "backfill-plan")
-    if not dry_run:
-        dirty = plan.filter("changes")
-        parts = dirty.select("part").distinct()
-        new = plan.select(*[F.col(f"new_{c}").alias(c) if c in WRITES else F.col(c) for c in clips.columns])
-        if only is not None:
-            new = new.unionByName(clips.filter(~F.coalesce(only, F.lit(False))))
-        replaced = written(new.join(F.broadcast(parts), "part", "left_semi").select(*clips.columns), "backfill-new")
-        if dirty.limit(1).count():
-            replaced.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
-            if log is not None:
-                told = dirty.filter("outcome = 'updated'").select(F.lit("backfill_titles").alias("source"), "video_id", F.col("clip_id").cast("string").alias("filename"), F.col("new_suggested_title").alias("suggested_title"), F.col("new_niche").alias("niche"))
-                publog.append_publications(publog.publication_records(told), log, batch=run)
+    new = [f"new_{n}" for n in WRITES]
+    plan = backfill_changes(chosen, known, titles(chosen, known)).select("clip_id", "video_id", "part", "blank", "was", *new, "outcome", "unknown_provenance", "failed", "changes")
+    plan = written(plan, "backfill-plan")  # without the texts
+    dirty = plan.filter("changes")
+    if not dry_run and dirty.limit(1).count():
+        # rows that agree in id, video, content and blankness have one plan
+        same = ["clip_id", "video_id", "blank", "was"]
+        values = dirty.select(*[F.col(c).alias(f"__{c}") for c in same], *new).distinct()
+        stale = clips.join(F.broadcast(dirty.select("part").distinct()), "part", "left_semi").withColumns({"blank": ~F.coalesce("text", F.lit("")).rlike(r"\S"), "was": content_hash()})
+        met = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
+        for c in same:
+            met = met & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        joined = stale.join(values, met, "left")
+        put = [F.when(F.col("__was").isNotNull(), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in WRITES else F.col(c) for c in clips.columns]
+        replaced = written(joined.select(*put), "backfill-new")
+        replaced.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        if log is not None:
+            told = dirty.filter("outcome = 'updated'").select(F.lit("backfill_titles").alias("source"), "video_id", F.col("clip_id").cast("string").alias("filename"), F.col("new_suggested_title").alias("suggested_title"), F.col("new_niche").alias("niche"))
+            publog.append_publications(publog.publication_records(told), log, batch=run)
     return counters(plan, not dry_run)
