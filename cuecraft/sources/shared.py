@@ -5,8 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from cuecraft.sources.folders import open_store
+
+_named: list[str] = []
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; a machine's own folder stands in for it only where all runs on one machine."""
@@ -16,7 +21,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     if not base:
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _named.append(path)
+    return path
+
+
+def sweep() -> int:
+    """Deletes what this process has written under names of ``shared_path``; to be called once results are stored elsewhere."""
+    count = len(_named)
+    while _named:
+        store, at = open_store(_named.pop())
+        if store.get_file_info(at).type != fs.FileType.NotFound:
+            store.delete_dir(at)
+    return count
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:

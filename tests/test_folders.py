@@ -141,3 +141,14 @@ def test_missing_and_bad_lines(spark, tmp_path):
     lines = ['{"event": "a"}', "", '{"event": ', "[1]", "7", '{"event": null}']
     rows = spark.createDataFrame([(x,) for x in lines], "value string")
     assert [r.event for r in publog.parsed(rows, publog.RECORD).collect()] == ["a", None]
+
+
+def test_what_was_written_can_be_swept(spark):
+    from cuecraft.sources import shared
+
+    shared.sweep()
+    rows = shared.written(spark.range(5), "numbers")
+    path = shared._named[-1].removeprefix("file://").removeprefix("file:")
+    assert rows.count() == 5 and os.path.isdir(path)
+    shared.shared_path(spark, "never-written")
+    assert shared.sweep() == 2 and not os.path.isdir(path) and shared.sweep() == 0
