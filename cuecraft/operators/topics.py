@@ -57,27 +57,34 @@ def topic_phrases(rows: DataFrame, limit: int = 8, least: float = 0.9) -> DataFr
     Words count the root of their number, neighbouring pairs 1.5 if they repeat and .4 else,
     the word after a pair's first place makes a phrase of three with half of the pair's weight
     (so it takes a lower bound ``least`` to show). The best phrases, the shorter and then the
-    earlier in the alphabet of equals, that overlap none taken before stay. Tokens are judged
-    once, words and pairs are counted in one aggregation, and the fold sees all phrases of a
-    video at or above the bound.
+    earlier in the alphabet of equals, that overlap none taken before stay. One shuffle, of the
+    tokens by video: words and pairs are counted and judged where they then lie, as they stream,
+    and the fold sees all phrases of a video at or above the bound. A video without tokens has no row.
     """
-    u = F.transform("tokens", lambda t: F.when(is_topic_token(t), t))
-    rows = rows.select("video_id", u.alias("u"))
-    after = lambda k, n: F.get("u", k + n)
-    pair = lambda t, k: F.when(t != after(k, 1), F.concat(t, F.lit(" "), after(k, 1)))
-    item = lambda phrase, k, third, two: F.struct(phrase.alias("phrase"), k.alias("k"), third.alias("third"), F.lit(two).alias("two"))
-    none = F.lit(None).cast("string")
-    items = F.flatten(F.transform("u", lambda t, k: F.array(item(t, k, none, False), item(pair(t, k), k, after(k, 2), True))))
-    counts = rows.select("video_id", F.explode(items).alias("i")).select("video_id", "i.*").filter("phrase IS NOT NULL").groupBy("video_id", "phrase", "two")
-    third = F.min_by("third", "k") if least <= 0.75 else none
-    counts = counts.agg(F.count(F.lit(1)).alias("n"), third.alias("third"))
-    score = F.when(F.col("two"), F.when(F.col("n") >= 2, 1.5).otherwise(0.4)).otherwise(F.sqrt("n"))
+    threes = least <= 0.75
+    ahead = lambda k: F.slice("tokens", F.lit(k + 1), F.greatest(F.size("tokens") - k, F.lit(0)))
+    sides = [F.col("tokens").alias("x"), ahead(1).alias("y"), *([ahead(2).alias("z")] if threes else [])]
+    cells = rows.select("video_id", "tokens").repartition("video_id").select("video_id", F.posexplode(F.arrays_zip(*sides)).alias("k", "t")).select("video_id", "k", "t.*")
+    word, pair = F.struct(F.lit(None).cast("string").alias("y")), F.struct("y")
+    either = F.explode(F.when(F.col("y").isNull() | (F.col("x") == F.col("y")), F.array(word)).otherwise(F.array(word, pair))).alias("i")
+    counted = cells.filter(is_topic_token(F.col("x"))).select("*", either).groupBy("video_id", "x", F.col("i.y").alias("second"))
+    counts = counted.agg(F.count(F.lit(1)).alias("n"), *([F.min_by("z", "k").alias("third")] if threes else []))
+    if least > 0.4:  # pairs that don't repeat never show: most of them needn't be judged
+        counts = counts.filter("second IS NULL OR n >= 2")
+    counts = counts.filter(F.col("second").isNull() | is_topic_token(F.col("second")))
+    if threes:
+        counts = counts.withColumn("third", F.when(is_topic_token(F.col("third")), F.col("third")))
+    score = F.when(F.col("second").isNotNull(), F.when(F.col("n") >= 2, 1.5).otherwise(0.4)).otherwise(F.sqrt("n"))
     phrases = counts.withColumn("score", score)
-    if least <= 0.75:
-        longer = phrases.filter(F.col("third").isNotNull() & ~F.array_contains(F.split("phrase", " "), F.col("third")))
-        phrases = phrases.select("video_id", "phrase", "score").unionByName(longer.select("video_id", F.concat_ws(" ", "phrase", "third").alias("phrase"), (F.col("score") / 2).alias("score")))
+    made = F.struct("score", F.concat_ws(" ", "x", "second").alias("phrase"))
+    if threes:
+        shown = F.col("second").isNotNull() & F.col("third").isNotNull() & ~F.col("third").isin(F.col("x"), F.col("second"))
+        longer = F.struct((F.col("score") / 2).alias("score"), F.concat_ws(" ", "x", "second", "third").alias("phrase"))
+        phrases = phrases.select("video_id", F.explode(F.when(shown, F.array(made, longer)).otherwise(F.array(made))).alias("p")).select("video_id", "p.*")
+    else:
+        phrases = phrases.filter(F.col("score") >= least).select("video_id", made.alias("p")).select("video_id", "p.*")
     ranked = phrases.filter(F.col("score") >= least).select("video_id", F.struct((-F.col("score")).alias("s"), F.length("phrase").alias("n"), "phrase").alias("r"))
-    best = ranked.groupBy("video_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    best = ranked.groupBy("video_id").agg(F.sort_array(F.collect_list("r")).alias("r"))
     empty = F.expr("cast(array() AS array<struct<s:double,n:int,phrase:string>>)")
     taken = lambda done, x: (F.size(done) >= limit) | F.exists(done, lambda d: phrase_overlap(d["phrase"], x["phrase"]))
     kept = F.aggregate("r", empty, lambda done, x: F.when(taken(done, x), done).otherwise(F.concat(done, F.array(x))))

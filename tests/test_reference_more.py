@@ -159,3 +159,16 @@ def test_clips_without_a_context_are_told_apart(spark):
     rows = spark.createDataFrame([(1, 10), (2, 20)], "clip_id long, video_id long")
     there, missing = tables.join_context(rows, spark.createDataFrame([(10, "n")], "video_id long, niche string"))
     assert [r.clip_id for r in there.collect()] == [1] and [r.clip_id for r in missing.collect()] == [2]
+
+
+def test_topic_phrases_of_a_video_in_many_rows(spark):
+    """Rows of one video are counted together, pairs do not cross them; nulls, empty arrays and clashing columns change nothing."""
+    one = ["lantern", "harbour", "the", "lantern", "harbour", "glacier", "glacier"]
+    rows = [(1, one, 0, "a"), (1, one, 0, "b"), (2, ["meadow"], 1, None), (2, ["lantern"], 1, None), (3, [], 2, "c"), (4, None, 3, "d"), (5, ["glacier", None, "glacier"], 4, "e")]
+    table = spark.createDataFrame(rows, "video_id long, tokens array<string>, n int, x string")
+    got = {r.video_id: (r.topics, r.scores) for r in topics.topic_phrases(table).collect()}
+    # lantern, harbour, glacier: four times each, so 2; the pair "lantern harbour" four times, so 1.5, but its words are taken
+    assert got == {1: (["glacier", "harbour", "lantern"], [2.0, 2.0, 2.0]), 2: (["lantern", "meadow"][::-1], [1.0, 1.0]), 5: (["glacier"], [1.414])}
+    assert topics.topic_phrases(table.limit(0)).collect() == []
+    every = {r.video_id: r.topics for r in topics.topic_phrases(table, least=0.2).collect()}
+    assert every[1] == ["glacier", "harbour", "lantern"] and every[2] == ["meadow", "lantern"]
