@@ -21,13 +21,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialise, shared_dir, slices
+from .common import lean, materialise, shared_dir, shuffle_width, slices
 from .files import Ranges, create, new_file
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 #: Neighbouring records are read at once up to so many bytes.
 READ_BYTES = 4 << 20
+#: A payload counts as frequent from the so many-th part of what one task reads on average.
+OFTEN = 4
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, total: int, *spread: str) -> DataFrame:
+    """Rows with the columns of ``facts`` (key, n, ...), one row a key that n of the rows have; null where there is none.
+
+    Keys that more than a part in OFTEN times the shuffle's width of all ``total`` rows have, at most
+    that many, are broadcast, and their rows are dealt by ``spread``; all others meet by key.
+    """
+    names = [c for c in facts.columns if c not in (key, "n")]
+    many = F.col("n") > total / (OFTEN * shuffle_width(rows.sparkSession))
+    often = facts.filter(many).select(key, *[F.col(c).alias(f"__{c}") for c in names], F.lit(True).alias("__often"))
+    marked = rows.join(F.broadcast(often), key, "left")
+    own = F.when(F.col("__often"), F.concat(F.lit("~"), F.xxhash64(*spread).cast("string"))).otherwise(F.col(key))
+    joined = marked.withColumn("__own", own).join(facts.filter(~many).select(F.col(key).alias("__own"), *names), "__own", "left")
+    return joined.select(*rows.columns, *[F.coalesce(f"__{c}", c).alias(c) for c in names])
 
 
 def payload_digest(payload: bytes) -> str:
@@ -77,7 +94,8 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0) -> DataF
     payload is the html in UTF-8, null counts as empty. A null id sorts first; rows that
     repeat the id of the response are responses too. No pages give no archives.
 
-    Equal payloads are counted on their digests, folded before the shuffle. The returned
+    Equal payloads are counted on their digests, folded before the shuffle; pages of a frequent
+    payload are spread over all tasks and archives. The returned
     table is already written, and only archives it names count: what a lost task left
     behind is never read.
     """
@@ -88,9 +106,8 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0) -> DataF
         .groupBy("sha")
         .agg(F.min_by(F.struct("page_id"), F.struct(F.col("page_id").isNotNull(), F.col("page_id"))).alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .select("sha", "first")
     )
-    rows = rows.join(first, "sha", "left").select(
+    rows = with_facts(rows, materialise(first, "copies"), "sha", pages.count(), "page_id", "url").select(
         "page_id", "url", "html", F.col("first.page_id").alias("refers_to"),
         (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))).alias("revisit"),
     )
@@ -217,12 +234,9 @@ def warc_round_trip(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     read = materialise(
         read.select("page_id", "payload_digest", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes")), "records"
     )
-    wanted = read.filter("record_type = 'revisit'")
-    sizes = (
-        read.filter("record_type = 'response'")
-        .join(wanted.select("payload_digest").distinct(), "payload_digest", "left_semi")
-        .groupBy("payload_digest")
-        .agg(F.max("payload_bytes").alias("payload_bytes"))
-    )
-    revisits = wanted.drop("payload_bytes").join(sizes, "payload_digest")
+    wanted = read.filter("record_type = 'revisit'").drop("payload_bytes")
+    counts = wanted.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"))
+    bytes_of = read.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    sizes = materialise(counts.join(bytes_of, "payload_digest"), "sizes")
+    revisits = with_facts(wanted, sizes, "payload_digest", wanted.count(), "page_id")
     return read.filter("record_type = 'response'").unionByName(revisits)

@@ -203,6 +203,33 @@ def test_warc(spark, tmp_path, monkeypatch):
     assert warc.warc_round_trip(pages.filter("false")).count() == 0
 
 
+def test_warc_of_a_payload_that_most_pages_have(spark):
+    """Pages of a frequent payload lie in many archives, and results are those of a plain grouping."""
+    rows = [(k, f"http://h/{k}", "same " * 40 if k % 3 else f"own {k // 6}") for k in range(3000)] + [(None, None, "own 0"), (7, "http://h/7", "same " * 40)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    firsts: dict = {}
+    for k, _, html in rows:
+        firsts[html] = min(firsts.get(html, (True, 1 << 60)), (k is not None, k if k is not None else 0))
+    copies, want = Counter(h for _, _, h in rows), []
+    for k, _, html in rows:
+        known, least = firsts[html]
+        least = least if known else None
+        revisit = copies[html] > 1 and k != least
+        want.append((k, len(html), warc.payload_digest(html.encode()), "revisit" if revisit else "response", least if revisit else None))
+    got = warc.warc_round_trip(table).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        made = [r.records for r in warc.write_archives(table, warc.shared_dir(spark, "spread")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(made) == len(rows) and max(made) < len(rows) / 4
+
+
 def test_zip64_directory(tmp_path, monkeypatch):
     monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 10)
     monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)
