@@ -83,8 +83,8 @@ def change_points(diffs: DataFrame, over: int = 280, least_ms: int = 800) -> Dat
     return cuts.unionByName(ends).unionByName(ends.select("video_id", F.lit(0).cast("long").alias("t_ms"))).distinct()
 
 
-def chunk_words(words: DataFrame, most_words: int = 3, most_ms: int = 1500, pause_ms: int = 320, rule: str = "span") -> DataFrame:
-    """Words (video_id, word_idx) with the caption line they belong to.
+def chunk_words(words: DataFrame, most_words: int = 3, most_ms: int = 1500, pause_ms: int = 320, rule: str = "span", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Words (video_id, word_idx) with the caption line they belong to, and the columns ``keep``, so that no join brings them back.
 
     rule span: a new line after a pause, after so many words or beyond so long. rule len:
     after a pause, after four words, or after three if the next is longer than five characters.
@@ -92,10 +92,10 @@ def chunk_words(words: DataFrame, most_words: int = 3, most_ms: int = 1500, paus
     short, finds where lines begin, and lines are numbered over the video. One shuffle by video.
     """
     own = _video().orderBy("word_idx")
-    rows = words.select("video_id", "word_idx", "start_ms", "end_ms", F.length("word").alias("size"))
+    rows = words.select("video_id", "word_idx", "start_ms", "end_ms", F.length("word").alias("size"), F.struct("word_idx", *keep).alias("kept"))
     rows = rows.withColumn("pause", F.coalesce(F.col("start_ms") - F.lag("end_ms").over(own) > pause_ms, F.lit(True)))
     rows = rows.withColumn("run", F.sum(F.col("pause").cast("int")).over(own))
-    runs = rows.groupBy("video_id", "run").agg(F.array_sort(F.collect_list(F.struct("word_idx", "start_ms", "end_ms", "size"))).alias("words"))
+    runs = rows.groupBy("video_id", "run").agg(F.array_sort(F.collect_list(F.struct("word_idx", "start_ms", "end_ms", "size", "kept"))).alias("words"))
     full = lambda a, x: (a["n"] >= most_words) | (x["end_ms"] - a["began"] > most_ms) if rule == "span" else (a["n"] >= 4) | ((a["n"] >= 3) & (x["size"] > 5))
     state = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("began"), F.expr("cast(array() AS array<boolean>)").alias("opens"))
 
@@ -104,14 +104,19 @@ def chunk_words(words: DataFrame, most_words: int = 3, most_ms: int = 1500, paus
         return F.struct(F.when(new, 1).otherwise(a["n"] + 1).alias("n"), F.when(new, x["start_ms"]).otherwise(a["began"]).alias("began"), F.concat(a["opens"], F.array(new)).alias("opens"))
 
     opens = F.aggregate("words", state, take, lambda a: a["opens"])
-    flat = runs.select("video_id", F.explode(F.arrays_zip(F.transform("words", lambda w: w["word_idx"]).alias("word_idx"), opens.alias("opens"))).alias("w")).select("video_id", "w.word_idx", "w.opens")
-    return flat.select("video_id", "word_idx", (F.sum(F.col("opens").cast("long")).over(own) - 1).alias("line"))
+    flat = runs.select("video_id", F.explode(F.arrays_zip(F.transform("words", lambda w: w["kept"]).alias("kept"), opens.alias("opens"))).alias("w")).select("video_id", "w.kept.*", "w.opens")
+    return flat.select("video_id", "word_idx", *keep, (F.sum(F.col("opens").cast("long")).over(own) - 1).alias("line"))
 
 
-def caption_events(words: DataFrame, lines: DataFrame, hold_ms: int = 350) -> DataFrame:
+def _lined(words: DataFrame, lines: DataFrame | None) -> DataFrame:
+    """Words with their lines; without ``lines`` they have them already, as ``chunk_words`` gives them with ``keep``."""
+    return words if lines is None else words.join(lines, ["video_id", "word_idx"])
+
+
+def caption_events(words: DataFrame, lines: DataFrame | None = None, hold_ms: int = 350) -> DataFrame:
     """One event per caption line: its words, start, and end, held on but not into the next line."""
     grouped = (
-        words.join(lines, ["video_id", "word_idx"])
+        _lined(words, lines)
         .groupBy("video_id", "line")
         .agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("last_ms"), F.expr("listagg(word, ' ') WITHIN GROUP (ORDER BY word_idx)").alias("text"))
     )
@@ -121,18 +126,18 @@ def caption_events(words: DataFrame, lines: DataFrame, hold_ms: int = 350) -> Da
     return grouped.select("video_id", "line", "start_ms", end.alias("end_ms"), "text")
 
 
-def karaoke_spans(words: DataFrame, lines: DataFrame) -> DataFrame:
+def karaoke_spans(words: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """Centiseconds that each word of a line is filled for, 8 at least, and of the gap after it."""
     own = Window.partitionBy("video_id", "line").orderBy("word_idx")
-    rows = words.join(lines, ["video_id", "word_idx"]).withColumn("gap", F.lead("start_ms").over(own) - F.col("end_ms"))
+    rows = _lined(words, lines).withColumn("gap", F.lead("start_ms").over(own) - F.col("end_ms"))
     fill = F.greatest(F.lit(8), F.bround((F.col("end_ms") - F.col("start_ms")) / 10).cast("long"))
     gap = F.when(F.col("gap") > 50, F.bround(F.col("gap") / 10).cast("long")).otherwise(0)
     return rows.select("video_id", "word_idx", "line", fill.alias("fill_cs"), gap.alias("gap_cs"))
 
 
-def line_spans(words: DataFrame, lines: DataFrame) -> DataFrame:
+def line_spans(words: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """Times of caption lines of rule len: to 80 ms after the last word, not into the next line, 200 ms at least."""
-    grouped = words.join(lines, ["video_id", "word_idx"]).groupBy("video_id", "line").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("last_ms"))
+    grouped = _lined(words, lines).groupBy("video_id", "line").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("last_ms"))
     after = F.coalesce(F.lead("start_ms").over(_video().orderBy("line")), F.col("last_ms") + 200)
     return grouped.select("video_id", "line", "start_ms", F.greatest(F.lit(200), F.least(after, F.col("last_ms") + 80) - F.col("start_ms")).alias("length_ms"))
 
@@ -152,13 +157,13 @@ def keyword_cues(words: DataFrame, keywords: list[str], most: int = 2, edge_ms:
     return greedy.first_apart(hits.filter(F.col("start_ms") >= gap_ms - 10000), most, gap_ms)
 
 
-def word_events(words: DataFrame, lines: DataFrame, hold_ms: int = 350, bump_ms: int = 40) -> DataFrame:
+def word_events(words: DataFrame, lines: DataFrame | None = None, hold_ms: int = 350, bump_ms: int = 40) -> DataFrame:
     """One event per word of a line, shown until the next word begins (video_id, line, word_idx, start_ms, end_ms).
 
     Words of a line that begin together are moved apart by ``bump_ms``, each against the moved one
     before. The last word of a line is held on, not into the next line, and lasts 80 ms at least.
     """
-    rows = words.join(lines, ["video_id", "word_idx"])
+    rows = _lined(words, lines)
     packed = rows.groupBy("video_id", "line").agg(F.array_sort(F.collect_list(F.struct("word_idx", "start_ms", "end_ms"))).alias("w"), F.min("start_ms").alias("first"))
     packed = packed.withColumn("next", F.lead("first").over(_video().orderBy("line")))
     none = F.expr("cast(array() AS array<struct<word_idx:int,start_ms:bigint,end_ms:bigint>>)")

@@ -341,7 +341,7 @@ JOIN (VALUES ('the', 'common'), ('ther', 'fixture'), ('thon', 'fixture'), ('orre
 def _keywords(spark, sf):
     from cuecraft.operators.topics import keyword_hits
 
-    return keyword_hits(b.words(spark, sf), [("the", "common"), ("ther", "fixture"), ("thon", "fixture"), ("orre", "fixture")])
+    return keyword_hits(b.tokens(b.texts(spark, sf)), [("the", "common"), ("ther", "fixture"), ("thon", "fixture"), ("orre", "fixture")])
 
 
 _BORDERED = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
