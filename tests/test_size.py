@@ -22,3 +22,8 @@ def test_kept_columns_equal_a_join(spark):
         kept, lines = intervals.chunk_words(words, rule=rule, keep=("word", "start_ms", "end_ms")), intervals.chunk_words(words, rule=rule)
         for events in (intervals.caption_events, intervals.word_events, intervals.karaoke_spans, intervals.line_spans):
             assert sorted(events(kept).collect()) == sorted(events(words, lines).collect())
+
+
+def test_word_events_shuffle_texts_once_and_no_words(spark):
+    plan = registry.QUERIES["caption_word_events"](spark, SF)
+    assert exchanges(plan) <= 1 and "Join" not in plan._jdf.queryExecution().executedPlan().toString()
