@@ -1,6 +1,8 @@
 """What keeps queries within their limits at size: how often rows are shuffled, and how much of one group a task holds."""
 
-from cuecraft.operators import intervals
+import time
+
+from cuecraft.operators import intervals, windows
 from cuecraft.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +29,12 @@ def test_kept_columns_equal_a_join(spark):
 def test_word_events_shuffle_texts_once_and_no_words(spark):
     plan = registry.QUERIES["caption_word_events"](spark, SF)
     assert exchanges(plan) <= 1 and "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_snapping_takes_time_in_proportion_to_a_windows_cues(spark):
+    """Windows of 146 cues of one word: some seconds, minutes where each cue has the bounds worked out again."""
+    rows = spark.range(6000).selectExpr("id % 3 AS video_id", "CAST(id DIV 3 AS int) AS cue_idx", "'word' || IF(id DIV 3 % 7 = 6, '.', '') AS text", "(id DIV 3) * 400 AS start_ms", "400L AS dur_ms")
+    began = time.monotonic()
+    found = windows.sliding_windows(rows).select("video_id", "window", "start_ms", "end_ms", "n_cues").orderBy("video_id", "window").collect()
+    assert time.monotonic() - began < 60
+    assert len({(r.video_id, r.window) for r in found}) == len(found) > 100 and all(r.end_ms - r.start_ms == 400 * r.n_cues and 35000 <= 400 * r.n_cues <= 58500 for r in found)
