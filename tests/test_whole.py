@@ -105,3 +105,15 @@ def test_a_number_ends_a_cue_in_its_text_alone(spark):
     text = "1\n00:01,000 --> 00:02,000\n12 lamps\n2\n00:03,000 --> 00:04,000 line:80\n9 boats\n3\n00:05,000 --> 00:06,000\nlast"
     got = captions.read(spark.createDataFrame([(1, text)], "video_id long, content string")).collect()
     assert sorted((r.start_ms, r.text) for r in got) == [(1000, "12 lamps"), (3000, "9 boats"), (5000, "last")]
+
+
+def _numbers(spark, path):
+    rows = [(i, f"{i}80 lamps. 12\n34 boats. {i}") for i in range(24)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return [(i, s, d, t) for i, _ in rows for s, d, t in ((0, 800, f"{i}80 lamps"), (800, 1200, "12 34 boats"), (2000, 400, str(i)))]
+
+
+def test_cues_of_numbers_in_alternate_formats(spark, tmp_path):
+    want = _numbers(spark, tmp_path)
+    got = registry.QUERIES["src_caption_auto"](spark, str(tmp_path)).select("video_id", "start_ms", "dur_ms", "text").collect()
+    assert sorted(map(tuple, got)) == want
