@@ -117,3 +117,10 @@ def test_cues_of_numbers_in_alternate_formats(spark, tmp_path):
     want = _numbers(spark, tmp_path)
     got = registry.QUERIES["src_caption_auto"](spark, str(tmp_path)).select("video_id", "start_ms", "dur_ms", "text").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_files_of_numbers_are_in_no_trouble(spark, tmp_path):
+    rows = [(i, f"{i}80\n7") for i in range(24)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["src_caption_errors"](spark, str(tmp_path)).collect()
+    assert sorted((r.video_id, r.error) for r in got) == [(0, "empty"), (11, "empty"), (12, "no cues"), (22, "empty")]
