@@ -124,3 +124,9 @@ def test_files_of_numbers_are_in_no_trouble(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = registry.QUERIES["src_caption_errors"](spark, str(tmp_path)).collect()
     assert sorted((r.video_id, r.error) for r in got) == [(0, "empty"), (11, "empty"), (12, "no cues"), (22, "empty")]
+
+
+def test_cues_of_numbers_in_a_folder(spark, tmp_path):
+    want = [r for r in _numbers(spark, tmp_path) if r[0] % 11 > 1 or r[0] % 11 == 1 and r[0] % 3 > 0]
+    got = registry.QUERIES["src_caption_folder"](spark, str(tmp_path)).select("video_id", "start_ms", "dur_ms", "text").collect()
+    assert sorted(map(tuple, got)) == want
