@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -142,6 +142,12 @@ def cue_windows(cues: DataFrame, size: str = "58 seconds", step: str = "20 secon
 
 def speech_sessions(words: DataFrame, gap: str = "900 milliseconds", late: str = "1 minute") -> DataFrame:
     """Sessions of speech (video_id, ts): a new one after a pause."""
-    rows = words.withWatermark("ts", late) if words.isStreaming else words
-    grouped = rows.groupBy("video_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("words"))
+    if not words.isStreaming:  # a video's words in their order: each knows by the one before it whether it begins a session
+        own = Window.partitionBy("video_id").orderBy("ts")
+        begins = F.coalesce(F.col("ts") > F.lag("ts").over(own) + F.expr(f"INTERVAL {gap}"), F.lit(True))
+        rows = words.filter("ts IS NOT NULL").select("video_id", "ts", begins.cast("int").alias("begins"))
+        rows = rows.select("video_id", "ts", F.sum("begins").over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("k"))
+        grouped = rows.groupBy("video_id", "k").agg(F.min("ts").alias("start"), F.count(F.lit(1)).alias("words"))
+        return grouped.select("video_id", F.unix_millis("start").alias("start_ms"), "words")
+    grouped = words.withWatermark("ts", late).groupBy("video_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("words"))
     return grouped.select("video_id", F.unix_millis("session_window.start").alias("start_ms"), "words")

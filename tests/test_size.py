@@ -38,3 +38,15 @@ def test_snapping_takes_time_in_proportion_to_a_windows_cues(spark):
     found = windows.sliding_windows(rows).select("video_id", "window", "start_ms", "end_ms", "n_cues").orderBy("video_id", "window").collect()
     assert time.monotonic() - began < 60
     assert len({(r.video_id, r.window) for r in found}) == len(found) > 100 and all(r.end_ms - r.start_ms == 400 * r.n_cues and 35000 <= 400 * r.n_cues <= 58500 for r in found)
+
+
+def test_sessions_of_a_table_equal_session_windows_and_are_counted_as_they_stream(spark):
+    from pyspark.sql import functions as F
+
+    from cuecraft.streaming import jobs
+
+    words = spark.createDataFrame([(v, t) for v in (1, 2) for t in (0, 900, 900, 1801, 2700, 5000, 4200 + v, None)], "video_id long, t long").withColumn("ts", F.timestamp_millis("t"))
+    want = words.groupBy("video_id", F.session_window("ts", "900 milliseconds")).agg(F.count(F.lit(1)).alias("words")).select("video_id", F.unix_millis("session_window.start").alias("start_ms"), "words")
+    found = jobs.speech_sessions(words)
+    assert sorted(found.collect()) == sorted(want.collect())
+    assert "Sessions" not in found._jdf.queryExecution().executedPlan().toString()
