@@ -172,3 +172,19 @@ def test_topic_phrases_of_a_video_in_many_rows(spark):
     assert topics.topic_phrases(table.limit(0)).collect() == []
     every = {r.video_id: r.topics for r in topics.topic_phrases(table, least=0.2).collect()}
     assert every[1] == ["glacier", "harbour", "lantern"] and every[2] == ["meadow", "lantern"]
+
+
+def test_topics_of_a_long_row_are_counted_in_place(spark):
+    """Only the bound of a phrase of three needs single pairs; a video's row is sorted and counted without a row for each of its tokens."""
+    tokens = [f"{a}{b}an" for a in "bcdfgklmnprtvz" for b in ("or", "il", "un")] * 40 + ["glacier", "harbour"] * 300
+    rows = spark.createDataFrame([(1, tokens), (2, ["an", "the", "xx"])], "video_id long, tokens array<string>")
+    found = topics.topic_phrases(rows)
+    assert "posexplode" not in found._jdf.queryExecution().toString().lower()
+    got = found.collect()
+    assert [r.video_id for r in got] == [1] and got[0].topics[:2] == ["glacier", "harbour"] and got[0].scores[0] == 17.321
+    assert len(got[0].topics) == 8 and not any(" " in t for t in got[0].topics)
+
+
+def test_stage_directions_and_white_space(spark):
+    text = "  a [x]  b\tc\n\nd (y) e  f\r\n"
+    assert spark.createDataFrame([(text,)], "t string").select(X.strip_markers(F.col("t"))).first()[0] == "a b c d e  f"
