@@ -188,3 +188,15 @@ def test_topics_of_a_long_row_are_counted_in_place(spark):
 def test_stage_directions_and_white_space(spark):
     text = "  a [x]  b\tc\n\nd (y) e  f\r\n"
     assert spark.createDataFrame([(text,)], "t string").select(X.strip_markers(F.col("t"))).first()[0] == "a b c d e  f"
+
+
+def test_evidence_of_entities_is_worked_out_once(spark):
+    """Words inside phrases are told their phrase's score from the same sums: the texts are read for them no second time."""
+    rows = spark.createDataFrame([(1, "Glacier Harbour lies north. 'glacier' ice, Harbour Glacier"), (2, None)], "video_id long, text string")
+    plans = []
+    for keywords in (["glacier"], spark.createDataFrame([("Glacier",)], "keyword string")):
+        found = entities.topical_entities(rows, keywords)
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+        got = {r.entity: r.score for r in found.collect()}
+        assert got["Glacier Harbour"] == 15.6 and got["Harbour Glacier"] == 15.6 and got["glacier ice"] == 7.6 and "Harbour" not in got and got["Glacier"] == 19.0
+    assert plans == [1, 1]
