@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuecraft.functions.text import validate_master_title
+from cuecraft.functions.text import _let, validate_master_title
 
 # The form of a reply's lines.
 TITLE_LINE = r"^\s*(\d)\s*[.)]\s*\[([^\]]*)\]\s*(.+?)\s*(?:--|—|–|-)\s*(\d+)\s*/\s*100\s*$"
@@ -24,7 +24,7 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     rows = replies.select("reply_id", F.trim(F.regexp_extract(text, NICHE, 1)).alias("niche"), topics.alias("topics"), text.alias("text"))
     part = lambda line, k: F.regexp_extract(line, TITLE_LINE, k)
     lines = F.filter(F.split("text", r"\r?\n"), lambda x: x.rlike(TITLE_LINE))
-    label = lambda x: F.when(F.trim(part(x, 2)) == "", "LLM").otherwise(F.trim(part(x, 2)))
+    label = lambda x: _let(F.trim(part(x, 2)), lambda name: F.when(name == "", "LLM").otherwise(name))
     found = F.transform(lines, lambda x, k: F.struct(k.alias("slot"), label(x).alias("framework"), part(x, 3).alias("title"), part(x, 4).cast("int").alias("stated")))
     rows = rows.withColumn("found", found)
     titles = F.transform("found", lambda t: F.struct(t["slot"], t["framework"], t["title"], t["stated"], F.length(t["title"]).alias("measured"), validate_master_title(t["title"], F.col("topics"))["ok"].alias("ok")))
@@ -35,4 +35,5 @@ def parse_replies(replies: DataFrame) -> DataFrame:
 
 def reply_titles(parsed: DataFrame) -> DataFrame:
     """One row for each title of parsed replies."""
-    return parsed.select("reply_id", "niche", "recommended", F.explode("titles").alias("t")).select("reply_id", "niche", "recommended", "t.*")
+    # the plain explode would have every title judged once more, in a filter for its size before rows are dealt
+    return parsed.select("reply_id", "niche", "recommended", F.explode_outer("titles").alias("t")).filter("t IS NOT NULL").select("reply_id", "niche", "recommended", "t.*")

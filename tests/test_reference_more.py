@@ -200,3 +200,15 @@ def test_evidence_of_entities_is_worked_out_once(spark):
         got = {r.entity: r.score for r in found.collect()}
         assert got["Glacier Harbour"] == 15.6 and got["Harbour Glacier"] == 15.6 and got["glacier ice"] == 7.6 and "Harbour" not in got and got["Glacier"] == 19.0
     assert plans == [1, 1]
+
+
+def test_titles_of_replies_are_judged_once_in_many_tasks(spark, tmp_path):
+    """No filter below the titles judges them too, and one split of orders is many tasks."""
+    from cuecraft.plans import registry
+
+    parsed = replies.parse_replies(spark.createDataFrame([(1, "1. [Why] Why Markets Move Now -- 20/100"), (2, "none"), (3, None)], "reply_id long, text string"))
+    found = replies.reply_titles(parsed)
+    assert [(r.reply_id, r.slot, r.framework, r.title, r.stated, r.measured, r.ok) for r in found.collect()] == [(1, 0, "Why", "Why Markets Move Now", 20, 20, True)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("repeated word") == 1
+    query = registry.QUERIES["parse_llm_reply"](spark, "/root/testdata/sf0.001")
+    assert query.rdd.getNumPartitions() >= 16
