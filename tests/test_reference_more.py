@@ -212,3 +212,13 @@ def test_titles_of_replies_are_judged_once_in_many_tasks(spark, tmp_path):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("repeated word") == 1
     query = registry.QUERIES["parse_llm_reply"](spark, "/root/testdata/sf0.001")
     assert query.rdd.getNumPartitions() >= 16
+
+
+@pytest.mark.parametrize("name", ["publication_record", "quality_metrics", "candidates"])
+def test_titles_used_twice_are_made_once(spark, name):
+    from cuecraft.plans import registry
+    from cuecraft.sources import shared
+
+    before = len(shared._named)
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sum("/titles-" in path for path in shared._named[before:]) == 1
