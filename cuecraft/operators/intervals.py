@@ -83,20 +83,65 @@ def change_points(diffs: DataFrame, over: int = 280, least_ms: int = 800) -> Dat
     return cuts.unionByName(ends).unionByName(ends.select("video_id", F.lit(0).cast("long").alias("t_ms"))).distinct()
 
 
-def chunk_words(words: DataFrame, most_words: int = 3, most_ms: int = 1500, pause_ms: int = 320, rule: str = "span", keep: tuple[str, ...] = ()) -> DataFrame:
+#: Words that a caption line's place in it is told from at once; a longer stretch that no pause or time limit cuts is chained in steps of so many.
+STEP_WORDS = 10
+#: Words of a line up to which its places fit into one number.
+PLACES = 12
+
+
+def chunk_words(words: DataFrame, most_words: int = 3, most_ms: int = 1500, pause_ms: int = 320, rule: str = "span", keep: tuple[str, ...] = (), step: int = STEP_WORDS) -> DataFrame:
     """Words (video_id, word_idx) with the caption line they belong to, and the columns ``keep``, so that no join brings them back.
 
     rule span: a new line after a pause, after so many words or beyond so long. rule len:
     after a pause, after four words, or after three if the next is longer than five characters.
-    Pauses cut a video into runs by window functions; a fold over each run, which speech keeps
-    short, finds where lines begin, and lines are numbered over the video. One shuffle by video.
+    A word's place in its line follows from the place of the word before: a function of few values, packed into one number. Window
+    functions apply those of the last ``step`` words one after the other; the first place matters only where none of them begins a line whatever
+    came before, and is then chained from step to step. One shuffle and one sort by video. Lines of more than ``PLACES`` words are folded run by run.
     """
+    most = most_words if rule == "span" else 4
+    if most > PLACES:
+        return _folded_lines(words, most_words, most_ms, pause_ms, keep)
+    own, bits = _video().orderBy("word_idx"), max(1, (most - 1).bit_length())
+    before = lambda c, n, none=None: F.lag(c, n, none).over(own)
+    pause = F.coalesce(F.col("start_ms") - before("end_ms", 1) > pause_ms, F.lit(True))
+    full = lambda n: F.coalesce(F.col("end_ms") - before("start_ms", n) > most_ms, F.lit(False)) if rule == "span" else F.lit(n >= 3) & (F.length("word") > 5)
+    # place n - 1 leads to place n unless a line begins
+    packed = sum((F.when(full(n), 0).otherwise(n << bits * (n - 1)).cast("long") for n in range(1, most)), F.lit(0).cast("long"))
+    rows = words.withColumn("__next", F.when(pause, F.lit(0).cast("long")).otherwise(packed)).select("video_id", "word_idx", *keep, "__next")
+    at = F.row_number().over(own)
+    rows = rows.withColumn("__at", at).withColumn("__since", F.col("__at") - F.max(F.when(F.col("__next") == 0, at)).over(own))
+    rows = rows.withColumns({f"__next{k}": before("__next", k, 0) for k in range(1, step)})
+    same = sum(n << bits * n for n in range(1, most))
+
+    def placed(first: str, steps: str = "") -> str:
+        """The place after the last ``step`` words, or after so many of them, from a first place."""
+        place = first
+        for k in range(step - 1, -1, -1):
+            name = f"__next{k}" if k else "__next"
+            if steps:
+                name = f"if({k} < {steps}, {name}, {same}L)"
+            place = f"(shiftright({name}, cast({bits} * {place} as int)) & {(1 << bits) - 1}L)"
+        return place
+
+    through = " | ".join(f"shiftleft({placed(f'{n}L')}, {bits * n})" for n in range(most))
+    joint = (F.col("__since") >= step) & (F.col("__since") % step == 0)
+    joints = F.collect_list(F.when(joint, F.struct(F.col("__at").alias("at"), F.expr(through).alias("through")))).over(_video())
+    rows = rows.withColumn("__joints", joints)
+    own_joints = "filter(__joints, x -> x.at > __at - __since AND x.at <= __at)"
+    chained = f"aggregate({own_joints}, 0L, (place, x) -> shiftright(x.through, cast({bits} * place as int)) & {(1 << bits) - 1}L)"
+    rows = rows.withColumn("__first", F.when(F.col("__since") >= step, F.expr(chained)))
+    place = F.when(F.col("__since") < step, F.expr(placed("0L"))).otherwise(F.expr(placed("__first", f"__since % {step}")))
+    return rows.select("video_id", "word_idx", *keep, (F.sum((place == 0).cast("long")).over(own) - 1).alias("line"))
+
+
+def _folded_lines(words: DataFrame, most_words: int, most_ms: int, pause_ms: int, keep: tuple[str, ...]) -> DataFrame:
+    """Rule span by a fold over each run between pauses."""
     own = _video().orderBy("word_idx")
-    rows = words.select("video_id", "word_idx", "start_ms", "end_ms", F.length("word").alias("size"), F.struct("word_idx", *keep).alias("kept"))
+    rows = words.select("video_id", "word_idx", "start_ms", "end_ms", F.struct("word_idx", *keep).alias("kept"))
     rows = rows.withColumn("pause", F.coalesce(F.col("start_ms") - F.lag("end_ms").over(own) > pause_ms, F.lit(True)))
     rows = rows.withColumn("run", F.sum(F.col("pause").cast("int")).over(own))
-    runs = rows.groupBy("video_id", "run").agg(F.array_sort(F.collect_list(F.struct("word_idx", "start_ms", "end_ms", "size", "kept"))).alias("words"))
-    full = lambda a, x: (a["n"] >= most_words) | (x["end_ms"] - a["began"] > most_ms) if rule == "span" else (a["n"] >= 4) | ((a["n"] >= 3) & (x["size"] > 5))
+    runs = rows.groupBy("video_id", "run").agg(F.sort_array(F.collect_list(F.struct("word_idx", "start_ms", "end_ms", "kept"))).alias("words"))
+    full = lambda a, x: (a["n"] >= most_words) | (x["end_ms"] - a["began"] > most_ms)
     state = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("began"), F.expr("cast(array() AS array<boolean>)").alias("opens"))
 
     def take(a, x):

@@ -2,7 +2,7 @@
 
 import time
 
-from cuecraft.operators import intervals, windows
+from cuecraft.operators import greedy, intervals, windows
 from cuecraft.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +50,28 @@ def test_sessions_of_a_table_equal_session_windows_and_are_counted_as_they_strea
     found = jobs.speech_sessions(words)
     assert sorted(found.collect()) == sorted(want.collect())
     assert "Sessions" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_told_by_windows_whatever_the_stretch(spark):
+    """No word is grouped or unpacked, and stretches without a pause that are longer than a step are chained exactly."""
+    assert "Aggregate" not in (plan := registry.QUERIES["karaoke_spans"](spark, SF)._jdf.queryExecution().executedPlan().toString()) and plan.count("Generate") == 1
+    assert registry.QUERIES["phrase_chunks_len"](spark, SF)._jdf.queryExecution().executedPlan().toString().count("Generate") == 1
+    rows, at = [], 0
+    for k in range(700):
+        end = at + (100, 200, 300, 900)[k * k % 11 % 4]
+        rows.append((k // 500, k, "x" * (1 + k * 7 % 9), at, end))
+        at = end + (500 if k in (3, 40, 300) else k % 3 * 10)
+    words = spark.createDataFrame(rows, "video_id long, word_idx int, word string, start_ms long, end_ms long")
+    for rule, most, ms in (("span", 3, 1500), ("span", 1, 1500), ("span", 7, 4000), ("span", 20, 9000), ("len", 4, 0)):
+        want, video = [], None
+        for v, k, word, start, end in rows:
+            if v != video:
+                video, line, n, last = v, -1, 0, None
+            full = n >= most or end - began > ms if rule == "span" and n else n >= 4 or (n >= 3 and len(word) > 5)
+            if n == 0 or start - last > 320 or full:
+                line, n, began = line + 1, 0, start
+            n, last = n + 1, end
+            want.append((k, line))
+        for step in (3, 10):
+            got = intervals.chunk_words(words, most_words=most, most_ms=ms, rule=rule, step=step)
+            assert [(r.word_idx, r.line) for r in got.orderBy("word_idx").collect()] == want
