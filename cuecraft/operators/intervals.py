@@ -209,7 +209,7 @@ def word_events(words: DataFrame, lines: DataFrame | None = None, hold_ms: int =
     before. The last word of a line is held on, not into the next line, and lasts 80 ms at least.
     """
     rows = _lined(words, lines)
-    packed = rows.groupBy("video_id", "line").agg(F.array_sort(F.collect_list(F.struct("word_idx", "start_ms", "end_ms"))).alias("w"), F.min("start_ms").alias("first"))
+    packed = rows.groupBy("video_id", "line").agg(F.sort_array(F.collect_list(F.struct("word_idx", "start_ms", "end_ms"))).alias("w"), F.min("start_ms").alias("first"))
     packed = packed.withColumn("next", F.lead("first").over(_video().orderBy("line")))
     none = F.expr("cast(array() AS array<struct<word_idx:int,start_ms:bigint,end_ms:bigint>>)")
     # where the next word does not begin later, it is moved behind

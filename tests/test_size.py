@@ -75,3 +75,9 @@ def test_lines_are_told_by_windows_whatever_the_stretch(spark):
         for step in (3, 10):
             got = intervals.chunk_words(words, most_words=most, most_ms=ms, rule=rule, step=step)
             assert [(r.word_idx, r.line) for r in got.orderBy("word_idx").collect()] == want
+
+
+def test_words_of_a_line_are_sorted_without_a_comparing_function(spark):
+    for name in ("caption_word_events",):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().analyzed().toString()
+        assert "sort_array(collect_list" in plan and "array_sort(collect_list" not in plan
