@@ -104,3 +104,15 @@ def first_apart(hits: DataFrame, most: int, gap: int) -> DataFrame:
         chosen = found if chosen is None else chosen.unionByName(found)
         last = found.select("video_id", (F.col("end_ms") + gap).alias("__from"))
     return chosen
+
+
+def first_apart_within(hits: DataFrame, most: int, gap: int) -> DataFrame:
+    """The choice of ``first_apart`` for hits that are dealt by video already: each round is a window function, so they are worked out once and not shuffled."""
+    own = Window.partitionBy("video_id")
+    rows = hits.withColumn("__0", F.min(F.struct("start_ms", "keyword", "end_ms")).over(own))
+    for k in range(1, most):
+        allowed = F.col("start_ms") >= F.col(f"__{k - 1}.end_ms") + gap
+        rows = rows.withColumn(f"__{k}", F.min(F.when(allowed, F.struct("start_ms", "keyword", "end_ms"))).over(own))
+    chosen = rows.groupBy("video_id").agg(F.first(F.array(*[F.col(f"__{k}") for k in range(most)])).alias("h"))
+    found = chosen.select("video_id", F.explode(F.array_compact("h")).alias("h"))
+    return found.select("video_id", "h.keyword", "h.start_ms", "h.end_ms")

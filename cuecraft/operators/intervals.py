@@ -188,18 +188,17 @@ def line_spans(words: DataFrame, lines: DataFrame | None = None) -> DataFrame:
 
 
 def keyword_cues(words: DataFrame, keywords: list[str], most: int = 2, edge_ms: int = 4000, gap_ms: int = 12000, length_ms: int = 3500) -> DataFrame:
-    """The first keyword hits (pairs of words before single ones) away from both ends and from each other."""
-    known = F.broadcast(words.sparkSession.createDataFrame([(k,) for k in keywords], "keyword string"))
+    """The first keyword hits (pairs of words before single ones) away from both ends and from each other. Words are gone through once."""
     clean = F.lower(F.regexp_replace("word", "[^a-zA-Z0-9]", ""))
     rows = words.select("video_id", "word_idx", "start_ms", clean.alias("one"), F.max("end_ms").over(_video()).alias("total"))
     rows = rows.withColumn("two", F.concat_ws(" ", "one", F.lead("one").over(_video().orderBy("word_idx"))))
     inside = (F.col("start_ms") >= edge_ms) & (F.col("start_ms") < F.greatest(F.lit(edge_ms), F.col("total") - edge_ms) - 1000)
-    rows = rows.filter(inside).join(known.withColumnRenamed("keyword", "k2"), F.col("two") == F.col("k2"), "left").join(known.withColumnRenamed("keyword", "k1"), F.col("one") == F.col("k1"), "left")
-    hits = rows.withColumn("keyword", F.coalesce("k2", "k1")).filter("keyword IS NOT NULL").select("video_id", "keyword", "start_ms", "total")
+    known = lambda c: F.when(F.col(c).isin(*keywords), F.col(c))
+    hits = rows.filter(inside).withColumn("keyword", F.coalesce(known("two"), known("one"))).filter("keyword IS NOT NULL")
 
     end = F.least(F.col("start_ms") + length_ms, F.greatest(F.lit(edge_ms), F.col("total") - edge_ms))
     hits = hits.select("video_id", "keyword", "start_ms", end.alias("end_ms")).filter(F.col("end_ms") - F.col("start_ms") >= 1000)
-    return greedy.first_apart(hits.filter(F.col("start_ms") >= gap_ms - 10000), most, gap_ms)
+    return greedy.first_apart_within(hits.filter(F.col("start_ms") >= gap_ms - 10000), most, gap_ms)
 
 
 def word_events(words: DataFrame, lines: DataFrame | None = None, hold_ms: int = 350, bump_ms: int = 40) -> DataFrame:

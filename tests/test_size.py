@@ -81,3 +81,12 @@ def test_words_of_a_line_are_sorted_without_a_comparing_function(spark):
     for name in ("caption_word_events",):
         plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().analyzed().toString()
         assert "sort_array(collect_list" in plan and "array_sort(collect_list" not in plan
+
+
+def test_keyword_cues_go_through_words_once(spark):
+    plan = registry.QUERIES["keyword_cues"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Join" not in plan
+    hits = [(v, 100 * (k * k * 7 % 97), "ab"[k % 2]) for v in range(5) for k in range(v * 20)]
+    table = spark.createDataFrame([(v, t, t + 900, k) for v, t, k in hits], "video_id long, start_ms long, end_ms long, keyword string")
+    for most in (1, 2, 3):
+        assert sorted(greedy.first_apart_within(table, most, 2500).collect()) == sorted(greedy.first_apart(table, most, 2500).collect())
