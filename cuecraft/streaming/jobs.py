@@ -121,7 +121,7 @@ def stuck_jobs_stream(events: DataFrame, stuck_s: int = 7200, keep_s: int = 3600
 
 def _window_text(place: list[Column]) -> Column:
     item = F.struct(*place, F.trim(F.replace("text", F.lit("\n"), F.lit(" "))).alias("text"))
-    return F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]), " ")
+    return F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["text"]), " ")
 
 
 def cue_windows(cues: DataFrame, size: str = "58 seconds", step: str = "20 seconds", late: str = "1 minute") -> DataFrame:

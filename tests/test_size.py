@@ -78,7 +78,7 @@ def test_lines_are_told_by_windows_whatever_the_stretch(spark):
 
 
 def test_words_of_a_line_are_sorted_without_a_comparing_function(spark):
-    for name in ("caption_word_events",):
+    for name in ("caption_word_events", "L3_cue_windows"):
         plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().analyzed().toString()
         assert "sort_array(collect_list" in plan and "array_sort(collect_list" not in plan
 
