@@ -38,6 +38,8 @@ HELD = 3 << 19
 CELLS = 1 << 24
 END = np.uint64(0x454E44)
 END_CODE = 0
+#: Bits of a hash behind its beginning, of which a table tells the place.
+SHIFT = np.uint64(44)
 
 
 def held_out(doc_id):
@@ -68,6 +70,8 @@ class Vocabulary:
         place[: self.n_model] = np.arange(self.n_model)
         at = np.argsort(hashes)
         self.hashes, self.counts, self.place = hashes[at], counts[at], place[at]
+        # where the hashes of each beginning lie: most are found at the first of them
+        self.start = np.searchsorted(self.hashes >> SHIFT, np.arange(1 << 64 - int(SHIFT), dtype=np.uint64)).astype(np.int32)
         mass, types = np.zeros(1 << 16), np.zeros(1 << 16)
         mass[endings["code"].to_numpy()] = endings["n"].to_numpy()
         types[endings["code"].to_numpy()] = endings["words"].to_numpy()
@@ -85,8 +89,11 @@ class Vocabulary:
         symbol = CLASSES * WORDS + self.ending[code]
         if not len(self.hashes):
             return np.full(len(hashes), -1, np.int64), symbol
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        at = np.minimum(self.start[hashes >> SHIFT], len(self.hashes) - 1)
         found = self.hashes[at] == hashes
+        rest = np.flatnonzero(self.hashes[at] < hashes)
+        at[rest] = np.minimum(np.searchsorted(self.hashes, hashes[rest]), len(self.hashes) - 1)
+        found[rest] = self.hashes[at[rest]] == hashes[rest]
         place = self.place[at]
         return np.where(found, self.counts[at], -1), np.where(found & (place >= 0), place, symbol)
 
@@ -129,46 +136,53 @@ def step(p: dict, before: np.ndarray, h: np.ndarray):
     return n + z * (h - n), z, r, n, b[:, 2 * HIDDEN :]
 
 
-def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits, their exponentials and the sums of these; less the largest logit only where the weights allow large ones."""
-    logits = h @ w
-    logits += b
-    if np.abs(w).sum(0).max() + np.abs(b).max() > 80:  # states lie within -1 and 1
-        logits -= logits.max(1, keepdims=True)
-    e = np.exp(logits)
-    return logits, e, e @ np.ones((e.shape[1], 1), e.dtype)
+def _softmax(h: np.ndarray, w: np.ndarray, at: np.ndarray, large: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The logits at some places, the exponentials of all and the sums of these; less the largest logit only where the weights allow large ones."""
+    e = h @ w
+    if large:
+        e -= e.max(1, keepdims=True)
+    rows = np.arange(len(at))
+    logs = e[rows, at]
+    np.exp(e, out=e)
+    return logs, e, e @ np.ones(e.shape[1], e.dtype)
+
+
+def _backward(h: np.ndarray, w: np.ndarray, at: np.ndarray, e: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients by the weights and by the states; the states are divided by the sums, which are wider than they."""
+    e[np.arange(len(at)), at] -= total
+    share = (1 / total)[:, None]
+    back = e @ w[:-1].T
+    back *= share
+    return (h * share).T @ e, back
 
 
 def outputs(p: dict, h: np.ndarray, symbol: np.ndarray, grads: dict | None = None):
     """Natural log-probability of each symbol; with ``grads`` also the gradient by the states."""
     kind, place = _class_of(symbol)
     order = np.argsort(kind.astype(np.uint8), kind="stable")  # of one class next to each other: no gathering for each
-    kind, place, h = kind[order], place[order], h[order]
-    rows = np.arange(len(symbol))
-    logs, prob, total = _softmax(h, p["c"], p["cb"])
-    found = logs[rows, kind] - np.log(total[:, 0])
+    kind, place = kind[order], place[order]
+    h = np.concatenate([h[order], np.ones((len(order), 1), h.dtype)], axis=1)  # the biases are the weights of a state that is 1
+    c, words = np.concatenate([p["c"], p["cb"][None]]), np.concatenate([p["w"], p["wb"][:, None]], axis=1)
+    large = np.abs(words).sum(1).max(1) > 80  # states lie within -1 and 1
+    logs, e, total = _softmax(h, c, kind, np.abs(c).sum(0).max() > 80)
+    found = logs - np.log(total)
     back = None
     if grads is not None:
-        prob /= total
-        prob[rows, kind] -= 1
-        grads["c"] += h.T @ prob
-        grads["cb"] += np.ones(len(prob), prob.dtype) @ prob
-        back = prob @ p["c"].T
+        made, back = _backward(h, c, kind, e, total)
+        grads["c"] += made[:-1]
+        grads["cb"] += made[-1]
     cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
     for k in range(CLASSES):
         own = slice(cuts[k], cuts[k + 1])
-        n = cuts[k + 1] - cuts[k]
-        if not n:
+        if cuts[k] == cuts[k + 1]:
             continue
-        logs, prob, total = _softmax(h[own], p["w"][k], p["wb"][k])
-        inner, at = rows[:n], place[own]
-        found[own] += logs[inner, at] - np.log(total[:, 0])
+        logs, e, total = _softmax(h[own], words[k], place[own], large[k])
+        found[own] += logs - np.log(total)
         if grads is not None:
-            prob /= total
-            prob[inner, at] -= 1
-            grads["w"][k] += h[own].T @ prob
-            grads["wb"][k] += np.ones(n, prob.dtype) @ prob
-            back[own] += prob @ p["w"][k].T
+            made, states = _backward(h[own], words[k], place[own], e, total)
+            grads["w"][k] += made[:-1]
+            grads["wb"][k] += made[-1]
+            back[own] += states
     result = np.empty_like(found)
     result[order] = found
     if back is None:
