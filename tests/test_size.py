@@ -2,7 +2,7 @@
 
 import time
 
-from cuecraft.operators import greedy, intervals, windows
+from cuecraft.operators import greedy, intervals, topics, windows
 from cuecraft.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -90,3 +90,13 @@ def test_keyword_cues_go_through_words_once(spark):
     table = spark.createDataFrame([(v, t, t + 900, k) for v, t, k in hits], "video_id long, start_ms long, end_ms long, keyword string")
     for most in (1, 2, 3):
         assert sorted(greedy.first_apart_within(table, most, 2500).collect()) == sorted(greedy.first_apart(table, most, 2500).collect())
+
+
+def test_topics_and_niches_call_no_function_for_each_token(spark):
+    rows = spark.createDataFrame([(1, ["snow", "cave", None, "snow", "cave", "ab"]), (1, ["cave", "snow"]), (2, [])], "video_id long, tokens array<string>")
+    plan = lambda found: found._jdf.queryExecution().executedPlan().toString()
+    found, scores = topics.topic_phrases(rows), topics.niche_scores(rows, {"winter": ("snow snow_cave", "snow")})
+    assert "parts" in plan(found) and "flatten(" not in plan(found) and exchanges(found) == 1  # words and pairs are counted by batch
+    assert "lambdafunction" not in plan(scores).split("Generate")[1]
+    assert [tuple(r) for r in found.collect()] == [(1, ["cave", "snow"], [1.732, 1.732])]
+    assert [tuple(r) for r in scores.collect()] == [(1, "winter", 6.732051, 0.0)]
