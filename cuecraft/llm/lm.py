@@ -117,9 +117,11 @@ def initial(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(a: np.ndarray) -> np.ndarray:
-    e = np.exp(-a)
-    e += 1
-    return np.reciprocal(e, out=e)
+    """In place."""
+    np.negative(a, out=a)
+    np.exp(a, out=a)
+    a += 1
+    return np.reciprocal(a, out=a)
 
 
 def _class_of(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,8 +134,13 @@ def step(p: dict, before: np.ndarray, h: np.ndarray):
     a, b = p["x"][before], h @ p["u"]
     gates = _sigmoid(a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN])
     z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    n = np.tanh(a[:, 2 * HIDDEN :] + r * b[:, 2 * HIDDEN :])
-    return n + z * (h - n), z, r, n, b[:, 2 * HIDDEN :]
+    n = r * b[:, 2 * HIDDEN :]
+    n += a[:, 2 * HIDDEN :]
+    np.tanh(n, out=n)
+    after = h - n
+    after *= z
+    after += n
+    return after, z, r, n, b[:, 2 * HIDDEN :]
 
 
 def _softmax(h: np.ndarray, w: np.ndarray, at: np.ndarray, large: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,14 +227,15 @@ def score_tokens(p: dict, symbols: np.ndarray, first: np.ndarray, lanes: int = 2
     if not len(symbols):
         return found
     index, before, reset = lanes_of(symbols, first, lanes)
-    h = np.zeros((index.shape[1], HIDDEN), np.float32)
+    h, begins = np.zeros((index.shape[1], HIDDEN), np.float32), (reset & (index >= 0)).any(1)
     for at in range(0, len(index), window):
         states = []
         end = min(at + window, len(index))
         live = int((index[at] >= 0).sum())  # lanes are sorted by length
         h = h[:live]
         for t in range(at, end):
-            h = np.where(reset[t, :live, None], np.float32(0), h)
+            if begins[t]:
+                h = np.where(reset[t, :live, None], np.float32(0), h)
             h = step(p, before[t, :live], h)[0]
             states.append(h)
         own = index[at:end, :live].ravel()
@@ -251,14 +259,15 @@ def train(p: dict, symbols: np.ndarray, first: np.ndarray, rate: float, lanes: i
     lanes = max(1, min(lanes, CELLS // int(np.diff(first).max())))
     index, before, reset = lanes_of(symbols, first, lanes)
     m, v, count = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    h, at = np.zeros((index.shape[1], HIDDEN), np.float32), 0
+    h, at, begins = np.zeros((index.shape[1], HIDDEN), np.float32), 0, (reset & (index >= 0)).any(1)
     while at < len(index):
         live = int((index[at] >= 0).sum())
         end = min(at + window * min(8, index.shape[1] // live), len(index))
         kept, h = [], h[:live]
         carried = (~reset[at:end, :live, None]).astype(np.float32)
         for t in range(at, end):
-            h = h * carried[t - at]
+            if begins[t]:
+                h = h * carried[t - at]
             kept.append((h, *(out := step(p, before[t, :live], h))))
             h = out[0]
         prev, state, z, r, n, bn = map(np.stack, zip(*kept, strict=True))
@@ -280,7 +289,9 @@ def train(p: dict, symbols: np.ndarray, first: np.ndarray, rate: float, lanes: i
             da[t, :, 2 * HIDDEN :] = dn
             db[t] = da[t]
             db[t, :, 2 * HIDDEN :] *= r[t]
-            dh = (dh * z[t] + db[t] @ turned) * carried[t]
+            dh = dh * z[t] + db[t] @ turned
+            if begins[at + t]:
+                dh *= carried[t]
         _sum_rows(grads["x"], before[at:end, :live].ravel(), da.reshape(-1, 3 * HIDDEN))
         grads["u"] += prev.reshape(-1, HIDDEN).T @ db.reshape(-1, 3 * HIDDEN)
         count += 1
