@@ -1,8 +1,9 @@
 """What keeps queries within their limits at size: how often rows are shuffled, and how much of one group a task holds."""
 
+import re
 import time
 
-from cuecraft.operators import greedy, intervals, topics, windows
+from cuecraft.operators import entities, greedy, intervals, topics, windows
 from cuecraft.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -100,3 +101,12 @@ def test_topics_and_niches_call_no_function_for_each_token(spark):
     assert "lambdafunction" not in plan(scores).split("Generate")[1]
     assert [tuple(r) for r in found.collect()] == [(1, ["cave", "snow"], [1.732, 1.732])]
     assert [tuple(r) for r in scores.collect()] == [(1, "winter", 6.732051, 0.0)]
+
+
+def test_long_runs_of_names_do_not_overflow_the_stack(spark):
+    """A text of 20,000 capitalised words is one name; runs end where a word goes on, as they do for Python's patterns."""
+    long, odd = " ".join(["Alpha", "Beta", "Gamma"][k % 3] for k in range(20000)), "Red Blue Greenx9 Old Town_ New YorkX Big Sur, A Bc De fGh Ij Kl"
+    rows = spark.createDataFrame([(1, long), (2, odd)], "video_id long, text string")
+    found = entities.topical_entities(rows, ["zzz"]).collect()
+    assert [r.score for r in found if r.video_id == 1 and r.entity == long] == [entities.NAME] and sum(r.video_id == 1 for r in found) == 4
+    assert sorted(r.entity for r in found if r.video_id == 2 and " " in r.entity) == sorted(re.findall(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b", odd))
