@@ -116,47 +116,56 @@ def initial(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     }
 
 
-def _sigmoid(a: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.negative(a, out=a)
-    np.exp(a, out=a)
-    a += 1
-    return np.reciprocal(a, out=a)
-
-
 def _class_of(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class of each symbol, and the word's place in it."""
     frequent = symbol < CLASSES * WORDS
     return np.where(frequent, symbol % CLASSES, symbol - CLASSES * WORDS + CLASSES), symbol // CLASSES
 
 
-def step(p: dict, before: np.ndarray, h: np.ndarray):
-    a, b = p["x"][before], h @ p["u"]
-    gates = _sigmoid(a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN])
-    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    n = r * b[:, 2 * HIDDEN :]
-    n += a[:, 2 * HIDDEN :]
-    np.tanh(n, out=n)
-    after = h - n
-    after *= z
-    after += n
-    return after, z, r, n, b[:, 2 * HIDDEN :]
+class Recurrence:
+    """The network's recurrent part, one window after another: weights by gate (update, reset, candidate), the gates' negated for their sigmoid."""
 
+    def __init__(self, p: dict):
+        sign = np.array([-1, -1, 1], np.float32)[:, None, None]
+        self.x, self.u = (np.ascontiguousarray(p[name].reshape(-1, 3, HIDDEN).transpose(1, 0, 2)) * sign for name in "xu")
 
-def _softmax(h: np.ndarray, w: np.ndarray, at: np.ndarray, large: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The logits at some places, the exponentials of all and the sums of these; less the largest logit only where the weights allow large ones."""
+    def run(self, before: np.ndarray, h: np.ndarray, begins: np.ndarray, carried: np.ndarray) -> tuple[np.ndarray, ...]:
+        """States after each step of a window (steps, lanes, HIDDEN) from inputs and the state before; gates z and r, candidate n and its part by
+        the state. Where a step begins documents (begins), states are multiplied by ``carried``. Everything is worked out in place."""
+        long, lanes = before.shape
+        gates, n = self.x[:2].take(before, axis=1), self.x[2].take(before, axis=0)
+        states, by_state = np.empty((2, long, lanes, HIDDEN), np.float32)
+        b, rb = np.empty((2, lanes, HIDDEN), np.float32), np.empty((lanes, HIDDEN), np.float32)
+        for t in range(long):
+            if begins[t]:
+                h = h * carried[t]
+            own, candidate, after = gates[:, t], n[t], states[t]
+            own += np.matmul(h, self.u[:2], out=b)
+            np.exp(own, out=own)
+            own += 1
+            np.reciprocal(own, out=own)
+            candidate += np.multiply(own[1], np.matmul(h, self.u[2], out=by_state[t]), out=rb)
+            np.tanh(candidate, out=candidate)
+            np.subtract(h, candidate, out=after)
+            after *= own[0]
+            after += candidate
+            h = after
+        return states, gates[0], gates[1], n, by_state
+
+
+def _softmax(h: np.ndarray, w: np.ndarray, at: np.ndarray, ones: np.ndarray, large: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The logits at some places of the flat array, the exponentials of all and the sums of these; less the largest logit only where the weights allow large ones."""
     e = h @ w
     if large:
         e -= e.max(1, keepdims=True)
-    rows = np.arange(len(at))
-    logs = e[rows, at]
+    logs = e.reshape(-1).take(at)
     np.exp(e, out=e)
-    return logs, e, e @ np.ones(e.shape[1], e.dtype)
+    return logs, e, e @ ones
 
 
 def _backward(h: np.ndarray, w: np.ndarray, at: np.ndarray, e: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients by the weights and by the states; the states are divided by the sums, which are wider than they."""
-    e[np.arange(len(at)), at] -= total
+    e.reshape(-1)[at] -= total
     share = (1 / total)[:, None]
     back = e @ w[:-1].T
     back *= share
@@ -167,29 +176,33 @@ def outputs(p: dict, h: np.ndarray, symbol: np.ndarray, grads: dict | None = Non
     """Natural log-probability of each symbol; with ``grads`` also the gradient by the states."""
     kind, place = _class_of(symbol)
     order = np.argsort(kind.astype(np.uint8), kind="stable")  # of one class next to each other: no gathering for each
-    kind, place = kind[order], place[order]
+    kind, place, rows = kind[order], place[order], np.arange(len(order))
     h = np.concatenate([h[order], np.ones((len(order), 1), h.dtype)], axis=1)  # the biases are the weights of a state that is 1
     c, words = np.concatenate([p["c"], p["cb"][None]]), np.concatenate([p["w"], p["wb"][:, None]], axis=1)
-    large = np.abs(words).sum(1).max(1) > 80  # states lie within -1 and 1
-    logs, e, total = _softmax(h, c, kind, np.abs(c).sum(0).max() > 80)
-    found = logs - np.log(total)
+    large, ones = np.abs(words).sum(1).max(1) > 80, np.ones(max(WORDS, CLASSES + ENDINGS), h.dtype)  # states lie within -1 and 1
+    at = rows * (CLASSES + ENDINGS) + kind
+    found, e, total = _softmax(h, c, at, ones[: CLASSES + ENDINGS], np.abs(c).sum(0).max() > 80)
     back = None
     if grads is not None:
-        made, back = _backward(h, c, kind, e, total)
+        made, back = _backward(h, c, at, e, total)
         grads["c"] += made[:-1]
         grads["cb"] += made[-1]
     cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
+    frequent = slice(0, cuts[CLASSES])
+    at = (rows[frequent] - cuts[kind[frequent]]) * WORDS + place[frequent]
+    inside, logs = np.empty((2, cuts[CLASSES]), found.dtype)
     for k in range(CLASSES):
         own = slice(cuts[k], cuts[k + 1])
         if cuts[k] == cuts[k + 1]:
             continue
-        logs, e, total = _softmax(h[own], words[k], place[own], large[k])
-        found[own] += logs - np.log(total)
+        logs[own], e, inside[own] = _softmax(h[own], words[k], at[own], ones[:WORDS], large[k])
         if grads is not None:
-            made, states = _backward(h[own], words[k], place[own], e, total)
+            made, states = _backward(h[own], words[k], at[own], e, inside[own])
             grads["w"][k] += made[:-1]
             grads["wb"][k] += made[-1]
             back[own] += states
+    found -= np.log(total)
+    found[frequent] += logs - np.log(inside)
     result = np.empty_like(found)
     result[order] = found
     if back is None:
@@ -227,26 +240,21 @@ def score_tokens(p: dict, symbols: np.ndarray, first: np.ndarray, lanes: int = 2
     if not len(symbols):
         return found
     index, before, reset = lanes_of(symbols, first, lanes)
-    h, begins = np.zeros((index.shape[1], HIDDEN), np.float32), (reset & (index >= 0)).any(1)
+    h, begins, recurrence = np.zeros((index.shape[1], HIDDEN), np.float32), (reset & (index >= 0)).any(1), Recurrence(p)
     for at in range(0, len(index), window):
-        states = []
         end = min(at + window, len(index))
         live = int((index[at] >= 0).sum())  # lanes are sorted by length
-        h = h[:live]
-        for t in range(at, end):
-            if begins[t]:
-                h = np.where(reset[t, :live, None], np.float32(0), h)
-            h = step(p, before[t, :live], h)[0]
-            states.append(h)
+        states = recurrence.run(before[at:end, :live], h[:live], begins[at:end], (~reset[at:end, :live, None]).astype(np.float32))[0]
+        h = states[-1]
         own = index[at:end, :live].ravel()
         keep = own >= 0
-        found[own[keep]] = outputs(p, np.concatenate(states)[keep], symbols[own[keep]])[0]
+        found[own[keep]] = outputs(p, states.reshape(-1, HIDDEN)[keep], symbols[own[keep]])[0]
     return found
 
 
 def _sum_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """total[at] += rows, with repeated places."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.int16), kind="stable")
     lead = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
     total[at[order][lead]] += np.add.reduceat(rows[order], lead)
 
@@ -263,44 +271,51 @@ def train(p: dict, symbols: np.ndarray, first: np.ndarray, rate: float, lanes: i
     while at < len(index):
         live = int((index[at] >= 0).sum())
         end = min(at + window * min(8, index.shape[1] // live), len(index))
-        kept, h = [], h[:live]
         carried = (~reset[at:end, :live, None]).astype(np.float32)
-        for t in range(at, end):
-            if begins[t]:
-                h = h * carried[t - at]
-            kept.append((h, *(out := step(p, before[t, :live], h))))
-            h = out[0]
-        prev, state, z, r, n, bn = map(np.stack, zip(*kept, strict=True))
+        state, z, r, n, bn = Recurrence(p).run(before[at:end, :live], h[:live], begins[at:end], carried)
+        prev = np.concatenate([h[None, :live], state[:-1]])
+        prev *= carried
+        h = state[-1]
         own = index[at:end, :live].ravel()
         keep = np.flatnonzero(own >= 0)
         grads = {k: np.zeros_like(x) for k, x in p.items()}
         back = np.zeros((len(own), HIDDEN), np.float32)
         back[keep] = outputs(p, state.reshape(-1, HIDDEN)[keep], symbols[own[keep]], grads)[1]
         back = back.reshape(end - at, live, HIDDEN)
-        dh = np.zeros((live, HIDDEN), np.float32)
-        da, db = np.empty((2, end - at, live, 3 * HIDDEN), np.float32)
+        dh, part = np.zeros((2, live, HIDDEN), np.float32)
+        db, dn = np.empty((end - at, live, 3 * HIDDEN), np.float32), np.empty((end - at, live, HIDDEN), np.float32)
         to_z, to_r, to_n = (prev - n) * z * (1 - z), bn * r * (1 - r), (1 - z) * (1 - n * n)
         turned = np.ascontiguousarray(p["u"].T)
         for t in range(end - at - 1, -1, -1):
-            dh = dh + back[t]
-            dn = dh * to_n[t]
-            da[t, :, :HIDDEN] = dh * to_z[t]
-            da[t, :, HIDDEN : 2 * HIDDEN] = dn * to_r[t]
-            da[t, :, 2 * HIDDEN :] = dn
-            db[t] = da[t]
-            db[t, :, 2 * HIDDEN :] *= r[t]
-            dh = dh * z[t] + db[t] @ turned
+            dh += back[t]
+            np.multiply(dh, to_n[t], out=dn[t])
+            np.multiply(dh, to_z[t], out=db[t, :, :HIDDEN])
+            np.multiply(dn[t], to_r[t], out=db[t, :, HIDDEN : 2 * HIDDEN])
+            np.multiply(dn[t], r[t], out=db[t, :, 2 * HIDDEN :])
+            dh *= z[t]
+            dh += np.matmul(db[t], turned, out=part)
             if begins[at + t]:
                 dh *= carried[t]
-        _sum_rows(grads["x"], before[at:end, :live].ravel(), da.reshape(-1, 3 * HIDDEN))
         grads["u"] += prev.reshape(-1, HIDDEN).T @ db.reshape(-1, 3 * HIDDEN)
+        db[:, :, 2 * HIDDEN :] = dn  # the inputs' part of the candidate
+        _sum_rows(grads["x"], before[at:end, :live].ravel(), db.reshape(-1, 3 * HIDDEN))
         count += 1
         scale = np.float32(1 / max(1, len(keep)))
         for k, g in grads.items():
             g *= scale
-            m[k] += np.float32(0.1) * (g - m[k])
-            v[k] += np.float32(0.01) * (g * g - v[k])
-            p[k] -= np.float32(rate / (1 - 0.9**count)) * m[k] / (np.sqrt(v[k] * np.float32(1 / (1 - 0.99**count))) + np.float32(1e-6))
+            part = np.subtract(g, m[k])
+            part *= np.float32(0.1)
+            m[k] += part
+            np.multiply(g, g, out=part)
+            part -= v[k]
+            part *= np.float32(0.01)
+            v[k] += part
+            np.multiply(v[k], np.float32(1 / (1 - 0.99**count)), out=part)
+            np.sqrt(part, out=part)
+            part += np.float32(1e-6)
+            np.multiply(m[k], np.float32(rate / (1 - 0.9**count)), out=g)
+            g /= part
+            p[k] -= g
         at = end
     return p
 

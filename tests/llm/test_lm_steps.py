@@ -44,3 +44,21 @@ def test_outputs_equal_a_plain_softmax():
         assert np.allclose(found, plain(h)) and np.allclose(lm.outputs(p, h, symbol)[0], found)
         step = 1e-6 * rng.normal(0, 1, h.shape)
         assert np.allclose(plain(h) - plain(h + step), (back * step).sum(1), rtol=1e-3, atol=1e-8)  # the gradient is of the negative logarithm
+
+
+def test_windows_of_states_equal_plain_steps():
+    rng = np.random.default_rng(6)
+    p = {k: (3 * v).astype(np.float32) for k, v in lm.initial(_vocabulary(range(1, 60))).items()}
+    before, h = rng.integers(0, lm.BEGIN + 1, (9, 5)), rng.normal(0, 0.3, (5, lm.HIDDEN)).astype(np.float32)
+    carried = (rng.random((9, 5, 1)) > 0.3).astype(np.float32)
+    begins = (carried == 0).any((1, 2))
+    states, z, r, n, by_state = lm.Recurrence(p).run(before, h, begins, carried)
+    for t in range(9):
+        h = h * carried[t]
+        a, b = np.split(p["x"][before[t]], 3, axis=1), np.split(h @ p["u"], 3, axis=1)
+        want_z, want_r = (1 / (1 + np.exp(-a[k] - b[k])) for k in (0, 1))
+        want_n = np.tanh(a[2] + want_r * b[2])
+        h = (1 - want_z) * want_n + want_z * h
+        for got, want in ((z, want_z), (r, want_r), (n, want_n), (by_state, b[2]), (states, h)):
+            assert np.allclose(got[t], want, atol=1e-5)
+    assert not lm.Recurrence(p).run(before[:0], h, begins[:0], carried[:0])[0].size
